@@ -8,7 +8,6 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +15,6 @@ from holdfast.spec import LINEAGE_COLUMNS, ROW_ORDER, Project, Source
 
 # Rows of one file are numbered below this, so file rank and row number fit one long.
 ROWS_PER_FILE = 1 << 40
-HASH_BLOCK = 8 * 1024 * 1024
 # A listing and a scan spell local paths with a different number of slashes.
 _LOCAL_FILE = re.compile("^file:/+")
 
@@ -127,26 +125,28 @@ def _file_table(spark: SparkSession, paths: Sequence[str], hash_files: bool) ->
     listed = spark.createDataFrame(ranked, "_file_path string, _file_rank long")
     if not hash_files:
         return listed.withColumn("_file_sha256", F.lit(None).cast("string"))
-    slices = max(1, min(len(ranked), spark.sparkContext.defaultParallelism))
-    return listed.repartition(slices, "_file_path").mapInPandas(
-        _hash_files, "_file_path string, _file_rank long, _file_sha256 string")
-
-
-def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import hashlib
+    def hashed(batches: Iterator) -> Iterator:
+        # A nested function travels by value, so executors need not have this package.
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            digests = []
+            for uri in batch.column("_file_path").to_pylist():
+                system, path = fs.FileSystem.from_uri(uri)
+                digest = hashlib.sha256()
+                with system.open_input_stream(path) as stream:
+                    while block := stream.read(8 * 1024 * 1024):
+                        digest.update(block)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())],
+                                             names=[*batch.schema.names, "_file_sha256"])
 
-    from pyarrow import fs
-
-    for batch in batches:
-        digests = []
-        for uri in batch["_file_path"]:
-            system, path = fs.FileSystem.from_uri(uri)
-            digest = hashlib.sha256()
-            with system.open_input_stream(path) as stream:
-                while block := stream.read(HASH_BLOCK):
-                    digest.update(block)
-            digests.append(digest.hexdigest())
-        yield batch.assign(_file_sha256=digests)
+    slices = max(1, min(len(ranked), spark.sparkContext.defaultParallelism))
+    return listed.repartition(slices, "_file_path").mapInArrow(
+        hashed, "_file_path string, _file_rank long, _file_sha256 string")
 
 
 def staging_audit(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
