@@ -33,57 +33,60 @@ def is_cell_error(text: Column) -> Column:
     return F.coalesce(F.upper(strip(text)).isin(*CELL_ERRORS), F.lit(False))
 
 
-def parse_number(text: Column, decimal_separator: str = ".", kind: str = "decimal(38,10)") -> Column:
-    """Read a number written by hand; NULL when blank, an error text or ambiguous.
+def conversion_outcome(text: Column, number: Column) -> Column:
+    """What became of a cell: ``blank``, ``error``, ``failed`` or ``number``."""
+    return (
+        F.when(blank_to_null(text).isNull(), F.lit("blank"))
+        .when(is_cell_error(text), F.lit("error"))
+        .when(number.isNull(), F.lit("failed"))
+        .otherwise(F.lit("number"))
+    )
+
 
-    With both separators present the last one is the decimal sign. With one present
-    it is the decimal sign only when it is ``decimal_separator``; otherwise it has to
-    form groups of three digits.
+def clean_numbers(raw: DataFrame, column: str, decimal_separator: str = ".",
+                  kind: str = "decimal(38,10)") -> DataFrame:
+    """Read numbers written by hand: adds ``<column>_number`` and ``<column>_outcome``.
+
+    A number is NULL when its cell is blank, holds an error text or is ambiguous. With both
+    separators present the last one is the decimal sign. With one present it is the decimal
+    sign only when it is ``decimal_separator``; otherwise it has to form groups of three
+    digits. Each step is a projection of its own, so no step is evaluated twice.
     """
     if decimal_separator not in (".", ","):
         raise ValueError("the decimal separator is '.' or ','")
-    bare = F.translate(blank_to_null(text), LOCAL_DIGITS, ASCII_DIGITS)
-    bracketed = bare.startswith("(") & bare.endswith(")")
-    bare = F.when(bracketed, strip(F.regexp_replace(bare, r"^\(|\)$", ""))).otherwise(bare)
-    trailing = bare.endswith("-")
-    bare = F.when(trailing, F.regexp_replace(bare, "-$", "")).otherwise(bare)
-    bare = F.regexp_replace(bare, "[ \u00a0]", "")
+    text = F.col("_text")
 
     def grouped(group: str) -> str:
         return rf"^[+-]?\d{{1,3}}({re.escape(group)}\d{{3}})+"
 
     def without(group: str) -> Column:
-        return F.regexp_replace(bare, re.escape(group), "")
+        return F.replace(text, F.lit(group), F.lit(""))
 
     thousands = "," if decimal_separator == "." else "."
     own = re.escape(decimal_separator)
     plain = (
-        F.when(bare.rlike(rf"^[+-]?\d+{_EXPONENT}$"), bare)
-        .when(bare.rlike(grouped(",") + r"\.\d+$"), without(","))
-        .when(bare.rlike(grouped(".") + r",\d+$"), F.translate(without("."), ",", "."))
-        .when(bare.rlike(rf"^[+-]?(\d+{own}\d*|{own}\d+){_EXPONENT}$"),
-              F.translate(bare, decimal_separator, "."))
-        .when(bare.rlike(grouped(thousands) + "$"), without(thousands))
-    )
-    value = plain.try_cast(kind)
-    return F.when(bracketed | trailing, -value).otherwise(value)
-
-
-def conversion_outcome(text: Column, number: Column) -> Column:
-    """What became of a cell: ``blank``, ``error``, ``failed`` or ``number``."""
-    return (
-        F.when(blank_to_null(text).isNull(), F.lit("blank"))
-        .when(is_cell_error(text), F.lit("error"))
-        .when(number.isNull(), F.lit("failed"))
-        .otherwise(F.lit("number"))
-    )
-
-
-def clean_numbers(raw: DataFrame, column: str, decimal_separator: str = ".") -> DataFrame:
-    """Add ``<column>_number`` and ``<column>_outcome`` to a raw frame."""
-    number = parse_number(F.col(column), decimal_separator)
-    return (raw.withColumn(f"{column}_number", number)
-            .withColumn(f"{column}_outcome", conversion_outcome(F.col(column), F.col(f"{column}_number"))))
+        F.when(text.rlike(rf"^[+-]?\d+{_EXPONENT}$"), text)
+        .when(text.rlike(grouped(",") + r"\.\d+$"), without(","))
+        .when(text.rlike(grouped(".") + r",\d+$"), F.translate(without("."), ",", "."))
+        .when(text.rlike(rf"^[+-]?(\d+{own}\d*|{own}\d+){_EXPONENT}$"), F.translate(text, decimal_separator, "."))
+        .when(text.rlike(grouped(thousands) + "$"), without(thousands)))
+    steps = (raw
+             .withColumn("_text", F.translate(blank_to_null(F.col(column)), LOCAL_DIGITS, ASCII_DIGITS))
+             .withColumn("_bracketed", text.startswith("(") & text.endswith(")"))
+             .withColumn("_text", F.when(F.col("_bracketed"), strip(F.regexp_replace(text, r"^\(|\)$", "")))
+                         .otherwise(text))
+             .withColumn("_trailing", text.endswith("-"))
+             .withColumn("_text", F.when(F.col("_trailing"), F.regexp_replace(text, "-$", "")).otherwise(text))
+             .withColumn("_text", F.translate(text, " \u00a0", ""))
+             .withColumn("_plain", plain.try_cast(kind)))
+    number = F.when(F.col("_bracketed") | F.col("_trailing"), -F.col("_plain")).otherwise(F.col("_plain"))
+    numbered = steps.withColumn(f"{column}_number", number).drop("_text", "_bracketed", "_trailing", "_plain")
+    return numbered.withColumn(f"{column}_outcome", conversion_outcome(F.col(column), F.col(f"{column}_number")))
+
+
+def outcome_counts(cleaned: DataFrame, column: str) -> DataFrame:
+    """How many cells were numbers, blank, error texts or unreadable."""
+    return cleaned.groupBy(F.col(f"{column}_outcome").alias("outcome")).agg(F.count("*").alias("cells"))
 
 
 def serial_to_date(serial: Column, system_1904: bool = False) -> Column:

@@ -37,8 +37,10 @@ def read_as(text: Column, kind: str) -> Column:
     if kind == "VARCHAR":
         return F.trim(text)
     if kind == "DATE":
+        # The usual spelling needs no pattern: ten characters with dashes in the right places.
+        usual = (F.length(text) == 10) & (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-")
         iso = F.regexp_replace(text, DATE_PARTS, "$1-$2-$3")
-        return F.when(text.rlike(DATE_TEXT), iso.try_cast("date"))
+        return F.when(usual, text.try_cast("date")).when(text.rlike(DATE_TEXT), iso.try_cast("date"))
     if kind in ("INTEGER", "BIGINT"):
         whole = F.round(text.try_cast("decimal(38,10)"), 0)
         return whole.try_cast(SPARK_TYPES[kind])

@@ -32,34 +32,35 @@ def text_kind(text: Column) -> Column:
 def column_profile(raw: DataFrame, columns: Sequence[str], distinct_cap: int = DISTINCT_CAP) -> DataFrame:
     """One row per column. The distinct count is exact, or NULL when it exceeds the cap.
 
-    The first pass counts kinds and estimates distinct values for all columns at once.
-    Only columns that may be under the cap are counted exactly, so the second pass
-    shuffles at most a few cap-sized sets from each task.
+    The first pass counts kinds and estimates distinct values for all columns at once;
+    each task merges its rows into one line per column. Only columns that may be under
+    the cap are counted exactly, so the second pass shuffles at most a few cap-sized
+    sets from each task.
     """
     spark = raw.sparkSession
-    value = {c: F.when(text_kind(F.col(c)) != "null", F.col(c)) for c in columns}
-    counted = raw.agg(
-        F.count("*").alias("rows"),
-        *[F.sum((text_kind(F.col(c)) == k).cast("long")).alias(f"{c}|{k}") for c in columns for k in KINDS],
-        *[F.approx_count_distinct(value[c], _ESTIMATE_ERROR).alias(f"{c}|estimate") for c in columns],
-    ).first()
-    rows = counted["rows"]
-    maybe = [c for c in columns if counted[f"{c}|estimate"] <= _SURELY_OVER * distinct_cap]
-    exact: dict[str, int] = {}
-    if maybe and rows:
-        pairs = F.array(*[F.struct(F.lit(c).alias("column"), value[c].alias("value")) for c in maybe])
-        distinct = (raw.select(F.inline(pairs)).where("value is not null").groupBy("column", "value").count()
-                    .groupBy("column").agg(F.count("*").alias("n")))
-        exact = {r["column"]: r["n"] for r in distinct.collect()}  # one row per profiled column
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
+    values = raw.select(F.inline(pairs))
+    by_kind = values.withColumn("kind", text_kind(F.col("value")))
+    present = F.when(F.col("kind") != "null", F.col("value"))
+    # One row per profiled column reaches the driver.
+    counted = {r["column"]: r for r in by_kind.groupBy("column").agg(
+        F.count("*").alias("rows"), *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS],
+        F.approx_count_distinct(present, _ESTIMATE_ERROR).alias("estimate")).collect()}
+    maybe = [c for c in counted if counted[c]["estimate"] <= _SURELY_OVER * distinct_cap]
+    distinct = (by_kind.where(F.col("column").isin(maybe) & (F.col("kind") != "null"))
+                .groupBy("column", "value").count().groupBy("column").agg(F.count("*").alias("n")))
+    exact = {r["column"]: r["n"] for r in distinct.collect()} if maybe else {}
 
     profile = []
     for name in columns:
-        kinds = {k: counted[f"{name}|{k}"] or 0 for k in KINDS}
-        nulls = kinds["null"]
-        found = exact.get(name, 0) if name in maybe else None
-        distinct = found if found is not None and found <= distinct_cap else None
-        unique = rows > 0 and nulls == 0 and distinct == rows
-        profile.append((name, rows - nulls, nulls, *[kinds[k] for k in KINDS[1:]], distinct, distinct is None, unique))
+        found = counted.get(name)
+        rows = found["rows"] if found else 0
+        kinds = {k: found[k] if found else 0 for k in KINDS}
+        n = exact.get(name, 0) if name in maybe or not found else None
+        distinct_count = n if n is not None and n <= distinct_cap else None
+        unique = rows > 0 and kinds["null"] == 0 and distinct_count == rows
+        profile.append((name, rows - kinds["null"], kinds["null"], *[kinds[k] for k in KINDS[1:]],
+                        distinct_count, distinct_count is None, unique))
     schema = ("column_name string, non_null long, nulls long, "
               + ", ".join(f"{k} long" for k in KINDS[1:])
               + ", distinct_count long, distinct_capped boolean, candidate_unique_key boolean")

@@ -25,7 +25,7 @@ from holdfast.plans import evidence as E
 from holdfast.plans import metrics as M
 from holdfast.plans import package as P
 from holdfast.plans.rules import Rule, run_rule
-from holdfast.scale import checkpoint_folder
+from holdfast.scale import checkpoint_folder, settle
 from holdfast.sources import archive as A
 from holdfast.sources.staging import Staged, stage_frame, staging_audit as audit_staging
 from holdfast.sources.store import latest_runs
@@ -570,7 +570,8 @@ def filter_options(spark: SparkSession, folder: str) -> DataFrame:
 
 def kpi_package(spark: SparkSession, folder: str) -> DataFrame:
     """The result package of a merged history, flattened to one row per figure shown."""
-    merged = H.without_change(H.merge(first_load(spark, folder), second_batch(spark, folder), ORDERS, "R2"))
+    # Every figure reads the merged history, so it is computed once.
+    merged = settle(H.without_change(H.merge(first_load(spark, folder), second_batch(spark, folder), ORDERS, "R2")))
     facts = P.RunFacts(TRADE.project_id, 1, "R2", Q.PASS, {}, {"orders": 0})
     package = P.build_package(spark, TRADE_DASHBOARD, {"history_trade_orders": merged}, facts, generated_at=EXTRACTED_AT)
     shown = [("kpi", k["id"], k["period"], k["value"], k["display"]) for k in package["kpis"]]

@@ -6,10 +6,13 @@ and read back by the next, so no step depends on the memory of an executor.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from holdfast.sources.staging import Staged, source_paths, stage_files, staging_
 from holdfast.sources.store import Store, Table
 from holdfast.spec import KEY_HASH, Project, Source
 
+T = TypeVar("T")
+PARALLEL_SOURCES = 4
 RUN_SCHEMA = ("run_id string, report_id string, report_version int, status string, started_at timestamp, "
               "finished_at timestamp, rows_extracted long, rows_rejected long, rows_filtered long, "
               "rows_inserted long, rows_updated long, rows_unchanged long, quality_status string, "
@@ -96,7 +101,7 @@ def run_project(spark: SparkSession, project: Project, inputs: Mapping[str, str
         outcome.status, outcome.error_message = "FAILED", str(problem)
         raise
     finally:
-        store.append("runs", _run_row(spark, project, outcome, started, demo_data))
+        store.append("runs", _run_row(spark, project, outcome, started, demo_data), run_id)
     if package_path and outcome.package is not None:
         write_package(spark, outcome.package, package_path)
     return outcome
@@ -106,13 +111,15 @@ def _run(spark: SparkSession, project: Project, paths: Mapping[str, list[str]],
          dashboard: Dashboard | None, rules: Sequence[Rule], periods: Mapping[str, str],
          add_columns: Mapping[str, Sequence[str]], file_format: str, demo_data: bool) -> None:
     run_id, base, number = outcome.run_id, store.current(), store.next_number()
-    prepared: dict[str, _Prepared] = {}
-    for source in project.sources:
-        if source.source_id in paths:
-            staged = stage_files(spark, source, paths[source.source_id], run_id=run_id,
-                                 report_id=project.project_id, file_format=file_format)
-            prepared[source.source_id] = prepare_source(staged, store, run_id)
-            outcome.sources[source.source_id] = prepared[source.source_id].outcome
+    supplied = [s for s in project.sources if s.source_id in paths]
+
+    def prepare(source: Source) -> _Prepared:
+        staged = stage_files(spark, source, paths[source.source_id], run_id=run_id,
+                             report_id=project.project_id, file_format=file_format)
+        return prepare_source(staged, store, run_id)
+
+    prepared = _for_each(spark, supplied, prepare)
+    outcome.sources = {sid: p.outcome for sid, p in prepared.items()}
 
     checks = [row for p in prepared.values() for row in p.checks]
     empty = {s.source_id: spark.createDataFrame([], s.typed_schema()) for s in project.sources}
@@ -126,13 +133,9 @@ def _run(spark: SparkSession, project: Project, paths: Mapping[str, list[str]],
         outcome.error_message = "a quality or relationship check blocked the run"
         return
 
-    tables: dict[str, Table] = {}
-    for source in project.sources:
-        if source.source_id in prepared:
-            tables[source.source_id] = _merge_source(
-                store, base, number, run_id, source, prepared[source.source_id],
-                periods.get(source.source_id), add_columns.get(source.source_id, ()))
-
+    tables: dict[str, Table] = _for_each(spark, supplied, lambda source: _merge_source(
+        store, base, number, run_id, source, prepared[source.source_id],
+        periods.get(source.source_id), add_columns.get(source.source_id, ())))
     views = {project.view_name(s.source_id): _current(store, base, tables, s) for s in project.sources}
     if rules:
         queries = dashboard.queries if dashboard else {}
@@ -153,6 +156,12 @@ def _run(spark: SparkSession, project: Project, paths: Mapping[str, list[str]],
     outcome.status = "COMPLETE"
 
 
+def _for_each(spark: SparkSession, sources: Sequence[Source], work: Callable[[Source], T]) -> dict[str, T]:
+    """Sources do not depend on each other, so their jobs are submitted side by side."""
+    with ThreadPoolExecutor(max_workers=max(1, min(len(sources), PARALLEL_SOURCES))) as pool:
+        return dict(zip([s.source_id for s in sources], pool.map(inheritable_thread_target(spark)(work), sources)))
+
+
 def prepare_source(staged: Staged, store: Store, run_id: str) -> _Prepared:
     """Stage, type, check and split one source. A blocked key check leaves no clean rows."""
     source, spark = staged.source, store.spark
@@ -160,8 +169,7 @@ def prepare_source(staged: Staged, store: Store, run_id: str) -> _Prepared:
     read_rows(staged.rows, source).write.mode("overwrite").parquet(rows_path)
     rows = spark.read.parquet(rows_path)
     audit = staging_audit(rows.select("_raw.*", "_source_id", "_source_file", "_source_row_number"), source.names)
-    store.append("audit", audit.withColumnRenamed("_source_id", "source_id")
-                 .withColumn("run_id", F.lit(run_id)), "source_id")
+    store.append("audit", audit.drop("_source_id"), run_id, source.source_id)
 
     repeated = settle(repeated_keys(rows))
     result = SourceOutcome(rows_extracted=rows.count())
@@ -182,7 +190,7 @@ def prepare_source(staged: Staged, store: Store, run_id: str) -> _Prepared:
     checks += Q.as_rows(known, Q.row_checks(source)).collect()
     result.rows_rejected, result.rows_filtered = counted["rejected_rows"], counted["filtered_rows"]
     if result.rows_rejected or result.rows_filtered:
-        store.append("quarantine", quarantine_rows(tagged, source), "source_id")
+        store.append("quarantine", quarantine_rows(tagged, source), run_id, source.source_id)
     result.quality_status, _ = _verdict(checks)
     result.control_totals = [
         (f"{source.source_id}.{name}", counted[f"total_{name}"],
@@ -229,7 +237,7 @@ def _verdict(checks: Sequence[Row]) -> tuple[str, dict[str, int]]:
 def _record_checks(spark: SparkSession, store: Store, run_id: str, checks: Sequence[Row]) -> None:
     if checks:
         frame = Q.checks_frame(spark, [tuple(c) for c in checks])
-        store.append("checks", frame.withColumn("run_id", F.lit(run_id)).withColumn("checked_at", F.current_timestamp()))
+        store.append("checks", frame.withColumn("checked_at", F.current_timestamp()), run_id)
 
 
 def _run_row(spark: SparkSession, project: Project, outcome: Outcome, started: datetime, demo_data: bool) -> DataFrame:

@@ -154,10 +154,14 @@ class Store:
             remove_folder(self.spark, f"{self._ledger(name)}/run_id={run_id}")
         remove_folder(self.spark, self.scratch(run_id))
 
-    def append(self, ledger: str, frame: DataFrame, *extra_partitions: str) -> None:
-        """Write one run's rows; writing the same run again replaces them."""
-        (frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("run_id", *extra_partitions).parquet(self._ledger(ledger)))
+    def append(self, ledger: str, frame: DataFrame, run_id: str, source_id: str | None = None) -> None:
+        """Write one run's rows, of one source where given; writing them again replaces them.
+
+        Each call owns its partition folder, so sources can be written side by side.
+        """
+        part = f"run_id={run_id}" + (f"/source_id={source_id}" if source_id else "")
+        frame.drop("run_id", *(["source_id"] if source_id else [])).write.mode("overwrite").parquet(
+            f"{self._ledger(ledger)}/{part}")
 
     def ledger(self, name: str, schema: T.StructType | str) -> DataFrame:
         if not path_exists(self.spark, self._ledger(name)):
