@@ -65,14 +65,13 @@ def lookup(rows: DataFrame, groups: DataFrame, on: Sequence[str], facts: Sequenc
     # Never NULL, so that a matched hot group is recognised even when its facts are NULL.
     hot = counted.where(is_hot).select(*on, F.lit(True).alias("_hot"), *[F.col(f).alias(f"_hot_{f}") for f in facts])
     key = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in on])
-    cold = counted.where(~is_hot).select(key.alias("_join_key"), *facts)
+    cold = counted.where(~is_hot).select(key.alias("_join_key"), *[F.col(f).alias(f"_cold_{f}") for f in facts])
     spread = F.when(F.col("_hot"), F.concat(F.lit("row "), F.col(row_id).cast("string"))).otherwise(key)
-    marked = rows.join(F.broadcast(hot), list(on), "left").withColumn("_join_key", spread)
-    joined = marked.join(cold, "_join_key", "left")
+    joined = (rows.join(F.broadcast(hot), list(on), "left").withColumn("_join_key", spread)
+              .join(cold, "_join_key", "left"))
     return joined.select(
-        *[marked[c] for c in rows.columns],
-        *[F.when(marked["_hot"], marked[f"_hot_{f}"]).otherwise(cold[f]).alias(f) for f in facts],
-    )
+        *[F.col(c) for c in rows.columns],
+        *[F.when(F.col("_hot"), F.col(f"_hot_{f}")).otherwise(F.col(f"_cold_{f}")).alias(f) for f in facts])
 
 
 def running_total(frame: DataFrame, value: str, order: Sequence[Column], name: str, *,

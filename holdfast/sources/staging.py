@@ -103,8 +103,10 @@ def _csv_rows(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     file give the rest. Nothing is sorted and rows are not shuffled.
     """
     header = spark.read.option("header", True).csv(list(paths)).schema
-    # enforceSchema=False compares every file's header with the first one's.
-    scan = (spark.read.option("header", True).option("enforceSchema", False).schema(header).csv(list(paths))
+    # enforceSchema=False compares every file's header with the first one's; without
+    # pruning the comparison covers all columns and not just the declared ones.
+    scan = (spark.read.option("header", True).option("enforceSchema", False).option("columnPruning", False)
+            .schema(header).csv(list(paths))
             .select("*", F.col("_metadata.file_path").alias("_file_path"),
                     F.col("_metadata.file_block_start").alias("_file_block"),
                     F.monotonically_increasing_id().alias("_file_scan_id")))
