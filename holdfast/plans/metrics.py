@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from holdfast.scale import running_total, settle, with_one_row
+from holdfast.scale import is_small, running_total, settle, with_one_row
 
 PPM = 1_000_000
 PERCENT = 100
@@ -116,17 +116,24 @@ def price_variance(purchases: DataFrame, standard: DataFrame, *, item: str, quan
                    standard_price: Column, by_purchase: Sequence[str] = (), by_item: Sequence[str] = ()) -> DataFrame:
     """Spend, spend at standard price and their difference, per purchase and item attributes.
 
-    ``sum(q * (p - s)) = sum(q * p) - s * sum(q)`` holds exactly for decimals, so
-    purchases are summed per item before the standard price is joined.
+    ``sum(q * (p - s)) = sum(q * p) - s * sum(q)`` holds exactly for decimals. With more
+    items than may be broadcast, purchases are therefore summed per item before the
+    standard price is joined, so that a much bought item is one row in that join. With
+    few items the price is broadcast to the purchases, which are then shuffled only as
+    sums of the final groups.
     """
-    keys = list(dict.fromkeys([item, *by_purchase]))
-    per_item = purchases.groupBy(*keys).agg(F.sum(quantity).alias("_quantity"), F.sum(spend).alias("_spend"))
     prices = standard.select(*dict.fromkeys([item, *by_item]), standard_price.alias("_standard"))
-    priced = per_item.join(prices, item, "inner").withColumn(
-        # 19 + 18 digits keep the product exact; a larger quantity is an error, not a rounding.
-        "_at_standard", F.col("_standard").cast("decimal(18,4)") * F.col("_quantity").cast("decimal(19,4)"))
-    sums = (F.sum(F.col("_spend").cast("decimal(38,8)")).alias("spend"), F.sum("_at_standard").alias("standard_spend"))
-    grouped = priced.groupBy(*by_purchase, *by_item).agg(*sums)
+    measured = purchases.select(*dict.fromkeys([item, *by_purchase]), quantity.alias("_quantity"), spend.alias("_spend"))
+    if is_small(prices):
+        priced = measured.join(F.broadcast(prices), item, "inner")
+    else:
+        per_item = measured.groupBy(*dict.fromkeys([item, *by_purchase])).agg(
+            F.sum("_quantity").alias("_quantity"), F.sum("_spend").alias("_spend"))
+        priced = per_item.join(prices, item, "inner")
+    # 19 + 18 digits keep the product exact; a larger quantity is an error, not a rounding.
+    at_standard = F.col("_standard").cast("decimal(18,4)") * F.col("_quantity").cast("decimal(19,4)")
+    grouped = priced.groupBy(*by_purchase, *by_item).agg(
+        F.sum(F.col("_spend").cast("decimal(38,8)")).alias("spend"), F.sum(at_standard).alias("standard_spend"))
     return grouped.withColumn("variance", F.col("spend") - F.col("standard_spend"))
 
 
@@ -165,3 +172,78 @@ def latest_pair(frame: DataFrame, date: str, sums: Mapping[str, Column | str]) -
         return F.max(F.when(F.col("_rank") == rank, F.col(name))).alias(f"{prefix}_{label}")
 
     return two.agg(*[pick(1, c, "current") for c in columns], *[pick(2, c, "comparison") for c in columns])
+
+
+# ------------------------------------------------------------------ metric families
+
+def calendar(spark: SparkSession, first: str, last: str, holidays: Sequence[str] = (),
+             fiscal_year_start: int | None = None) -> DataFrame:
+    """One row per day. Fiscal columns appear only when the first fiscal month is given."""
+    day = F.col("day")
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
+    is_holiday = day.cast("string").isin(*holidays) if holidays else F.lit(False)
+    # ISO weeks belong to the year of their Thursday.
+    thursday = F.date_add(day, 3 - F.weekday(day))
+    columns = [day, F.format_string("%d-W%02d", F.year(thursday), F.weekofyear(day)).alias("week"),
+               F.date_format(day, "yyyy-MM").alias("month"),
+               F.format_string("%d-Q%d", F.year(day), F.quarter(day)).alias("quarter"), F.year(day).alias("year"),
+               is_holiday.alias("is_holiday"), ((F.weekday(day) < 5) & ~is_holiday).alias("is_working_day")]
+    if fiscal_year_start is not None:
+        shifted = F.add_months(day, 1 - fiscal_year_start)
+        columns += [F.year(shifted).alias("fiscal_year"), F.month(shifted).alias("fiscal_period")]
+    return days.select(*columns)
+
+
+def rolling(periods: DataFrame, period: str, sums: Sequence[str], width: int) -> DataFrame:
+    """Sums over this and the ``width - 1`` periods before it; one row per period goes in."""
+    window = Window.orderBy(period).rowsBetween(1 - width, Window.currentRow)
+    return periods.select("*", *[F.sum(s).over(window).alias(f"rolling_{s}") for s in sums])
+
+
+def growth(periods: DataFrame, period: str, value: str) -> DataFrame:
+    """Change of a figure against the period before it, absolute and in percent."""
+    before = F.lag(value).over(Window.orderBy(period))
+    return (periods.withColumn("previous", before)
+            .withColumn("change", F.col(value) - F.col("previous"))
+            .withColumn("growth_pct", rate(F.col("change"), F.col("previous"), PERCENT)))
+
+
+def against_target(actual: DataFrame, target: DataFrame, on: Sequence[str], value: str, goal: str) -> DataFrame:
+    """Figures beside their targets; a missing target leaves the comparison NULL."""
+    return (actual.join(target.select(*on, goal), list(on), "left")
+            .withColumn("gap", F.col(value) - F.col(goal))
+            .withColumn("attainment_pct", rate(F.col(value), F.col(goal), PERCENT)))
+
+
+def aging(frame: DataFrame, date: str, as_of: Column, limits: Sequence[int], sums: Mapping[str, Column | str]) -> DataFrame:
+    """Rows and sums by age: up to each limit in days, and beyond the last one."""
+    age = F.datediff(as_of, F.col(date))
+    bucket, low = F.when(F.lit(False), ""), 0
+    for limit in limits:
+        bucket, low = bucket.when(age <= limit, F.lit(f"{low}-{limit}")), limit + 1
+    return (frame.groupBy(bucket.otherwise(F.lit(f"{low}+")).alias("age_days"))
+            .agg(F.count("*").alias("row_count"), *[F.sum(v).alias(n) for n, v in sums.items()]))
+
+
+def heatmap(frame: DataFrame, rows: str, columns: str, value: Column | str) -> DataFrame:
+    return frame.groupBy(rows, columns).agg(F.sum(value).alias("value"))
+
+
+def rank_insights(candidates: DataFrame, keep: int = 5) -> DataFrame:
+    """Highest product of the five ranking factors first."""
+    # Fixed names of the ranking factors.
+    factors = ("impact", "magnitude", "persistence", "population", "confidence")
+    score = F.lit(1.0)
+    for factor in factors:
+        score = score * F.col(factor).cast("double")
+    return candidates.withColumn("score", score).orderBy(F.desc_nulls_last("score"), "id").limit(keep)
+
+
+def partial_latest(periods: DataFrame, period: str, volume: str, share: float) -> DataFrame:
+    """Marks the newest period when its volume is below a share of the average of the others."""
+    facts = periods.agg(F.max(period).alias("_newest"), F.sum(volume).alias("_all"), F.count("*").alias("_n"),
+                        F.max_by(volume, period).alias("_last"))
+    usual = (F.col("_all") - F.col("_last")).cast("double") / F.nullif(F.col("_n") - 1, F.lit(0))
+    is_partial = (F.col(period) == F.col("_newest")) & (F.col(volume) < usual * share)
+    return (with_one_row(periods, facts).withColumn("is_partial", F.coalesce(is_partial, F.lit(False)))
+            .select(*periods.columns, "is_partial"))

@@ -16,18 +16,21 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import cleaning as C
 from holdfast.functions.headers import project_by_name as approved_columns
+from holdfast.operators import drift as D
 from holdfast.operators import history as H
 from holdfast.operators import quality as Q
 from holdfast.operators import relationships as R
+from holdfast.operators import reshape as S
 from holdfast.operators import tagging as T
 from holdfast.operators.profile import column_profile as profile_columns
 from holdfast.plans import evidence as E
 from holdfast.plans import metrics as M
 from holdfast.plans import package as P
 from holdfast.plans.rules import Rule, run_rule
-from holdfast.scale import checkpoint_folder, settle
+from holdfast.scale import checkpoint_folder, settle, with_one_row
 from holdfast.sources import archive as A
-from holdfast.sources.staging import Staged, stage_frame, staging_audit as audit_staging
+from holdfast.sources.staging import Staged, already_loaded, stage_frame
+from holdfast.sources.staging import staging_audit as audit_staging
 from holdfast.sources.store import latest_runs
 from holdfast.spec import Project, Relationship, Source
 
@@ -596,6 +599,119 @@ def declared_rule(spark: SparkSession, folder: str) -> DataFrame:
     return run_rule(OPEN_DEMAND, {"quantity_lines": _lines(spark, folder)})
 
 
+# ------------------------------------------------------------------ calendar, families, drift, reshaping
+
+def calendar(spark: SparkSession, folder: str) -> DataFrame:
+    """Every day from the first order to the last, with fiscal years that start in April."""
+    day = F.col("o_orderdate").cast("date")
+    span = table(spark, folder, "orders").agg(F.min(day).cast("string"), F.max(day).cast("string")).first()
+    return M.calendar(spark, span[0], span[1], holidays=("2000-01-01",), fiscal_year_start=4)
+
+
+def heatmap(spark: SparkSession, folder: str) -> DataFrame:
+    lines = _lines(spark, folder)
+    return M.heatmap(lines.withColumn("ship_year", F.year("ship_date")), "ship_year", "l_linestatus", "quantity").select(
+        "ship_year", "l_linestatus", wide("value").alias("value"))
+
+
+def rolling_rate(spark: SparkSession, folder: str) -> DataFrame:
+    """Four-week rolling discount rate."""
+    lines = _lines(spark, folder).withColumn("week", F.trunc("ship_date", "week"))
+    weekly = M.rolling(M.sums_by(lines, ["week"], _daily_sums()), "week", ["discounted", "price"], 4)
+    return weekly.select("week", rounded(M.rate(F.col("rolling_discounted"), F.col("rolling_price"), M.PPM)).alias("rate"))
+
+
+def growth_rate(spark: SparkSession, folder: str) -> DataFrame:
+    monthly = M.sums_by(_lines(spark, folder).withColumn("month", F.date_format("ship_date", "yyyy-MM")), ["month"],
+                        {"price": "price"})
+    return M.growth(monthly, "month", "price").select(
+        "month", wide("change").alias("change"), rounded("growth_pct").alias("growth_pct"))
+
+
+def order_aging(spark: SparkSession, folder: str) -> DataFrame:
+    orders = _order_text(spark, folder)
+    dated = with_one_row(orders, orders.agg(F.max("o_orderdate").alias("as_of")))
+    return M.aging(dated, "o_orderdate", F.col("as_of"), (30, 60, 90), {"total": "o_totalprice"}).select(
+        "age_days", "row_count", wide("total").alias("total"))
+
+
+def actual_against_target(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantity sold per brand against a goal of a thousand units per listed part."""
+    goals = table(spark, folder, "part").groupBy("p_brand").agg((F.count("*") * 1000).cast("decimal(38,4)").alias("goal"))
+    return M.against_target(_quantity_by_brand(spark, folder), goals, ["p_brand"], "quantity", "goal").select(
+        "p_brand", "quantity", "goal", wide("gap").alias("gap"), rounded("attainment_pct").alias("attainment_pct"))
+
+
+def partial_period(spark: SparkSession, folder: str) -> DataFrame:
+    monthly = table(spark, folder, "orders").groupBy(
+        F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM").alias("month")).agg(F.count("*").alias("orders"))
+    return M.partial_latest(monthly, "month", "orders", 0.5)
+
+
+def insight_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """Part types by how much, how strongly and for how many lines their price varies."""
+    types = _variance(spark, folder, by_item=["p_type"])
+    shares = with_one_row(types, types.agg(F.sum(F.abs("variance")).alias("all_variance")))
+    candidates = shares.select(
+        F.col("p_type").alias("id"),
+        (F.abs("variance").cast("double") / F.col("all_variance").cast("double")).alias("impact"),
+        F.abs(F.col("variance").cast("double") / F.col("standard_spend").cast("double")).alias("magnitude"),
+        F.lit(1.0).alias("persistence"), F.lit(1.0).alias("population"), F.lit(1.0).alias("confidence"))
+    return M.rank_insights(candidates).select("id", rounded("score").alias("score"))
+
+
+def fill_down(spark: SparkSession, folder: str) -> DataFrame:
+    """A customer written only on urgent orders, repeated down to the next one."""
+    sparse = staged_orders(spark, folder).rows.withColumn(
+        "o_custkey", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey")))
+    return S.fill_down(sparse, ["o_custkey"], segment_rows=1000).select("_source_row_number", "o_custkey")
+
+
+def weekly_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A sheet with three rows per event type and a column per week, turned into one row per type and week."""
+    days = _event_days(spark, folder)
+    thursday = F.date_add(F.col("event_date"), 3 - F.weekday("event_date"))
+    week = F.format_string("%d-W%02d", F.year(thursday), F.weekofyear("event_date"))
+    counted = days.groupBy("event_type", week.alias("week")).agg(
+        F.count("*").alias("quantity"), F.count_if(F.col("value") > 20).alias("defects"))
+    reported = F.round(F.col("defects") / F.col("quantity") * M.PPM) + F.when(F.col("event_type") == "error", 5000).otherwise(0)
+    cells = counted.select("event_type", "week", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("category"), value.cast("decimal(18,4)").alias("cell"))
+        for name, value in (("Quantity", F.col("quantity")), ("Defects", F.col("defects")), ("PPM", reported))])))
+    sheet = cells.groupBy("event_type", "category").pivot("week").agg(F.max("cell"))
+    rows = S.weeks_to_rows(sheet, ["event_type"], "category",
+                           {"quantity": "Quantity", "defects": "Defects", "reported": "PPM"}, 1.0, M.PPM)
+    return rows.select("event_type", "week", *[wide(c).alias(c) for c in ("quantity", "defects", "reported")],
+                       "well_formed", rounded("calculated").alias("calculated"), "agrees")
+
+
+def dimension_versions(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ["o_orderkey", "o_totalprice"]
+    opened = S.version_rows(None, first_load(spark, folder), columns, "2000-06-01")
+    versions = S.version_rows(opened, second_batch(spark, folder), columns, "2001-09-01")
+    return versions.select(*columns, "valid_from", "valid_to", "is_current")
+
+
+def dataset_drift(spark: SparkSession, folder: str) -> DataFrame:
+    limits = {"row_count_pct": 5.0, "null_rate": 0.01, "category_count": 0}
+    return D.dataset_drift(second_batch(spark, folder), first_load(spark, folder), ORDERS, limits, "2001-08").select(
+        "measure", "status")
+
+
+def duplicate_content(spark: SparkSession, folder: str) -> DataFrame:
+    """The same orders under another file name and in another order are recognised by content."""
+    staged = staged_orders(spark, folder).rows
+    renamed = staged.withColumn("_source_file", F.lit("copy_of_orders.csv")).repartition(4, "o_custkey")
+    found = already_loaded(audit_staging(renamed, ORDERS.names), audit_staging(staged, ORDERS.names))
+    return found.select("_source_file", "rows_staged", "content_hash")
+
+
+def reconciled_copy(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{checkpoint_folder(spark)}/copy-{uuid.uuid4().hex}"
+    orders = _order_text(spark, folder).select("o_orderkey", "o_totalprice", "o_orderdate")
+    return A.reconciled_copy(orders, path, ["o_totalprice"])
+
+
 QUERIES: dict[str, Query] = {query.__name__: query for query in (
     stage_raw_orders, project_by_name, typed_clean_orders, row_hashes_orders, staging_audit, clean_numeric_text,
     serial_dates, column_profile, quarantine_typed_values, quarantine_summary, quarantine_customers, exact_duplicates,
@@ -607,5 +723,7 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in (
     weighted_rate, trend_by_date, latest_two_dates, period_change_rate, period_change_value, latest_snapshot_total,
     latest_snapshot_by_group, pareto_by_part, top_contributor, top_contributor_share, price_variance_total,
     price_variance_by_supplier, price_variance_by_type, top_contributor_abs_share, shortage_by_part,
-    lineage_drill_through, chart_points, filter_points, filter_options, kpi_package, declared_rule,
+    lineage_drill_through, chart_points, filter_points, filter_options, kpi_package, declared_rule, calendar, heatmap, rolling_rate, growth_rate,
+    order_aging, actual_against_target, partial_period, insight_ranking, fill_down, weekly_rows, dimension_versions,
+    dataset_drift, duplicate_content, reconciled_copy,
 )}

@@ -74,6 +74,11 @@ def lookup(rows: DataFrame, groups: DataFrame, on: Sequence[str], facts: Sequenc
         *[F.when(F.col("_hot"), F.col(f"_hot_{f}")).otherwise(F.col(f"_cold_{f}")).alias(f) for f in facts])
 
 
+def is_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a narrow frame may be broadcast: counts it, in parallel."""
+    return frame.count() <= rows
+
+
 def running_total(frame: DataFrame, value: str, order: Sequence[Column], name: str, *,
                   single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """Sum of ``value`` over all rows up to and including this one, in a total order.
@@ -83,7 +88,7 @@ def running_total(frame: DataFrame, value: str, order: Sequence[Column], name: s
     total of the ranges before it.
     """
     up_to_here = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if frame.limit(single_task_rows + 1).count() <= single_task_rows:
+    if frame.count() <= single_task_rows:
         return frame.withColumn(name, F.sum(value).over(up_to_here))
     ranges = settle(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     totals = ranges.groupBy("_range").agg(F.sum(value).alias("_range_total"))

@@ -385,4 +385,74 @@ ORACLES: dict[str, str] = {
         SELECT l_partkey AS part_key,
                CAST(greatest(sum(CASE WHEN l_linestatus = 'O' THEN quantity ELSE -quantity END), 0) AS DECIMAL(18,4)) AS open_qty
         FROM lines GROUP BY l_partkey""",
+    "calendar": f"""WITH days AS (
+            SELECT CAST(unnest(generate_series(min({O_DATE}), max({O_DATE}), INTERVAL 1 DAY)) AS DATE) AS day FROM orders)
+        SELECT day, strftime(day, '%G-W%V') AS week, strftime(day, '%Y-%m') AS month,
+               CAST(year(day) AS VARCHAR) || '-Q' || quarter(day) AS quarter, CAST(year(day) AS INTEGER) AS year,
+               day = DATE '2000-01-01' AS is_holiday, isodow(day) < 6 AND day <> DATE '2000-01-01' AS is_working_day,
+               CAST(year(day - INTERVAL 3 MONTH) AS INTEGER) AS fiscal_year,
+               CAST(month(day - INTERVAL 3 MONTH) AS INTEGER) AS fiscal_period FROM days""",
+    "heatmap": f"""WITH {LINES} SELECT CAST(year(ship_date) AS INTEGER) AS ship_year, l_linestatus,
+            CAST(sum(quantity) AS DECIMAL(38,4)) AS value FROM lines GROUP BY 1, 2""",
+    "rolling_rate": f"""WITH {LINES}, weekly AS (
+            SELECT CAST(date_trunc('week', ship_date) AS DATE) AS week, sum(discounted) AS d, sum(price) AS p FROM lines GROUP BY 1)
+        SELECT week, round(CAST(sum(d) OVER w AS DOUBLE) / CAST(sum(p) OVER w AS DOUBLE) * 1000000, 6) AS rate
+        FROM weekly WINDOW w AS (ORDER BY week ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""",
+    "growth_rate": f"""WITH {LINES}, monthly AS (SELECT strftime(ship_date, '%Y-%m') AS month, sum(price) AS p FROM lines GROUP BY 1),
+        steps AS (SELECT month, p, lag(p) OVER (ORDER BY month) AS q FROM monthly)
+        SELECT month, CAST(p - q AS DECIMAL(38,4)) AS change,
+               round(CAST(p - q AS DOUBLE) / CAST(q AS DOUBLE) * 100, 6) AS growth_pct FROM steps""",
+    "order_aging": f"""WITH {ORDER_TEXT}, aged AS (SELECT price, (SELECT max(day) FROM orders_text) - day AS age FROM orders_text)
+        SELECT CASE WHEN age <= 30 THEN '0-30' WHEN age <= 60 THEN '31-60' WHEN age <= 90 THEN '61-90' ELSE '91+' END AS age_days,
+               CAST(count(*) AS BIGINT) AS row_count, CAST(sum(price) AS DECIMAL(38,4)) AS total FROM aged GROUP BY 1""",
+    "actual_against_target": f"""WITH {BRANDS}, goals AS (
+            SELECT p_brand, CAST(count(*) * 1000 AS DECIMAL(38,4)) AS goal FROM part GROUP BY p_brand)
+        SELECT p_brand, quantity, goal, CAST(quantity - goal AS DECIMAL(38,4)) AS gap,
+               round(CAST(quantity AS DOUBLE) / CAST(goal AS DOUBLE) * 100, 6) AS attainment_pct
+        FROM brands LEFT JOIN goals USING (p_brand)""",
+    "partial_period": f"""WITH monthly AS (SELECT strftime({O_DATE}, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1),
+        newest AS (SELECT max(month) AS m FROM monthly)
+        SELECT month, CAST(n AS BIGINT) AS orders,
+               month = (SELECT m FROM newest)
+               AND n < 0.5 * (SELECT avg(n) FROM monthly WHERE month <> (SELECT m FROM newest)) AS is_partial FROM monthly""",
+    "insight_ranking": f"""WITH {PRICED}, types AS (
+            SELECT p_type, CAST(sum(price) - sum(at_standard) AS DOUBLE) AS v, CAST(sum(at_standard) AS DOUBLE) AS s
+            FROM priced GROUP BY p_type), scored AS (
+            SELECT p_type AS id, abs(v) / (SELECT sum(abs(v)) FROM types) * abs(v / s) AS score FROM types)
+        SELECT id, round(score, 6) AS score FROM scored ORDER BY score DESC, id LIMIT 5""",
+    "fill_down": """SELECT CAST(o_orderkey + 1 AS BIGINT) AS _source_row_number, CAST(last_value(
+            CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END IGNORE NULLS) OVER (ORDER BY o_orderkey) AS VARCHAR) AS o_custkey
+        FROM orders""",
+    "weekly_rows": f"""WITH {EVENTS}, counted AS (
+            SELECT event_type, strftime(event_date, '%G-W%V') AS week, count(*) AS q, count(*) FILTER (value > 20) AS d
+            FROM days GROUP BY 1, 2), rates AS (
+            SELECT *, CAST(d AS DOUBLE) / q * 1000000 AS calc,
+                   round(CAST(d AS DOUBLE) / q * 1000000) + CASE WHEN event_type = 'error' THEN 5000 ELSE 0 END AS said FROM counted)
+        SELECT event_type, week, CAST(q AS DECIMAL(38,4)) AS quantity, CAST(d AS DECIMAL(38,4)) AS defects,
+               CAST(said AS DECIMAL(38,4)) AS reported, TRUE AS well_formed, round(calc, 6) AS calculated,
+               abs(calc - said) <= 1 AS agrees FROM rates""",
+    "dimension_versions": f"""WITH {HISTORY}
+        SELECT h.o_orderkey, h.price AS o_totalprice, DATE '2000-06-01' AS valid_from,
+               CASE WHEN h.content <> c.content THEN DATE '2001-09-01' END AS valid_to,
+               COALESCE(h.content = c.content, TRUE) AS is_current
+        FROM h LEFT JOIN c ON h.o_orderkey = c.o_orderkey
+        UNION ALL
+        SELECT c.o_orderkey, c.price, DATE '2001-09-01', NULL, TRUE
+        FROM c LEFT JOIN h ON h.o_orderkey = c.o_orderkey WHERE h.o_orderkey IS NULL OR h.content <> c.content""",
+    "dataset_drift": f"""WITH {HISTORY}, facts AS (
+            SELECT (SELECT count(*) FROM h) AS n0, (SELECT count(*) FROM c) AS n1, (SELECT max(day) FROM h) AS d0,
+                   (SELECT max(day) FROM c) AS d1, (SELECT count(DISTINCT o_orderpriority) FROM h) AS k0,
+                   (SELECT count(DISTINCT o_orderpriority) FROM c) AS k1)
+        SELECT 'row_count' AS measure, CASE WHEN abs(n1 - n0) / n0 * 100 > 5 THEN 'WARNING' ELSE 'PASS' END AS status FROM facts
+        UNION ALL SELECT 'first_date', 'PASS'
+        UNION ALL SELECT 'last_date', CASE WHEN NOT CAST(d1 AS VARCHAR) LIKE '2001-08%' OR d1 < d0 THEN 'WARNING' ELSE 'PASS' END FROM facts
+        UNION ALL SELECT 'category_count.o_orderpriority', CASE WHEN k0 <> k1 THEN 'WARNING' ELSE 'PASS' END FROM facts
+        UNION ALL SELECT 'null_rate.' || unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate',
+                                                 'o_orderpriority']), 'PASS'""",
+    "duplicate_content": f"""WITH {ORDER_TEXT}, digests AS (
+            SELECT CAST('0x' || substr({CONTENT}, 1, 15) AS BIGINT) AS bits FROM orders_text)
+        SELECT 'copy_of_orders.csv' AS _source_file, CAST(count(*) AS BIGINT) AS rows_staged,
+               md5(CAST(count(*) AS VARCHAR) || ':' || CAST(sum(CAST(bits AS DECIMAL(38,0))) AS VARCHAR)) AS content_hash
+        FROM digests""",
+    "reconciled_copy": f"SELECT o_orderkey, {O_PRICE} AS o_totalprice, {O_DATE} AS o_orderdate FROM orders",
 }
