@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from holdfast.spec import LINEAGE_COLUMNS, ROW_ORDER, Project, Source
@@ -73,10 +73,13 @@ def stage_frame(frame: DataFrame, source: Source, *, run_id: str, report_id: str
 
 
 def stage_files(spark: SparkSession, source: Source, paths: Sequence[str], *, run_id: str, report_id: str,
-                file_format: str = "csv", hash_files: bool = True, **stamp: str) -> Staged:
-    """Stage every file of one source. All files must have the same header."""
+                file_format: str = "csv", hash_files: bool = True, multiline: bool = False, **stamp: str) -> Staged:
+    """Stage every file of one source. All files must have the same header.
+
+    ``multiline`` allows line breaks inside quoted CSV values; such files cannot be split.
+    """
     if file_format == "csv":
-        scan = _csv_rows(spark, paths)
+        scan = _csv_rows(spark, paths, multiline)
     elif file_format == "parquet":
         # Parquet knows each row's position; it has no header line.
         scan = spark.read.parquet(*paths).select(
@@ -95,18 +98,22 @@ def stage_files(spark: SparkSession, source: Source, paths: Sequence[str], *, ru
         row_order=rank * ROWS_PER_FILE + F.col("_file_row"), **stamp)
 
 
-def _csv_rows(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def _csv_rows(spark: SparkSession, paths: Sequence[str], multiline: bool = False) -> DataFrame:
     """CSV rows as text with their line number: the header is line 1, data starts at 2.
 
     A task reads each file block from front to back, so a row's place in its block is the
     distance from the block's first generated id, and the blocks before it in the same
     file give the rest. Nothing is sorted and rows are not shuffled.
     """
-    header = spark.read.option("header", True).csv(list(paths)).schema
+    def reader() -> DataFrameReader:
+        # A quote inside a quoted value is written twice.
+        return spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
+
+    header = reader().csv(list(paths)).schema
     # enforceSchema=False compares every file's header with the first one's; without
     # pruning the comparison covers all columns and not just the declared ones.
-    scan = (spark.read.option("header", True).option("enforceSchema", False).option("columnPruning", False)
-            .schema(header).csv(list(paths))
+    scan = (reader().option("enforceSchema", False).option("columnPruning", False).schema(header)
+            .csv(list(paths))
             .select("*", F.col("_metadata.file_path").alias("_file_path"),
                     F.col("_metadata.file_block_start").alias("_file_block"),
                     F.monotonically_increasing_id().alias("_file_scan_id")))
