@@ -43,7 +43,8 @@ def read_as(text: Column, kind: str) -> Column:
         return F.when(usual, text.try_cast("date")).when(text.rlike(DATE_TEXT), iso.try_cast("date"))
     if kind in ("INTEGER", "BIGINT"):
         whole = F.round(text.try_cast("decimal(38,10)"), 0)
-        return whole.try_cast(SPARK_TYPES[kind])
+        # Plain digits need no decimal.
+        return F.coalesce(text.try_cast(SPARK_TYPES[kind]), whole.try_cast(SPARK_TYPES[kind]))
     if kind == "BOOLEAN":
         lowered = F.lower(text)
         return F.when(lowered.isin(*TRUE_TEXT), F.lit(True)).when(lowered.isin(*FALSE_TEXT), F.lit(False))
