@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.operators.quality import BLOCK, PASS, WARNING
+from holdfast.scale import with_one_row
 from holdfast.spec import SPARK_TYPES, Source
 
 
@@ -52,8 +53,8 @@ def dataset_drift(current: DataFrame, previous: DataFrame, source: Source, limit
     ``limits`` holds ``row_count_pct``, ``null_rate`` and ``category_count``.
     """
     now, then = dataset_facts(current, source), dataset_facts(previous, source)
-    both = now.select(*[F.col(c).alias(f"now_{c}") for c in now.columns]).crossJoin(
-        F.broadcast(then.select(*[F.col(c).alias(f"then_{c}") for c in then.columns])))
+    both = with_one_row(now.select(*[F.col(c).alias(f"now_{c}") for c in now.columns]),
+                        then.select(*[F.col(c).alias(f"then_{c}") for c in then.columns]))
 
     def line(measure: str, fact: str, movement: Column, limit: float) -> Column:
         status = F.when(movement > limit, F.lit(WARNING)).otherwise(F.lit(PASS))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from holdfast.operators.tagging import ACCEPTED, EXACT_DUPLICATE, FILTERED, REJECTED
+from holdfast.scale import with_one_row
 from holdfast.spec import Source
 
 PASS, WARNING, BLOCK = "PASS", "WARNING", "BLOCK"
@@ -92,7 +93,7 @@ def key_facts(rows: DataFrame, repeated: DataFrame) -> DataFrame:
     blank = rows.agg(F.coalesce(F.sum(F.col("_blank_key").cast("long")), F.lit(0)).alias("blank_keys"))
     counted = repeated.agg(F.count("*").alias("repeated_keys"),
                            F.coalesce(F.sum((F.col("variants") > 1).cast("long")), F.lit(0)).alias("conflicting_keys"))
-    return blank.crossJoin(F.broadcast(counted))
+    return with_one_row(blank, counted)
 
 
 # ---------------------------------------------------------------- checks of one source
@@ -179,7 +180,7 @@ def non_negative_checks(tagged: DataFrame, source: Source) -> DataFrame:
 def source_report(rows: DataFrame, repeated: DataFrame, tagged: DataFrame, source: Source,
                   present: Sequence[str]) -> DataFrame:
     """All checks of one source as rows; checks after a blocked key check are left out."""
-    facts = key_facts(rows, repeated).crossJoin(F.broadcast(source_facts(tagged, source).drop("blank_keys")))
+    facts = with_one_row(key_facts(rows, repeated), source_facts(tagged, source).drop("blank_keys"))
     complete = not set(source.required_columns) - set(present)
     passed = (F.col("blank_keys") == 0) & (F.col("conflicting_keys") == 0) & F.lit(complete)
     return as_rows(facts, [required_columns_check(source, present), *key_checks(source),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.operators.quality import BLOCK, PASS, WARNING, as_rows, check
+from holdfast.scale import with_one_row
 from holdfast.spec import Relationship
 
 
@@ -47,7 +48,7 @@ def relationship_report(left: DataFrame, right: DataFrame, link: Relationship) -
     def single(side: str, frame: DataFrame, keys: Sequence[str]) -> None:
         nonlocal facts
         counted = repeated_key_values(frame, keys).agg(F.count("*").alias(f"{side}_repeated"))
-        facts = facts.crossJoin(F.broadcast(counted))
+        facts = with_one_row(facts, counted)
         repeated = F.col(f"{side}_repeated")
         checks.append(check(
             f"{rid}.{side}_cardinality", "relationship", "block",

@@ -39,8 +39,14 @@ def settle(frame: DataFrame) -> DataFrame:
 
 
 def with_one_row(frame: DataFrame, row: DataFrame) -> DataFrame:
-    """Attach the single row of a global aggregate to every row."""
-    return frame.crossJoin(F.broadcast(row))
+    """Attach the columns of a one-row aggregate to every row, as one scalar subquery.
+
+    A filter on an attached value can reach the scan, which a join with one row prevents.
+    """
+    if len(row.columns) == 1:
+        return frame.withColumn(row.columns[0], row.scalar())
+    packed = row.select(F.struct(*row.columns)).scalar()
+    return frame.withColumn("_one_row", packed).select("*", "_one_row.*").drop("_one_row")
 
 
 def lookup(rows: DataFrame, groups: DataFrame, on: Sequence[str], facts: Sequence[str], *,

@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -54,15 +56,22 @@ class Store:
 
     # ------------------------------------------------------------ manifest
 
-    def current(self) -> Manifest:
-        """Newest complete manifest; an unreadable one is the trace of a crash and is passed over."""
+    def _manifest(self, name: str) -> dict | None:
+        """A stored manifest; an unreadable one is the trace of a crash and counts as absent."""
+        try:
+            return json.loads(read_text(self.spark, f"{self.root}/_manifest/{name}"))
+        except json.JSONDecodeError:
+            return None
+
+    def _manifests(self) -> Iterator[tuple[int, dict]]:
+        """Readable manifests, newest first."""
         for name in reversed(list_names(self.spark, f"{self.root}/_manifest")):
-            try:
-                stored = json.loads(read_text(self.spark, f"{self.root}/_manifest/{name}"))
-            except json.JSONDecodeError:
-                continue
-            tables = {n: Table(**t) for n, t in stored["tables"].items()}
-            return Manifest(int(name.split(".")[0]), stored["run_id"], tables)
+            if (stored := self._manifest(name)) is not None:
+                yield int(name.split(".")[0]), stored
+
+    def current(self) -> Manifest:
+        for number, stored in self._manifests():
+            return Manifest(number, stored["run_id"], {n: Table(**t) for n, t in stored["tables"].items()})
         return Manifest()
 
     def next_number(self) -> int:
@@ -83,9 +92,8 @@ class Store:
 
     def expire(self, keep: int) -> None:
         """Remove table folders that none of the newest ``keep`` manifests names."""
-        names = list_names(self.spark, f"{self.root}/_manifest")[-max(1, keep):]
-        wanted = {t["path"] for n in names
-                  for t in json.loads(read_text(self.spark, f"{self.root}/_manifest/{n}"))["tables"].values()}
+        newest = islice(self._manifests(), max(1, keep))
+        wanted = {table["path"] for _, stored in newest for table in stored["tables"].values()}
         for table in list_names(self.spark, f"{self.root}/tables"):
             for version in list_names(self.spark, f"{self.root}/tables/{table}"):
                 path = f"{self.root}/tables/{table}/{version}"
