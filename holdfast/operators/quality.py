@@ -89,8 +89,9 @@ def source_facts(tagged: DataFrame, source: Source) -> DataFrame:
 
 
 def key_facts(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Blank and conflicting keys of the raw rows, side by side in one row."""
-    blank = rows.agg(F.coalesce(F.sum(F.col("_blank_key").cast("long")), F.lit(0)).alias("blank_keys"))
+    """Raw rows, blank, repeated and conflicting keys, side by side in one row."""
+    blank = rows.agg(F.count("*").alias("raw_rows"),
+                     F.coalesce(F.sum(F.col("_blank_key").cast("long")), F.lit(0)).alias("blank_keys"))
     counted = repeated.agg(F.count("*").alias("repeated_keys"),
                            F.coalesce(F.sum((F.col("variants") > 1).cast("long")), F.lit(0)).alias("conflicting_keys"))
     return with_one_row(blank, counted)

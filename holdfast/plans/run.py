@@ -172,22 +172,22 @@ def prepare_source(staged: Staged, store: Store, run_id: str) -> _Prepared:
     store.append("audit", audit.drop("_source_id"), run_id, source.source_id)
 
     repeated = settle(repeated_keys(rows))
-    result = SourceOutcome(rows_extracted=rows.count())
-    checks = Q.as_rows(Q.key_facts(rows, repeated),
-                       [Q.required_columns_check(source, staged.present), *Q.key_checks(source)]).collect()
+    keys = _settled_row(Q.key_facts(rows, repeated))
+    counted_keys = keys.first()
+    result = SourceOutcome(rows_extracted=counted_keys["raw_rows"])
+    checks = Q.as_rows(keys, [Q.required_columns_check(source, staged.present), *Q.key_checks(source)]).collect()
     if any(c["status"] == Q.BLOCK for c in checks):
         result.quality_status = Q.BLOCK
         return _Prepared(result, checks, spark.createDataFrame([], source.typed_schema()))
 
     tagged_path = store.scratch(run_id, source.source_id, "tagged")
-    tagged = tag(rows, repeated, repeated.count(), on=(KEY_HASH,))
+    tagged = tag(rows, repeated, counted_keys["repeated_keys"], on=(KEY_HASH,))
     tagged.write.mode("overwrite").partitionBy("_status").parquet(tagged_path)
     tagged = spark.read.schema(tagged.schema).parquet(tagged_path)
 
-    facts = Q.source_facts(tagged, source)
+    facts = _settled_row(Q.source_facts(tagged, source))
     counted = facts.first()
-    known = spark.createDataFrame([counted], facts.schema)
-    checks += Q.as_rows(known, Q.row_checks(source)).collect()
+    checks += Q.as_rows(facts, Q.row_checks(source)).collect()
     result.rows_rejected, result.rows_filtered = counted["rejected_rows"], counted["filtered_rows"]
     if result.rows_rejected or result.rows_filtered:
         store.append("quarantine", quarantine_rows(tagged, source), run_id, source.source_id)
@@ -199,6 +199,11 @@ def prepare_source(staged: Staged, store: Store, run_id: str) -> _Prepared:
     return _Prepared(result, checks, clean_rows(tagged, source))
 
 
+def _settled_row(facts: DataFrame) -> DataFrame:
+    """A one-row aggregate, computed once and kept as a literal row."""
+    return facts.sparkSession.createDataFrame(facts.toArrow())
+
+
 def _merge_source(store: Store, base, number: int, run_id: str, source: Source, ready: _Prepared,
                   period: str | None, added: Sequence[str]) -> Table:
     first_load = source.source_id not in base.tables

@@ -73,6 +73,12 @@ def test_rules_atomicity_evolution_and_ledgers(spark, tmp_path, write_csv):
     assert run_project(spark, wider, {"orders": noted}, "R5", wide_store, add_columns={"orders": ["note"]}).succeeded
     notes = {r.order_id: r.note for r in wide_store.history(wider.sources[0]).collect()}
     assert notes == {"O1": "checked", "O2": None, "O3": None, "O5": "damaged"}
+
+    # The same run again replaces what it recorded and changes no row.
+    again = run_project(spark, wider, {"orders": noted}, "R5", wide_store)
+    assert (again.sources["orders"].inserted, again.sources["orders"].updated) == (0, 0)
+    recorded = wide_store.ledger("runs", RUN_SCHEMA).where("run_id = 'R5'").collect()
+    assert [(r.rows_extracted, r.rows_unchanged) for r in recorded] == [(2, 2)]
     wide_store.expire(keep=1)
     assert wide_store.history(wider.sources[0]).count() == 4
 
