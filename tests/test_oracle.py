@@ -21,7 +21,7 @@ def duck():
     connection.close()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query_matches_sql(spark, duck, name):
     assert compare(entry.queries()[name](spark, FOLDER), duck, entry.oracle_sql()[name]) is None
 
