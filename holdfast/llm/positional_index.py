@@ -31,7 +31,7 @@ def words(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """``terms``: ``term, word, n``; ``postings``: ``term, row, position``; ``rows``: ``row, doc_id, n_words``."""
+    """``terms``: ``term, word, n``; ``postings``: ``term, row, position``; ``rows``: ``row, doc_id, text_hash, n_words``."""
 
     terms: DataFrame
     postings: DataFrame
@@ -44,24 +44,25 @@ def build_index(docs: DataFrame, vocabulary: DataFrame | None = None) -> Index:
     A vocabulary leaves out only postings that no query on it can ask for. Repeated rows are rows of their own, a
     NULL text is a row without words.
     """
-    tokens = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("words"))
+    tokens = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
+                         F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("words"))
     if vocabulary is None:
         vocabulary = tokens.select(F.explode("words").alias("word"))
     named = stored(vocabulary.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "terms")
     # One entry more than there are words: the last is matched by no word and carries the length.
-    tokens = tokens.select("doc_id", "row", F.size("words").alias("n_words"),
-                           F.posexplode(F.concat("words", F.array(F.lit("")))).alias("position", "word"))
+    tokens = tokens.select("doc_id", "text_hash", "row", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("position", "word"))
     ends = named.limit(0).unionByName(named.sparkSession.range(1).select(
         F.lit("").alias("word"), F.lit(LENGTH_TERM).cast("long").alias("term")))
     known = named.unionByName(ends)
     if named.count() <= BROADCAST_TERMS:
         known = F.broadcast(known)
+    own = [F.when(F.col("term") == LENGTH_TERM, F.col(c)).alias(c) for c in ("doc_id", "text_hash")]
     entries = stored(
-        tokens.join(known, "word").select(
-            "term", "row", "position", F.when(F.col("term") == LENGTH_TERM, F.col("doc_id")).alias("doc_id"))
+        tokens.join(known, "word").select("term", "row", "position", *own)
         .sortWithinPartitions("term", "row", "position"), "postings")
     postings = entries.where(F.col("term") >= 0).select("term", "row", "position")
-    rows = entries.where(F.col("term") == LENGTH_TERM).select("row", "doc_id", F.col("position").alias("n_words"))
+    rows = entries.where(F.col("term") == LENGTH_TERM).select(
+        "row", "doc_id", "text_hash", F.col("position").alias("n_words"))
     counts = postings.groupBy("term").agg(F.count("*").alias("n"))
     return Index(stored(named.join(counts, "term"), "counts"), postings, rows)
 
@@ -129,13 +130,7 @@ def near_phrases(index: Index, phrases: DataFrame, slop: int) -> DataFrame:
         anchors.where("wanted = 1").select("phrase", "row", "position"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
-    """One row per document row: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
-
-    A word inside any occurrence of an item's window is hit. NULL and empty texts have no words and are clean; items
-    without words match nothing; items with a NULL ``item_id`` hit words but are not listed. Items that repeat an id
-    count once. Other columns are not read.
-    """
+def _marked(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     windows = stored(phrase_windows(items, size).select("item_id", F.col("terms").alias("words")), "windows")
     distinct = stored(windows.select("words").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")
     owners = stored(distinct.join(windows, "words").select("phrase", "item_id").distinct(), "owners")
@@ -154,6 +149,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -
     items_of = F.array_sort(F.coalesce("items", F.array().cast("array<string>")))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return (index.rows.join(hits, "row", "left").join(found, "row", "left")
-            .select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
+            .select("doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
                     F.size(items_of).cast("long").alias("n_items"),
                     F.sha2(F.concat_ws(",", items_of), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
+    """One row per document row: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
+
+    A word inside any occurrence of an item's window is hit. NULL and empty texts have no words and are clean; items
+    without words match nothing; items with a NULL ``item_id`` hit words but are not listed. Items that repeat an id
+    count once. Other columns are not read.
+    """
+    return _marked(docs, items, size).drop("text_hash")
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs, with all their columns."""
+    marked = _marked(docs, items, size).where("contaminated").select("doc_id", "text_hash").distinct()
+    own_hash = F.xxhash64(F.coalesce(docs.text, F.lit("")))
+    return docs.join(marked, docs.doc_id.eqNullSafe(marked.doc_id) & (own_hash == marked.text_hash), "left_anti")

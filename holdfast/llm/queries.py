@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import chunk_dedup, positional_index, warc_bundles
+from holdfast.llm import ball_hashing, chunk_dedup, positional_index, warc_bundles
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,4 +26,9 @@ def op7_chunk_recipes(spark: SparkSession, folder: str) -> DataFrame:
     return chunk_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_warc_bundles, op2_positional_index, op7_chunk_recipes)}
+def op9_ball_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    return ball_hashing.near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", ball_hashing.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {q.__name__: q for q in (op1_warc_bundles, op2_positional_index, op7_chunk_recipes, op9_ball_hashing)}

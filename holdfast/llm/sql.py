@@ -3,10 +3,10 @@
 OP1 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS first_id FROM p),
-b AS (SELECT *, list_transform(range(8), i -> ('0x' || substr(hex, CAST(5 * i + 1 AS INTEGER), 5))::BIGINT) AS fives FROM d)
+b AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, CAST(5 * i + 1 AS INTEGER), 5))::BIGINT) AS fives FROM d)
 SELECT page_id, payload_bytes,
-       array_to_string(list_transform(fives, v -> array_to_string(list_transform([15, 10, 5, 0],
-           s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> s) & 31) + 1 AS INTEGER), 1)), '')), '') AS payload_digest,
+       array_to_string(list_transform(fives, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+           lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> s) & 31) + 1 AS INTEGER), 1)), '')), '') AS payload_digest,
        CASE WHEN page_id IS NOT DISTINCT FROM first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM b

@@ -149,7 +149,7 @@ class BundleWriter:
         if entries:
             self.packed.write(seek_table(self.sizes))
             system, path = filesystem(f"{self.folder}/{self.name}")
-            with system.open_output_stream(path) as out:
+            with system.open_output_stream(path, compression=None) as out:
                 out.write(self.packed.getbuffer())
         self.start_bundle()
         return pd.DataFrame(entries, columns=[c.split()[0] for c in INDEX_SCHEMA.split(", ")])
