@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import ball_hashing, chunk_dedup, positional_index, warc_bundles
+from holdfast.llm import (
+    ball_hashing, chunk_dedup, language_filters, line_templates, positional_index, trie_encoding, warc_bundles)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +23,16 @@ def op2_positional_index(spark: SparkSession, folder: str) -> DataFrame:
     return positional_index.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return line_templates.drop_recurring_lines(table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_trie_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = trie_encoding.encode(table(spark, folder, "documents"))
+    return trie_encoding.digests(trie_encoding.decode(encoded))
+
+
 def op7_chunk_recipes(spark: SparkSession, folder: str) -> DataFrame:
     return chunk_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -31,4 +42,10 @@ def op9_ball_hashing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", ball_hashing.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {q.__name__: q for q in (op1_warc_bundles, op2_positional_index, op7_chunk_recipes, op9_ball_hashing)}
+def op10_language_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return language_filters.identify(table(spark, folder, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (
+    op1_warc_bundles, op2_positional_index, op5_line_templates, op6_trie_encoding, op7_chunk_recipes, op9_ball_hashing,
+    op10_language_filters)}

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from collections.abc import Callable
+from types import ModuleType
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +41,11 @@ def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= TEXTS_PER_BATCH:
         spark.conf.set(name, str(TEXTS_PER_BATCH))
+
+
+def once(key: tuple, build: Callable[[], Any]) -> Any:
+    """A value kept by the Python process, as tasks bring their functions with them and those begin empty."""
+    kept = sys.modules.setdefault("_holdfast_worker", ModuleType("_holdfast_worker")).__dict__
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
