@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import (
-    ball_hashing, chunk_dedup, language_filters, line_templates, positional_index, trie_encoding, warc_bundles)
+    ball_hashing, chunk_dedup, language_filters, length_histogram, line_templates, positional_index, trie_encoding,
+    warc_bundles, weak_labels)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +24,14 @@ def op2_positional_index(spark: SparkSession, folder: str) -> DataFrame:
     return positional_index.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op3_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return length_histogram.context_limits(length_histogram.histogram(table(spark, folder, "documents")))
+
+
+def op4_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_labels.score_quality(table(spark, folder, "documents"))
+
+
 def op5_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     return line_templates.drop_recurring_lines(table(spark, folder, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -47,5 +56,5 @@ def op10_language_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_warc_bundles, op2_positional_index, op5_line_templates, op6_trie_encoding, op7_chunk_recipes, op9_ball_hashing,
-    op10_language_filters)}
+    op1_warc_bundles, op2_positional_index, op3_length_histogram, op4_weak_labels, op5_line_templates, op6_trie_encoding,
+    op7_chunk_recipes, op9_ball_hashing, op10_language_filters)}
