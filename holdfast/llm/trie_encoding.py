@@ -192,8 +192,8 @@ def decode(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return encoded.select("doc_id", "ids", decoded_text(F.col("ids"), tokenizer).alias("text"))
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of rows with ids and text."""
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of rows with ids and text, and the columns in ``more``."""
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
-                          F.sha2("text", 256).alias("decoded_sha256"))
+                          F.sha2("text", 256).alias("decoded_sha256"), *more)

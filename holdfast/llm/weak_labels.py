@@ -54,6 +54,7 @@ def labellers(text: Column) -> dict[str, Column]:
         "repetition": _vote(repeated >= 0.3),
         # The number of different words grows about as the square root of the length, or faster.
         "variety": _vote((words >= 20) & (F.size(F.array_distinct(listed)) < 2 * F.sqrt(words))),
+        "runs": _vote(share(r"(?<!\S)(\S++)(?:\s+\1(?!\S))+") >= 0.2),
         "letters": _vote(letters / length < 0.6, letters / length >= 0.75)}
 
 
