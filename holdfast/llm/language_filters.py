@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -149,13 +149,12 @@ def shares_of(text: str | None, filters: Filters, wrong: np.ndarray) -> np.ndarr
     return np.clip((found / total - wrong) / np.maximum(1 - wrong, 1e-9), 0, 1)
 
 
-def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred, score``: the language and its corrected share of the n-grams, 0 to 1.
+def judged(spark: SparkSession, filters: Filters) -> Column:
+    """A struct ``lang_pred, score`` of column ``text``: its language, and that language's corrected share of its n-grams.
 
     ``und`` and 0 for NULL, for texts without a letter and if nothing was learned. On ties the language with more
     documents wins, then the first by name. Only the text is looked at.
     """
-    spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast((filters.languages, filters.slots))
 
@@ -169,9 +168,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     kind = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    judged = F.pandas_udf(classify, kind)(F.col("text"))
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, judged.alias("_judged")).select(*kept, "_judged.lang_pred", "_judged.score")
+    return F.pandas_udf(classify, kind)(F.col("text"))
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
@@ -181,10 +178,12 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     """
     out = held_out(F.col("doc_id"))
     filters = learn(docs.where(~out), **options)
-    return predict(docs.select("doc_id", out.alias("held_out"), "text"), filters).drop("text")
+    found = docs.select("doc_id", out.alias("held_out"), judged(docs.sparkSession, filters).alias("judged"))
+    return found.select("doc_id", "held_out", "judged.*")
 
 
 def known_languages(docs: DataFrame, least_score: float) -> DataFrame:
     """The rows of ``docs`` in a language that was learned from it, with a score of ``least_score`` or more."""
-    judged = predict(docs, learn(docs.where(~held_out(F.col("doc_id")))))
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*docs.columns)
+    found = judged(docs.sparkSession, learn(docs.where(~held_out(F.col("doc_id")))))
+    kept = docs.select(F.struct(*docs.columns).alias("row"), found.alias("judged"))
+    return kept.where((F.col("judged.lang_pred") != UNKNOWN) & (F.col("judged.score") >= least_score)).select("row.*")

@@ -101,7 +101,8 @@ def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_neigh
 
 
 def drop_recurring_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with all its columns, its text without recurring lines, and ``n_lines``, ``n_dropped``.
+    """``docs`` with all its columns, its text without recurring lines, and ``n_lines``, ``n_dropped`` (which replace
+    columns of these names).
 
     A NULL text stays NULL and has no lines; an empty text has one, which has no token and stays, like every line of
     white space. No row is dropped, even if all its lines are. Equal texts count as one for recurrence, repeated rows
@@ -109,13 +110,12 @@ def drop_recurring_lines(docs: DataFrame, **options) -> DataFrame:
     """
     drops = stored(recurring_lines(docs, **options), "drops")
     own_hash = F.xxhash64(F.coalesce(docs.text, F.lit("")))
-    joined = docs.join(drops.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("line_nos").alias("_drop")),
-                       docs.doc_id.eqNullSafe(F.col("_id")) & (own_hash == F.col("_hash")), "left")
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
+    joined = docs.join(drops, docs.doc_id.eqNullSafe(drops.doc_id) & (own_hash == drops.text_hash), "left")
+    lines = F.split(docs.text, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops.line_nos)
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     same = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(
-        *[F.when(F.col("_drop").isNull(), docs.text).otherwise(text).alias("text") if c == "text" else docs[c] for c in same],
+        *[F.when(drops.line_nos.isNull(), docs.text).otherwise(text).alias("text") if c == "text" else docs[c] for c in same],
         F.coalesce(F.when(docs.text.isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+        F.coalesce(F.size(drops.line_nos), F.lit(0)).cast("long").alias("n_dropped"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import (
-    ball_hashing, chunk_dedup, language_filters, length_histogram, line_templates, positional_index, trie_encoding,
-    warc_bundles, weak_labels)
+    ball_hashing, chunk_dedup, language_filters, length_histogram, line_templates, positional_index, suffix_order,
+    trie_encoding, warc_bundles, weak_labels)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_chunk_recipes(spark: SparkSession, folder: str) -> DataFrame:
     return chunk_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op8_suffix_order(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_order.remove_repeats(table(spark, folder, "documents"))
+
+
 def op9_ball_hashing(spark: SparkSession, folder: str) -> DataFrame:
     return ball_hashing.near_duplicates(table(spark, folder, "documents")).select(
         "doc_id", ball_hashing.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -57,4 +61,4 @@ def op10_language_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     op1_warc_bundles, op2_positional_index, op3_length_histogram, op4_weak_labels, op5_line_templates, op6_trie_encoding,
-    op7_chunk_recipes, op9_ball_hashing, op10_language_filters)}
+    op7_chunk_recipes, op8_suffix_order, op9_ball_hashing, op10_language_filters)}

@@ -38,4 +38,20 @@ k AS (SELECT *, first_value(doc_id) OVER g AS keep_id, first_value(n) OVER g AS
 SELECT doc_id, keep_id, group_size, n = keep_n AND doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM k
 """
 
-ORACLES = {"op1_warc_bundles": OP1, "op2_positional_index": OP2, "op7_chunk_recipes": OP7}
+OP8 = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+s AS (SELECT r, unnest(range(0, CAST(length(h) // 2 - 99 AS BIGINT))) AS p, h FROM d WHERE length(h) >= 200),
+w AS (SELECT r, p, md5(substr(h, CAST(2 * p + 1 AS INTEGER), 200)) AS m FROM s),
+rep AS (SELECT r, p FROM (SELECT r, p, row_number() OVER (PARTITION BY m ORDER BY r, p) AS k FROM w) WHERE k > 1),
+cov AS (SELECT DISTINCT r, unnest(range(p, p + 100)) AS b FROM rep),
+spans AS (SELECT r, b, b - row_number() OVER (PARTITION BY r ORDER BY b) AS run FROM cov),
+n AS (SELECT r, count(*) AS n_removed, count(DISTINCT run) AS n_spans FROM spans GROUP BY r),
+bytes AS (SELECT d.r, unnest(range(0, CAST(length(h) // 2 AS BIGINT))) AS b, h FROM d JOIN n USING (r)),
+kept AS (SELECT bytes.r, string_agg(substr(h, CAST(2 * b + 1 AS INTEGER), 2), '' ORDER BY b) AS h
+    FROM bytes ANTI JOIN cov ON bytes.r = cov.r AND bytes.b = cov.b GROUP BY bytes.r)
+SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n.r IS NULL THEN d.h ELSE coalesce(kept.h, '') END)) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLES = {"op1_warc_bundles": OP1, "op2_positional_index": OP2, "op7_chunk_recipes": OP7, "op8_suffix_order": OP8}
