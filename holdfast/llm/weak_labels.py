@@ -176,13 +176,13 @@ def score_quality(docs: DataFrame, sample: int = SAMPLE, least_score: float = 0.
     def describe(batches):
         for batch in batches:
             found = [features(t) for t in batch.text]
-            yield pd.DataFrame({"buckets": [b for b, _ in found], "numbers": [v.astype(np.float32) for _, v in found],
+            yield pd.DataFrame({"buckets": [b.tobytes() for b, _ in found], "numbers": [v.tobytes() for _, v in found],
                                 "posterior": batch.posterior})
 
     rows = (chosen.select("text", "posterior")
-            .mapInPandas(describe, "buckets array<int>, numbers array<float>, posterior double")
-            .orderBy("posterior", "buckets").limit(2 * sample).toPandas())
-    weights, bias = train(list(zip(rows.buckets, rows.numbers, rows.posterior)))
+            .mapInPandas(describe, "buckets binary, numbers binary, posterior double")
+            .orderBy(F.xxhash64("buckets", "numbers"), "posterior").limit(2 * sample).collect())
+    weights, bias = train([(np.frombuffer(b, np.int32), np.frombuffer(n, float), p) for b, n, p in rows])
     shared = spark.sparkContext.broadcast((weights, bias))
 
     def judge(texts: pd.Series) -> pd.Series:
