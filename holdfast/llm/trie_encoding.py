@@ -167,7 +167,8 @@ def token_ids(text: Column, tokenizer: str = TOKENIZER) -> Column:
         encoder = once(("trie", tokenizer), lambda: TrieEncoder(_path(tokenizer)))
         return pd.Series(encoder.encode(texts), dtype=object)
 
-    return F.pandas_udf(encode, ArrayType(IntegerType()))(text)
+    # Spark would repeat a deterministic function inside each one that uses its result.
+    return F.pandas_udf(encode, ArrayType(IntegerType())).asNondeterministic()(text)
 
 
 def decoded_text(ids: Column, tokenizer: str = TOKENIZER) -> Column:
