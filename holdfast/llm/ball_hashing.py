@@ -72,31 +72,23 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per input row: ``doc_id, text_hash, fp, component_id``.
+    """One row per input row: ``doc_id, text_hash, fp, component_id, root``.
 
+    ``root`` is the least fingerprint of the component and names it also where no row has an id.
     ``component_id`` is the smallest ``doc_id`` reachable over links of at most two differing bits, itself included;
     NULL ids count only where a component has no other. Documents without words are copies of each other. An empty
     table gives no rows; other columns are not read.
     """
     rows = stored(fingerprints(docs), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
-    roots = components(links(nodes))
-    # Few fingerprints have links; only those, and those with copies, are looked up.
-    rooted = stored(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-                    .select("fp", "first_id", "n", "root"), "rooted")
-    linked = rooted.where("root is not null").select("fp", "first_id", "n", "root").unionByName(
-        rooted.join(roots.select(F.col("root").alias("fp")).distinct(), "fp", "left_semi")
-        .select("fp", "first_id", "n", F.col("fp").alias("root")))
-    linked = stored(linked, "linked")
-    firsts = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
-    classes = lookup(linked, firsts, ["root"], ["component_id"], size="members", row_id="fp")
-    copies = rooted.where("n > 1").join(linked.select("fp"), "fp", "left_anti")
-    groups = stored(classes.select("fp", "component_id", "n").unionByName(
-        copies.select("fp", F.col("first_id").alias("component_id"), "n")), "classes")
-    found = lookup(rows.withColumn("row", F.monotonically_increasing_id()),
-                   groups.withColumn("grouped", F.lit(True)), ["fp"], ["component_id", "grouped"], size="n", row_id="row")
-    return found.select("doc_id", "text_hash", "fp", F.when(F.col("grouped"), F.col("component_id"))
-                        .otherwise(F.col("doc_id")).alias("component_id"))
+    roots = components(links(nodes)).withColumnRenamed("node", "fp")
+    rooted = stored(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("rows")).where("rows > 1")
+    groups = stored(rooted.join(firsts, "root").select("fp", "root", "component_id", "n"), "classes")
+    found = lookup(rows.withColumn("row", F.monotonically_increasing_id()), groups, ["fp"], ["component_id", "root"],
+                   size="n", row_id="row")
+    return found.select("doc_id", "text_hash", "fp", F.when(F.col("root").isNotNull(), F.col("component_id"))
+                        .otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
 
 
 def as_hex(fp: Column) -> Column:
@@ -109,11 +101,9 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     Of rows that share that id the one with the smallest text hash stays, and of repeated rows one.
     """
     classes = near_duplicates(docs)
-    # A component without any id is named by its fingerprint.
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fp").cast("string")))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    first = (classes.groupBy(group.alias("component"), "doc_id", "text_hash").agg(F.count("*").alias("n"))
-             .groupBy("component").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), rank).alias("stay")))
+    first = (classes.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+             .groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), rank).alias("stay")))
     stay = stored(first.select("stay.doc_id", "stay.text_hash", "stay.n"), "stay")
     own_hash = F.xxhash64(F.coalesce(docs.text, F.lit("")))
 
