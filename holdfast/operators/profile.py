@@ -1,4 +1,4 @@
-"""Column profile of raw text: nulls, kinds of value, distinct values up to a cap."""
+"""Column profile of raw text: nulls, kinds of value and distinct values."""
 
 from __future__ import annotations
 
@@ -14,11 +14,6 @@ KIND_PATTERNS = (
     ("number_like_text", r"^[+-]?\d+([.,]\d+)?$"),
 )
 KINDS = ("null", "date_like_text", "integer_like_text", "number_like_text", "text")
-DISTINCT_CAP = 10_000
-# The estimate below has a standard error of 1 %, so a column estimated at twice the
-# cap is a hundred standard errors away from having few enough values.
-_ESTIMATE_ERROR = 0.01
-_SURELY_OVER = 2
 
 
 def text_kind(text: Column) -> Column:
@@ -29,39 +24,25 @@ def text_kind(text: Column) -> Column:
     return kind.otherwise(F.lit("text"))
 
 
-def column_profile(raw: DataFrame, columns: Sequence[str], distinct_cap: int = DISTINCT_CAP) -> DataFrame:
-    """One row per column. The distinct count is exact, or NULL when it exceeds the cap.
+def column_profile(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per column: values of each kind, and the exact number of distinct ones.
 
-    The first pass counts kinds and estimates distinct values for all columns at once;
-    each task merges its rows into one line per column. Only columns that may be under
-    the cap are counted exactly, so the second pass shuffles at most a few cap-sized
-    sets from each task.
+    One aggregate counts kinds, a set of counters for each column. Distinct values are counted in two steps over
+    (column, value), so each task first merges its own repeats and no column meets in one task.
     """
     spark = raw.sparkSession
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
-    values = raw.select(F.inline(pairs))
-    by_kind = values.withColumn("kind", text_kind(F.col("value")))
-    present = F.when(F.col("kind") != "null", F.col("value"))
-    # One row per profiled column reaches the driver.
-    counted = {r["column"]: r for r in by_kind.groupBy("column").agg(
-        F.count("*").alias("rows"), *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS],
-        F.approx_count_distinct(present, _ESTIMATE_ERROR).alias("estimate")).collect()}
-    maybe = [c for c in counted if counted[c]["estimate"] <= _SURELY_OVER * distinct_cap]
-    distinct = (by_kind.where(F.col("column").isin(maybe) & (F.col("kind") != "null"))
-                .groupBy("column", "value").count().groupBy("column").agg(F.count("*").alias("n")))
-    exact = {r["column"]: r["n"] for r in distinct.collect()} if maybe else {}
+    kinds = raw.select(*[text_kind(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(columns)])
+    # One row, a few counters per column, reaches the driver.
+    counted = kinds.agg(F.count("*").alias("rows"), *[
+        F.count_if(F.col(f"k{i}") == kind).alias(f"{kind}_{i}") for i in range(len(columns)) for kind in KINDS]).first()
+    pairs = F.array(*[F.struct(F.lit(i).alias("number"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(columns)])
+    values = raw.select(F.inline(pairs)).where(text_kind(F.col("value")) != "null").distinct()
+    distinct = {r["number"]: r["n"] for r in values.groupBy("number").agg(F.count("*").alias("n")).collect()}
 
     profile = []
-    for name in columns:
-        found = counted.get(name)
-        rows = found["rows"] if found else 0
-        kinds = {k: found[k] if found else 0 for k in KINDS}
-        n = exact.get(name, 0) if name in maybe or not found else None
-        distinct_count = n if n is not None and n <= distinct_cap else None
-        unique = rows > 0 and kinds["null"] == 0 and distinct_count == rows
-        profile.append((name, rows - kinds["null"], kinds["null"], *[kinds[k] for k in KINDS[1:]],
-                        distinct_count, distinct_count is None, unique))
-    schema = ("column_name string, non_null long, nulls long, "
-              + ", ".join(f"{k} long" for k in KINDS[1:])
-              + ", distinct_count long, distinct_capped boolean, candidate_unique_key boolean")
+    for i, name in enumerate(columns):
+        rows, nulls, n = counted["rows"], counted[f"null_{i}"], distinct.get(i, 0)
+        profile.append((name, rows - nulls, nulls, *[counted[f"{k}_{i}"] for k in KINDS[1:]], n, rows > 0 and n == rows))
+    schema = ("column_name string, non_null long, nulls long, " + ", ".join(f"{k} long" for k in KINDS[1:])
+              + ", distinct_count long, candidate_unique_key boolean")
     return spark.createDataFrame(profile, schema)

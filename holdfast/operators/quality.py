@@ -54,40 +54,44 @@ def _prefix(source: Source) -> tuple[str, str]:
 
 # ---------------------------------------------------------------- facts
 
-def source_facts(tagged: DataFrame, source: Source) -> DataFrame:
-    """Every count and sum the gate needs, in one pass without a shuffle of rows."""
-    status = F.col("_status")
-    is_clean = (status == ACCEPTED) & ~F.col("_blank_key")
+def _rows_where(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0)).cast("long")
+
+
+def _sum_of(value: Column) -> Column:
+    return F.coalesce(F.sum(value), F.lit(0)).cast("decimal(38,4)")
+
 
-    def rows_where(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0)).cast("long")
+def raw_facts(rows: DataFrame, source: Source) -> DataFrame:
+    """Rows and control totals of the staged extract, taken before anything is tagged."""
+    return rows.agg(F.count("*").alias("source_rows"),
+                    *[_sum_of(F.col(name)).alias(f"total_{name}") for name in source.control_totals])
 
+
+def booked_facts(tagged: DataFrame, source: Source) -> DataFrame:
+    """Counts and sums of the rows that were accepted, rejected and filtered, in one pass without a shuffle of rows."""
+    status = F.col("_status")
+    is_clean = (status == ACCEPTED) & ~F.col("_blank_key")
     aggregates = [
-        F.count("*").alias("source_rows"),
-        rows_where(is_clean).alias("accepted_rows"),
-        rows_where(status == REJECTED).alias("rejected_rows"),
-        rows_where(status == FILTERED).alias("filtered_rows"),
-        rows_where(F.col("_blank_key")).alias("blank_keys"),
+        _rows_where(is_clean).alias("accepted_rows"),
+        _rows_where(status == REJECTED).alias("rejected_rows"),
+        _rows_where(status == FILTERED).alias("filtered_rows"),
     ]
     for name, allowed in source.categories.items():
         if allowed:
-            aggregates.append(rows_where(is_clean & ~F.col(name).isin(*allowed)).alias(f"unexpected_{name}"))
+            aggregates.append(_rows_where(is_clean & ~F.col(name).isin(*allowed)).alias(f"unexpected_{name}"))
     for name in source.control_totals:
-        value = F.col(name)
-
-        def total(condition: Column | None = None, value: Column = value) -> Column:
-            summed = F.sum(value if condition is None else F.when(condition, value))
-            return F.coalesce(summed, F.lit(0)).cast("decimal(38,4)")
-
-        aggregates += [
-            total().alias(f"total_{name}"),
-            total(is_clean).alias(f"accepted_{name}"),
-            total(status == REJECTED).alias(f"rejected_{name}"),
-            total(status == FILTERED).alias(f"filtered_{name}"),
-        ]
+        aggregates += [_sum_of(F.when(c, F.col(name))).alias(f"{kind}_{name}") for kind, c in (
+            ("accepted", is_clean), ("rejected", status == REJECTED), ("filtered", status == FILTERED))]
     return tagged.agg(*aggregates)
 
 
+def source_facts(rows: DataFrame, tagged: DataFrame, source: Source) -> DataFrame:
+    """Both sides of the reconciliation in one row; they are computed from different tables, so that a row lost or
+    doubled between staging and the tagged rows shows."""
+    return with_one_row(raw_facts(rows, source), booked_facts(tagged, source))
+
+
 def key_facts(rows: DataFrame, repeated: DataFrame) -> DataFrame:
     """Raw rows, blank, repeated and conflicting keys, side by side in one row."""
     blank = rows.agg(F.count("*").alias("raw_rows"),
@@ -181,7 +185,7 @@ def non_negative_checks(tagged: DataFrame, source: Source) -> DataFrame:
 def source_report(rows: DataFrame, repeated: DataFrame, tagged: DataFrame, source: Source,
                   present: Sequence[str]) -> DataFrame:
     """All checks of one source as rows; checks after a blocked key check are left out."""
-    facts = with_one_row(key_facts(rows, repeated), source_facts(tagged, source).drop("blank_keys"))
+    facts = with_one_row(key_facts(rows, repeated), source_facts(rows, tagged, source))
     complete = not set(source.required_columns) - set(present)
     passed = (F.col("blank_keys") == 0) & (F.col("conflicting_keys") == 0) & F.lit(complete)
     return as_rows(facts, [required_columns_check(source, present), *key_checks(source),
@@ -203,14 +207,15 @@ def verdict(checks: DataFrame) -> DataFrame:
         number(PASS).alias("passed"), number(WARNING).alias("warnings"), number(BLOCK).alias("blocked"))
 
 
-def population(tagged: DataFrame, source: Source) -> DataFrame:
-    facts = source_facts(tagged, source)
+def population(rows: DataFrame, tagged: DataFrame, source: Source) -> DataFrame:
+    """Staged rows against accepted, rejected and filtered ones."""
+    facts = source_facts(rows, tagged, source)
     gap = F.col("source_rows") - F.col("accepted_rows") - F.col("rejected_rows") - F.col("filtered_rows")
     return facts.select("source_rows", "accepted_rows", "rejected_rows", "filtered_rows",
                         gap.alias("difference"), (gap == 0).alias("balances"))
 
 
-def control_totals(tagged: DataFrame, source: Source) -> DataFrame:
+def control_totals(rows: DataFrame, tagged: DataFrame, source: Source) -> DataFrame:
     """Source total against accepted + rejected + filtered, per declared column, exactly."""
     def line(name: str) -> Column:
         booked = F.col(f"accepted_{name}") + F.col(f"rejected_{name}") + F.col(f"filtered_{name}")
@@ -224,7 +229,7 @@ def control_totals(tagged: DataFrame, source: Source) -> DataFrame:
     if not lines:
         empty = "name string, source_value decimal(38,4), database_value decimal(38,4), difference decimal(38,4)"
         return tagged.sparkSession.createDataFrame([], empty)
-    return source_facts(tagged, source).select(F.inline(F.array(*lines)))
+    return source_facts(rows, tagged, source).select(F.inline(F.array(*lines)))
 
 
 def row_count_movement(ledger: DataFrame, max_change_pct: float) -> DataFrame:

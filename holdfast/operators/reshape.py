@@ -65,7 +65,7 @@ def weeks_to_rows(wide: DataFrame, keys: Sequence[str], category: str, roles: Ma
 def version_rows(versions: DataFrame | None, clean: DataFrame, columns: Sequence[str], effective: str) -> DataFrame:
     """Type-2 dimension: a changed row closes its current version and opens another.
 
-    Only current versions are joined, one per key; closed ones pass through.
+    Current versions meet the batch in one full join, one row per key; closed ones pass through.
     """
     since = F.lit(effective).cast("date")
     names = [*columns, KEY_HASH, CONTENT_HASH]
@@ -74,11 +74,13 @@ def version_rows(versions: DataFrame | None, clean: DataFrame, columns: Sequence
     if versions is None:
         return fresh
     current = versions.where("is_current")
-    batch = clean.select(F.col(KEY_HASH), F.col(CONTENT_HASH).alias("_new_content"))
-    known = current.join(batch, KEY_HASH, "left")
-    changed = F.col("_new_content").isNotNull() & (F.col("_new_content") != F.col(CONTENT_HASH))
-    kept = known.select(*names, "valid_from", F.when(changed, since).otherwise(F.col("valid_to")).alias("valid_to"),
-                        (~changed).alias("is_current"))
-    opened = fresh.join(current.select(KEY_HASH, F.col(CONTENT_HASH).alias("_old_content")), KEY_HASH, "left").where(
-        F.col("_old_content").isNull() | (F.col("_old_content") != F.col(CONTENT_HASH))).select(*fresh.columns)
-    return versions.where(~F.col("is_current")).unionByName(kept).unionByName(opened)
+    both = (current.select(F.col(KEY_HASH).alias("_key"), F.struct(*current.columns).alias("_old"))
+            .join(clean.select(F.col(KEY_HASH).alias("_key"), F.struct(*names).alias("_new")), "_key", "full_outer"))
+    changed = F.coalesce(F.col(f"_old.{CONTENT_HASH}") != F.col(f"_new.{CONTENT_HASH}"), F.lit(False))
+    known = F.struct(*[F.col(f"_old.{n}").alias(n) for n in names], F.col("_old.valid_from").alias("valid_from"),
+                     F.when(changed, since).otherwise(F.col("_old.valid_to")).alias("valid_to"), (~changed).alias("is_current"))
+    opened = F.struct(*[F.col(f"_new.{n}").alias(n) for n in names], since.alias("valid_from"),
+                      F.lit(None).cast("date").alias("valid_to"), F.lit(True).alias("is_current"))
+    rows = F.array_compact(F.array(F.when(F.col("_old").isNotNull(), known),
+                                   F.when(changed | F.col("_old").isNull(), opened)))
+    return versions.where(~F.col("is_current")).unionByName(both.select(F.inline(rows)))

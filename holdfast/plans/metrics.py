@@ -7,11 +7,13 @@ joined, ranked or ordered, and totals are attached as one row instead of a globa
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from holdfast.scale import is_small, running_total, settle, with_one_row
+from holdfast.scale import running_total, settle, with_one_row
 
 PPM = 1_000_000
 PERCENT = 100
@@ -116,24 +118,17 @@ def price_variance(purchases: DataFrame, standard: DataFrame, *, item: str, quan
                    standard_price: Column, by_purchase: Sequence[str] = (), by_item: Sequence[str] = ()) -> DataFrame:
     """Spend, spend at standard price and their difference, per purchase and item attributes.
 
-    ``sum(q * (p - s)) = sum(q * p) - s * sum(q)`` holds exactly for decimals. With more
-    items than may be broadcast, purchases are therefore summed per item before the
-    standard price is joined, so that a much bought item is one row in that join. With
-    few items the price is broadcast to the purchases, which are then shuffled only as
-    sums of the final groups.
+    ``sum(q * (p - s)) = sum(q * p) - s * sum(q)`` holds exactly for decimals, so purchases are summed per item before
+    the standard price is joined: a much bought item is one row in that join. Products are exact for prices below 10^11
+    and quantities of an item below 10^18; beyond that they are an error, not a rounding.
     """
-    prices = standard.select(*dict.fromkeys([item, *by_item]), standard_price.alias("_standard"))
+    prices = standard.select(*dict.fromkeys([item, *by_item]), standard_price.cast("decimal(15,4)").alias("_standard"))
     measured = purchases.select(*dict.fromkeys([item, *by_purchase]), quantity.alias("_quantity"), spend.alias("_spend"))
-    if is_small(prices):
-        priced = measured.join(F.broadcast(prices), item, "inner")
-    else:
-        per_item = measured.groupBy(*dict.fromkeys([item, *by_purchase])).agg(
-            F.sum("_quantity").alias("_quantity"), F.sum("_spend").alias("_spend"))
-        priced = per_item.join(prices, item, "inner")
-    # 19 + 18 digits keep the product exact; a larger quantity is an error, not a rounding.
-    at_standard = F.col("_standard").cast("decimal(18,4)") * F.col("_quantity").cast("decimal(19,4)")
-    grouped = priced.groupBy(*by_purchase, *by_item).agg(
-        F.sum(F.col("_spend").cast("decimal(38,8)")).alias("spend"), F.sum(at_standard).alias("standard_spend"))
+    per_item = measured.groupBy(*dict.fromkeys([item, *by_purchase])).agg(
+        F.sum("_quantity").cast("decimal(22,4)").alias("_quantity"), F.sum("_spend").alias("_spend"))
+    at_standard = F.col("_standard") * F.col("_quantity")
+    grouped = per_item.join(prices, item, "inner").groupBy(*by_purchase, *by_item).agg(
+        F.sum(F.col("_spend").cast("decimal(38,8)")).alias("spend"), F.sum(at_standard.cast("decimal(38,8)")).alias("standard_spend"))
     return grouped.withColumn("variance", F.col("spend") - F.col("standard_spend"))
 
 
@@ -155,11 +150,22 @@ def drill_through(frame: DataFrame, column: str, value: object, show: Sequence[s
 
 def related(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str,
             columns: Sequence[str]) -> DataFrame:
-    """Join two sources under their declared keys and join type."""
+    """Join two sources under their declared keys and join type.
+
+    Rows with a NULL in their key match nothing; they pass beside the join, as there may be many and a join would send
+    all of them to one task.
+    """
     renamed = right.select(*[F.col(r).alias(f"_right_{r}") for _, r in on],
                            *[c for c in columns if c in right.columns])
     condition = [F.col(l) == F.col(f"_right_{r}") for l, r in on]
-    return left.join(renamed, condition, {"full": "full_outer"}.get(how, how)).drop(*[f"_right_{r}" for _, r in on])
+    has_left = reduce(and_, [F.col(l).isNotNull() for l, _ in on])
+    has_right = reduce(and_, [F.col(f"_right_{r}").isNotNull() for _, r in on])
+    joined = left.where(has_left).join(renamed.where(has_right), condition, {"full": "full_outer"}.get(how, how))
+    if how in ("left", "full"):
+        joined = joined.unionByName(left.where(~has_left), allowMissingColumns=True)
+    if how in ("right", "full"):
+        joined = joined.unionByName(renamed.where(~has_right), allowMissingColumns=True)
+    return joined.drop(*[f"_right_{r}" for _, r in on])
 
 
 def latest_pair(frame: DataFrame, date: str, sums: Mapping[str, Column | str]) -> DataFrame:
@@ -194,15 +200,21 @@ def calendar(spark: SparkSession, first: str, last: str, holidays: Sequence[str]
     return days.select(*columns)
 
 
-def rolling(periods: DataFrame, period: str, sums: Sequence[str], width: int) -> DataFrame:
-    """Sums over this and the ``width - 1`` periods before it; one row per period goes in."""
-    window = Window.orderBy(period).rowsBetween(1 - width, Window.currentRow)
+def rolling(periods: DataFrame, number: Column, sums: Sequence[str], width: int) -> DataFrame:
+    """Sums over this and the ``width - 1`` periods before it; one row per period goes in.
+
+    ``number`` counts periods without a gap, so a period without rows takes its place in the width.
+    """
+    window = Window.orderBy(number).rangeBetween(1 - width, Window.currentRow)
     return periods.select("*", *[F.sum(s).over(window).alias(f"rolling_{s}") for s in sums])
 
 
-def growth(periods: DataFrame, period: str, value: str) -> DataFrame:
-    """Change of a figure against the period before it, absolute and in percent."""
-    before = F.lag(value).over(Window.orderBy(period))
+def growth(periods: DataFrame, number: Column, value: str) -> DataFrame:
+    """Change of a figure against the period before it, absolute and in percent; NULL where that period has no row.
+
+    ``number`` counts periods without a gap.
+    """
+    before = F.first(value).over(Window.orderBy(number).rangeBetween(-1, -1))
     return (periods.withColumn("previous", before)
             .withColumn("change", F.col(value) - F.col("previous"))
             .withColumn("growth_pct", rate(F.col("change"), F.col("previous"), PERCENT)))

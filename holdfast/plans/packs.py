@@ -2,6 +2,9 @@
 
 Each is configuration: sources, relationships, named queries built from
 :mod:`holdfast.plans.metrics`, and the dashboard that shows them.
+
+Fixed values: the names of sources, columns, queries and charts, the types, keys, load modes, categories, file patterns
+and sheet names, which extracts and users of these projects rely on.
 """
 
 from __future__ import annotations
@@ -60,7 +63,7 @@ def lineage_for_model(views: Views, model_code: str) -> DataFrame:
 
 
 PRODUCTION_QUALITY_DASHBOARD = Dashboard(
-    title="Production Quality",
+    title="Output and defects",
     queries={
         "produced_total": _one(_PQ, lambda: M.total("produced_qty")),
         "defect_total": _one(_PQ, lambda: M.total("defect_qty")),
@@ -75,13 +78,13 @@ PRODUCTION_QUALITY_DASHBOARD = Dashboard(
         "period_change_evidence": _over(_PQ, lambda d: M.latest_pair(d, "production_date", _PQ_SUMS)),
         "top_contributor_evidence": _over(_PQ, lambda d: M.share_of_total(_by_model(d), "model_code", "defect_qty", 3)),
     },
-    kpis=(Kpi("produced_total", "produced_total", "Produced", "integer", "units", "up_good"),
-          Kpi("defect_total", "defect_total", "Defects", "integer", "units", "down_good"),
-          Kpi("defect_rate_ppm", "defect_rate_ppm", "Defect rate", "integer", "PPM", "down_good")),
-    charts=(Chart("trend", "trend_by_date", "Is quality improving over time?", "line", "production_date",
-                  "Defect rate (PPM)", y=3, unit="PPM", summary_format="{x}: {y} PPM"),
-            Chart("pareto", "pareto_by_model", "Which models explain most of the defects?", "pareto", "model_code",
-                  "Defects", cumulative=2, unit="units", summary_format="{x}: {y} defects")),
+    kpis=(Kpi("produced_total", "produced_total", "Good and bad pieces made", "integer", "units", "up_good"),
+          Kpi("defect_total", "defect_total", "Pieces with a defect", "integer", "units", "down_good"),
+          Kpi("defect_rate_ppm", "defect_rate_ppm", "Defects per million", "integer", "PPM", "down_good")),
+    charts=(Chart("trend", "trend_by_date", "Defects per million by day", "line", "production_date",
+                  "Per million", y=3, unit="PPM", summary_format="{x} had {y} per million"),
+            Chart("pareto", "pareto_by_model", "Defects by model, most first", "pareto", "model_code",
+                  "Defects", cumulative=2, unit="units", summary_format="model {x} had {y}")),
     insights=(Insight("period_change_evidence", partial(
                   E.period_change_rate, numerator="defect_qty", denominator="produced_qty", scale=M.PPM,
                   evidence_id="period_change", metric_id="defect_rate_ppm", query="period_change_evidence",
@@ -90,7 +93,7 @@ PRODUCTION_QUALITY_DASHBOARD = Dashboard(
                   E.top_contributor, dimension="model_code", value="defect_qty", share="share_pct",
                   evidence_id="top_contributor", metric_id="defect_qty", query="top_contributor_evidence",
                   value_label="defects"))),
-    filters=(("model_code", "Model"), ("line", "Line")),
+    filters=(("model_code", "Model made"), ("line", "Made on line")),
     period_query="latest_period", lineage_query="active_row_count",
 )
 
@@ -122,7 +125,7 @@ def lineage_for_line(views: Views, line: str) -> DataFrame:
 
 
 MAINTENANCE_DOWNTIME_DASHBOARD = Dashboard(
-    title="Line Downtime",
+    title="Stopped lines",
     queries={
         "total_downtime_minutes": _one(_MD, lambda: M.total("downtime_minutes")),
         "event_count": _one(_MD, lambda: F.count("*")),
@@ -135,13 +138,13 @@ MAINTENANCE_DOWNTIME_DASHBOARD = Dashboard(
         "period_change_evidence": _over(_MD, lambda d: M.latest_pair(d, "event_date", _MD_SUMS)),
         "top_contributor_evidence": _over(_MD, lambda d: M.share_of_total(_by_line(d), "line", "downtime_minutes", 1)),
     },
-    kpis=(Kpi("total_downtime_minutes", "total_downtime_minutes", "Downtime", "integer", "minutes", "down_good"),
-          Kpi("event_count", "event_count", "Downtime events", "integer", "events", "down_good"),
-          Kpi("average_event_minutes", "average_event_minutes", "Average event", "decimal", "minutes", "down_good")),
-    charts=(Chart("downtime_trend", "trend_by_date", "Is downtime improving over time?", "line", "event_date",
-                  "Downtime minutes", unit="minutes", summary_format="{x}: {y} minutes"),
-            Chart("line_pareto", "pareto_by_line", "Which lines account for most downtime?", "pareto", "line",
-                  "Downtime minutes", cumulative=2, unit="minutes", summary_format="{x}: {y} minutes")),
+    kpis=(Kpi("total_downtime_minutes", "total_downtime_minutes", "Minutes stopped", "integer", "minutes", "down_good"),
+          Kpi("event_count", "event_count", "Stops", "integer", "events", "down_good"),
+          Kpi("average_event_minutes", "average_event_minutes", "Minutes per stop", "decimal", "minutes", "down_good")),
+    charts=(Chart("downtime_trend", "trend_by_date", "Minutes stopped by day", "line", "event_date",
+                  "Minutes", unit="minutes", summary_format="{x} stood for {y} minutes"),
+            Chart("line_pareto", "pareto_by_line", "Minutes stopped by line, most first", "pareto", "line",
+                  "Minutes", cumulative=2, unit="minutes", summary_format="{x} stood for {y} minutes")),
     insights=(Insight("period_change_evidence", partial(
                   E.period_change_value, value="downtime_minutes", evidence_id="period_change",
                   metric_id="total_downtime_minutes", query="period_change_evidence", label="Daily downtime",
@@ -150,7 +153,7 @@ MAINTENANCE_DOWNTIME_DASHBOARD = Dashboard(
                   E.top_contributor, dimension="line", value="downtime_minutes", share="share_pct",
                   evidence_id="top_line", metric_id="downtime_minutes", query="top_contributor_evidence",
                   value_label="downtime minutes"))),
-    filters=(("line", "Line"), ("reason", "Reason")),
+    filters=(("line", "Stopped line"), ("reason", "Cause of the stop")),
     period_query="latest_period", lineage_query="active_row_count",
 )
 
@@ -202,7 +205,7 @@ def _shortage_by_item(views: Views) -> DataFrame:
 
 
 SUPPLY_CHAIN_DASHBOARD = Dashboard(
-    title="Supply Chain Risk",
+    title="Open orders and stock",
     queries={
         "ordered_qty": _one(_SC_ORDERS, lambda: M.total("ordered_qty")),
         "fulfilled_qty": _one(_SC_ORDERS, lambda: M.total("fulfilled_qty")),
@@ -214,14 +217,14 @@ SUPPLY_CHAIN_DASHBOARD = Dashboard(
             _stock(views), ["warehouse_id"], {"on_hand_qty": "on_hand_qty"}).orderBy(F.asc_nulls_last("warehouse_id")),
         "orders_lineage_rows": _one(_SC_ORDERS, lambda: F.count("*")),
     },
-    kpis=(Kpi("ordered_qty", "ordered_qty", "Ordered quantity", "integer", "units"),
-          Kpi("fulfilled_qty", "fulfilled_qty", "Fulfilled quantity", "integer", "units"),
-          Kpi("fulfillment_rate", "fulfillment_rate", "Fulfillment rate", "percent", "%"),
-          Kpi("on_hand_qty", "on_hand_qty", "Latest on-hand quantity", "integer", "units")),
-    charts=(Chart("shortage_by_item", "shortage_by_item", "Shortage risk by item", "bar", "item", "Shortage",
-                  unit="units", summary_format="{x}: {y} units shortage"),
-            Chart("inventory_by_warehouse", "inventory_by_warehouse", "Latest inventory by warehouse", "bar",
-                  "warehouse", "On hand", unit="units", summary_format="{x}: {y} units on hand")),
+    kpis=(Kpi("ordered_qty", "ordered_qty", "Ordered", "integer", "units"),
+          Kpi("fulfilled_qty", "fulfilled_qty", "Delivered", "integer", "units"),
+          Kpi("fulfillment_rate", "fulfillment_rate", "Share delivered", "percent", "%"),
+          Kpi("on_hand_qty", "on_hand_qty", "In stock at the last count", "integer", "units")),
+    charts=(Chart("shortage_by_item", "shortage_by_item", "Open orders that stock does not cover", "bar", "item", "Not covered",
+                  unit="units", summary_format="{x} lacks {y}"),
+            Chart("inventory_by_warehouse", "inventory_by_warehouse", "Stock at the last count, by warehouse", "bar",
+                  "warehouse", "In stock", unit="units", summary_format="{x} holds {y}")),
     period_query="latest_order_date", lineage_query="orders_lineage_rows",
 )
 
@@ -288,7 +291,7 @@ def _variance_total(views: Views, column: str) -> DataFrame:
 
 
 PRICE_VARIANCE_DASHBOARD = Dashboard(
-    title="Purchase Price Variance",
+    title="Prices paid against standard",
     queries={
         "purchase_spend": _one(_PV_BUY, lambda: M.total("line_amount")),
         "standard_spend": lambda views: _variance_total(views, "standard_spend"),
@@ -305,15 +308,15 @@ PRICE_VARIANCE_DASHBOARD = Dashboard(
         "top_unfavourable_vendor_evidence": lambda views: M.share_of_absolute(
             _variance_by_vendor(views), "vendor_name", "ppv_amount", 1),
     },
-    kpis=(Kpi("purchase_spend", "purchase_spend", "Purchase spend at actual", "decimal", "USD"),
-          Kpi("standard_spend", "standard_spend", "Purchase spend at standard", "decimal", "USD"),
-          Kpi("ppv_amount", "ppv_amount", "Purchase price variance", "decimal", "USD"),
-          Kpi("ppv_rate", "ppv_rate", "PPV against standard spend", "percent", "%"),
-          Kpi("ppv_budget_amount", "ppv_budget_amount", "Approved PPV budget", "decimal", "USD")),
-    charts=(Chart("ppv_by_vendor", "ppv_by_vendor", "Purchase price variance by vendor", "bar", "vendor", "PPV",
-                  unit="USD", summary_format="{x}: {y} USD variance"),
-            Chart("ppv_by_category", "ppv_by_category", "Purchase price variance by category", "bar", "category",
-                  "PPV", unit="USD", summary_format="{x}: {y} USD variance")),
+    kpis=(Kpi("purchase_spend", "purchase_spend", "Paid", "decimal", "USD"),
+          Kpi("standard_spend", "standard_spend", "At standard prices", "decimal", "USD"),
+          Kpi("ppv_amount", "ppv_amount", "Paid beyond standard", "decimal", "USD"),
+          Kpi("ppv_rate", "ppv_rate", "Beyond standard, in percent", "percent", "%"),
+          Kpi("ppv_budget_amount", "ppv_budget_amount", "Allowed beyond standard", "decimal", "USD")),
+    charts=(Chart("ppv_by_vendor", "ppv_by_vendor", "Beyond standard by vendor", "bar", "vendor", "Beyond standard",
+                  unit="USD", summary_format="{x} is {y} USD beyond standard"),
+            Chart("ppv_by_category", "ppv_by_category", "Beyond standard by category", "bar", "category",
+                  "Beyond standard", unit="USD", summary_format="{x} is {y} USD beyond standard")),
     insights=(Insight("top_unfavourable_vendor_evidence", partial(
         E.top_contributor, dimension="vendor_name", value="ppv_amount", share="share_pct",
         evidence_id="top_unfavourable_vendor", metric_id="ppv_amount", query="top_unfavourable_vendor_evidence",

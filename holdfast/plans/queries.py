@@ -10,12 +10,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.functions import cleaning as C
 from holdfast.functions.headers import project_by_name as approved_columns
+from holdfast.functions.values import is_true_text
 from holdfast.operators import drift as D
 from holdfast.operators import history as H
 from holdfast.operators import quality as Q
@@ -27,11 +29,12 @@ from holdfast.plans import evidence as E
 from holdfast.plans import metrics as M
 from holdfast.plans import package as P
 from holdfast.plans.rules import Rule, run_rule
+from holdfast.plans.run import CHECK_LEDGER_SCHEMA, QUARANTINE_SCHEMA, RUN_SCHEMA, run_project
 from holdfast.scale import checkpoint_folder, settle, with_one_row
 from holdfast.sources import archive as A
 from holdfast.sources.staging import Staged, already_loaded, stage_frame
 from holdfast.sources.staging import staging_audit as audit_staging
-from holdfast.sources.store import latest_runs
+from holdfast.sources.store import Store, latest_runs, newest_entries
 from holdfast.spec import Project, Relationship, Source
 
 AMOUNT = "DECIMAL(18,4)"
@@ -107,25 +110,33 @@ def staged_messy_orders(spark: SparkSession, folder: str) -> Staged:
         F.when(late & low, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
         F.when((late & low) | (lost & urgent), F.lit("unknown"))
         .otherwise(F.col("o_orderdate").cast("string")).alias("o_orderdate"),
-        "o_orderpriority", F.explode(F.when(urgent, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_sent"))
-    return _stage(text, ORDERS, F.col("o_orderkey") * 2 + F.col("_sent") + 1, "orders_messy.csv")
+        "o_orderpriority", F.explode(F.when(urgent, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_file_copy"))
+    return _stage(text, ORDERS, F.col("o_orderkey") * 2 + F.col("_file_copy") + 1, "orders_messy.csv")
+
+
+def messy_order_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return T.read_rows(staged_messy_orders(spark, folder).rows, ORDERS)
 
 
 def tagged_messy_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return T.tag_counted(T.read_rows(staged_messy_orders(spark, folder).rows, ORDERS))
+    return T.tag_counted(messy_order_rows(spark, folder))
+
+
+def _sent_twice(orders: DataFrame) -> DataFrame:
+    """An extract that shows every shipped order twice; the copies are filtered on the way."""
+    copies = F.sequence(F.lit(0), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0))
+    return orders.withColumn("_file_copy", F.explode(copies)).withColumn("_file_row", F.col("_file_row") * 2 + F.col("_file_copy"))
 
 
 def _clean(staged: Staged) -> DataFrame:
-    """Clean rows of an extract whose keys are unique, so that nothing is filtered."""
-    rows = T.read_rows(staged.rows, staged.source)
-    nothing = T.find_copies(rows).limit(0)
-    return T.clean_rows(T.tag(rows, nothing, known_copies=0), staged.source)
+    """Accepted rows of an extract."""
+    return T.clean_rows(T.tag_counted(T.read_rows(staged.rows, staged.source)), staged.source)
 
 
 def first_load(spark: SparkSession, folder: str, source: Source = ORDERS) -> DataFrame:
     """History after run R1: orders up to May 2000, and all pending ones."""
     known = _order_text(spark, folder).where("o_orderdate < date'2000-06-01' or o_orderstatus = 'P'")
-    return H.new_rows(_clean(_stage(known, source, F.col("_file_row"), "orders_1.csv")), source, "R1")
+    return H.new_rows(_clean(_stage(_sent_twice(known), source, F.col("_file_row"), "orders_1.csv")), source, "R1")
 
 
 def second_batch(spark: SparkSession, folder: str, run_id: str = "R2") -> DataFrame:
@@ -133,7 +144,7 @@ def second_batch(spark: SparkSession, folder: str, run_id: str = "R2") -> DataFr
     orders = _order_text(spark, folder).where("o_orderstatus <> 'P'").withColumn(
         "o_totalprice", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") + 1)
         .otherwise(F.col("o_totalprice")).cast("decimal(18,4)"))
-    return _clean(_stage(orders, ORDERS, F.col("_file_row"), "orders_2.csv", run_id))
+    return _clean(_stage(_sent_twice(orders), ORDERS, F.col("_file_row"), "orders_2.csv", run_id))
 
 
 # ------------------------------------------------------------------ staging and projections
@@ -194,6 +205,13 @@ def column_profile(spark: SparkSession, folder: str) -> DataFrame:
     return profile_columns(staged_messy_orders(spark, folder).rows, ORDERS.names)
 
 
+def flag_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Priorities as flags in the spellings that extracts use."""
+    spelling = F.when(F.col("o_orderpriority") == "1-URGENT", " YES ").when(F.col("o_orderpriority") == "2-HIGH", "1")
+    spelling = spelling.when(F.col("o_orderpriority") == "3-MEDIUM", "no").when(F.col("o_orderpriority") == "5-LOW", "maybe")
+    return table(spark, folder, "orders").select("o_orderkey", F.coalesce(is_true_text(spelling), F.lit(False)).alias("flag"))
+
+
 # ------------------------------------------------------------------ quality gate
 
 def quarantine_typed_values(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,22 +255,31 @@ def check_blank_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def check_category_allowed(spark: SparkSession, folder: str) -> DataFrame:
-    facts = Q.source_facts(tagged_messy_orders(spark, folder), ORDERS)
+    facts = Q.source_facts(messy_order_rows(spark, folder), tagged_messy_orders(spark, folder), ORDERS)
     return Q.as_rows(facts, Q.row_checks(ORDERS)).where("check_id like '%category_allowed%'").select(
         "check_id", "severity", "status", "expected", "actual")
 
 
 def population_equation(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.population(tagged_messy_orders(spark, folder), ORDERS)
+    return Q.population(messy_order_rows(spark, folder), tagged_messy_orders(spark, folder), ORDERS)
+
+
+def population_unbalanced(spark: SparkSession, folder: str) -> DataFrame:
+    """Pending orders are lost behind staging and urgent ones doubled: neither rows nor totals balance."""
+    tagged = tagged_messy_orders(spark, folder)
+    wrong = tagged.where("o_orderstatus <> 'P'").unionByName(tagged.where("o_orderpriority = '1-URGENT'"))
+    rows = messy_order_rows(spark, folder)
+    totals = Q.control_totals(rows, wrong, ORDERS).select("source_value", "database_value", F.col("difference").alias("value_difference"))
+    return with_one_row(Q.population(rows, wrong, ORDERS), totals)
 
 
 def control_totals(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.control_totals(tagged_messy_orders(spark, folder), ORDERS)
+    return Q.control_totals(messy_order_rows(spark, folder), tagged_messy_orders(spark, folder), ORDERS)
 
 
 def quality_report_orders(spark: SparkSession, folder: str) -> DataFrame:
     staged = staged_messy_orders(spark, folder)
-    rows = T.read_rows(staged.rows, ORDERS)
+    rows = settle(T.read_rows(staged.rows, ORDERS))
     report = Q.source_report(rows, T.repeated_keys(rows), T.tag_counted(rows), ORDERS, staged.present)
     return report.select("check_id", "scope", "severity", "status", "expected", "actual", "difference", "tolerance")
 
@@ -279,6 +306,13 @@ def orphan_keys(spark: SparkSession, folder: str) -> DataFrame:
     return R.orphan_keys(table(spark, folder, "lineitem"), stocked, ["l_partkey"], ["p_partkey"])
 
 
+def relationship_one_to_one(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders against customers as if each customer could order once."""
+    link = Relationship("order_of_customer", "orders", "customer", ("o_custkey",), ("c_custkey",), "one_to_one", require_match=True)
+    return R.relationship_report(table(spark, folder, "orders"), table(spark, folder, "customer"), link).select(
+        "check_id", "severity", "status", "expected", "actual")
+
+
 def relationship_cardinality(spark: SparkSession, folder: str) -> DataFrame:
     return R.repeated_key_values(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])
 
@@ -310,8 +344,7 @@ def run_ledger_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def row_count_movement(spark: SparkSession, folder: str) -> DataFrame:
-    newest = latest_runs(run_ledger(spark, folder), 200)
-    return Q.row_count_movement(newest, 10.0).select(
+    return Q.row_count_movement(newest_entries(run_ledger(spark, folder)), 10.0).select(
         "run_id", "rows_extracted", "previous_rows", rounded("change_pct").alias("change_pct"), "status")
 
 
@@ -576,10 +609,24 @@ def kpi_package(spark: SparkSession, folder: str) -> DataFrame:
     # Every figure reads the merged history, so it is computed once.
     merged = settle(H.without_change(H.merge(first_load(spark, folder), second_batch(spark, folder), ORDERS, "R2")))
     facts = P.RunFacts(TRADE.project_id, 1, "R2", Q.PASS, {}, {"orders": 0})
-    package = P.build_package(spark, TRADE_DASHBOARD, {"history_trade_orders": merged}, facts, generated_at=EXTRACTED_AT)
+    root = f"{checkpoint_folder(spark)}/package-{uuid.uuid4().hex}"
+
+    def publish(name: str, frame: DataFrame) -> tuple[str, DataFrame]:
+        frame.write.parquet(f"{root}/{name}")
+        return f"{root}/{name}", spark.read.parquet(f"{root}/{name}")
+
+    package = P.build_package(spark, TRADE_DASHBOARD, {"history_trade_orders": merged}, facts, publish, generated_at=EXTRACTED_AT)
     shown = [("kpi", k["id"], k["period"], k["value"], k["display"]) for k in package["kpis"]]
-    shown += [("chart", c["id"], p["x"], p["y"], "") for c in package["charts"] for p in c["series"][0]["points"]]
+    shown += [("quality", package["quality"]["status"], "", float(package["quality"]["failed"]), ""),
+              ("lineage", "rows", package["report"]["period"], float(package["lineage"]["rows"]), "")]
     frame = spark.createDataFrame(shown, "section string, id string, label string, value double, display string")
+    for chart in package["charts"]:
+        series = chart["series"][0]
+        frame = frame.unionByName(spark.read.parquet(series["points_table"]).select(
+            F.lit("chart").alias("section"), F.lit(chart["id"]).alias("id"), F.col("x").alias("label"),
+            F.col("y").alias("value"), F.lit("").alias("display")))
+        frame = frame.unionByName(spark.createDataFrame(
+            [("points", chart["id"], "", float(series["point_count"]), "")], frame.schema))
     return frame.withColumn("value", rounded("value"))
 
 
@@ -599,6 +646,36 @@ def declared_rule(spark: SparkSession, folder: str) -> DataFrame:
     return run_rule(OPEN_DEMAND, {"quantity_lines": _lines(spark, folder)})
 
 
+OPEN_PARTS = Rule("open_parts", "1", ("open_demand",), "rule_open_parts", {"open_parts": "BIGINT", "open_qty": AMOUNT},
+                  lambda inputs: inputs["open_demand"].where("open_qty > 0").agg(
+                      F.count("*").alias("open_parts"), F.coalesce(F.sum("open_qty"), F.lit(0)).cast("decimal(18,4)").alias("open_qty")))
+
+
+def rule_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """A rule over the written output of another."""
+    return run_rule(OPEN_PARTS, {"open_demand": settle(declared_rule(spark, folder))})
+
+
+def published_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders and customers staged, gated, merged and published by one run; what its tables and ledgers then hold."""
+    project = Project("trade", (ORDERS, CUSTOMERS), (
+        Relationship("orders_to_customer", "orders", "customer", ("o_custkey",), ("c_custkey",)),))
+    store = Store(spark, f"{checkpoint_folder(spark)}/published-{uuid.uuid4().hex}", project, buckets=8)
+    run_project(spark, project, {s.source_id: f"{folder}/{s.source_id}.parquet" for s in project.sources}, "R1", store,
+                file_format="parquet")
+    held = [store.history(s).agg(F.lit(f"history {s.source_id}").alias("part"), F.count_if(F.col("is_active")).alias("n"))
+            for s in project.sources]
+    ledgers = {name: store.ledger(name, schema) for name, schema in (
+        ("runs", RUN_SCHEMA), ("checks", CHECK_LEDGER_SCHEMA), ("quarantine", QUARANTINE_SCHEMA))}
+    runs = ledgers["runs"].select(F.inline(F.array(*[
+        F.struct(F.lit(f"run {c}").alias("part"), F.col(c).alias("n"))
+        for c in ("rows_extracted", "rows_rejected", "rows_filtered", "rows_inserted", "rows_updated")])))
+    blocked = ledgers["checks"].agg(F.lit("blocked checks").alias("part"), F.count_if(F.col("status") == Q.BLOCK).alias("n"))
+    held += [runs, blocked, ledgers["quarantine"].groupBy(F.concat(F.lit("quarantine "), "reason_code").alias("part")).agg(
+        F.count("*").alias("n"))]
+    return reduce(DataFrame.unionByName, held)
+
+
 # ------------------------------------------------------------------ calendar, families, drift, reshaping
 
 def calendar(spark: SparkSession, folder: str) -> DataFrame:
@@ -617,14 +694,16 @@ def heatmap(spark: SparkSession, folder: str) -> DataFrame:
 def rolling_rate(spark: SparkSession, folder: str) -> DataFrame:
     """Four-week rolling discount rate."""
     lines = _lines(spark, folder).withColumn("week", F.trunc("ship_date", "week"))
-    weekly = M.rolling(M.sums_by(lines, ["week"], _daily_sums()), "week", ["discounted", "price"], 4)
+    weekly = M.rolling(M.sums_by(lines, ["week"], _daily_sums()), (F.datediff("week", F.lit("1970-01-05").cast("date")) / 7).cast("int"),
+                       ["discounted", "price"], 4)
     return weekly.select("week", rounded(M.rate(F.col("rolling_discounted"), F.col("rolling_price"), M.PPM)).alias("rate"))
 
 
 def growth_rate(spark: SparkSession, folder: str) -> DataFrame:
     monthly = M.sums_by(_lines(spark, folder).withColumn("month", F.date_format("ship_date", "yyyy-MM")), ["month"],
                         {"price": "price"})
-    return M.growth(monthly, "month", "price").select(
+    number = F.substring("month", 1, 4).cast("int") * 12 + F.substring("month", 6, 2).cast("int")
+    return M.growth(monthly, number, "price").select(
         "month", wide("change").alias("change"), rounded("growth_pct").alias("growth_pct"))
 
 
@@ -678,10 +757,14 @@ def weekly_rows(spark: SparkSession, folder: str) -> DataFrame:
     cells = counted.select("event_type", "week", F.inline(F.array(*[
         F.struct(F.lit(name).alias("category"), value.cast("decimal(18,4)").alias("cell"))
         for name, value in (("Quantity", F.col("quantity")), ("Defects", F.col("defects")), ("PPM", reported))])))
-    sheet = cells.groupBy("event_type", "category").pivot("week").agg(F.max("cell"))
+    ends = days.agg(F.min("event_date").cast("string"), F.max("event_date").cast("string")).first()
+    # The calendar says which weeks the sheet has; two dates come to the driver.
+    named = [r["week"] for r in M.calendar(spark, *ends).select("week").distinct().orderBy("week").collect()] if ends[0] else []
+    sheet = cells.groupBy("event_type", "category").pivot("week", named).agg(F.max("cell"))
     rows = S.weeks_to_rows(sheet, ["event_type"], "category",
                            {"quantity": "Quantity", "defects": "Defects", "reported": "PPM"}, 1.0, M.PPM)
-    return rows.select("event_type", "week", *[wide(c).alias(c) for c in ("quantity", "defects", "reported")],
+    # A week without events leaves empty cells in the sheet.
+    return rows.where("quantity is not null").select("event_type", "week", *[wide(c).alias(c) for c in ("quantity", "defects", "reported")],
                        "well_formed", rounded("calculated").alias("calculated"), "agrees")
 
 
@@ -715,15 +798,15 @@ def reconciled_copy(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {query.__name__: query for query in (
     stage_raw_orders, project_by_name, typed_clean_orders, row_hashes_orders, staging_audit, clean_numeric_text,
     serial_dates, column_profile, quarantine_typed_values, quarantine_summary, quarantine_customers, exact_duplicates,
-    conflicting_keys, check_blank_keys, check_category_allowed, population_equation, control_totals,
+    flag_text, conflicting_keys, check_blank_keys, check_category_allowed, population_equation, population_unbalanced, control_totals,
     quality_report_orders, quality_verdict, non_negative_measures, relationship_orphans, orphan_keys,
-    relationship_cardinality, related_join, run_ledger_latest, row_count_movement, history_append, history_upsert,
+    relationship_one_to_one, relationship_cardinality, related_join, run_ledger_latest, row_count_movement, history_append, history_upsert,
     history_mark_inactive, history_physical_delete, history_snapshot, history_reactivate, history_replace_period,
     history_rerun, history_add_column, history_counts, archive_roundtrip, sum_totals, active_totals, average_guarded,
     weighted_rate, trend_by_date, latest_two_dates, period_change_rate, period_change_value, latest_snapshot_total,
     latest_snapshot_by_group, pareto_by_part, top_contributor, top_contributor_share, price_variance_total,
     price_variance_by_supplier, price_variance_by_type, top_contributor_abs_share, shortage_by_part,
-    lineage_drill_through, chart_points, filter_points, filter_options, kpi_package, declared_rule, calendar, heatmap, rolling_rate, growth_rate,
+    lineage_drill_through, chart_points, filter_points, filter_options, kpi_package, declared_rule, rule_chain, published_run, calendar, heatmap, rolling_rate, growth_rate,
     order_aging, actual_against_target, partial_period, insight_ranking, fill_down, weekly_rows, dimension_versions,
     dataset_drift, duplicate_content, reconciled_copy,
 )}

@@ -151,7 +151,13 @@ def _run(spark: SparkSession, project: Project, paths: Mapping[str, list[str]],
             {sid: s.rows_extracted for sid, s in outcome.sources.items()},
             [total for s in outcome.sources.values() for total in s.control_totals], project.template_version,
             any(not link.confirmed for link in project.relationships), demo_data)
-        outcome.package = build_package(spark, dashboard, views, facts, store.scratch(run_id))
+
+        def publish(name: str, frame: DataFrame) -> tuple[str, DataFrame]:
+            table = store.write_table(name, frame, number, run_id)
+            tables[name] = table
+            return table.path, store.read(table)
+
+        outcome.package = build_package(spark, dashboard, views, facts, publish)
     store.commit(base, number, run_id, tables)
     outcome.status = "COMPLETE"
 
@@ -185,7 +191,7 @@ def prepare_source(staged: Staged, store: Store, run_id: str) -> _Prepared:
     tagged.write.mode("overwrite").partitionBy("_status").parquet(tagged_path)
     tagged = spark.read.schema(tagged.schema).parquet(tagged_path)
 
-    facts = _settled_row(Q.source_facts(tagged, source))
+    facts = _settled_row(Q.source_facts(rows, tagged, source))
     counted = facts.first()
     checks += Q.as_rows(facts, Q.row_checks(source)).collect()
     result.rows_rejected, result.rows_filtered = counted["rejected_rows"], counted["filtered_rows"]

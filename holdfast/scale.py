@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,8 +14,6 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 # Largest number of narrow rows (two hashes and two numbers, about 100 bytes) sent to every executor.
 BROADCAST_ROWS = 250_000
-# Largest number of aggregated rows ordered by a single task.
-SINGLE_TASK_ROWS = 100_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -33,9 +32,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def settle(frame: DataFrame) -> DataFrame:
-    """Compute a frame once into the checkpoint folder and read it from there afterwards."""
-    checkpoint_folder(frame.sparkSession)
-    return frame.checkpoint()
+    """Write a frame once into the checkpoint folder and read it from there afterwards, column by column."""
+    path = f"{checkpoint_folder(frame.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def with_one_row(frame: DataFrame, row: DataFrame) -> DataFrame:
@@ -80,28 +80,20 @@ def lookup(rows: DataFrame, groups: DataFrame, on: Sequence[str], facts: Sequenc
         *[F.when(F.col("_hot"), F.col(f"_hot_{f}")).otherwise(F.col(f"_cold_{f}")).alias(f) for f in facts])
 
 
-def is_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a narrow frame may be broadcast: counts it, in parallel."""
-    return frame.count() <= rows
-
-
-def running_total(frame: DataFrame, value: str, order: Sequence[Column], name: str, *,
-                  single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def running_total(frame: DataFrame, value: str, order: Sequence[Column], name: str) -> DataFrame:
     """Sum of ``value`` over all rows up to and including this one, in a total order.
 
-    ``frame`` has been settled, so counting it is cheap. Few rows are ordered by one
-    task. Many rows are range-partitioned: each range sums its own rows and adds the
-    total of the ranges before it.
+    Rows are range-partitioned; each range sums its own rows and adds the total of the
+    ranges before it. As in a plain window, rows without a value add nothing and the sum
+    is NULL until the first value.
     """
-    up_to_here = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if frame.count() <= single_task_rows:
-        return frame.withColumn(name, F.sum(value).over(up_to_here))
+    up_to_here = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranges = settle(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    totals = ranges.groupBy("_range").agg(F.sum(value).alias("_range_total"))
+    totals = ranges.groupBy("_range").agg(F.sum(value).alias("_range_total"), F.count(value).alias("_range_values"))
     # One row per partition of the range exchange.
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_range", F.coalesce(F.sum("_range_total").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (ranges.join(F.broadcast(offsets), "_range")
-            .withColumn(name, F.sum(value).over(within) + F.col("_offset"))
-            .drop("_range", "_offset"))
+    earlier = [F.coalesce(F.sum(f"_range_{c}").over(before), F.lit(0)).alias(f"_earlier_{c}") for c in ("total", "values")]
+    running = F.coalesce(F.sum(value).over(up_to_here), F.lit(0)) + F.col("_earlier_total")
+    has_value = F.count(value).over(up_to_here) + F.col("_earlier_values") > 0
+    return (ranges.join(F.broadcast(totals.select("_range", *earlier)), "_range")
+            .withColumn(name, F.when(has_value, running)).drop("_range", "_earlier_total", "_earlier_values"))

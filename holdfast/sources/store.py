@@ -177,11 +177,15 @@ class Store:
         return self.spark.read.schema(schema).parquet(self._ledger(name))
 
 
+def newest_entries(ledger: DataFrame) -> DataFrame:
+    """Newest entry of each run, of all runs."""
+    return (ledger.withColumn("_at", F.struct("finished_at", "started_at"))
+            .groupBy("run_id").agg(F.max_by(F.struct(*ledger.columns), "_at").alias("r")).select("r.*"))
+
+
 def latest_runs(ledger: DataFrame, limit: int = 50) -> DataFrame:
     """Newest entry of each run, newest runs first; the limit is held between 1 and 200."""
-    newest = (ledger.withColumn("_at", F.struct("finished_at", "started_at"))
-              .groupBy("run_id").agg(F.max_by(F.struct(*ledger.columns), "_at").alias("r")).select("r.*"))
-    return newest.orderBy(F.desc_nulls_last("started_at"), "run_id").limit(max(1, min(limit, 200)))
+    return newest_entries(ledger).orderBy(F.desc_nulls_last("started_at"), "run_id").limit(max(1, min(limit, 200)))
 
 
 def checks_of_run(checks: DataFrame, run_id: str) -> DataFrame:

@@ -82,17 +82,29 @@ def test_report_balances_and_short_circuits(spark):
     assert tuple(Q.verdict(blocked).first()) == ("BLOCK", 1, 0, 2)
 
 
-def test_running_total_over_ranges_equals_single_task(spark):
+def test_a_lost_or_doubled_row_blocks(spark):
+    good = staged(spark, [("a", "2026-01-01", "1", "true"), ("b", "", "-1", ""), ("c", "2026-01-01", "4", "true")])
+    typed = T.read_rows(good.rows, ITEMS)
+    tagged = T.tag_counted(typed)
+    for wrong, rows, value in ((tagged.where("item <> 'c'"), "1", "4.0000"), (tagged.union(tagged.where("item = 'c'")), "-1", "-4.0000")):
+        report = {r.check_id.removeprefix("source.items."): (r.status, r.difference) for r in Q.source_report(
+            typed, T.repeated_keys(typed), wrong, ITEMS, good.present).collect()}
+        assert report["population.equation"] == ("BLOCK", rows) and report["control_total.qty"] == ("BLOCK", value)
+
+
+def test_running_total_equals_a_plain_window(spark):
+    """Ties, rows without a value, and ranges that hold nothing else; NULL until the first value."""
     pick = random.Random(3)
-    rows = [(f"g{i:04d}", pick.choice([0, 0, 0, pick.randrange(50)])) for i in range(500)]
-    frame = scale.settle(spark.createDataFrame(rows, "g string, v long"))
-    order = [F.desc("v"), F.asc("g")]
-    expected, total = {}, 0
-    for g, v in sorted(rows, key=lambda r: (-r[1], r[0])):
-        total += v
-        expected[g] = total
-    for limit in (10, 10_000):
-        got = scale.running_total(frame, "v", order, "running", single_task_rows=limit)
+    rows = [(f"g{i:04d}", pick.choice([0, 0, None, pick.randrange(50)])) for i in range(300)] + [(f"n{i}", None) for i in range(200)]
+    frame = spark.createDataFrame(rows, "g string, v long")
+    for order, ordered in (
+            ([F.desc_nulls_last("v"), F.asc("g")], sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))),
+            ([F.desc("g")], sorted(rows, key=lambda r: r[0], reverse=True))):
+        expected, total = {}, None
+        for g, v in ordered:
+            total = total if v is None else (total or 0) + v
+            expected[g] = total
+        got = scale.running_total(frame.repartition(7), "v", order, "running")
         assert {r.g: r.running for r in got.collect()} == expected
 
 
@@ -109,12 +121,12 @@ def test_relationships(spark):
         ("match", "BLOCK")]
 
 
-def test_profile_caps_distinct_values(spark):
+def test_profile_counts_all_distinct_values(spark):
     rows = [(str(i), "2026-01-01" if i % 2 else "2026-01-01 10:00", "1,5" if i % 3 else None, "x" if i else " ")
             for i in range(60)]
     profile = {r.column_name: r for r in column_profile(
-        spark.createDataFrame(rows, "a string, b string, c string, d string"), ["a", "b", "c", "d"], 50).collect()}
-    assert profile["a"].distinct_count is None and profile["a"].distinct_capped and not profile["a"].candidate_unique_key
+        spark.createDataFrame(rows, "a string, b string, c string, d string"), ["a", "b", "c", "d"]).collect()}
+    assert profile["a"].distinct_count == 60 and profile["a"].candidate_unique_key
     assert (profile["b"].date_like_text, profile["b"].distinct_count) == (60, 2)
     assert (profile["c"].nulls, profile["c"].number_like_text, profile["c"].distinct_count) == (20, 40, 1)
     assert (profile["d"].nulls, profile["d"].text) == (1, 59)

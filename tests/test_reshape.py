@@ -97,17 +97,32 @@ def test_quoted_values(spark, tmp_path):
         ("1", "2026-01-01", 'say "hi", twice', 2), ("2", None, "two\nlines", 3), ("3", "2026-01-03", "end", 4)]
 
 
-def test_price_variance_is_the_same_with_many_items(spark, monkeypatch):
-    buys = spark.createDataFrame([("a", "v", 10, 3), ("a", "w", 5, 2), ("b", "v", 7, 9), ("zz", "v", 1, 1)],
-                                 "item string, vendor string, q int, p int")
-    prices = spark.createDataFrame([("a", 2, "x"), ("b", 10, "y")], "item string, s int, kind string")
-
-    def run():
-        return sorted(tuple(r) for r in M.price_variance(
-            buys, prices, item="item", quantity=F.col("q").cast("decimal(18,4)"),
-            spend=(F.col("q") * F.col("p")).cast("decimal(18,4)"), standard_price=F.col("s").cast("decimal(18,4)"),
-            by_purchase=["vendor"], by_item=["kind"]).select("vendor", "kind", F.col("variance").cast("int")).collect())
-
-    few = run()
-    monkeypatch.setattr("holdfast.plans.metrics.is_small", lambda frame: False)
-    assert few == run() == [("v", "x", 10), ("v", "y", -7), ("w", "x", 0)]
+def test_price_variance_is_exact_for_large_quantities(spark):
+    buys = spark.createDataFrame([("a", "v", 10, 3), ("a", "w", 5, 2), ("b", "v", 7, 9), ("zz", "v", 1, 1)]
+                                 + [("c", "u", 90_000_000_000_000, 1)] * 40, "item string, vendor string, q long, p int")
+    prices = spark.createDataFrame([("a", 2, "x"), ("b", 10, "y"), ("c", 3, "x")], "item string, s int, kind string")
+    got = M.price_variance(
+        buys, prices, item="item", quantity=F.col("q").cast("decimal(18,4)"),
+        spend=(F.col("q") * F.col("p")).cast("decimal(22,4)"), standard_price=F.col("s").cast("decimal(18,4)"),
+        by_purchase=["vendor"], by_item=["kind"]).select("vendor", "kind", F.col("variance").cast("decimal(38,0)"))
+    assert sorted(tuple(r) for r in got.collect()) == [
+        ("u", "x", -2 * 40 * 90_000_000_000_000), ("v", "x", 10), ("v", "y", -7), ("w", "x", 0)]
+
+
+def test_rolling_and_growth_count_missing_periods(spark):
+    weeks = spark.createDataFrame([(0, 5), (1, 7), (8, 11), (9, 13)], "week int, v int")
+    rolled = M.rolling(weeks, F.col("week"), ["v"], 4).orderBy("week").collect()
+    assert [r.rolling_v for r in rolled] == [5, 12, 11, 24]
+    assert [r.change for r in M.growth(weeks, F.col("week"), "v").orderBy("week").collect()] == [None, 2, None, 2]
+
+
+def test_related_rows_without_a_key(spark):
+    left = spark.createDataFrame([(1, "a"), (2, None), (3, "z"), (4, None)], "id int, k string")
+    right = spark.createDataFrame([("a", "x"), (None, "n"), ("q", "y")], "k string, label string")
+
+    def rows(how):
+        return sorted((tuple(r) for r in M.related(left, right, [("k", "k")], how, ["label"]).collect()), key=repr)
+
+    assert rows("inner") == [(1, "a", "x")]
+    assert rows("left") == sorted([(1, "a", "x"), (2, None, None), (3, "z", None), (4, None, None)], key=repr)
+    assert rows("full") == sorted([*rows("left"), (None, None, "n"), (None, None, "y")], key=repr)

@@ -137,22 +137,28 @@ def test_archive_round_trip_empty_and_missing(spark, loaded, tmp_path):
         read_archive(spark, ORDERS, root, "missing")
 
 
-def test_chart_points_filter_and_overflow(spark, tmp_path, monkeypatch):
+def test_chart_points_are_a_table_and_a_page(spark, tmp_path):
     chart = Chart("c", "q", "Title", dimension="brand", unit="u", summary_format="{x}={y}")
     points = spark.createDataFrame([(f"b{i:02d}", float(i)) for i in range(60)], "x string, y double")
-    document = chart_document(points, chart)
-    assert len(document["series"][0]["points"]) == 60 and document["accessible_summary"].endswith("... 10 more points")
+
+    def publish(name, frame):
+        frame.write.parquet(str(tmp_path / name))
+        return str(tmp_path / name), spark.read.parquet(str(tmp_path / name))
+
+    document = chart_document(points.orderBy(F.desc("x")), chart, publish, page=55, spoken_points=2)
+    series = document["series"][0]
+    assert document["accessible_summary"] == "b59=59.0, b58=58.0, and 58 further points in the table"
+    assert series["point_count"] == 60 and [p["x"] for p in series["points"]] == [f"b{59 - i:02d}" for i in range(55)]
+    stored = spark.read.parquet(series["points_table"]).orderBy("position").collect()
+    assert [r.x for r in stored] == [f"b{59 - i:02d}" for i in range(60)]
+    empty = chart_document(points.limit(0), Chart("e", "q", "Title"), publish)
+    assert empty["series"][0]["point_count"] == 0 and empty["accessible_summary"] == "The chart is empty."
     chosen = {"brand": ["b01", "b02"]}
     shown = filter_points(points, chart, chosen)
     assert shown.count() == 2 and stale_points(shown, chart, chosen).count() == 0
     assert stale_points(points, chart, chosen).count() == 58
     assert filter_points(points, chart, {}).count() == 60 and filter_options(points, chart).count() == 60
 
-    monkeypatch.setattr("holdfast.plans.package.INLINE_POINTS", 55)
-    large = chart_document(points, chart, str(tmp_path / "points"))["series"][0]
-    assert "points" not in large and large["point_count"] == 60
-    assert spark.read.parquet(large["points_table"]).count() == 60
-
 
 def test_project_files_are_read(tmp_path):
     (tmp_path / "project.toml").write_text(
