@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from holdfast.spec import LINEAGE_COLUMNS, ROW_ORDER, Project, Source
 
-# Rows of one file are numbered below this, so file rank and row number fit one long.
-ROWS_PER_FILE = 1 << 40
+# Rows of one file are numbered below this, so that the ranks of 134 million files and row numbers fit one long.
+ROWS_PER_FILE = 1 << 36
 # A listing and a scan spell local paths with a different number of slashes.
 _LOCAL_FILE = re.compile("^file:/+")
 
