@@ -26,6 +26,8 @@ LEAST_TEXTS = 10
 LEAST_NEIGHBOURS = 0.25
 # Share of a line's tokens that may be variable besides fields with digits.
 MOST_VARIABLE = 0.1
+# Documents with lines to drop sent to every executor, about 60 bytes each; more are joined by a shuffle of the texts.
+BROADCAST_DOCUMENTS = 250_000
 
 
 def masked(line: Column) -> Column:
@@ -41,27 +43,29 @@ def _path(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, at, entries``, one row per line with a token; ``entries`` are all such lines of the text."""
+    """``doc_id, text_hash, line_no, line, path, before, after``: one row per line with a token, its leaf and the leaves
+    of the lines with tokens around it (0 for none)."""
     text = F.coalesce("text", F.lit(""))
     entries = F.filter(F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("line_no"), masked(line).alias("line"))),
                        lambda e: e["line"] != "")
+    none = F.array(F.lit(0).cast("long"))
+    # Neighbours are put beside each line before the rows are made, so a long document costs no more than its length.
     return (docs.select("doc_id", F.xxhash64(text).alias("text_hash"), entries.alias("entries"))
-            .withColumn("paths", F.transform("entries", lambda e: _path(e["line"]))))
+            .withColumn("paths", F.transform("entries", lambda e: _path(e["line"])))
+            .withColumns({"before": F.slice(F.concat(none, "paths"), F.lit(1), F.size("paths")),
+                          "after": F.slice(F.concat("paths", none), F.lit(2), F.size("paths"))})
+            .select("doc_id", "text_hash", F.inline(F.arrays_zip("entries", "paths", "before", "after")))
+            .select("doc_id", "text_hash", "entries.line_no", "entries.line", F.col("paths").alias("path"), "before", "after"))
 
 
 def template_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, most_variable: float = MOST_VARIABLE) -> DataFrame:
     """``doc_id, text_hash, line_no, before, after, template`` of the lines whose leaf has ``least_texts`` texts."""
-    spread = _lines(docs).select("doc_id", "text_hash", "paths", F.posexplode("entries").alias("at", "entry"))
-    beside = lambda step: F.coalesce(F.get("paths", F.col("at") + step), F.lit(0))
-    lines = stored(spread.select(
-        "doc_id", "text_hash", F.col("entry.line_no").alias("line_no"), F.get("paths", F.col("at")).alias("path"),
-        F.xxhash64("entry.line").alias("form"), beside(-1).alias("before"), beside(1).alias("after")), "lines")
+    lines = stored(_lines(docs).withColumn("form", F.xxhash64("line")), "lines")
     leaves = stored(lines.select("path", "text_hash").distinct().groupBy("path").agg(F.count("*").alias("texts"))
                     .where(F.col("texts") >= least_texts), "leaves")
 
     # The words are needed once per different line of those leaves.
-    worded = spread.select(F.get("paths", F.col("at")).alias("path"), F.col("entry.line").alias("line"))
-    forms = worded.join(leaves, "path", "left_semi").groupBy("path", "line").agg(F.lit(1).alias("one"))
+    forms = lines.select("path", "line").join(leaves, "path", "left_semi").groupBy("path", "line").agg(F.lit(1).alias("one"))
     counts = lines.select("form", "text_hash").distinct().groupBy("form").agg(F.count("*").alias("texts"))
     forms = stored(forms.withColumn("form", F.xxhash64("line")).join(counts, "form")
                    .select("path", "form", "line", "texts"), "forms")
@@ -109,6 +113,8 @@ def drop_recurring_lines(docs: DataFrame, **options) -> DataFrame:
     are treated alike. An empty table gives no rows.
     """
     drops = stored(recurring_lines(docs, **options), "drops")
+    if drops.count() <= BROADCAST_DOCUMENTS:
+        drops = F.broadcast(drops)
     own_hash = F.xxhash64(F.coalesce(docs.text, F.lit("")))
     joined = docs.join(drops, docs.doc_id.eqNullSafe(drops.doc_id) & (own_hash == drops.text_hash), "left")
     lines = F.split(docs.text, "\n")
