@@ -28,6 +28,8 @@ LEAST_NEIGHBOURS = 0.25
 MOST_VARIABLE = 0.1
 # Documents with lines to drop sent to every executor, about 60 bytes each; more are joined by a shuffle of the texts.
 BROADCAST_DOCUMENTS = 250_000
+# Leaves with recurring lines sent likewise, 16 bytes each; more are met by a shuffle of the lines.
+BROADCAST_LEAVES = 500_000
 
 
 def masked(line: Column) -> Column:
@@ -63,10 +65,13 @@ def template_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, most_variabl
     lines = stored(_lines(docs).withColumn("form", F.xxhash64("line")), "lines")
     leaves = stored(lines.select("path", "text_hash").distinct().groupBy("path").agg(F.count("*").alias("texts"))
                     .where(F.col("texts") >= least_texts), "leaves")
+    if leaves.count() <= BROADCAST_LEAVES:
+        leaves = F.broadcast(leaves)
+    shared = lines.join(leaves, "path", "left_semi")
 
     # The words are needed once per different line of those leaves.
-    forms = lines.select("path", "line").join(leaves, "path", "left_semi").groupBy("path", "line").agg(F.lit(1).alias("one"))
-    counts = lines.select("form", "text_hash").distinct().groupBy("form").agg(F.count("*").alias("texts"))
+    forms = shared.groupBy("path", "line").agg(F.lit(1).alias("one"))
+    counts = shared.select("form", "text_hash").distinct().groupBy("form").agg(F.count("*").alias("texts"))
     forms = stored(forms.withColumn("form", F.xxhash64("line")).join(counts, "form")
                    .select("path", "form", "line", "texts"), "forms")
     tokens = forms.select("path", "form", "texts", F.posexplode(F.split("line", " ")).alias("place", "token"))
@@ -81,9 +86,9 @@ def template_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, most_variabl
         .withColumn("general", F.col("variable") <= F.size("parts") * most_variable))
     # A line with too many variable tokens is a template of its own.
     template = F.when(F.col("general"), F.xxhash64("path", "parts.token")).otherwise(F.xxhash64("path", "form"))
-    sizes = lines.groupBy("form").agg(F.count("*").alias("lines"))
+    sizes = shared.groupBy("form").agg(F.count("*").alias("lines"))
     templates = stored(built.select("form", template.alias("template")).join(sizes, "form"), "templates")
-    rows = lines.select("doc_id", "text_hash", "line_no", "before", "after", "form",
+    rows = shared.select("doc_id", "text_hash", "line_no", "before", "after", "form",
                         F.xxhash64("doc_id", "text_hash", "line_no").alias("row"))
     found = lookup(rows, templates, ["form"], ["template"], size="lines", row_id="row")
     return stored(found.where("template is not null").drop("form", "row"), "template-lines")
