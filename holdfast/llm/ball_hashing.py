@@ -4,10 +4,14 @@ Two fingerprints differ in at most two bits exactly when some value lies within
 fingerprint emits the 65 values within one bit; those that meet at a value are linked. At most 65 distinct
 fingerprints can meet at one, whatever the data, and all of them lie within two bits of each other, so linking each to
 the least of them keeps every group and emits no pairs. Copies share a fingerprint and are never expanded.
+
+``similar_documents`` groups by similarity instead: texts meet in buckets of min-hashes of their word shingles, and those
+that meet are compared by their whole shingle sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -15,28 +19,43 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from holdfast.llm.components import components
-from holdfast.llm.scratch import small_batches, stored
+from holdfast.llm.scratch import once, small_batches, stored
 from holdfast.scale import lookup
 
 SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 2
+# Similar documents: words of a shingle, and the share of two texts' shingles that both must have.
+SIMILAR_WORDS = 5
+LEAST_SIMILARITY = 0.8
+# Texts meet if all min-hashes of a bucket are equal: 1 - (1 - 0.8 ** 4) ** 20 = 99.997 % of pairs at 0.8, more above.
+BUCKETS = 20
+BUCKET_HASHES = 4
+# Texts to compare sent to every executor by their hash, 8 bytes each; more are met by a shuffle of the texts.
+BROADCAST_TEXTS = 500_000
 # Shingles counted at once: 64 bytes each.
 BLOCK = 1 << 14
 LOWER_CASE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: bytes | None, size: int = SHINGLE_WORDS) -> int:
-    """Signed 64-bit SimHash of UTF-8 text; 0 without words."""
+def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
+    """64-bit hashes of the runs of ``size`` words of UTF-8 text; of all words if they are fewer, none without words."""
     # bytes.split() cuts at [\x20\x09-\x0D] and nowhere else.
     words = (text or b"").translate(LOWER_CASE).split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8")
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8")
+
+
+def fingerprint(text: bytes | None, size: int = SHINGLE_WORDS) -> int:
+    """Signed 64-bit SimHash of UTF-8 text; 0 without words."""
+    hashes = shingle_hashes(text, size)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for start in range(0, len(hashes), BLOCK):
         block = hashes[start:start + BLOCK].view(np.uint8).reshape(-1, 8)
@@ -71,6 +90,18 @@ def links(distinct: DataFrame) -> DataFrame:
             .select(F.col("fp").alias("a"), F.col("least").alias("b")))
 
 
+def _classes(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (``doc_id, text_hash, fp``) with ``component_id`` and ``root``, from the roots of nodes ``fp``."""
+    rooted = stored(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")),
+                    "rooted")
+    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("rows")).where("rows > 1")
+    groups = stored(rooted.join(firsts, "root").select("fp", "root", "component_id", "n"), "classes")
+    found = lookup(rows.withColumn("row", F.monotonically_increasing_id()), groups, ["fp"], ["component_id", "root"],
+                   size="n", row_id="row")
+    return found.select("doc_id", "text_hash", "fp", F.when(F.col("root").isNotNull(), F.col("component_id"))
+                        .otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per input row: ``doc_id, text_hash, fp, component_id, root``.
 
@@ -81,26 +112,106 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = stored(fingerprints(docs), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
-    roots = components(links(nodes)).withColumnRenamed("node", "fp")
-    rooted = stored(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("rows")).where("rows > 1")
-    groups = stored(rooted.join(firsts, "root").select("fp", "root", "component_id", "n"), "classes")
-    found = lookup(rows.withColumn("row", F.monotonically_increasing_id()), groups, ["fp"], ["component_id", "root"],
-                   size="n", row_id="row")
-    return found.select("doc_id", "text_hash", "fp", F.when(F.col("root").isNotNull(), F.col("component_id"))
-                        .otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return _classes(rows, nodes, components(links(nodes)))
+
+
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    pick = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BUCKETS * BUCKET_HASHES, 1), dtype=np.uint64)
+    return pick[0], pick[1] | np.uint64(1)
+
+
+def bucket_hashes(shingles: np.ndarray) -> np.ndarray:
+    """Signed 64-bit names of the buckets of a set of shingle hashes; none for an empty set."""
+    if not len(shingles):
+        return np.empty(0, dtype=np.int64)
+    flip, odd = once(("min-hashes",), _multipliers)
+    least = np.full(len(odd), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for start in range(0, len(shingles), BLOCK // 4):
+        np.minimum(least, ((shingles[start:start + BLOCK // 4] ^ flip) * odd).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(BUCKETS, -1))],
+                    dtype=np.uint64).view(np.int64)
+
+
+@F.pandas_udf(StructType([StructField("fp", LongType()), StructField("buckets", ArrayType(LongType()))]))
+def _buckets(texts: pd.Series) -> pd.DataFrame:
+    sets = [np.unique(shingle_hashes(t, SIMILAR_WORDS)) for t in texts]
+    names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+    return pd.DataFrame({"fp": names, "buckets": [bucket_hashes(s) for s in sets]})
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _shingle_sets(texts: pd.Series) -> pd.Series:
+    return pd.Series([np.unique(shingle_hashes(t, SIMILAR_WORDS)).view(np.int64) for t in texts])
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``fp, shingles`` of the nodes ``wanted`` (``fp, text_hash``), from one text each."""
+    if wanted.count() <= BROADCAST_TEXTS:
+        wanted = F.broadcast(wanted)
+    text = F.coalesce("text", F.lit(""))
+    texts = (docs.select(F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).join(wanted, "text_hash")
+             .groupBy("fp").agg(F.first("text").alias("text")))
+    return stored(texts.select("fp", _shingle_sets("text").alias("shingles")), "shingles")
+
+
+def similar_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (``a, b``) whose shingle sets have a Jaccard similarity of ``LEAST_SIMILARITY`` or more."""
+    of = {side: sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"of_{side}")) for side in "ab"}
+    both = pairs.join(of["a"], "a").join(of["b"], "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    # In whole numbers, so that a similarity of exactly the least one counts.
+    enough = shared * 100 >= (F.size("of_a") + F.size("of_b") - shared) * round(LEAST_SIMILARITY * 100)
+    return both.where(enough).select("a", "b")
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """Like ``near_duplicates``, but linked are texts of which ``LEAST_SIMILARITY`` of the five-word shingles are shared.
+
+    ``fp`` names a set of shingles. Sets that meet in a bucket are compared whole, but for those that are in one component
+    already: the first with all others, then the next two, the next four and so on, until a bucket is one component or
+    all of it was compared. So a large group of near copies costs a comparison or few per member and no link is left out.
+    """
+    small_batches(docs.sparkSession)
+    text = F.coalesce("text", F.lit(""))
+    rows = stored(docs.select("doc_id", F.xxhash64(text).alias("text_hash"), _buckets(text.cast("binary")).alias("found"))
+                  .select("doc_id", "text_hash", "found.*"), "buckets")
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"),
+                                          F.min("text_hash").alias("text_hash"), F.first("buckets").alias("buckets")), "nodes")
+    met = Window.partitionBy("bucket")
+    members = stored(nodes.select("fp", F.explode("buckets").alias("bucket"))
+                     .withColumns({"size": F.count("*").over(met)}).where("size > 1")
+                     .withColumn("place", F.row_number().over(met.orderBy(F.xxhash64("fp", "bucket"), "fp"))), "members")
+    sets = _sets(docs, stored(members.select("fp").distinct().join(nodes.select("fp", "text_hash"), "fp"), "wanted"))
+    roots = rows.limit(0).select(F.col("fp").alias("node"), F.col("fp").alias("root"))
+    found, first = None, 1
+    members = members.withColumn("root", F.col("fp"))
+    while not members.isEmpty():
+        others = members.where(F.col("place").between(first, 2 * first - 1)).select(
+            "bucket", F.col("place").alias("at"), F.col("fp").alias("other"), F.col("root").alias("other_root"))
+        pairs = (members.join(others, "bucket").where("place > at and root <> other_root")
+                 .select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct())
+        new = stored(similar_links(pairs, sets), "links")
+        found = new if found is None else found.unionByName(new)
+        roots = stored(components(found), "roots")
+        first *= 2
+        # Buckets go on that have sets left to be first and are not one component yet.
+        rooted = (members.where(F.col("size") > first).drop("root")
+                  .join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+        members = stored(rooted.withColumns({"low": F.min("root").over(met), "high": F.max("root").over(met)})
+                         .where("low <> high").drop("low", "high"), "members")
+    return _classes(rows.drop("buckets"), nodes.drop("buckets", "text_hash"), roots)
 
 
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
+def one_of_each_group(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest ``doc_id``, NULL last.
 
     Of rows that share that id the one with the smallest text hash stays, and of repeated rows one.
     """
-    classes = near_duplicates(docs)
+    classes = grouped(docs)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     first = (classes.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
              .groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), rank).alias("stay")))

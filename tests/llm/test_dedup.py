@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from conftest import prose
 from conftest_data import frame_rows
 from holdfast.llm import ball_hashing, chunk_dedup, suffix_order
 from holdfast.llm.components import components
@@ -92,6 +95,61 @@ def test_one_of_each_group(docs, texts):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in linked(texts)}
 
 
+def five_word_sets(texts):
+    sets = []
+    for t in texts:
+        words = "".join(c.lower() if c < "\x80" else c for c in t or "").split()
+        sets.append(frozenset(" ".join(words[i:i + 5]) for i in range(max(len(words) - 4, 0))) or frozenset([" ".join(words)] * bool(words)))
+    return sets
+
+
+def similar_roots(texts):
+    """Per text the number of the first text it is linked to by a Jaccard similarity of 0.8 or more."""
+    sets, parent = five_word_sets(texts), list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 10 * shared >= 8 * len(sets[i] | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))]
+
+
+def edited(seed: int, words: list[str], edits: int) -> str:
+    pick, words = random.Random(seed), list(words)
+    for at in pick.sample(range(len(words)), edits):
+        words[at] = f"edit{seed}x{at}"
+    return " ".join(words)
+
+
+def test_near_duplicates_stage_reaches_its_similarity(spark):
+    """Copies with scattered edits differ by more than two bits; chains of copies and a large family are one group each."""
+    own = [prose(1000 + i, 300).split() for i in range(30)]
+    texts = [" ".join(w) for w in own] + [edited(i, w, 2 + i % 6) for i, w in enumerate(own)]
+    family = prose(2000, 300).split()
+    texts += [edited(100 + i, family, 3) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == set(similar_roots(texts))
+    assert len(kept) < 40
+
+
+def test_similar_documents(docs, texts, no_docs):
+    found = ball_hashing.similar_documents(docs)
+    roots = similar_roots([t for _, t in texts])
+    ids = defaultdict(list)
+    for (i, _), r in zip(texts, roots):
+        ids[r].append(i)
+    least = {r: min((m for m in own if m is not None), default=None) for r, own in ids.items()}
+    assert frame_rows(found, ["doc_id", "component_id"]) == sorted(((i, least[r]) for (i, _), r in zip(texts, roots)), key=repr)
+    assert ball_hashing.similar_documents(no_docs).count() == 0
+
+
 def test_links_at_one_and_two_bits(spark):
     prints = [0, 1, 3, 7, 1 << 63, (1 << 63) | (1 << 62), 0b11111 << 20]
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
