@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import prose
 from conftest_data import frame_rows
 from holdfast.llm import line_templates, positional_index, weak_labels
 
@@ -142,6 +143,30 @@ def test_words_that_vary_share_a_template(spark):
     assert {r["n_dropped"] for r in line_templates.drop_recurring_lines(moved).collect()} == {1}
 
 
+def own_prose(seed: int) -> str:
+    return prose(seed, 25) + "\n" + prose(seed + 5000, 25)
+
+
+def test_whole_block_of_boilerplate_goes(spark):
+    """Inner lines of a block have one pair of neighbours, the last line ends the text."""
+    block = [f"{prose(77 + i, 6)} clause" for i in range(6)]
+    texts = ["\n".join([own_prose(3000 + i), *block]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = line_templates.drop_recurring_lines(docs).collect()
+    assert {r["doc_id"]: r["text"] for r in found} == {i: own_prose(3000 + i) for i in range(40)}
+
+
+def test_family_of_copies_counts_once(spark):
+    """A line of 15 unrelated texts and 120 edited copies goes everywhere; the other lines of the copies stay."""
+    line = "please subscribe to our letter here"
+    family = [prose(4000 + i, 12) for i in range(12)]
+    texts = ["\n".join([prose(4100 + i, 40), line, prose(4200 + i, 40)]) for i in range(15)]
+    texts += ["\n".join([*family[:6], line, *family[6:], f"written down here as {prose(4300 + i, 1)}{'x' * (i % 7)}"]) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs).collect()}
+    assert found == {i: t.replace(line + "\n", "") for i, t in enumerate(texts)}
+
+
 @pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="test tables are not here")
 def test_quality_agrees_with_labels(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
