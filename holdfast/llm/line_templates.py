@@ -3,7 +3,7 @@
 A line's fields with digits become ``<*>``. The tree has fixed depth: its first level is the number of tokens, the next
 ones are the leading tokens, so each line reaches its leaf by itself and leaves need no order of arrival. In a leaf a
 token is constant at its place when enough documents have it there and variable otherwise; lines with few variable
-tokens share the template that has ``<*>`` for them. A template that recurs in many documents and between different
+tokens (in short lines one, beside enough constant ones) share the template that has ``<*>`` for them. A template that recurs in many documents and between different
 neighbours is boilerplate, and its lines are dropped.
 
 The neighbours tell boilerplate from copies: a copied document brings its lines' neighbours along, while a licence or
@@ -35,6 +35,8 @@ KEY_HASHES = 3
 BROADCAST_TEXTS = 500_000
 # Share of a line's tokens that may be variable besides fields with digits.
 MOST_VARIABLE = 0.1
+# In shorter lines one token may be, if this many are constant.
+LEAST_CONSTANT = 4
 # Documents with lines to drop sent to every executor, about 60 bytes each; more are joined by a shuffle of the texts.
 BROADCAST_DOCUMENTS = 250_000
 # Leaves with recurring lines sent likewise, 16 bytes each; more are met by a shuffle of the lines.
@@ -91,8 +93,10 @@ def template_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, most_variabl
     parts = F.struct("place", F.when(constant, F.col("token")).otherwise(F.lit(VARIABLE)).alias("token"))
     built = (known.groupBy("path", "form").agg(
         F.array_sort(F.collect_list(parts)).alias("parts"),
-        F.sum(F.when(constant | (F.col("token") == VARIABLE), 0).otherwise(1)).alias("variable"))
-        .withColumn("general", F.col("variable") <= F.size("parts") * most_variable))
+        F.sum(F.when(constant | (F.col("token") == VARIABLE), 0).otherwise(1)).alias("variable"),
+        F.sum(F.when(constant & (F.col("token") != VARIABLE), 1).otherwise(0)).alias("constant"))
+        .withColumn("general", (F.col("variable") <= F.size("parts") * most_variable)
+                    | ((F.col("variable") == 1) & (F.col("constant") >= LEAST_CONSTANT))))
     # A line with too many variable tokens is a template of its own.
     template = F.when(F.col("general"), F.xxhash64("path", "parts.token")).otherwise(F.xxhash64("path", "form"))
     sizes = shared.groupBy("form").agg(F.count("*").alias("lines"))

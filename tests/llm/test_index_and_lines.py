@@ -167,6 +167,17 @@ def test_family_of_copies_counts_once(spark):
     assert found == {i: t.replace(line + "\n", "") for i, t in enumerate(texts)}
 
 
+def test_short_line_with_a_name_shares_a_template(spark):
+    names = ["anna", "bert", "cleo", "dora", "emil", "fritz", "gina", "hugo", "ida", "jan", "karl", "lena", "max", "nora"]
+    texts = [f"{prose(4400 + i, 30)}\nshare this on {name} now\n{prose(4500 + i, 30)}" for i, name in enumerate(names)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = line_templates.drop_recurring_lines(docs).collect()
+    assert [r["n_dropped"] for r in found] == [1] * len(names) and not any("share this" in r["text"] for r in found)
+    few = [t.replace("share this on ", "share this ") for t in texts]
+    docs = spark.createDataFrame(list(enumerate(few)), "doc_id long, text string")
+    assert {r["n_dropped"] for r in line_templates.drop_recurring_lines(docs).collect()} == {0}
+
+
 @pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="test tables are not here")
 def test_quality_agrees_with_labels(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
