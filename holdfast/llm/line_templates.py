@@ -142,7 +142,7 @@ def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_neigh
         .withColumn("drop", F.col("neighbours") >= F.greatest(F.lit(least_texts), F.col("texts") * least_neighbours)), "counted")
     rows = lines.withColumn("row", F.xxhash64("doc_id", "text_hash", "line_no"))
     marked = stored(lookup(rows, counted, ["template"], ["drop"], size="lines", row_id="row")
-                    .where("drop is not null").select("doc_id", "text_hash", "line_no", "template", "drop", "row"), "marked")
+                    .where("drop is not null").select("doc_id", "text_hash", "line_no", "template", "drop"), "marked")
     in_doubt = stored(marked.where("not drop").select("template", "text_hash").distinct(), "in-doubt")
     dropped = marked.where("drop")
     if not in_doubt.isEmpty():
@@ -151,8 +151,9 @@ def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_neigh
         recurring = own.groupBy("template").agg(F.count_distinct("class").alias("classes")).where(F.col("classes") >= least_texts)
         facts = stored(recurring.join(counted.select("template", "lines"), "template")
                        .select("template", "lines", F.lit(True).alias("recurs")), "recurring")
-        found = lookup(marked.where("not drop"), facts, ["template"], ["recurs"], size="lines", row_id="row")
-        dropped = dropped.unionByName(found.where("recurs").drop("recurs"))
+        doubtful = marked.where("not drop").withColumn("row", F.xxhash64("doc_id", "text_hash", "line_no"))
+        found = lookup(doubtful, facts, ["template"], ["recurs"], size="lines", row_id="row")
+        dropped = dropped.unionByName(found.where("recurs").drop("recurs", "row"))
     return dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("line_nos"))
 
 
