@@ -169,7 +169,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     ``fp`` names a set of shingles. Sets that meet in a bucket are compared whole, but for those that are in one component
     already: the first with all others, then the next two, the next four and so on, until a bucket is one component or
-    all of it was compared. So a large group of near copies costs a comparison or few per member and no link is left out.
+    all of it was compared. No link within a bucket is left out; a bucket of many sets that do not become one component costs
+    comparisons by the square of its size.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
