@@ -54,4 +54,31 @@ SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed,
 FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
 """
 
-ORACLES = {"op1_warc_bundles": OP1, "op2_positional_index": OP2, "op7_chunk_recipes": OP7, "op8_suffix_order": OP8}
+# CRC-32 by its polynomial, a bit at a time; the rest follows the definition, prefix by prefix.
+OP13 = """
+WITH src AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+orig AS (SELECT conv_id, list({'k': strlen(role) || ':' || role || text, 'n': strlen(text)} ORDER BY turn NULLS FIRST, role, text) AS turns
+    FROM src GROUP BY conv_id),
+fam AS (SELECT conv_id, turns, conv_id - conv_id % 5 AS head, xor(list_reduce(
+    list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+        lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 9 AS h FROM orig),
+built AS (SELECT f.conv_id, list_concat(coalesce(list_slice(o.turns, 1, f.h), []), list_slice(f.turns, f.h + 1, len(f.turns))) AS turns
+    FROM fam f LEFT JOIN orig o ON o.conv_id = f.head),
+pre AS (SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns FROM built),
+nodes AS (SELECT depth, list_slice(turns, 1, depth) AS p, min(conv_id) AS conv_id, count(*) AS n_convs,
+        string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = depth) AS ends, max(len(turns)) = depth AS leaf
+    FROM pre GROUP BY 1, 2),
+up AS (SELECT n.*, unnest(range(0, depth + 1)) AS d FROM nodes n),
+sums AS (SELECT d AS depth, list_slice(p, 1, d) AS p, sum(CAST(leaf AS BIGINT)) AS n_leaves,
+        sum(CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * p[depth].n END) AS saved_tokens,
+        sum(CASE WHEN depth = d + 1 THEN 1 ELSE 0 END) AS n_children
+    FROM up GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, CAST(s.n_children AS BIGINT) AS n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.depth = n.depth AND s.p = n.p
+LEFT JOIN nodes q ON q.depth = n.depth - 1 AND q.p = list_slice(n.p, 1, n.depth - 1)
+"""
+
+ORACLES = {"op1_warc_bundles": OP1, "op2_positional_index": OP2, "op7_chunk_recipes": OP7, "op8_suffix_order": OP8,
+           "op13_conversation_trie": OP13}
