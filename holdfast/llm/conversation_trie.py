@@ -91,7 +91,7 @@ def _width(block: int) -> int:
     return FIRST_BLOCK if block == 0 else NEXT_BLOCKS
 
 
-def in_blocks(turns: DataFrame, lengths: DataFrame) -> tuple[str, int]:
+def in_blocks(turns: DataFrame, lengths: DataFrame) -> tuple[DataFrame, int]:
     """A table of ``block, conv_id, length, turns`` (id and bytes in order), and the number of blocks.
 
     Every conversation has a row in block 0, those without turns too.
@@ -102,9 +102,10 @@ def in_blocks(turns: DataFrame, lengths: DataFrame) -> tuple[str, int]:
     whole = lengths.withColumn("block", F.explode(F.sequence(
         F.lit(0), F.greatest(F.lit(0), F.ceil((F.col("length") - FIRST_BLOCK) / NEXT_BLOCKS)).cast("int"))))
     path = new_folder(turns.sparkSession, "blocks")
-    whole.join(parts, ["conv_id", "block"], "left").write.partitionBy("block").parquet(path)
+    placed = whole.join(parts, ["conv_id", "block"], "left")
+    placed.write.partitionBy("block").parquet(path)
     longest = lengths.agg(F.max("length").alias("n")).first().n or 0
-    return path, 1 + max(0, -(-(longest - FIRST_BLOCK) // NEXT_BLOCKS))
+    return turns.sparkSession.read.schema(placed.schema).parquet(path), 1 + max(0, -(-(longest - FIRST_BLOCK) // NEXT_BLOCKS))
 
 
 def _turn_columns(width: int) -> list[str]:
@@ -147,11 +148,9 @@ def _as_columns(parts: DataFrame, width: int) -> DataFrame:
                         *[at(i, "bytes").alias(f"b{i + 1}") for i in range(width)])
 
 
-def blocks(path: str, n_blocks: int, lengths: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def blocks(table: DataFrame, n_blocks: int) -> tuple[list[DataFrame], DataFrame]:
     """Nodes of each block, and ``conv_id, depth, node``: where each conversation ends."""
-    spark, found, ends = lengths.sparkSession, [], []
-    table = spark.read.parquet(path)
-    nodes_of = None
+    found, ends, nodes_of = [], [], None
     for block in range(n_blocks):
         width, end = _width(block), _start(block) + _width(block)
         parts = table.where(F.col("block") == block).drop("block")
@@ -247,9 +246,7 @@ def prefix_nodes(conversations: DataFrame) -> DataFrame:
     ends in the root. An empty table has no node, not even a root. Other columns are ignored.
     """
     turns, lengths = rebuilt(conversations)
-    lengths = stored(lengths, "lengths")
-    path, n_blocks = in_blocks(turns, lengths)
-    found, ends = blocks(path, n_blocks, lengths)
+    found, ends = blocks(*in_blocks(turns, stored(lengths, "lengths")))
     nodes = stored(with_subtrees(found), "trie")
     # The first nodes of a later block hang from the node that keys them; all others look up the node above.
     children = nodes.where("above IS NOT NULL").groupBy("block", "node", "above").agg(F.count("*").alias("n_below"))
