@@ -16,9 +16,11 @@ per batch of texts. A link is a pair of tokens that share bytes.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -29,17 +31,19 @@ from holdfast.llm.scratch import once, small_batches, stored
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # A pair is one number: A id times this plus B id.
-IDS_B = 1 << 20
+IDS_B = 1 << 18
+PAIR_BITS = 36
 BUCKETS = 64
 # Lists or vectors merged at once: the tree's fan-in.
 FAN_IN = 16
 # Pairs a task holds before it writes them, and pairs sent to the tasks at once: 25 bytes each.
 MOST_HELD, MOST_SENT = 1_000_000, 4_000_000
-# Segments a task remembers, about 500 bytes each; longer ones are not kept.
-MOST_SEGMENTS, LONGEST_KEPT = 60_000, 60
+# Segments a task remembers, about 500 bytes each, and their characters; one batch of texts may add to either.
+MOST_SEGMENTS, MOST_CHARS = 200_000, 8_000_000
 # Bits per key and level of the hash.
 SPACE = 1.25
-ADJACENT_SPACE = re.compile(r"\s\s|^\s|\s$")
+# Texts that the faster encoder may have: below U+0250 the classes of characters have long been settled.
+COMMON = re.compile("[\x00-\u024f]*")
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -51,33 +55,74 @@ def _public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Segment:
-    """A segment's alignment: ids, groups as text, number of groups, links with repeats and distinct ones."""
+def _flat(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of numbers one after the other, and where each begins (one more at the end)."""
+    starts = np.zeros(len(parts) + 1, dtype=np.int64)
+    np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)), out=starts[1:])
+    return np.fromiter(chain.from_iterable(parts), np.int64, int(starts[-1])), starts
 
-    __slots__ = ("a", "b", "groups", "n_groups", "links", "pairs")
 
-    def __init__(self, a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]):
-        self.a, self.b, links, groups = len(a), len(b), [], []
-        i = j = from_a = from_b = 0
-        while i < len(a) and j < len(b):
-            links.append(a[i] * IDS_B + b[j])
-            if ends_a[i] == ends_b[j]:
-                i, j = i + 1, j + 1
-                groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                from_a, from_b = i, j
-            elif ends_a[i] < ends_b[j]:
-                i += 1
-            else:
-                j += 1
-        self.groups, self.n_groups = ";".join(groups), len(groups)
-        self.links = np.array(links, dtype=np.int64)
-        self.pairs = np.unique(self.links)
+def _gathered(values: np.ndarray, starts: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The picked lists of ``_flat`` one after the other, and the number of values of each."""
+    sizes = starts[picks + 1] - starts[picks]
+    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return values[np.repeat(starts[picks], sizes) + within], sizes
+
+
+def _of_lists(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sum of each list of ``_flat``."""
+    upto = np.concatenate([[0], np.cumsum(values)])
+    return upto[starts[1:]] - upto[starts[:-1]]
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def _tallied(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
+    return values[first], np.diff(first, append=len(values))
+
+
+class Numbers(dict):
+    """A number for every new key, in the order in which they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+def _ranks(path: str, bytes_a: list[bytes]) -> Callable[[str], list[int]] | None:
+    """A faster encoder of the same ids for texts below U+0250, whose letters and digits no library sees differently.
+
+    None unless the file has plain byte-level BPE whose ids follow its merges.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
+    cutter, ids = model.get("pre_tokenizer") or {}, model["model"]["vocab"]
+    in_order = all(ids.get(x + y) == 256 + k for k, (x, y) in enumerate(merges))
+    if model.get("normalizer") or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not in_order:
+        return None
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                             mergeable_ranks={bytes_a[i]: i for i in range(256 + len(merges))}).encode_ordinary
 
 
 class Aligner:
-    """Both tokenizers, the bytes of their tokens and the segments met lately."""
+    """Both tokenizers, the bytes of their tokens, and the alignments of the segments met lately.
 
-    def __init__(self, path_a: str, path_b: str):
+    Segment ``i`` has the counts ``sums[:, i]`` (tokens of A and of B, groups, links), the links ``links[starts[i]:
+    starts[i + 1]]`` and, if ``texts`` are asked for, its groups as ``texts[i]``.
+    """
+
+    def __init__(self, path_a: str, path_b: str, with_texts: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -98,75 +143,117 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
+        self.ranked = _ranks(path_a, self.bytes_a)
+        self.length_a, self.length_b = (np.array([len(x) for x in raw], dtype=np.int64) for raw in (self.bytes_a, self.bytes_b))
         # Texts may be cut before a space only if no piece holds a space after something else.
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.kept: dict[str, Segment | None] = {}
-
-    def _aligned(self, text: str, a: list[int], b: list[int]) -> Segment | None:
-        raw_a, raw_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        whole = b" " + text.encode()
-        if b"".join(raw_a) != whole or b"".join(raw_b) != whole:
-            return None
-        return Segment(a, b, np.cumsum([len(x) for x in raw_a]).tolist(), np.cumsum([len(x) for x in raw_b]).tolist())
-
-    def segments(self, texts: list[str]) -> list[Segment | None]:
-        """Alignments of texts, a space before each; None where a tokenizer doesn't give the text back."""
-        new = [t for t in texts if t not in self.kept]
-        if len(self.kept) + len(new) > MOST_SEGMENTS:
-            self.kept.clear()
-            new = texts
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in new], add_special_tokens=False)]
-        made = dict(zip(new, map(self._aligned, new, ids_a, self.b.encode(new, num_threads=1) if new else [])))
-        self.kept |= {t: s for t, s in made.items() if len(t) <= LONGEST_KEPT}
-        return [made[t] if t in made else self.kept[t] for t in texts]
-
-    def cut(self, text: str) -> list[str]:
-        """Segments of a text, without the space each begins with."""
-        if not self.cuts:
-            return [text]
-        return CUT.split(text) if ADJACENT_SPACE.search(text) else text.split(" ")
-
-
-def aligned(texts: Iterable[str | None], aligner: Aligner) -> tuple[list[np.ndarray], list[Segment]]:
-    """The texts as indices of distinct segments; none for texts that are empty or not given back by a tokenizer."""
-    index: dict[str, int] = {}
-    texts = list(texts)
-    docs = [np.array([index.setdefault(s, len(index)) for s in aligner.cut(t)] if t else [], dtype=np.int64) for t in texts]
-    found = aligner.segments(list(index))
-    good = np.array([s is not None for s in found], dtype=bool)
-    # A text with a doubtful segment is judged as a whole.
-    doubtful = [i for i, d in enumerate(docs) if len(d) and not good[d].all()]
-    for i, whole in zip(doubtful, aligner.segments([texts[i] for i in doubtful])):
-        docs[i] = np.array([] if whole is None else [len(found)], dtype=np.int64)
-        found.append(whole)
-    return docs, found
-
-
-def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Arrays one after the other, and where each begins (one more at the end)."""
-    return (np.concatenate([np.empty(0, np.int64), *parts]),
-            np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64))
-
-
-def _gathered(values: np.ndarray, starts: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The picked arrays of ``_flat`` one after the other, and the number of values of each."""
-    sizes = starts[picks + 1] - starts[picks]
-    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return values[np.repeat(starts[picks], sizes) + within], sizes
-
-
-def pairs_held(docs: list[np.ndarray], found: list[Segment]) -> tuple[np.ndarray, np.ndarray]:
+        self.with_texts = with_texts
+        # Every id as it is written, first inside a group and then at the end of its side.
+        ids_a, ids_b = range(len(self.bytes_a)), range(len(self.bytes_b))
+        self.written = [f"{i}{end}" for ids, ends in ((ids_a, ",|"), (ids_b, ",;")) for end in ends for i in ids] if with_texts else []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index = Numbers()
+        self.n_chars, self.texts = 0, []
+        # Whether a segment's bytes are given back, and whether a space may stand before and after it in a text.
+        self.good, self.inner = np.empty(0, bool), np.empty(0, bool)
+        self.sums, self.links, self.starts = np.empty((4, 0), np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
+
+    def _given_back(self, new: list[str], a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+        """Whether the bytes of a segment's tokens are the segment's, for both tokenizers."""
+        raw = [b" " + t.encode() for t in new]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        good = (_of_lists(self.length_a[a], at_a) == sizes) & (_of_lists(self.length_b[b], at_b) == sizes)
+        by_a, by_b = (list(map(table.__getitem__, ids.tolist())) for table, ids in ((self.bytes_a, a), (self.bytes_b, b)))
+        whole = b"".join(raw)
+        if good.all() and b"".join(by_a) == whole == b"".join(by_b):
+            return good
+        return np.array([b"".join(by_a[at_a[i]:at_a[i + 1]]) == r == b"".join(by_b[at_b[i]:at_b[i + 1]])
+                         for i, r in enumerate(raw)], dtype=bool)
+
+    def _encoded_a(self, new: list[str]) -> list[list[int]]:
+        """Ids of A of segments."""
+        ranked = self.ranked
+        ids = [ranked(" " + t) if ranked and (t.isascii() or COMMON.fullmatch(t)) else None for t in new]
+        others = [i for i, x in enumerate(ids) if x is None]
+        for i, e in zip(others, self.a.encode_batch_fast([" " + new[i] for i in others], add_special_tokens=False)):
+            ids[i] = e.ids
+        return ids
+
+    def _add(self, new: list[str]) -> None:
+        """Align segments that are not known yet, all at once."""
+        n = len(new)
+        a, at_a = _flat(self._encoded_a(new))
+        b, at_b = _flat(self.b.encode(new, num_threads=1))
+        good = self._given_back(new, a, at_a, b, at_b)
+        of_a, of_b = np.repeat(np.arange(n), np.diff(at_a)), np.repeat(np.arange(n), np.diff(at_b))
+        a, of_a, b, of_b = a[good[of_a]], of_a[good[of_a]], b[good[of_b]], of_b[good[of_b]]
+        # Both cover the same bytes, so places in all segments, one after the other, can be compared.
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        ends = _distinct(np.concatenate([ends_a, ends_b]))
+        i, j = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        closes = (ends_a[i] == ends) & (ends_b[j] == ends)
+        counts = [np.bincount(x, minlength=n) for x in (of_a, of_b, of_a[i[closes]], of_a[i])]
+        self.sums = np.concatenate([self.sums, counts], axis=1)
+        self.links = np.concatenate([self.links, a[i] * IDS_B + b[j]])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts[3])])
+        self.good = np.concatenate([self.good, good])
+        self.inner = np.concatenate([self.inner, good & np.fromiter((t == t.strip() != "" for t in new), bool, n)])
+        if self.with_texts:
+            closed = ends[closes]
+            group_a, group_b = np.searchsorted(closed, ends_a), np.searchsorted(closed, ends_b)
+            last_a, last_b = np.isin(ends_a, closed, assume_unique=True), np.isin(ends_b, closed, assume_unique=True)
+            written = np.empty(len(a) + len(b), dtype=np.int64)
+            written[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a + last_a * len(self.bytes_a)
+            written[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = (
+                b + 2 * len(self.bytes_a) + last_b * len(self.bytes_b))
+            tokens = list(map(self.written.__getitem__, written.tolist()))
+            upto = np.concatenate([[0], np.cumsum(counts[0] + counts[1])]).tolist()
+            self.texts += ["".join(tokens[x:y])[:-1] for x, y in zip(upto, upto[1:])]
+
+    def _numbers(self, parts: list[str]) -> list[int]:
+        return list(map(self.index.__getitem__, parts))
+
+    def _known(self) -> None:
+        """Align the segments that were numbered since the last time."""
+        if len(self.index) > len(self.good):
+            new = list(islice(self.index, len(self.good), None))
+            self.n_chars += sum(map(len, new))
+            self._add(new)
+
+    def align(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts as numbers of segments, in the form of ``_flat``: none for texts that are empty or not given back."""
+        if len(self.index) > MOST_SEGMENTS or self.n_chars > MOST_CHARS:
+            self._forget()
+        texts = list(texts)
+        # Cut at every space; then, where white space stands beside one, only at spaces between other characters; then
+        # not at all.
+        docs = [(self._numbers(t.split(" ") if self.cuts else [t])) if t else [] for t in texts]
+        self._known()
+        flat, starts = _flat(docs)
+        odd = np.flatnonzero(_of_lists(~(self.inner if self.cuts else self.good)[flat], starts))
+        if len(odd):
+            for cut in ((CUT.split, lambda t: [t]) if self.cuts else (lambda t: [t],)):
+                for i in odd:
+                    docs[i] = self._numbers(cut(texts[i]))
+                self._known()
+                odd = [i for i in odd if not self.good[docs[i]].all()]
+            for i in odd:
+                docs[i] = []
+            flat, starts = _flat(docs)
+        return flat, starts
+
+
+def pairs_held(aligner: Aligner, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of the texts, sorted, and how many texts hold each."""
-    words, starts = _flat(docs)
-    if not len(words):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    once_each = np.unique(np.repeat(np.arange(len(docs)), np.diff(starts)) * len(found) + words)
-    values, at = _flat([s.pairs if s is not None else np.empty(0, np.int64) for s in found])
-    distinct, slot = np.unique(values, return_inverse=True)
-    held, sizes = _gathered(slot.ravel(), at, once_each % len(found))
-    of_doc = np.unique(np.repeat(once_each // len(found), sizes) * len(distinct) + held)
-    counts = np.bincount(of_doc % len(distinct), minlength=len(distinct))
-    return distinct[counts > 0], counts[counts > 0]
+    segments, starts = aligner.align(texts)
+    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    once_each = _distinct(doc * len(aligner.good) + segments)
+    pairs, sizes = _gathered(aligner.links, aligner.starts, once_each % max(len(aligner.good), 1))
+    # A batch has fewer than 2 ** 27 texts, and a pair fewer than 36 bits.
+    of_doc = _distinct((np.repeat(once_each // max(len(aligner.good), 1), sizes) << PAIR_BITS) | pairs)
+    return _tallied(of_doc & ((1 << PAIR_BITS) - 1))
 
 
 def _added(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -282,8 +369,8 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": rows.bucket[:1], "part": rows.part[:1], "counts": [vector.tobytes()]})
 
 
-def _aligner(path_a: str, path_b: str) -> Callable[[], Aligner]:
-    return lambda: once(("aligner", path_a, path_b), lambda: Aligner(_public(path_a), _public(path_b)))
+def _aligner(path_a: str, path_b: str, with_texts: bool) -> Callable[[], Aligner]:
+    return lambda: once(("aligner", path_a, path_b, with_texts), lambda: Aligner(_public(path_a), _public(path_b), with_texts))
 
 
 def pair_table(docs: DataFrame, path_a: str = TOKENIZER_A, path_b: str = TOKENIZER_B) -> DataFrame:
@@ -292,7 +379,7 @@ def pair_table(docs: DataFrame, path_a: str = TOKENIZER_A, path_b: str = TOKENIZ
     Columns ``bucket, n, sizes, bits, keys, counts``; ``counts`` says how many documents hold each pair linked. Repeated
     rows are documents of their own. No tokens give no rows.
     """
-    spark, aligner = docs.sparkSession, _aligner(path_a, path_b)
+    spark, aligner = docs.sparkSession, _aligner(path_a, path_b, with_texts=False)
     small_batches(spark)
 
     def lists(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -307,7 +394,7 @@ def pair_table(docs: DataFrame, path_a: str = TOKENIZER_A, path_b: str = TOKENIZ
                                  "counts": [counts[bucket == b].tobytes() for b in present]})
 
         for frame in frames:
-            held.append(pairs_held(*aligned(frame.text, aligner())))
+            held.append(pairs_held(aligner(), frame.text))
             if sum(len(p) for p, _ in held) > MOST_HELD:
                 held[:] = [_added(*zip(*held))]
                 if len(held[0][0]) > MOST_HELD // 2:
@@ -361,27 +448,24 @@ def _portions(table: DataFrame) -> list[list[int]]:
 
 def groups(docs: DataFrame, path_a: str = TOKENIZER_A, path_b: str = TOKENIZER_B) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, groups``: each document's groups as ``a1,a2|b1;a3|b2,b3``."""
-    aligner = _aligner(path_a, path_b)
+    aligner = _aligner(path_a, path_b, with_texts=True)
     small_batches(docs.sparkSession)
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            words, found = aligned(frame.text, aligner())
-            sums = _sums(words, [(s.a, s.b, s.n_groups, len(s.links)) if s is not None else (0,) * 4 for s in found])
-            yield pd.DataFrame({"doc_id": frame.doc_id, "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3],
-                                "groups": [";".join([found[i].groups for i in w]) for w in words]})
+            yield pd.DataFrame({"doc_id": frame.doc_id, **_described(aligner(), *aligner().align(frame.text))})
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
         rows, "doc_id string, n_a long, n_b long, n_groups long, n_links long, groups string").withColumn(
         "doc_id", F.col("doc_id").cast("long"))
 
 
-def _sums(words: list[np.ndarray], values: list[tuple[int, ...]]) -> np.ndarray:
-    """Sums of the segments' values over each text, a row for each value."""
-    flat, starts = _flat(words)
-    table = np.array([*values, (0,) * (len(values[0]) if values else 6)], dtype=np.int64).T
-    upto = np.concatenate([np.zeros((len(table), 1), np.int64), np.cumsum(table[:, flat], axis=1)], axis=1)
-    return upto[:, starts[1:]] - upto[:, starts[:-1]]
+def _described(aligner: Aligner, segments: np.ndarray, starts: np.ndarray) -> dict:
+    """Counts and groups of texts."""
+    texts = list(map(aligner.texts.__getitem__, segments.tolist()))
+    upto = starts.tolist()
+    return {**{name: _of_lists(aligner.sums[k][segments], starts) for k, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
+            "groups": [";".join(texts[x:y]) for x, y in zip(upto, upto[1:])]}
 
 
 def align_documents(docs: DataFrame, path_a: str = TOKENIZER_A, path_b: str = TOKENIZER_B) -> DataFrame:
@@ -392,7 +476,7 @@ def align_documents(docs: DataFrame, path_a: str = TOKENIZER_A, path_b: str = TO
     An empty table gives no rows. Other columns are ignored. The sums over portions of the counts are added per distinct
     result, so rows need no number of their own.
     """
-    spark, aligner = docs.sparkSession, _aligner(path_a, path_b)
+    spark, aligner = docs.sparkSession, _aligner(path_a, path_b, with_texts=True)
     small_batches(spark)
     table = pair_table(docs, path_a, path_b)
     # Ids travel as text: pandas has no missing integer.
@@ -411,22 +495,19 @@ def align_documents(docs: DataFrame, path_a: str = TOKENIZER_A, path_b: str = TO
 
             counted, counts, best = prepared()
             for frame in frames:
-                words, found = aligned(frame.text, aligner())
+                segments, starts = aligner().align(frame.text)
                 # Segments that only texts without tokens have were not counted.
-                used = set(_flat(words)[0].tolist())
-                links, starts = _flat([s.links if i in used else np.empty(0, np.int64) for i, s in enumerate(found)])
+                used, again = np.unique(segments, return_inverse=True)
+                links, sizes = _gathered(aligner().links, aligner().starts, used)
                 slot = counted.slots(links)
+                at = np.concatenate([[0], np.cumsum(sizes)])
                 mine = slot >= 0
-                of_link = np.zeros((2, len(links) + 1), dtype=np.int64)
-                of_link[0, 1:][mine], of_link[1, 1:][mine] = best[slot[mine]], counts[slot[mine]]
-                of_link = np.cumsum(of_link, axis=1)
-                per_segment = of_link[:, starts[1:]] - of_link[:, starts[:-1]]
-                sums = _sums(words, [(s.a, s.b, s.n_groups, len(s.links), n, c) if s is not None else (0,) * 6
-                                     for s, n, c in zip(found, *per_segment.tolist())])
-                texts = [";".join([found[i].groups for i in w]) for w in words]
+                n_best, count_sum = (_of_lists(np.where(mine, values[slot], 0), at)[again.ravel()] if len(values)
+                                     else np.zeros(len(segments), np.int64) for values in (best, counts))
+                described = _described(aligner(), segments, starts)
+                texts = described.pop("groups")
                 yield pd.DataFrame({
-                    "doc_id": frame.doc_id, "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3],
-                    "n_best": sums[4], "count_sum": sums[5],
+                    "doc_id": frame.doc_id, **described, "n_best": _of_lists(n_best, starts), "count_sum": _of_lists(count_sum, starts),
                     "groups_sha256": [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]})
 
         part = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(rows, schema).withColumn("k", F.lit(k))
