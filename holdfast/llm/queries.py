@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm import (
     ball_hashing, chunk_dedup, conversation_trie, language_filters, length_histogram, line_templates, positional_index,
-    suffix_order, token_alignment, trie_encoding, warc_bundles, weak_labels)
+    rotation_codes, suffix_order, token_alignment, trie_encoding, warc_bundles, weak_labels)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_language_filters(spark: SparkSession, folder: str) -> DataFrame:
     return language_filters.identify(table(spark, folder, "documents"))
 
 
+def op11_rotation_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return rotation_codes.linked_vectors(table(spark, folder, "embeddings"))
+
+
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return token_alignment.align_documents(table(spark, folder, "documents"))
 
@@ -69,4 +73,5 @@ def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     op1_warc_bundles, op2_positional_index, op3_length_histogram, op4_weak_labels, op5_line_templates, op6_trie_encoding,
-    op7_chunk_recipes, op8_suffix_order, op9_ball_hashing, op10_language_filters, op12_token_alignment, op13_conversation_trie)}
+    op7_chunk_recipes, op8_suffix_order, op9_ball_hashing, op10_language_filters, op11_rotation_codes,
+    op12_token_alignment, op13_conversation_trie)}
