@@ -183,7 +183,15 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 
 def known_languages(docs: DataFrame, least_score: float) -> DataFrame:
-    """The rows of ``docs`` in a language that was learned from it, with a score of ``least_score`` or more."""
-    found = judged(docs.sparkSession, learn(docs.where(~held_out(F.col("doc_id")))))
-    kept = docs.select(F.struct(*docs.columns).alias("row"), found.alias("judged"))
-    return kept.where((F.col("judged.lang_pred") != UNKNOWN) & (F.col("judged.score") >= least_score)).select("row.*")
+    """The rows of ``docs`` in a language that was learned from it, with a score of ``least_score`` or more.
+
+    Every labelled row may teach. Rows without a letter go. If no row has a label nothing is known of any language, and
+    all rows with a letter stay. A label ``und`` is a language like others. Repeated rows are judged alike.
+    """
+    filters = learn(docs)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    if not filters.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    kept = docs.select(F.struct(*own).alias("row"), judged(docs.sparkSession, filters).alias("judged"))
+    seen = F.col("row.text").rlike(r"\p{L}") & (F.col("judged.score") >= least_score)
+    return kept.where(seen).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -173,8 +173,8 @@ def drop_recurring_lines(docs: DataFrame, **options) -> DataFrame:
     lines = F.split(docs.text, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops.line_nos)
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    same = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    same = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     return joined.select(
-        *[F.when(drops.line_nos.isNull(), docs.text).otherwise(text).alias("text") if c == "text" else docs[c] for c in same],
+        *[F.when(drops.line_nos.isNull(), docs.text).otherwise(text).alias("text") if c == "text" else docs[f"`{c}`"] for c in same],
         F.coalesce(F.when(docs.text.isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(drops.line_nos), F.lit(0)).cast("long").alias("n_dropped"))

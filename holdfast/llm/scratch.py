@@ -44,8 +44,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def once(key: tuple, build: Callable[[], Any]) -> Any:
-    """A value kept by the Python process, as tasks bring their functions with them and those begin empty."""
+    """A value kept by the Python process, as tasks bring their functions with them and those begin empty.
+
+    The process outlives a stage; values of another kind (the key's first part) belong to an earlier one and are let go.
+    """
     kept = sys.modules.setdefault("_holdfast_worker", ModuleType("_holdfast_worker")).__dict__
     if key not in kept:
+        for other in [k for k in kept if isinstance(k, tuple) and k[0] != key[0]]:
+            del kept[other]
         kept[key] = build()
     return kept[key]

@@ -17,7 +17,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from holdfast.llm.scratch import once, small_batches
 
@@ -180,6 +180,23 @@ def decoded_text(ids: Column, tokenizer: str = TOKENIZER) -> Column:
     return F.pandas_udf(decode, StringType())(ids)
 
 
+def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """``doc_id, ids, text`` per row, ``text`` decoded from the ids, in one step of one process.
+
+    The same as ``decode(encode(docs))`` with half the encoders in memory.
+    """
+    small_batches(docs.sparkSession)
+
+    def both(texts: pd.Series) -> pd.DataFrame:
+        encoder = once(("trie", tokenizer), lambda: TrieEncoder(_path(tokenizer)))
+        ids = encoder.encode(texts)
+        return pd.DataFrame({"ids": ids, "text": [encoder.decode(i.tolist()) for i in ids]})
+
+    kind = StructType([StructField("ids", ArrayType(IntegerType())), StructField("text", StringType())])
+    found = F.pandas_udf(both, kind).asNondeterministic()(F.col("text"))
+    return docs.select("doc_id", found.alias("found")).select("doc_id", "found.ids", "found.text")
+
+
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, ids`` per row; NULL and empty texts have no ids. Repeated rows are encoded alike; other columns are
     not read."""

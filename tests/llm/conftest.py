@@ -37,7 +37,7 @@ def docs(spark, texts):
         "doc_id long, text string, lang string, source string, n_chars long")
     clashes = ["row", "words", "term", "fp", "n", "part", "rank", "recipe", "chunk", "text_hash", "line_nos", "judged", "score",
                "_hot", "position", "payload", "data", "votes"]
-    return frame.repartition(3).withColumns({c: F.lit(c) for c in clashes})
+    return frame.repartition(3).withColumns({c: F.lit(c) for c in [*clashes, "a.dotted name", "N_LINES", "Fingerprint"]})
 
 
 @pytest.fixture(scope="session")

@@ -111,5 +111,5 @@ def test_query_matches_sql(spark, name):
 
 @needs_tables
 def test_every_query_gives_rows(spark):
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())

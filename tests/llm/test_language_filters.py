@@ -41,6 +41,14 @@ def test_known_languages_keeps_rows_and_columns(docs):
     assert {r["doc_id"] for r in kept.collect()}.isdisjoint({200, 201, 202, 203, 205})
 
 
+def test_languages_unknown_without_labels(docs):
+    """Nothing learned: rows with a letter stay. Labels of any row may teach, those of documents held out elsewhere too."""
+    with_letters = docs.where("text rlike '\\\\p{L}'").count()
+    assert L.known_languages(docs.withColumn("lang", F.lit(None).cast("string")), 0.3).count() == with_letters
+    only = docs.withColumn("lang", F.when(L.held_out(F.col("doc_id")), F.lit("und")))
+    assert L.known_languages(only, 0.0).count() == with_letters
+
+
 def test_a_lookup_returns_all_languages_of_an_ngram():
     filters = L.Filters(("a", "b"), np.zeros((1, 1 << 12), dtype=np.uint64))
     for bit, text in enumerate(("mno", "mnp")):

@@ -35,7 +35,10 @@ def test_queries_digest_what_the_library_gives(docs, texts, no_docs, library):
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
                      hashlib.sha256(plain.encode()).hexdigest()))
     assert frame_rows(found, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]) == sorted(want, key=repr)
+    both = trie_encoding.digests(trie_encoding.round_trip(docs))
+    assert frame_rows(both, both.columns) == frame_rows(found, both.columns)
     assert trie_encoding.decode(trie_encoding.encode(no_docs)).count() == 0
+    assert trie_encoding.round_trip(no_docs).count() == 0
 
 
 def test_random_text_and_special_tokens(encoder, library):
