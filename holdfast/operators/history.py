@@ -156,6 +156,16 @@ def in_period(column: str, period: str) -> Column:
 def replace_period(history: DataFrame, clean: DataFrame, source: Source, run_id: str,
                    period: str | None) -> DataFrame:
     """Drop the stored period, then append. The batch must lie wholly inside the period."""
+    check_period(clean, source, period)
+    return append(history.where(outside_period(source, period)), clean, source, run_id)
+
+
+def outside_period(source: Source, period: str) -> Column:
+    return ~F.coalesce(in_period(source.period_column, period), F.lit(False))
+
+
+def check_period(clean: DataFrame, source: Source, period: str | None) -> None:
+    """Refuse a batch that does not lie wholly inside a named period."""
     if not period:
         raise HistoryError(f"{source.source_id}: replacing a period needs the period to be named")
     _require_date(source)
@@ -167,8 +177,6 @@ def replace_period(history: DataFrame, clean: DataFrame, source: Source, run_id:
     if bounds["first"] < first or bounds["last"] >= after:
         raise HistoryError(f"{source.source_id}: rows from {bounds['first']} to {bounds['last']} "
                            f"do not lie in period {period}")
-    outside = ~F.coalesce(in_period(when, period), F.lit(False))
-    return append(history.where(outside), clean, source, run_id)
 
 
 def change_counts(merged: DataFrame) -> DataFrame:

@@ -209,6 +209,47 @@ def rolling(periods: DataFrame, number: Column, sums: Sequence[str], width: int)
     return periods.select("*", *[F.sum(s).over(window).alias(f"rolling_{s}") for s in sums])
 
 
+def distinct_sets(frame: DataFrame, by: Sequence[str], member: str, sketch: bool = False) -> DataFrame:
+    """The members of each group as mergeable sets: exact bitmaps, one per 32,768 consecutive members, and an HLL sketch.
+
+    ``member`` is a whole number; NULL is no member. Sets of groups merge without another look at the rows. A sketch has
+    a bounded size where bitmaps grow with the members; it stands beside the bitmaps of the group's least bucket.
+    """
+    rows = frame.where(F.col(member).isNotNull()).withColumn("_bucket", F.bitmap_bucket_number(member))
+    sets = rows.groupBy(*by, "_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position(member)).alias("members"))
+    if not sketch:
+        return sets
+    least = rows.groupBy(*by).agg(F.hll_sketch_agg(F.col(member).cast("long")).alias("sketch"), F.min("_bucket").alias("_bucket"))
+    same = reduce(and_, [sets[c].eqNullSafe(least[c]) for c in [*by, "_bucket"]])
+    return sets.join(least, same, "left").select(*[sets[c] for c in sets.columns], "sketch")
+
+
+def distinct_count(sets: DataFrame, by: Sequence[str], name: str = "distinct_count") -> DataFrame:
+    """Exact members of the union of sets in each group, and an estimate from sketches where they are kept."""
+    merged = sets.groupBy(*by, "_bucket").agg(F.bitmap_or_agg("members").alias("members"))
+    counts = merged.groupBy(*by).agg(F.sum(F.bitmap_count("members")).alias(name))
+    if "sketch" not in sets.columns:
+        return counts
+    estimates = sets.where("sketch IS NOT NULL").groupBy(*by).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias(f"{name}_estimate"))
+    same = reduce(and_, [counts[c].eqNullSafe(estimates[c]) for c in by], F.lit(True))
+    return counts.join(estimates, same, "left").select(*[counts[c] for c in counts.columns], f"{name}_estimate")
+
+
+def rolling_distinct(sets: DataFrame, by: Sequence[str], month: str, width: int, name: str = "rolling_distinct") -> DataFrame:
+    """Distinct members over this and the ``width - 1`` months before it, for the months that have rows.
+
+    ``month`` is a first day of month. Each month's set joins the windows it lies in; months without rows take their place
+    in the width. Sets are merged, rows are not read again.
+    """
+    months = sets.select(*by, month).distinct()
+    windows = sets.withColumn("_end", F.explode(F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.add_months(F.col(month), k)))).drop(month).withColumnRenamed("_end", month)
+    counted = distinct_count(windows, [*by, month], name)
+    same = reduce(and_, [counted[c].eqNullSafe(months[c]) for c in [*by, month]])
+    return counted.join(months, same, "left_semi")
+
+
 def growth(periods: DataFrame, number: Column, value: str) -> DataFrame:
     """Change of a figure against the period before it, absolute and in percent; NULL where that period has no row.
 

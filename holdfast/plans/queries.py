@@ -34,7 +34,8 @@ from holdfast.scale import checkpoint_folder, settle, with_one_row
 from holdfast.sources import archive as A
 from holdfast.sources.staging import Staged, already_loaded, stage_frame
 from holdfast.sources.staging import staging_audit as audit_staging
-from holdfast.sources.store import Store, latest_runs, newest_entries
+from holdfast.sources.store import Store, latest_runs, month_of, newest_entries
+from holdfast.sources.store import Table as SavedTable
 from holdfast.spec import Project, Relationship, Source
 
 AMOUNT = "DECIMAL(18,4)"
@@ -133,10 +134,15 @@ def _clean(staged: Staged) -> DataFrame:
     return T.clean_rows(T.tag_counted(T.read_rows(staged.rows, staged.source)), staged.source)
 
 
-def first_load(spark: SparkSession, folder: str, source: Source = ORDERS) -> DataFrame:
-    """History after run R1: orders up to May 2000, and all pending ones."""
+def first_batch(spark: SparkSession, folder: str, source: Source = ORDERS) -> DataFrame:
+    """Clean rows of run R1: orders up to May 2000, and all pending ones."""
     known = _order_text(spark, folder).where("o_orderdate < date'2000-06-01' or o_orderstatus = 'P'")
-    return H.new_rows(_clean(_stage(_sent_twice(known), source, F.col("_file_row"), "orders_1.csv")), source, "R1")
+    return _clean(_stage(_sent_twice(known), source, F.col("_file_row"), "orders_1.csv"))
+
+
+def first_load(spark: SparkSession, folder: str, source: Source = ORDERS) -> DataFrame:
+    """History after run R1."""
+    return H.new_rows(first_batch(spark, folder, source), source, "R1")
 
 
 def second_batch(spark: SparkSession, folder: str, run_id: str = "R2") -> DataFrame:
@@ -403,6 +409,46 @@ def history_add_column(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("o_orderkey", "o_orderpriority", "last_seen_run_id", F.col("_change").alias("change"))
 
 
+def _by_month(spark: SparkSession, folder: str, batch: DataFrame, **options) -> tuple[Store, SavedTable]:
+    """The first load and a batch merged into history kept by month in a store."""
+    store = Store(spark, f"{checkpoint_folder(spark)}/months-{uuid.uuid4().hex}", TRADE, buckets=8)
+    base = store.current()
+    table, _ = store.merge_months(ORDERS, base, settle(first_batch(spark, folder)), 1, "R1", load_mode="append")
+    base = store.commit(base, 1, "R1", {ORDERS.source_id: table})
+    table, _ = store.merge_months(ORDERS, base, settle(batch), 2, "R2", **options)
+    store.commit(base, 2, "R2", {ORDERS.source_id: table})
+    return store, table
+
+
+def _shown_by_month(store: Store, table: SavedTable) -> DataFrame:
+    """Rows of months that the last run carried over were kept, whatever an earlier run did to them."""
+    untouched = [m for m, path in table.months.items() if not path.startswith(f"{table.path}/")]
+    return _shown(store.last_written(table).unionByName(store.read(table, untouched).withColumn("_change", F.lit(H.KEPT))))
+
+
+def history_months_append(spark: SparkSession, folder: str) -> DataFrame:
+    return _shown_by_month(*_by_month(spark, folder, second_batch(spark, folder), load_mode="append"))
+
+
+def history_months_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Upsert that retires unseen rows of the last 90 days."""
+    return _shown_by_month(*_by_month(spark, folder, second_batch(spark, folder)))
+
+
+def history_months_replace_period(spark: SparkSession, folder: str) -> DataFrame:
+    month = second_batch(spark, folder).where(H.in_period("o_orderdate", "1998-03"))
+    return _shown_by_month(*_by_month(spark, folder, month, load_mode="replace_period", period="1998-03"))
+
+
+def history_months_touched(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored months, the rows each holds, and whether a batch of one month wrote it."""
+    month = second_batch(spark, folder).where(H.in_period("o_orderdate", "1998-03"))
+    store, table = _by_month(spark, folder, month, deletion_rule="ignore")
+    rows = store.read(table).groupBy(month_of(ORDERS).alias("month")).agg(F.count("*").alias("n_rows"))
+    written = store.last_written(table).select(month_of(ORDERS).alias("month"), F.lit(True).alias("written")).distinct()
+    return rows.join(written, "month", "left").select("month", "n_rows", F.coalesce("written", F.lit(False)).alias("written"))
+
+
 def history_counts(spark: SparkSession, folder: str) -> DataFrame:
     return H.change_counts(H.merge(first_load(spark, folder), second_batch(spark, folder), ORDERS, "R2"))
 
@@ -699,6 +745,26 @@ def rolling_rate(spark: SparkSession, folder: str) -> DataFrame:
     return weekly.select("week", rounded(M.rate(F.col("rolling_discounted"), F.col("rolling_price"), M.PPM)).alias("rate"))
 
 
+def _customer_sets(spark: SparkSession, folder: str) -> DataFrame:
+    month = F.trunc(F.col("o_orderdate").cast("date"), "month")
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderpriority", month.alias("month"))
+    return settle(M.distinct_sets(orders, ["o_orderpriority", "month"], "o_custkey"))
+
+
+def distinct_customers_rolling(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with orders of each priority, per month and over three months, from one set per month."""
+    sets = _customer_sets(spark, folder)
+    monthly = M.distinct_count(sets, ["o_orderpriority", "month"], "distinct_customers")
+    return monthly.join(M.rolling_distinct(sets, ["o_orderpriority"], "month", 3), ["o_orderpriority", "month"])
+
+
+def distinct_customers_total(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers of each priority and of all, merged from the same monthly sets: distinct counts do not add up, sets do."""
+    sets = _customer_sets(spark, folder)
+    return M.distinct_count(sets, ["o_orderpriority"], "distinct_customers").unionByName(
+        M.distinct_count(sets, [], "distinct_customers").withColumn("o_orderpriority", F.lit("all")))
+
+
 def growth_rate(spark: SparkSession, folder: str) -> DataFrame:
     monthly = M.sums_by(_lines(spark, folder).withColumn("month", F.date_format("ship_date", "yyyy-MM")), ["month"],
                         {"price": "price"})
@@ -801,12 +867,14 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in (
     flag_text, conflicting_keys, check_blank_keys, check_category_allowed, population_equation, population_unbalanced, control_totals,
     quality_report_orders, quality_verdict, non_negative_measures, relationship_orphans, orphan_keys,
     relationship_one_to_one, relationship_cardinality, related_join, run_ledger_latest, row_count_movement, history_append, history_upsert,
+    history_months_append, history_months_upsert, history_months_replace_period, history_months_touched,
     history_mark_inactive, history_physical_delete, history_snapshot, history_reactivate, history_replace_period,
     history_rerun, history_add_column, history_counts, archive_roundtrip, sum_totals, active_totals, average_guarded,
     weighted_rate, trend_by_date, latest_two_dates, period_change_rate, period_change_value, latest_snapshot_total,
     latest_snapshot_by_group, pareto_by_part, top_contributor, top_contributor_share, price_variance_total,
     price_variance_by_supplier, price_variance_by_type, top_contributor_abs_share, shortage_by_part,
-    lineage_drill_through, chart_points, filter_points, filter_options, kpi_package, declared_rule, rule_chain, published_run, calendar, heatmap, rolling_rate, growth_rate,
+    lineage_drill_through, chart_points, filter_points, filter_options, kpi_package, declared_rule, rule_chain, published_run, calendar, heatmap, rolling_rate, distinct_customers_rolling, distinct_customers_total,
+    growth_rate,
     order_aging, actual_against_target, partial_period, insight_ranking, fill_down, weekly_rows, dimension_versions,
     dataset_drift, duplicate_content, reconciled_copy,
 )}

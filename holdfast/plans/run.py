@@ -24,7 +24,7 @@ from holdfast.plans.package import Dashboard, RunFacts, build_package, run_query
 from holdfast.plans.rules import Rule, run_rule, unique_outputs
 from holdfast.scale import settle
 from holdfast.sources.staging import Staged, source_paths, stage_files, staging_audit
-from holdfast.sources.store import Store, Table
+from holdfast.sources.store import Store, Table, kept_by_month
 from holdfast.spec import KEY_HASH, Project, Source
 
 T = TypeVar("T")
@@ -212,14 +212,17 @@ def _settled_row(facts: DataFrame) -> DataFrame:
 
 def _merge_source(store: Store, base, number: int, run_id: str, source: Source, ready: _Prepared,
                   period: str | None, added: Sequence[str]) -> Table:
-    first_load = source.source_id not in base.tables
-    stored = store.history(source, base)
-    if added:
-        stored = H.add_columns(stored, source, added)
-    merged = H.merge(stored, ready.clean, source, run_id, period=period)
-    table = store.write_history(source, merged.select(*source.history_schema().names, "_change"), number, run_id,
-                                first_load=first_load)
-    written = store.read(table)
+    earlier = base.tables.get(source.source_id)
+    if kept_by_month(source) and (earlier is None or earlier.months is not None):
+        table, stored = store.merge_months(source, base, ready.clean, number, run_id, add_columns=added, period=period)
+    else:
+        stored = store.history(source, base)
+        if added:
+            stored = H.add_columns(stored, source, added)
+        merged = H.merge(stored, ready.clean, source, run_id, period=period)
+        table = store.write_history(source, merged.select(*source.history_schema().names, "_change"), number, run_id,
+                                    first_load=earlier is None)
+    written = store.last_written(table)
     counts = H.change_counts(written).first()
     result = ready.outcome
     result.inserted, result.updated = counts["inserted"], counts["updated"]

@@ -5,27 +5,43 @@ folders that are current, so all sources of a run appear together or not at all,
 nothing that a plan reads is ever overwritten. Two writers cannot both create the same
 manifest number; the second one fails.
 
-History is bucketed by its key hash. The next merge reads it bucket by bucket and only
-shuffles the batch, however large history has become.
+History with an event date lies in one folder per month. A run writes the months its batch
+touches and carries the others over by name, so its cost follows the batch and not history.
+History without one is bucketed by its key hash: the next merge reads it bucket by bucket and
+only shuffles the batch.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from datetime import date, timedelta
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field, replace
 from itertools import islice
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from holdfast.operators import history as H
 from holdfast.sources.files import list_names, path_exists, read_text, remove_folder, write_new
 from holdfast.spec import KEY_HASH, Project, Source
 
 
+# Month of rows without an event date.
+NO_MONTH = "none"
+
+
+def kept_by_month(source: Source) -> bool:
+    return bool(source.event_date) and source.columns.get(source.event_date) == "DATE"
+
+
+def month_of(source: Source) -> Column:
+    return F.coalesce(F.date_format(F.col(source.event_date), "yyyy-MM"), F.lit(NO_MONTH))
+
+
 class PublishConflict(RuntimeError):
     """Another run was published after this one started."""
 
@@ -35,6 +51,8 @@ class Table:
     path: str
     schema: dict
     buckets: int = 0
+    # Folder of each month, of histories that are kept by month; ``path`` is what the last run wrote.
+    months: dict[str, str] | None = None
 
     def spark_schema(self) -> T.StructType:
         return T.StructType.fromJson(self.schema)
@@ -93,7 +111,10 @@ class Store:
     def expire(self, keep: int) -> None:
         """Remove table folders that none of the newest ``keep`` manifests names."""
         newest = islice(self._manifests(), max(1, keep))
-        wanted = {table["path"] for _, stored in newest for table in stored["tables"].values()}
+        wanted = set()
+        for _, stored in newest:
+            for table in stored["tables"].values():
+                wanted |= {table["path"], *(m.rsplit("/", 1)[0] for m in (table.get("months") or {}).values())}
         for table in list_names(self.spark, f"{self.root}/tables"):
             for version in list_names(self.spark, f"{self.root}/tables/{table}"):
                 path = f"{self.root}/tables/{table}/{version}"
@@ -125,12 +146,76 @@ class Store:
          .bucketBy(self.buckets, KEY_HASH).sortBy(KEY_HASH).saveAsTable(name))
         return Table(path, frame.schema.jsonValue(), self.buckets)
 
+    def merge_months(self, source: Source, base: Manifest, clean: DataFrame, number: int, run_id: str, *,
+                     add_columns: Sequence[str] = (), **options: str | int | None) -> tuple[Table, DataFrame]:
+        """Merge a batch into the months it touches; returns the new table and the stored rows of those months.
+
+        Touched are the months of the batch, those where its keys are stored, and those where rows may be retired. A
+        look at the key hashes, one column, finds keys in other months; nothing else of them is read and none of their
+        files is written.
+        """
+        table = base.tables.get(source.source_id) or Table("", source.history_schema().jsonValue(), months={})
+        mode = options.get("load_mode") or source.load_mode
+        batch = clean.select(KEY_HASH, month_of(source).alias("_month"))
+        mine = {row[0] for row in batch.select("_month").distinct().collect()}  # one row per month of the batch
+        stored = set(table.months)
+        period = options.get("period")
+        if mode in ("append", "replace_period"):
+            if mode == "replace_period":
+                H.check_period(clean, source, period)
+                first, after = H.period_bounds(period)
+                mine |= {m for m in stored if m != NO_MONTH and f"{first:%Y-%m}" <= m <= f"{after - timedelta(days=1):%Y-%m}"}
+            others = sorted(stored - mine)
+            if others:
+                # These modes never touch a key that is known already.
+                clean = clean.join(self.read(table, others).select(KEY_HASH), KEY_HASH, "left_anti")
+        else:
+            mine |= self._months_to_retire(source, clean, stored, mode, options)
+            others = sorted(stored - mine)
+            if others:
+                held = self.read(table, others).select(KEY_HASH, month_of(source).alias("_month")).join(
+                    batch.select(KEY_HASH), KEY_HASH, "left_semi")
+                mine |= {row[0] for row in held.select("_month").distinct().collect()}  # one row per month
+        before = self.read(table, sorted(mine & stored)).drop("_change")
+        if add_columns:
+            before = H.add_columns(before, source, add_columns)
+        H.require_columns(before, source)
+        # The batch was held against its period before known keys left it.
+        merged = (H.append(before.where(H.outside_period(source, period)), clean, source, run_id) if mode == "replace_period"
+                  else H.merge(before, clean, source, run_id, **options))
+        merged = merged.select(*source.history_schema().names, "_change")
+        path = self._folder(source.source_id, number, run_id)
+        # A month that holds most rows is split into several files.
+        (merged.withColumn("_month", month_of(source)).hint("rebalance", "_month")
+         .write.mode("overwrite").partitionBy("_month").parquet(path))
+        written = {n.split("=", 1)[1]: f"{path}/{n}" for n in list_names(self.spark, path) if n.startswith("_month=")}
+        kept = {m: p for m, p in table.months.items() if m not in mine}
+        return Table(path, merged.schema.jsonValue(), months={**kept, **written}), before
+
+    def _months_to_retire(self, source: Source, clean: DataFrame, stored: set[str], mode: str, options) -> set[str]:
+        """Stored months in which rows that the batch does not show may be retired."""
+        rule = options.get("deletion_rule") or source.deletion_rule
+        if rule == "ignore":
+            return set()
+        days = options.get("lookback_days")
+        days = source.lookback_days if days is None else days
+        if mode != "upsert" or not days:
+            return stored
+        end: date | None = clean.agg(F.max(source.period_column)).first()[0]
+        return set() if end is None else {m for m in stored if m != NO_MONTH and m >= f"{end - timedelta(days=days):%Y-%m}"}
+
     def write_table(self, name: str, frame: DataFrame, number: int, run_id: str) -> Table:
         path = self._folder(name, number, run_id)
         frame.write.mode("overwrite").parquet(path)
         return Table(path, frame.schema.jsonValue())
 
-    def read(self, table: Table) -> DataFrame:
+    def read(self, table: Table, months: Sequence[str] | None = None) -> DataFrame:
+        """A table; of a history kept by month only the ``months`` asked for."""
+        if table.months is not None:
+            folders = [p for m, p in sorted(table.months.items()) if months is None or m in months]
+            if not folders:
+                return self.spark.createDataFrame([], table.spark_schema())
+            return self.spark.read.schema(table.spark_schema()).parquet(*folders)
         if not table.buckets:
             return self.spark.read.schema(table.spark_schema()).parquet(table.path)
         name = self._catalog_name(table.path)
@@ -148,6 +233,12 @@ class Store:
             return self.spark.createDataFrame([], source.history_schema())
         return self.read(table).drop("_change")
 
+    def last_written(self, table: Table) -> DataFrame:
+        """What the last run wrote of a table, with ``_change``."""
+        if table.months is None:
+            return self.read(table)
+        return self.read(replace(table, months={m: p for m, p in table.months.items() if p.startswith(f"{table.path}/")}))
+
     # ------------------------------------------------------------ ledgers
 
     def scratch(self, run_id: str, *parts: str) -> str:

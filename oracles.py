@@ -482,3 +482,22 @@ ORACLES: dict[str, str] = {
         FROM digests""",
     "reconciled_copy": f"SELECT o_orderkey, {O_PRICE} AS o_totalprice, {O_DATE} AS o_orderdate FROM orders",
 }
+
+# The same merges, whatever the layout of the store.
+ORACLES |= {"history_months_append": ORACLES["history_append"], "history_months_upsert": ORACLES["history_mark_inactive"],
+            "history_months_replace_period": ORACLES["history_replace_period"]}
+ORACLES["history_months_touched"] = f"""WITH {HISTORY}, stored AS (
+        SELECT o_orderkey, day FROM h UNION
+        SELECT o_orderkey, day FROM c WHERE strftime(day, '%Y-%m') = '1998-03')
+    SELECT strftime(day, '%Y-%m') AS month, count(*) AS n_rows, strftime(day, '%Y-%m') = '1998-03' AS written FROM stored GROUP BY ALL"""
+
+# Each window of three months counts its customers anew from the orders.
+ORACLES["distinct_customers_rolling"] = f"""WITH monthly AS (
+        SELECT o_orderpriority, {{month}} AS month, o_custkey FROM orders WHERE o_custkey IS NOT NULL),
+    months AS (SELECT DISTINCT o_orderpriority, month FROM monthly)
+    SELECT m.o_orderpriority, m.month, count(DISTINCT o_custkey) FILTER (o.month = m.month) AS distinct_customers,
+           count(DISTINCT o_custkey) AS rolling_distinct
+    FROM months m JOIN monthly o ON o.o_orderpriority = m.o_orderpriority AND o.month <= m.month AND o.month >= m.month - INTERVAL 2 MONTH
+    GROUP BY ALL""".replace("{month}", f"CAST(date_trunc('month', {O_DATE}) AS DATE)")
+ORACLES["distinct_customers_total"] = f"""SELECT o_orderpriority, count(DISTINCT o_custkey) AS distinct_customers FROM orders GROUP BY ALL
+    UNION ALL SELECT 'all', count(DISTINCT o_custkey) FROM orders"""

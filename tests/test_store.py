@@ -113,6 +113,58 @@ def test_merge_into_bucketed_history_shuffles_only_the_batch(spark, loaded):
     assert H.change_counts(store.read(table)).first()["unchanged"] == 60
 
 
+def month_batch(spark, *rows):
+    """Clean rows ``(order, date, quantity)``."""
+    text = spark.createDataFrame([(o, d, "I", q, "1") for o, d, q in rows], ", ".join(f"{n} string" for n in ORDERS.names))
+    return text.select(*[F.col(n).cast(t.dataType).alias(n) for n, t in zip(ORDERS.names, ORDERS.typed_schema())],
+                       F.md5("order_id").alias("business_key_hash"), F.md5(F.concat_ws("|", *ORDERS.names)).alias("row_content_hash"),
+                       F.lit("f").alias("_source_file"), F.lit(1).cast("long").alias("_source_row_number"))
+
+
+@pytest.fixture
+def by_month(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), PROJECT, buckets=3)
+    rows = [(f"O{m}-{i}", f"2026-{m:02d}-{i + 1:02d}", "5") for m in range(1, 7) for i in range(10)] + [("O-none", None, "5")]
+    table, _ = store.merge_months(ORDERS, store.current(), month_batch(spark, *rows), 1, "R1", load_mode="append")
+    return store, store.commit(store.current(), 1, "R1", {"orders": table})
+
+
+def test_a_batch_of_one_month_reads_and_writes_one_month(spark, by_month):
+    store, base = by_month
+    old = base.tables["orders"]
+    assert sorted(old.months) == [*(f"2026-{m:02d}" for m in range(1, 7)), "none"]
+    batch = month_batch(spark, *[(f"O3-{i}", f"2026-03-{i + 1:02d}", "6") for i in range(4)], ("new", "2026-03-31", "1"))
+    new, before = store.merge_months(ORDERS, base, batch, 2, "R2", deletion_rule="ignore")
+    assert all("_month=2026-03" in f for f in before.inputFiles()) and before.count() == 10
+    assert {m for m in new.months if new.months[m] != old.months[m]} == {"2026-03"}
+    counts = H.change_counts(store.last_written(new)).first()
+    assert (counts["inserted"], counts["updated"], counts["unchanged"], counts["deactivated"]) == (1, 4, 0, 0)
+    assert store.read(new).count() == 62
+    assert store.read(new, ["2026-03"]).count() == 11
+
+
+def test_months_follow_keys_retirement_and_periods(spark, by_month):
+    store, base = by_month
+    moved = month_batch(spark, ("O1-0", "2026-06-30", "5"), ("O-none", "2026-06-29", "5"))
+    new, _ = store.merge_months(ORDERS, base, moved, 2, "R2", deletion_rule="ignore")
+    assert {m for m in new.months if new.months[m] != base.tables["orders"].months.get(m)} == {"2026-01", "2026-06"}
+    assert "none" not in new.months
+    assert store.read(new, ["2026-01"]).count() == 9 and store.read(new, ["2026-06"]).count() == 12
+    retired, _ = store.merge_months(ORDERS, base, month_batch(spark, ("O6-0", "2026-06-01", "5")), 2, "R3", lookback_days=40)
+    assert {m for m in retired.months if retired.months[m] != base.tables["orders"].months[m]} == {"2026-04", "2026-05", "2026-06"}
+    everything, _ = store.merge_months(ORDERS, base, month_batch(spark, ("O6-0", "2026-06-01", "5")), 2, "R4", load_mode="snapshot")
+    assert H.change_counts(store.last_written(everything)).first()["deactivated"] == 60
+    period = month_batch(spark, ("O4-1", "2026-02-05", "9"), ("fresh", "2026-02-06", "9"))
+    replaced, _ = store.merge_months(ORDERS, base, period, 2, "R5", load_mode="replace_period", period="2026-02")
+    assert {r["order_id"] for r in store.read(replaced, ["2026-02"]).collect()} == {"fresh"}  # O4-1 is known in April
+    assert {m for m in replaced.months if replaced.months[m] != base.tables["orders"].months[m]} == {"2026-02"}
+    with pytest.raises(H.HistoryError):
+        store.merge_months(ORDERS, base, period, 2, "R6", load_mode="replace_period", period="2026-03")
+    store.commit(base, 3, "R5", {"orders": replaced})
+    store.expire(keep=1)
+    assert store.history(ORDERS).count() == 52
+
+
 def test_second_publisher_is_refused(loaded):
     store, _ = loaded
     base = store.current()
