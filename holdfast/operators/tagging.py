@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions.values import fingerprint, is_blank, typed_columns
 from holdfast.scale import BROADCAST_ROWS, HOT_SHARE, lookup, settle
-from holdfast.spec import CONTENT_HASH, KEY_HASH, LINEAGE_COLUMNS, ROW_ORDER, Source, is_numeric
+from holdfast.spec import CONTENT_HASH, EXTRA_CELLS, KEY_HASH, LINEAGE_COLUMNS, ROW_ORDER, Source, is_numeric
 
 ACCEPTED, REJECTED, FILTERED = "accepted", "rejected", "filtered"
 
@@ -23,12 +23,15 @@ UNPARSEABLE_NUMBER = "UNPARSEABLE_NUMBER"
 UNPARSEABLE_DATE = "UNPARSEABLE_DATE"
 UNPARSEABLE_VALUE = "UNPARSEABLE_VALUE"
 EXACT_DUPLICATE = "EXACT_DUPLICATE"
+SURPLUS_CELLS = "SURPLUS_CELLS"
 REASON_TEXT = {
     NEGATIVE_MEASURE: "A quantity was negative, which this report does not allow.",
     UNPARSEABLE_NUMBER: "A value that should be a number could not be read as one.",
     UNPARSEABLE_DATE: "A value that should be a date could not be read as one.",
     UNPARSEABLE_VALUE: "A value did not match the type this column is configured to hold.",
     EXACT_DUPLICATE: "An identical copy of this record appeared in the same file.",
+    # Own.
+    SURPLUS_CELLS: "The line has more cells than the header, so its values may belong to other columns.",
 }
 
 
@@ -55,17 +58,19 @@ def read_rows(staged: DataFrame, source: Source) -> DataFrame:
     Typed columns carry the declared names; the text they came from is kept in ``_raw``.
     """
     text = {name: F.col(name) for name in source.names}
+    extra = [EXTRA_CELLS] if EXTRA_CELLS in staged.columns else []
     with_typed = staged.select(
         F.struct(*[F.col(n) for n in source.names]).alias("_raw"),
         *[value.alias(name) for name, value in typed_columns(source, text).items()],
-        *LINEAGE_COLUMNS, ROW_ORDER)
+        *LINEAGE_COLUMNS, ROW_ORDER, *extra)
+    surplus = [F.when(F.col(EXTRA_CELLS).isNotNull(), F.lit(SURPLUS_CELLS))] if extra else []
     raw = {name: F.col(f"_raw.{name}") for name in source.names}
     typed = {name: F.col(name) for name in source.names}
     return with_typed.select(
         "*",
         fingerprint(typed[n] for n in source.key).alias(KEY_HASH),
         fingerprint(typed[n] for n in source.names).alias(CONTENT_HASH),
-        reject_reason(source, raw, typed).alias("_reject_reason"),
+        F.coalesce(*surplus, reject_reason(source, raw, typed)).alias("_reject_reason"),
         blank_key(source, lambda n: raw[n]).alias("_blank_key"))
 
 
@@ -128,8 +133,11 @@ def clean_rows(tagged: DataFrame, source: Source) -> DataFrame:
 def quarantine_rows(tagged: DataFrame, source: Source) -> DataFrame:
     """Rejected and filtered rows with their reason and their raw text as sorted-key JSON."""
     messages = F.create_map(*[F.lit(part) for pair in REASON_TEXT.items() for part in pair])
-    raw_json = F.to_json(F.struct(*[F.col(f"_raw.{n}").alias(n) for n in sorted(source.names)]),
-                         {"ignoreNullFields": "false"})
+    values, as_json = [F.col(f"_raw.{n}").alias(n) for n in sorted(source.names)], {"ignoreNullFields": "false"}
+    raw_json = F.to_json(F.struct(*values), as_json)
+    if EXTRA_CELLS in tagged.columns:
+        with_line = F.to_json(F.struct(F.col(EXTRA_CELLS).alias("_line"), *values), as_json)
+        raw_json = F.when(F.col(EXTRA_CELLS).isNull(), raw_json).otherwise(with_line)
     return tagged.where(F.col("_status") != ACCEPTED).select(
         F.col("_run_id").alias("run_id"), F.col("_report_id").alias("report_id"),
         F.col("_source_id").alias("source_id"), F.col("_source_sheet").alias("source_sheet"),

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from holdfast.plans.rules import Rule, run_rule
 from holdfast.plans.run import CHECK_LEDGER_SCHEMA, QUARANTINE_SCHEMA, RUN_SCHEMA, run_project
 from holdfast.scale import checkpoint_folder, settle, with_one_row
 from holdfast.sources import archive as A
-from holdfast.sources.staging import Staged, already_loaded, stage_frame
+from holdfast.sources.staging import Staged, already_loaded, stage_files, stage_frame
 from holdfast.sources.staging import staging_audit as audit_staging
 from holdfast.sources.store import Store, latest_runs, month_of, newest_entries
 from holdfast.sources.store import Table as SavedTable
@@ -159,6 +160,40 @@ def stage_raw_orders(spark: SparkSession, folder: str) -> DataFrame:
     return staged_orders(spark, folder).rows.drop("_source_file_hash", "_row_order")
 
 
+def _csv_extracts(spark: SparkSession, folder: str) -> list[str]:
+    """Orders as one CSV file per priority, in order of their key; pending ones of low priority have a cell too many, urgent
+    ones two too few."""
+    orders = _order_text(spark, folder)
+    cells = [F.col(n).cast("string") for n in ORDERS.names]
+    pending = F.col("o_orderstatus") == "P"
+    line = (F.when(pending & (F.col("o_orderpriority") == "5-LOW"), F.concat_ws(",", *cells, F.lit("surplus")))
+            .when(pending & (F.col("o_orderpriority") == "1-URGENT"), F.concat_ws(",", *cells[:-2]))
+            .otherwise(F.concat_ws(",", *cells)))
+    files = orders.select(F.col("o_orderpriority").alias("file"), F.col("o_orderkey").alias("place"), line.alias("value"))
+    headers = files.select("file").distinct().select("file", F.lit(-1).cast("long").alias("place"), F.lit(",".join(ORDERS.names)).alias("value"))
+    path = f"{checkpoint_folder(spark)}/extracts-{uuid.uuid4().hex}"
+    (files.unionByName(headers).repartition("file").sortWithinPartitions("file", "place").select("file", "value")
+     .write.partitionBy("file").text(path))
+    # Spark spells the paths of its inputs as addresses.
+    return [unquote(file) for file in spark.read.text(path).inputFiles()]
+
+
+def stage_csv_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """CSV files staged with row numbers and file digests; a row with a cell too many is rejected, one with too few is not."""
+    staged = stage_files(spark, ORDERS, _csv_extracts(spark, folder), run_id="R1", report_id=TRADE.project_id, extracted_at=EXTRACTED_AT)
+    tagged = T.tag_counted(settle(T.read_rows(staged.rows, ORDERS)))
+    file_name = F.regexp_extract(F.url_decode("_source_file"), "file=([^/]+)", 1).alias("file")
+    return tagged.select(file_name, F.col("_source_row_number").alias("source_row"), F.col("_source_file_hash").alias("file_sha256"),
+                         "_raw.*", F.col("_status").alias("status"), F.col("_reason").alias("reason_code"))
+
+
+def quarantine_csv_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """What the quarantine keeps of CSV rows with a cell too many: their line."""
+    staged = stage_files(spark, ORDERS, _csv_extracts(spark, folder), run_id="R1", report_id=TRADE.project_id, hash_files=False)
+    held = T.quarantine_rows(T.tag_counted(settle(T.read_rows(staged.rows, ORDERS))), ORDERS)
+    return held.select("source_row", "reason_code", F.get_json_object("raw_values", "$._line").alias("line"))
+
+
 def project_by_name(spark: SparkSession, folder: str) -> DataFrame:
     """Approved columns found under a header with other case, padding and a repeated name."""
     orders = table(spark, folder, "orders").select("o_orderpriority", "o_orderkey", "o_custkey", "o_custkey")
@@ -862,7 +897,7 @@ def reconciled_copy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {query.__name__: query for query in (
-    stage_raw_orders, project_by_name, typed_clean_orders, row_hashes_orders, staging_audit, clean_numeric_text,
+    stage_raw_orders, stage_csv_orders, quarantine_csv_orders, project_by_name, typed_clean_orders, row_hashes_orders, staging_audit, clean_numeric_text,
     serial_dates, column_profile, quarantine_typed_values, quarantine_summary, quarantine_customers, exact_duplicates,
     flag_text, conflicting_keys, check_blank_keys, check_category_allowed, population_equation, population_unbalanced, control_totals,
     quality_report_orders, quality_verdict, non_negative_measures, relationship_orphans, orphan_keys,

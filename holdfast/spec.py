@@ -39,6 +39,8 @@ LINEAGE_COLUMNS = (
 )
 # Position of a row within the whole extract; orders rows across several files.
 ROW_ORDER = "_row_order"
+# Line of a staged CSV row with more cells than its header.
+EXTRA_CELLS = "_extra_cells"
 KEY_HASH = "business_key_hash"
 CONTENT_HASH = "row_content_hash"
 

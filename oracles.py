@@ -501,3 +501,21 @@ ORACLES["distinct_customers_rolling"] = f"""WITH monthly AS (
     GROUP BY ALL""".replace("{month}", f"CAST(date_trunc('month', {O_DATE}) AS DATE)")
 ORACLES["distinct_customers_total"] = f"""SELECT o_orderpriority, count(DISTINCT o_custkey) AS distinct_customers FROM orders GROUP BY ALL
     UNION ALL SELECT 'all', count(DISTINCT o_custkey) FROM orders"""
+
+# Files as they are written: a header line, then the rows of a priority by key.
+CSV_LINES = f"""{ORDER_TEXT}, cells AS (
+        SELECT o_orderpriority AS file, o_orderkey, o_orderstatus, CAST(o_orderkey AS VARCHAR) AS k, CAST(o_custkey AS VARCHAR) AS cust,
+               CAST(price AS VARCHAR) AS price, CAST(day AS VARCHAR) AS day_text,
+               row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) + 1 AS source_row,
+               o_orderstatus = 'P' AND o_orderpriority = '5-LOW' AS surplus, o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AS short
+        FROM orders_text),
+    lines AS (SELECT *, concat_ws(',', k, cust, o_orderstatus, price) || CASE WHEN short THEN '' ELSE ',' || day_text || ',' || file END
+        || CASE WHEN surplus THEN ',surplus' ELSE '' END AS line FROM cells)"""
+ORACLES["stage_csv_orders"] = f"""WITH {CSV_LINES},
+    files AS (SELECT file, sha256('o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' || chr(10)
+        || string_agg(line, chr(10) ORDER BY o_orderkey) || chr(10)) AS file_sha256 FROM lines GROUP BY file)
+    SELECT file, source_row, file_sha256, k AS o_orderkey, cust AS o_custkey, o_orderstatus, price AS o_totalprice,
+           CASE WHEN NOT short THEN day_text END AS o_orderdate, CASE WHEN NOT short THEN file END AS o_orderpriority,
+           CASE WHEN surplus THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN surplus THEN 'SURPLUS_CELLS' END AS reason_code
+    FROM lines JOIN files USING (file)"""
+ORACLES["quarantine_csv_orders"] = f"WITH {CSV_LINES} SELECT source_row, 'SURPLUS_CELLS' AS reason_code, line FROM lines WHERE surplus"
