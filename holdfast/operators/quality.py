@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from holdfast.operators.history import in_period
 from holdfast.operators.tagging import ACCEPTED, EXACT_DUPLICATE, FILTERED, REJECTED
 from holdfast.scale import with_one_row
 from holdfast.spec import Source
@@ -192,6 +193,36 @@ def source_report(rows: DataFrame, repeated: DataFrame, tagged: DataFrame, sourc
                            *[only_when(passed, c) for c in row_checks(source)]])
 
 
+# ---------------------------------------------------------------- periods about to be replaced
+
+def period_counts(stored: DataFrame, clean: DataFrame, source: Source, period: str) -> DataFrame:
+    """Active stored and arriving rows of each month of a period: ``month, stored_rows, arriving_rows, complete``.
+
+    A month is complete if it brings the declared share of the rows it replaces.
+    """
+    month = F.date_format(F.col(source.period_column), "yyyy-MM").alias("month")
+
+    def counted(frame: DataFrame, name: str) -> DataFrame:
+        return frame.where(in_period(source.period_column, period)).groupBy(month).agg(F.count("*").alias(name))
+
+    both = counted(stored.where("is_active"), "stored_rows").join(counted(clean, "arriving_rows"), "month", "full_outer")
+    rows = both.select("month", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("stored_rows", "arriving_rows")])
+    return rows.withColumn("complete", F.col("arriving_rows") >= F.col("stored_rows") * source.least_period_share)
+
+
+def period_report(counts: DataFrame, source: Source) -> DataFrame:
+    """The check that no month is replaced by part of itself."""
+    cid, scope = _prefix(source)
+    facts = counts.agg(_rows_where(~F.col("complete")).alias("partial"), F.coalesce(F.sum("stored_rows"), F.lit(0)).alias("stored"),
+                       F.coalesce(F.sum("arriving_rows"), F.lit(0)).alias("arriving"))
+    partial = F.col("partial")
+    return as_rows(facts, [check(
+        f"{cid}period.complete", f"{scope}dataset", "block", _verdict(partial, BLOCK),
+        F.concat(partial.cast("string"), F.lit(" months would be replaced by a part of what is stored")),
+        expected=F.col("stored"), actual=F.col("arriving"), difference=F.col("stored") - F.col("arriving"),
+        tolerance=str(source.least_period_share))])
+
+
 # ---------------------------------------------------------------- verdicts and reconciliation
 
 def verdict(checks: DataFrame) -> DataFrame:

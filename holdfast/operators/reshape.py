@@ -84,3 +84,32 @@ def version_rows(versions: DataFrame | None, clean: DataFrame, columns: Sequence
     rows = F.array_compact(F.array(F.when(F.col("_old").isNotNull(), known),
                                    F.when(changed | F.col("_old").isNull(), opened)))
     return versions.where(~F.col("is_current")).unionByName(both.select(F.inline(rows)))
+
+
+def rebuilt_versions(versions: DataFrame, changes: DataFrame, columns: Sequence[str], effective: str, *, closes: bool = False) -> DataFrame:
+    """Type-2 dimension after changes that may be older than what is stored.
+
+    Old and new change points of a key are put in order and versions are read off anew: each lasts until the next point. A
+    late change therefore splits the version it falls into and leaves the later ones as they are; on the same day the
+    newer report counts. Points that change nothing are dropped. With ``closes`` the batch shows every key that there
+    still is: keys it lacks end on its day, unless they are known to change later.
+    """
+    since, names = F.lit(effective).cast("date"), [*columns, KEY_HASH, CONTENT_HASH]
+    nothing = [F.lit(None).cast(versions.schema[n].dataType).alias(n) if n != KEY_HASH else F.col(n) for n in names]
+
+    def points(frame: DataFrame, at: Column, content: list, rank: int) -> DataFrame:
+        return frame.select(*content, at.alias("valid_from"), F.lit(rank).alias("_rank"))
+
+    # Rank settles points of one day: an end is overruled by any content, stored content by the batch.
+    told = points(versions, F.col("valid_from"), names, 1).unionByName(
+        points(versions.where("valid_to IS NOT NULL"), F.col("valid_to"), nothing, 0)).unionByName(points(changes, since, names, 2))
+    if closes:
+        gone = versions.select(KEY_HASH, "valid_from").groupBy(KEY_HASH).agg(F.max("valid_from").alias("_last")).where(F.col("_last") < since)
+        gone = gone.join(changes.select(KEY_HASH), KEY_HASH, "left_anti")
+        told = told.unionByName(points(gone, since, nothing, 0))
+    by_day = told.groupBy(KEY_HASH, "valid_from").agg(F.max_by(F.struct(*names), "_rank").alias("_row"))
+    in_order = Window.partitionBy(KEY_HASH).orderBy("valid_from")
+    content = F.col(f"_row.{CONTENT_HASH}")
+    changed = by_day.withColumn("_before", F.lag(content).over(in_order)).where(~content.eqNullSafe(F.col("_before")))
+    lasting = changed.withColumn("valid_to", F.lead("valid_from").over(in_order)).where(content.isNotNull())
+    return lasting.select(*[F.col(f"_row.{n}").alias(n) for n in names], "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current"))

@@ -292,6 +292,36 @@ def rank_insights(candidates: DataFrame, keep: int = 5) -> DataFrame:
     return candidates.withColumn("score", score).orderBy(F.desc_nulls_last("score"), "id").limit(keep)
 
 
+def insight_factors(values: DataFrame, group: str, period: str, value: str, rows: str) -> DataFrame:
+    """The five ranking factors of each group, from one row per group and numbered period.
+
+    Impact is the group's share of all departures of the newest value from the usual one, magnitude that departure
+    against the usual value, persistence how long the group has been on this side of it without a gap, population its
+    share of the rows, confidence the share of periods in which it was seen. All lie between 0 and 1 but magnitude.
+    """
+    usual = values.groupBy(group).agg(
+        average(value).alias("_usual"), F.max(period).alias("_newest"), F.count("*").alias("_seen"), F.sum(rows).alias("_rows"),
+        F.max_by(value, period).cast("double").alias("_last"))
+    sided = values.join(usual.select(group, "_usual", "_newest"), group).withColumn(
+        "_side", F.signum(F.col(value).cast("double") - F.col("_usual")))
+    # Periods that follow each other on one side differ from their rank there by the same number.
+    rank = F.row_number().over(Window.partitionBy(group, "_side").orderBy(period))
+    islands = sided.withColumn("_island", F.col(period) - rank).groupBy(group, "_side", "_island").agg(
+        F.count("*").alias("_run"), F.max(period).alias("_until"), F.max("_newest").alias("_newest"))
+    runs = islands.where("_until = _newest").select(group, "_run")
+    span = values.agg((F.max(period) - F.min(period) + 1).alias("_periods"))
+    facts = with_one_row(usual.join(runs, group), span).withColumn("_off", F.abs(F.col("_last") - F.col("_usual")))
+    facts = with_one_row(facts, facts.agg(F.sum("_off").alias("_all_off"), F.sum("_rows").alias("_all_rows")))
+
+    def share(part: str, whole: str) -> Column:
+        return F.coalesce(F.col(part).cast("double") / F.nullif(F.col(whole).cast("double"), F.lit(0.0)), F.lit(0.0))
+
+    return facts.select(
+        F.col(group).cast("string").alias("id"), share("_off", "_all_off").alias("impact"),
+        F.abs(share("_off", "_usual")).alias("magnitude"), share("_run", "_periods").alias("persistence"),
+        share("_rows", "_all_rows").alias("population"), share("_seen", "_periods").alias("confidence"))
+
+
 def partial_latest(periods: DataFrame, period: str, volume: str, share: float) -> DataFrame:
     """Marks the newest period when its volume is below a share of the average of the others."""
     facts = periods.agg(F.max(period).alias("_newest"), F.sum(volume).alias("_all"), F.count("*").alias("_n"),

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from holdfast.functions import cleaning as C
 from holdfast.functions.headers import project_by_name as approved_columns
 from holdfast.functions.values import is_true_text
+from holdfast.operators import chunks as K
 from holdfast.operators import drift as D
 from holdfast.operators import history as H
 from holdfast.operators import quality as Q
@@ -214,6 +215,34 @@ def staging_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit_staging(staged_orders(spark, folder).rows, ORDERS.names)
 
 
+def chunk_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Every thousand rows of the orders' extract with the digest of their digests."""
+    return K.chunk_audit(staged_orders(spark, folder).rows, ORDERS.names, 1000)
+
+
+def changed_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The ranges in which a second extract, where the dearest orders cost one more, differs from the first."""
+    orders = _order_text(spark, folder)
+    dearer = with_one_row(orders, orders.agg(F.max("o_totalprice").alias("most"))).withColumn(
+        "o_totalprice", F.when(F.col("o_totalprice") == F.col("most"), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).cast("decimal(18,4)"))
+    trees = [K.hash_tree(settle(K.chunk_audit(_stage(frame, ORDERS, F.col("_file_row"), "orders.csv").rows, ORDERS.names, 100)), 8)
+             for frame in (orders, dearer)]
+    return K.changed_chunks(*trees, fan_out=8).select("chunk", "before_sha256", "after_sha256")
+
+
+def partial_replace_blocked(spark: SparkSession, folder: str) -> DataFrame:
+    """March 1998 about to be replaced by its shipped orders alone, and by all it has: months counted, and the verdicts."""
+    source = replace(ORDERS, load_mode="replace_period", least_period_share=0.9)
+    stored, batch = settle(first_load(spark, folder)), settle(second_batch(spark, folder))
+    shipped = table(spark, folder, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
+    rows = []
+    for name, clean in (("shipped only", batch.join(shipped, "o_orderkey", "left_semi")), ("all", batch)):
+        counts = Q.period_counts(stored, clean, source, "1998-03")
+        verdict = Q.period_report(counts, source).select("status")
+        rows.append(with_one_row(counts.withColumn("batch", F.lit(name)), verdict))
+    return rows[0].unionByName(rows[1]).select("batch", "month", "stored_rows", "arriving_rows", "complete", "status")
+
+
 def clean_numeric_text(spark: SparkSession, folder: str) -> DataFrame:
     """Order totals written fifteen ways, read back as numbers with what became of each cell."""
     price, status, priority = amount("o_totalprice"), F.col("o_orderstatus"), F.col("o_orderpriority")
@@ -364,6 +393,17 @@ def related_join(spark: SparkSession, folder: str) -> DataFrame:
                      table(spark, folder, "nation"), [("s_nationkey", "n_nationkey")], "left", ["n_name"])
 
 
+def related_join_salted(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines joined to orders; the first line of every order is booked on one order, which so holds a quarter of all lines."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", amount("l_quantity").alias("l_quantity"))
+    lines = with_one_row(lines, lines.agg(F.min("l_orderkey").alias("first_order"))).withColumn(
+        "booked_on", F.when(F.col("l_linenumber") == 1, F.col("first_order")).otherwise(F.col("l_orderkey")))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
+    joined = R.related_rows(lines, orders, [("booked_on", "o_orderkey")], ["o_orderpriority", "o_custkey"], row_id=["l_orderkey", "l_linenumber"])
+    return joined.groupBy("booked_on", "o_orderpriority", "o_custkey").agg(
+        F.count("*").alias("n_lines"), wide(F.sum("l_quantity")).alias("quantity"))
+
+
 def run_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """A ledger derived from orders: each month is a run, retried once per order status."""
     day = F.col("o_orderdate").cast("date")
@@ -840,6 +880,17 @@ def insight_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return M.rank_insights(candidates).select("id", rounded("score").alias("score"))
 
 
+def insight_factors(spark: SparkSession, folder: str) -> DataFrame:
+    """Brands by how far, how long and how surely their newest month departs from their usual one."""
+    day = F.col("l_shipdate").cast("date")
+    monthly = table(spark, folder, "lineitem").groupBy("l_partkey", (F.year(day) * 12 + F.month(day)).alias("month")).agg(
+        F.sum(amount("l_quantity")).alias("quantity"), F.count("*").alias("n"))
+    brands = monthly.join(table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").groupBy(
+        "p_brand", "month").agg(F.sum("quantity").alias("quantity"), F.sum("n").alias("n"))
+    factors = M.insight_factors(settle(brands), "p_brand", "month", "quantity", "n")
+    return factors.select("id", *[rounded(c).alias(c) for c in ("impact", "magnitude", "persistence", "population", "confidence")])
+
+
 def fill_down(spark: SparkSession, folder: str) -> DataFrame:
     """A customer written only on urgent orders, repeated down to the next one."""
     sparse = staged_orders(spark, folder).rows.withColumn(
@@ -876,6 +927,18 @@ def dimension_versions(spark: SparkSession, folder: str) -> DataFrame:
     return versions.select(*columns, "valid_from", "valid_to", "is_current")
 
 
+def dimension_late_change(spark: SparkSession, folder: str) -> DataFrame:
+    """After the versions of May 2000 and September 2001, urgent orders report a price that holds since December 2000; orders
+    that the second extract lacks have ended."""
+    columns = ["o_orderkey", "o_totalprice"]
+    opened = S.version_rows(None, first_load(spark, folder), columns, "2000-06-01")
+    known = settle(S.rebuilt_versions(opened, settle(second_batch(spark, folder)), columns, "2001-09-01", closes=True))
+    orders = _order_text(spark, folder).where("o_orderpriority = '1-URGENT'").withColumn(
+        "o_totalprice", (F.col("o_totalprice") + 2).cast("decimal(18,4)"))
+    late = _clean(_stage(orders, ORDERS, F.col("_file_row"), "orders_late.csv", "R3"))
+    return S.rebuilt_versions(known, late, columns, "2000-12-01").select(*columns, "valid_from", "valid_to", "is_current")
+
+
 def dataset_drift(spark: SparkSession, folder: str) -> DataFrame:
     limits = {"row_count_pct": 5.0, "null_rate": 0.01, "category_count": 0}
     return D.dataset_drift(second_batch(spark, folder), first_load(spark, folder), ORDERS, limits, "2001-08").select(
@@ -897,6 +960,7 @@ def reconciled_copy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {query.__name__: query for query in (
+    chunk_audit, changed_chunks, partial_replace_blocked, related_join_salted, insight_factors, dimension_late_change,
     stage_raw_orders, stage_csv_orders, quarantine_csv_orders, project_by_name, typed_clean_orders, row_hashes_orders, staging_audit, clean_numeric_text,
     serial_dates, column_profile, quarantine_typed_values, quarantine_summary, quarantine_customers, exact_duplicates,
     flag_text, conflicting_keys, check_blank_keys, check_category_allowed, population_equation, population_unbalanced, control_totals,

@@ -124,6 +124,11 @@ def _run(spark: SparkSession, project: Project, paths: Mapping[str, list[str]],
     checks = [row for p in prepared.values() for row in p.checks]
     empty = {s.source_id: spark.createDataFrame([], s.typed_schema()) for s in project.sources}
     clean = {sid: prepared[sid].clean if sid in prepared else frame for sid, frame in empty.items()}
+    for source in supplied:
+        period = periods.get(source.source_id)
+        if source.load_mode == "replace_period" and source.least_period_share and period:
+            counts = Q.period_counts(store.history(source, base), clean[source.source_id], source, period)
+            checks += Q.period_report(counts, source).collect()  # one check
     for link in project.relationships:
         checks += relationship_report(clean[link.left], clean[link.right], link).collect()
     _record_checks(spark, store, run_id, checks)

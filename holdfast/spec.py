@@ -69,6 +69,8 @@ class Source:
     load_mode: str
     event_date: str | None = None
     lookback_days: int = 0
+    # Share of a stored month's rows that a batch replacing it must bring; 0 replaces whatever comes.
+    least_period_share: float = 0.0
     deletion_rule: str = "ignore"
     required: bool = True
     required_columns: tuple[str, ...] = ()
@@ -233,6 +235,7 @@ def _source_from(entry: Mapping) -> Source:
         load_mode=str(history.get("mode", "")),
         event_date=str(entry["event_date"]) if entry.get("event_date") else None,
         lookback_days=int(history.get("lookback_days", 0)),
+        least_period_share=float(history.get("least_period_share", 0)),
         deletion_rule=rule,
         required=bool(entry.get("required", True)),
         required_columns=texts(quality, "required_columns"),

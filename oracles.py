@@ -519,3 +519,51 @@ ORACLES["stage_csv_orders"] = f"""WITH {CSV_LINES},
            CASE WHEN surplus THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN surplus THEN 'SURPLUS_CELLS' END AS reason_code
     FROM lines JOIN files USING (file)"""
 ORACLES["quarantine_csv_orders"] = f"WITH {CSV_LINES} SELECT source_row, 'SURPLUS_CELLS' AS reason_code, line FROM lines WHERE surplus"
+
+# A row's text, its digest, and the digest of a range's digests.
+ROW_DIGESTS = f"""{ORDER_TEXT}, digests AS (
+        SELECT file_row, price, sha256(concat_ws(chr(31), CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, CAST(price AS VARCHAR),
+            CAST(day AS VARCHAR), o_orderpriority)) AS digest,
+            sha256(concat_ws(chr(31), CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, CAST(CAST(
+            price + CASE WHEN price = (SELECT max(price) FROM orders_text) THEN 1 ELSE 0 END AS DECIMAL(18,4)) AS VARCHAR),
+            CAST(day AS VARCHAR), o_orderpriority)) AS later FROM orders_text)"""
+ORACLES["chunk_audit"] = f"""WITH {ROW_DIGESTS}
+    SELECT 'orders.parquet' AS _source_file, (file_row - 1) // 1000 AS chunk, min(file_row) AS first_row, max(file_row) AS last_row,
+           count(*) AS rows_staged, sha256(string_agg(digest, ',' ORDER BY file_row)) AS chunk_sha256 FROM digests GROUP BY ALL"""
+ORACLES["changed_chunks"] = f"""WITH {ROW_DIGESTS}, chunks AS (
+        SELECT (file_row - 1) // 100 AS chunk, sha256(string_agg(digest, ',' ORDER BY file_row)) AS before_sha256,
+               sha256(string_agg(later, ',' ORDER BY file_row)) AS after_sha256 FROM digests GROUP BY ALL)
+    SELECT * FROM chunks WHERE before_sha256 <> after_sha256"""
+ORACLES["partial_replace_blocked"] = f"""WITH {HISTORY},
+    stored AS (SELECT strftime(day, '%Y-%m') AS month, count(*) AS stored_rows FROM h WHERE strftime(day, '%Y-%m') = '1998-03' GROUP BY 1),
+    arriving AS (SELECT batch, strftime(day, '%Y-%m') AS month, count(*) AS arriving_rows
+        FROM c, (VALUES ('shipped only'), ('all')) b(batch)
+        WHERE strftime(day, '%Y-%m') = '1998-03' AND (batch = 'all' OR o_orderstatus = 'F') GROUP BY 1, 2),
+    both_sides AS (SELECT batch, month, stored_rows, arriving_rows, arriving_rows >= stored_rows * 0.9 AS complete FROM arriving JOIN stored USING (month))
+    SELECT *, CASE WHEN complete THEN 'PASS' ELSE 'BLOCK' END AS status FROM both_sides"""
+ORACLES["related_join_salted"] = """WITH booked AS (
+        SELECT CASE WHEN l_linenumber = 1 THEN (SELECT min(l_orderkey) FROM lineitem) ELSE l_orderkey END AS booked_on,
+               CAST(l_quantity AS DECIMAL(18,4)) AS quantity FROM lineitem)
+    SELECT booked_on, o_orderpriority, o_custkey, count(*) AS n_lines, CAST(sum(quantity) AS DECIMAL(38,4)) AS quantity
+    FROM booked LEFT JOIN orders ON booked_on = o_orderkey GROUP BY ALL"""
+ORACLES["insight_factors"] = """WITH monthly AS (
+        SELECT p_brand AS id, year(l_shipdate) * 12 + month(l_shipdate) AS m, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS q, count(*) AS n
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+    usual AS (SELECT id, avg(q) AS u, max(m) AS newest, count(*) AS seen, sum(n) AS n, arg_max(q, m) AS last FROM monthly GROUP BY id),
+    sides AS (SELECT id, m, newest, sign(q - u) AS side FROM monthly JOIN usual USING (id)),
+    islands AS (SELECT *, m - row_number() OVER (PARTITION BY id, side ORDER BY m) AS island FROM sides),
+    runs AS (SELECT id, count(*) AS run FROM islands GROUP BY id, side, island HAVING max(m) = max(newest)),
+    span AS (SELECT max(m) - min(m) + 1 AS periods FROM monthly)
+    SELECT id, round(abs(last - u) / (SELECT sum(abs(last - u)) FROM usual), 6) AS impact, round(abs(last - u) / abs(u), 6) AS magnitude,
+           round(run / periods, 6) AS persistence, round(n / (SELECT sum(n) FROM usual), 6) AS population, round(seen / periods, 6) AS confidence
+    FROM usual JOIN runs USING (id), span"""
+ORACLES["dimension_late_change"] = f"""WITH {HISTORY},
+    points AS (
+        SELECT o_orderkey, price, DATE '2000-06-01' AS since, 1 AS rnk FROM h
+        UNION ALL SELECT o_orderkey, price, DATE '2001-09-01', 1 FROM c
+        UNION ALL SELECT o_orderkey, NULL, DATE '2001-09-01', 0 FROM h WHERE o_orderkey NOT IN (SELECT o_orderkey FROM c)
+        UNION ALL SELECT o_orderkey, CAST(price + 2 AS DECIMAL(18,4)), DATE '2000-12-01', 2 FROM orders_text WHERE o_orderpriority = '1-URGENT'),
+    by_day AS (SELECT o_orderkey, since, arg_max({{'p': price}}, rnk).p AS price FROM points GROUP BY 1, 2),
+    changed AS (SELECT *, lag(price) OVER (PARTITION BY o_orderkey ORDER BY since) AS earlier FROM by_day),
+    kept AS (SELECT *, lead(since) OVER (PARTITION BY o_orderkey ORDER BY since) AS until FROM changed WHERE price IS DISTINCT FROM earlier)
+    SELECT o_orderkey, price AS o_totalprice, since AS valid_from, until AS valid_to, until IS NULL AS is_current FROM kept WHERE price IS NOT NULL"""
