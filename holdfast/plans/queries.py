@@ -36,7 +36,7 @@ from holdfast.scale import checkpoint_folder, settle, with_one_row
 from holdfast.sources import archive as A
 from holdfast.sources.staging import Staged, already_loaded, stage_files, stage_frame
 from holdfast.sources.staging import staging_audit as audit_staging
-from holdfast.sources.store import Store, latest_runs, month_of, newest_entries
+from holdfast.sources.store import FILE_SCHEMA, Store, latest_runs, month_of, newest_entries
 from holdfast.sources.store import Table as SavedTable
 from holdfast.spec import Project, Relationship, Source
 
@@ -161,10 +161,11 @@ def stage_raw_orders(spark: SparkSession, folder: str) -> DataFrame:
     return staged_orders(spark, folder).rows.drop("_source_file_hash", "_row_order")
 
 
-def _csv_extracts(spark: SparkSession, folder: str) -> list[str]:
+def _csv_extracts(spark: SparkSession, folder: str, dearer: str = "") -> list[str]:
     """Orders as one CSV file per priority, in order of their key; pending ones of low priority have a cell too many, urgent
-    ones two too few."""
-    orders = _order_text(spark, folder)
+    ones two too few. Those of the priority ``dearer`` cost one more."""
+    orders = _order_text(spark, folder).withColumn("o_totalprice", F.when(
+        F.col("o_orderpriority") == dearer, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).cast("decimal(18,4)"))
     cells = [F.col(n).cast("string") for n in ORDERS.names]
     pending = F.col("o_orderstatus") == "P"
     line = (F.when(pending & (F.col("o_orderpriority") == "5-LOW"), F.concat_ws(",", *cells, F.lit("surplus")))
@@ -188,6 +189,19 @@ def stage_csv_orders(spark: SparkSession, folder: str) -> DataFrame:
                          "_raw.*", F.col("_status").alias("status"), F.col("_reason").alias("reason_code"))
 
 
+def skipped_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of a second delivery under new names, of which one has new content: which the run skips, and what it stages."""
+    source = replace(ORDERS, deletion_rule="ignore")
+    project = Project("trade", (source,))
+    store = Store(spark, f"{checkpoint_folder(spark)}/files-{uuid.uuid4().hex}", project, buckets=8)
+    for run_id, dearer in (("R1", ""), ("R2", "2-HIGH")):
+        run_project(spark, project, {"orders": _csv_extracts(spark, folder, dearer)}, run_id, store, skip_loaded=True)
+    files = store.ledger("files", FILE_SCHEMA).select(
+        "run_id", F.regexp_extract(F.url_decode("source_file"), "file=([^/]+)", 1).alias("file"))
+    staged = store.ledger("runs", RUN_SCHEMA).select("run_id", "rows_extracted", "rows_updated", "rows_unchanged")
+    return files.join(staged, "run_id")
+
+
 def quarantine_csv_orders(spark: SparkSession, folder: str) -> DataFrame:
     """What the quarantine keeps of CSV rows with a cell too many: their line."""
     staged = stage_files(spark, ORDERS, _csv_extracts(spark, folder), run_id="R1", report_id=TRADE.project_id, hash_files=False)
@@ -961,7 +975,7 @@ def reconciled_copy(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {query.__name__: query for query in (
     chunk_audit, changed_chunks, partial_replace_blocked, related_join_salted, insight_factors, dimension_late_change,
-    stage_raw_orders, stage_csv_orders, quarantine_csv_orders, project_by_name, typed_clean_orders, row_hashes_orders, staging_audit, clean_numeric_text,
+    stage_raw_orders, stage_csv_orders, quarantine_csv_orders, skipped_files, project_by_name, typed_clean_orders, row_hashes_orders, staging_audit, clean_numeric_text,
     serial_dates, column_profile, quarantine_typed_values, quarantine_summary, quarantine_customers, exact_duplicates,
     flag_text, conflicting_keys, check_blank_keys, check_category_allowed, population_equation, population_unbalanced, control_totals,
     quality_report_orders, quality_verdict, non_negative_measures, relationship_orphans, orphan_keys,

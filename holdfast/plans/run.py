@@ -11,6 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import TypeVar
+from urllib.parse import unquote
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -23,8 +24,8 @@ from holdfast.operators.tagging import clean_rows, quarantine_rows, read_rows, r
 from holdfast.plans.package import Dashboard, RunFacts, build_package, run_query, write_package
 from holdfast.plans.rules import Rule, run_rule, unique_outputs
 from holdfast.scale import settle
-from holdfast.sources.staging import Staged, source_paths, stage_files, staging_audit
-from holdfast.sources.store import Store, Table, kept_by_month
+from holdfast.sources.staging import Staged, file_digests, source_paths, stage_files, staging_audit
+from holdfast.sources.store import FILE_SCHEMA, Store, Table, kept_by_month, split_loaded
 from holdfast.spec import KEY_HASH, Project, Source
 
 T = TypeVar("T")
@@ -61,6 +62,7 @@ class Outcome:
     quality_counts: dict[str, int] = field(default_factory=dict)
     sources: dict[str, SourceOutcome] = field(default_factory=dict)
     rule_rows: dict[str, int] = field(default_factory=dict)
+    skipped_files: dict[str, list[str]] = field(default_factory=dict)
     package: dict | None = None
     error_message: str | None = None
 
@@ -79,9 +81,13 @@ class _Prepared:
 def run_project(spark: SparkSession, project: Project, inputs: Mapping[str, str | Sequence[str]], run_id: str,
                 store: Store, *, dashboard: Dashboard | None = None, rules: Sequence[Rule] = (),
                 periods: Mapping[str, str] | None = None, add_columns: Mapping[str, Sequence[str]] | None = None,
-                file_format: str = "csv", package_path: str | None = None, demo_data: bool = False) -> Outcome:
+                file_format: str = "csv", package_path: str | None = None, demo_data: bool = False,
+                skip_loaded: bool = False) -> Outcome:
     """Run every supplied source of a project and publish all of them together.
 
+    With ``skip_loaded`` a file whose content a published run has loaded is not staged again, whatever its name; a source
+    without another file keeps its history.
+
     A BLOCK ends the run as FAILED with history untouched. Any error after the gate does
     the same and is raised.
     """
@@ -96,7 +102,7 @@ def run_project(spark: SparkSession, project: Project, inputs: Mapping[str, str
     store.forget_run(run_id)
     try:
         _run(spark, project, paths, outcome, store, dashboard, rules, periods or {}, add_columns or {},
-             file_format, demo_data)
+             file_format, demo_data, skip_loaded)
     except Exception as problem:
         outcome.status, outcome.error_message = "FAILED", str(problem)
         raise
@@ -109,9 +115,13 @@ def run_project(spark: SparkSession, project: Project, inputs: Mapping[str, str
 
 def _run(spark: SparkSession, project: Project, paths: Mapping[str, list[str]], outcome: Outcome, store: Store,
          dashboard: Dashboard | None, rules: Sequence[Rule], periods: Mapping[str, str],
-         add_columns: Mapping[str, Sequence[str]], file_format: str, demo_data: bool) -> None:
+         add_columns: Mapping[str, Sequence[str]], file_format: str, demo_data: bool, skip_loaded: bool) -> None:
     run_id, base, number = outcome.run_id, store.current(), store.next_number()
     supplied = [s for s in project.sources if s.source_id in paths]
+    files = {}
+    if skip_loaded:
+        paths, files = _new_files(spark, store, supplied, paths, outcome)
+        supplied = [s for s in supplied if s.source_id in paths]
 
     def prepare(source: Source) -> _Prepared:
         staged = stage_files(spark, source, paths[source.source_id], run_id=run_id,
@@ -164,9 +174,26 @@ def _run(spark: SparkSession, project: Project, paths: Mapping[str, list[str]],
 
         outcome.package = build_package(spark, dashboard, views, facts, publish)
     store.commit(base, number, run_id, tables)
+    for source_id, loaded in files.items():
+        store.append("files", loaded, run_id, source_id)
     outcome.status = "COMPLETE"
 
 
+def _new_files(spark: SparkSession, store: Store, supplied: Sequence[Source], paths: Mapping[str, list[str]],
+               outcome: Outcome) -> tuple[dict[str, list[str]], dict[str, DataFrame]]:
+    """Paths of the files not loaded yet, one of those with the same content, and what the file ledger will say of them."""
+    ledger, kept, files = store.ledger("files", FILE_SCHEMA), {}, {}
+    for source in supplied:
+        judged = settle(split_loaded(file_digests(spark, paths[source.source_id]), ledger, source.source_id))
+        new = settle(judged.where("not loaded").groupBy("file_sha256").agg(F.min("source_file").alias("source_file")))
+        names = {unquote(r["source_file"]) for r in new.collect()}  # files that the driver has listed
+        outcome.skipped_files[source.source_id] = sorted(
+            unquote(r["source_file"]) for r in judged.select("source_file").collect() if unquote(r["source_file"]) not in names)
+        if names:
+            kept[source.source_id], files[source.source_id] = sorted(names), new.select("source_file", "file_sha256")
+    return kept, files
+
+
 def _for_each(spark: SparkSession, sources: Sequence[Source], work: Callable[[Source], T]) -> dict[str, T]:
     """Sources do not depend on each other, so their jobs are submitted side by side."""
     with ThreadPoolExecutor(max_workers=max(1, min(len(sources), PARALLEL_SOURCES))) as pool:

@@ -164,6 +164,13 @@ def _file_table(spark: SparkSession, paths: Sequence[str], files: Sequence[str],
     return small.unionByName(_streamed(spark, large, len(ranked)))
 
 
+def file_digests(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``source_file, file_sha256`` of input files, without reading a row of them."""
+    files = spark.read.text(list(paths)).inputFiles()
+    return _file_table(spark, paths, [_LOCAL_FILE.sub("file:///", path) for path in files], True).select(
+        F.col("_file_path").alias("source_file"), F.col("_file_sha256").alias("file_sha256"))
+
+
 def _streamed(spark: SparkSession, listed: DataFrame, files: int) -> DataFrame:
     """SHA-256 of files too large to be held, each streamed in blocks by one task."""
     def hashed(batches: Iterator) -> Iterator:

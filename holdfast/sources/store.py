@@ -249,7 +249,7 @@ class Store:
 
     def forget_run(self, run_id: str) -> None:
         """Drop what an earlier attempt of this run left in the ledgers and in scratch."""
-        for name in ("runs", "checks", "quarantine", "audit"):
+        for name in ("runs", "checks", "quarantine", "audit", "files"):
             remove_folder(self.spark, f"{self._ledger(name)}/run_id={run_id}")
         remove_folder(self.spark, self.scratch(run_id))
 
@@ -268,6 +268,15 @@ class Store:
         return self.spark.read.schema(schema).parquet(self._ledger(name))
 
 
+FILE_SCHEMA = "source_file string, file_sha256 string, run_id string, source_id string"
+
+
+def split_loaded(digests: DataFrame, ledger: DataFrame, source_id: str) -> DataFrame:
+    """Files with ``loaded``: whether a published run has loaded the same content for the source, under whatever name."""
+    known = ledger.where(F.col("source_id") == source_id).select("file_sha256").distinct().withColumn("loaded", F.lit(True))
+    return digests.join(known, "file_sha256", "left").withColumn("loaded", F.coalesce("loaded", F.lit(False)))
+
+
 def newest_entries(ledger: DataFrame) -> DataFrame:
     """Newest entry of each run, of all runs."""
     return (ledger.withColumn("_at", F.struct("finished_at", "started_at"))

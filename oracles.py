@@ -567,3 +567,9 @@ ORACLES["dimension_late_change"] = f"""WITH {HISTORY},
     changed AS (SELECT *, lag(price) OVER (PARTITION BY o_orderkey ORDER BY since) AS earlier FROM by_day),
     kept AS (SELECT *, lead(since) OVER (PARTITION BY o_orderkey ORDER BY since) AS until FROM changed WHERE price IS DISTINCT FROM earlier)
     SELECT o_orderkey, price AS o_totalprice, since AS valid_from, until AS valid_to, until IS NULL AS is_current FROM kept WHERE price IS NOT NULL"""
+
+# Surplus rows are staged, counted and rejected; of the second delivery one file is new.
+ORACLES["skipped_files"] = """WITH files AS (SELECT DISTINCT o_orderpriority AS file FROM orders)
+    SELECT 'R1' AS run_id, file, (SELECT count(*) FROM orders) AS rows_extracted, 0 AS rows_updated, 0 AS rows_unchanged FROM files
+    UNION ALL SELECT 'R2', file, (SELECT count(*) FROM orders WHERE o_orderpriority = '2-HIGH'),
+                     (SELECT count(*) FROM orders WHERE o_orderpriority = '2-HIGH'), 0 FROM files WHERE file = '2-HIGH'"""

@@ -164,3 +164,21 @@ def test_a_partial_month_is_refused_and_recorded(spark, tmp_path, write_csv):
     for run, path in (("R1", first), ("R2", part)):
         assert run_project(spark, loose.project, {"sales": path}, run, loose, periods={"sales": "2026-01"}).succeeded
     assert loose.history(free).count() == 7
+
+
+def test_a_file_loaded_before_is_not_staged_again(spark, tmp_path, write_csv):
+    source = replace(SALES, load_mode="upsert", least_period_share=0.0)
+    project = Project("shop", (source,))
+    store = Store(spark, str(tmp_path / "store"), project, buckets=2)
+    header = "sale_id,sold_on,note"
+    first = write_csv("week 1.csv", header, "S1,2026-01-05,x", "S2,2026-02-05,x")
+    assert run_project(spark, project, {"sales": first}, "R1", store, skip_loaded=True).sources["sales"].inserted == 2
+    renamed, new = write_csv("again.csv", header, "S1,2026-01-05,x", "S2,2026-02-05,x"), write_csv("new.csv", header, "S3,2026-01-06,x")
+    twin = write_csv("twin of new.csv", header, "S3,2026-01-06,x")
+    second = run_project(spark, project, {"sales": [renamed, new, twin]}, "R2", store, skip_loaded=True)
+    assert second.sources["sales"].rows_extracted == 1 and second.sources["sales"].inserted == 1
+    assert [p.rsplit("/", 1)[1] for p in second.skipped_files["sales"]] == ["again.csv", "twin of new.csv"]
+    third = run_project(spark, project, {"sales": [renamed]}, "R3", store, skip_loaded=True)
+    assert third.succeeded and third.sources == {} and store.history(source).count() == 3
+    # Asked for or not, a file that no published run has loaded is staged.
+    assert run_project(spark, project, {"sales": [renamed]}, "R4", store).sources["sales"].unchanged == 2
