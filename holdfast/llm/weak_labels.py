@@ -165,10 +165,10 @@ def score_quality(docs: DataFrame, sample: int = SAMPLE, least_score: float = 0.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    votes = voted(docs)
-    patterns = stored(votes.select("votes", "doc_id", F.xxhash64("text").alias("text_hash")), "votes")
-    total = patterns.count()
-    _, table = fit_labels(patterns)
+    # The labellers' patterns are the dear part: they see each text once, and their votes are written beside it.
+    votes = stored(voted(docs), "votes")
+    total = votes.count()
+    _, table = fit_labels(votes)
     labelled = votes.join(F.broadcast(table), "votes")
     share = min(1.0, sample / max(total, 1))
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1))
