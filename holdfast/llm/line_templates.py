@@ -159,7 +159,7 @@ def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_neigh
 
 def drop_recurring_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with all its columns, its text without recurring lines, and ``n_lines``, ``n_dropped`` (which replace
-    columns of these names).
+    columns of these names, in any case).
 
     A NULL text stays NULL and has no lines; an empty text has one, which has no token and stays, like every line of
     white space. No row is dropped, even if all its lines are. Equal texts count as one for recurrence, repeated rows
