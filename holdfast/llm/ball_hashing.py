@@ -19,10 +19,10 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from holdfast.llm.components import components
-from holdfast.llm.scratch import once, small_batches, stored
+from holdfast.llm.components import components, similar_components
+from holdfast.llm.scratch import dropped, once, small_batches, stored
 from holdfast.scale import lookup
 
 SHINGLE_WORDS = 3
@@ -132,11 +132,12 @@ def bucket_hashes(shingles: np.ndarray) -> np.ndarray:
                     dtype=np.uint64).view(np.int64)
 
 
-@F.pandas_udf(StructType([StructField("fp", LongType()), StructField("buckets", ArrayType(LongType()))]))
+@F.pandas_udf(StructType([StructField("fp", LongType()), StructField("shingles", LongType()),
+                          StructField("buckets", ArrayType(LongType()))]))
 def _buckets(texts: pd.Series) -> pd.DataFrame:
     sets = [np.unique(shingle_hashes(t, SIMILAR_WORDS)) for t in texts]
     names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-    return pd.DataFrame({"fp": names, "buckets": [bucket_hashes(s) for s in sets]})
+    return pd.DataFrame({"fp": names, "shingles": [len(s) for s in sets], "buckets": [bucket_hashes(s) for s in sets]})
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -145,62 +146,37 @@ def _shingle_sets(texts: pd.Series) -> pd.Series:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``fp, shingles`` of the nodes ``wanted`` (``fp, text_hash``), from one text each."""
+    """``node, elements``: the shingles of the nodes ``wanted`` (``fp, text_hash``), from one text each."""
     if wanted.count() <= BROADCAST_TEXTS:
         wanted = F.broadcast(wanted)
     text = F.coalesce("text", F.lit(""))
     texts = (docs.select(F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).join(wanted, "text_hash")
              .groupBy("fp").agg(F.first("text").alias("text")))
-    return stored(texts.select("fp", _shingle_sets("text").alias("shingles")), "shingles")
-
-
-def similar_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (``a, b``) whose shingle sets have a Jaccard similarity of ``LEAST_SIMILARITY`` or more."""
-    of = {side: sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"of_{side}")) for side in "ab"}
-    both = pairs.join(of["a"], "a").join(of["b"], "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    # In whole numbers, so that a similarity of exactly the least one counts.
-    enough = shared * 100 >= (F.size("of_a") + F.size("of_b") - shared) * round(LEAST_SIMILARITY * 100)
-    return both.where(enough).select("a", "b")
+    return stored(texts.select(F.col("fp").alias("node"), _shingle_sets("text").alias("elements")), "shingles")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
     """Like ``near_duplicates``, but linked are texts of which ``LEAST_SIMILARITY`` of the five-word shingles are shared.
 
-    ``fp`` names a set of shingles. Sets that meet in a bucket are compared whole, but for those that are in one component
-    already: the first with all others, then the next two, the next four and so on, until a bucket is one component or
-    all of it was compared. No link within a bucket is left out; a bucket of many sets that do not become one component costs
-    comparisons by the square of its size.
+    ``fp`` names a set of shingles. Sets that meet in a bucket are compared whole (``similar_components``).
     """
     small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = stored(docs.select("doc_id", F.xxhash64(text).alias("text_hash"), _buckets(text.cast("binary")).alias("found"))
                   .select("doc_id", "text_hash", "found.*"), "buckets")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"),
-                                          F.min("text_hash").alias("text_hash"), F.first("buckets").alias("buckets")), "nodes")
-    met = Window.partitionBy("bucket")
-    members = stored(nodes.select("fp", F.explode("buckets").alias("bucket"))
-                     .withColumns({"size": F.count("*").over(met)}).where("size > 1")
-                     .withColumn("place", F.row_number().over(met.orderBy(F.xxhash64("fp", "bucket"), "fp"))), "members")
-    sets = _sets(docs, stored(members.select("fp").distinct().join(nodes.select("fp", "text_hash"), "fp"), "wanted"))
-    roots = rows.limit(0).select(F.col("fp").alias("node"), F.col("fp").alias("root"))
-    found, first = None, 1
-    members = members.withColumn("root", F.col("fp"))
-    while not members.isEmpty():
-        others = members.where(F.col("place").between(first, 2 * first - 1)).select(
-            "bucket", F.col("place").alias("at"), F.col("fp").alias("other"), F.col("root").alias("other_root"))
-        pairs = (members.join(others, "bucket").where("place > at and root <> other_root")
-                 .select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct())
-        new = stored(similar_links(pairs, sets), "links")
-        found = new if found is None else found.unionByName(new)
-        roots = stored(components(found), "roots")
-        first *= 2
-        # Buckets go on that have sets left to be first and are not one component yet.
-        rooted = (members.where(F.col("size") > first).drop("root")
-                  .join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-        members = stored(rooted.withColumns({"low": F.min("root").over(met), "high": F.max("root").over(met)})
-                         .where("low <> high").drop("low", "high"), "members")
-    return _classes(rows.drop("buckets"), nodes.drop("buckets", "text_hash"), roots)
+                                          F.min("text_hash").alias("text_hash"), F.first("shingles").alias("shingles"),
+                                          F.first("buckets").alias("buckets")), "nodes")
+    members = nodes.select("fp", "shingles", F.explode("buckets").alias("bucket"))
+    crowded = members.groupBy("bucket").agg(F.count("*").alias("sets")).where("sets > 1")
+    members = stored(members.join(crowded, "bucket").select(F.col("fp").alias("node"), "bucket", F.col("shingles").alias("n")),
+                     "members")
+    wanted = members.select(F.col("node").alias("fp")).distinct().join(nodes.select("fp", "text_hash"), "fp")
+    sets = _sets(docs, stored(wanted, "wanted"))
+    roots = stored(similar_components(members, sets, LEAST_SIMILARITY), "roots")
+    dropped(members)
+    dropped(sets)
+    return _classes(rows.drop("buckets", "shingles"), nodes.drop("buckets", "text_hash", "shingles"), roots)
 
 
 def as_hex(fp: Column) -> Column:

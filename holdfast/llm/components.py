@@ -1,11 +1,20 @@
-"""Connected components by alternating star contraction; every round is a written table."""
+"""Connected components by alternating star contraction; every round is a written table.
+
+``similar_components`` finds the links too, among sets that meet in buckets.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.llm.scratch import dropped, stored
+from holdfast.scale import lookup
+
+# Sets of a bucket that are compared with all others of it, before the rest meets by its rarest elements, and by how much
+# their number grows there from one round to the next. Neither changes the result.
+FIRSTS = 3
+MORE_FIRSTS = 16
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -41,3 +50,83 @@ def components(edges: DataFrame) -> DataFrame:
         dropped(now)
         now = following
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def similar_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (``a, b``) whose ``sets`` (``node, elements``) have a Jaccard similarity of ``least`` or more."""
+    of = {side: sets.select(F.col("node").alias(side), F.col("elements").alias(f"of_{side}")) for side in "ab"}
+    both = pairs.join(of["a"], "a").join(of["b"], "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    # In whole numbers, so that a similarity of exactly the least one counts.
+    enough = shared * 100 >= (F.size("of_a") + F.size("of_b") - shared) * round(least * 100)
+    return both.where(enough).select("a", "b")
+
+
+def _linked(members: DataFrame, sets: DataFrame, least: float, found: DataFrame, firsts: int | None) -> tuple[DataFrame, DataFrame]:
+    """``found`` (``a, b``) with the links of ``members`` (``node, root, bucket, n, at``), and the members left over.
+
+    The first ``firsts`` sets of a bucket are compared with all others, and those of buckets that did not become one
+    component are left over. Without ``firsts`` more and more sets are first until all were compared. The order is the same
+    in all buckets: sets that meet often are compared with the same one and only once. Sets in one component
+    are not compared, nor those that cannot share enough: ``at`` elements of a set of ``n`` are known not to be shared.
+    """
+    met = Window.partitionBy("bucket")
+    members = stored(members.withColumn("size", F.count("*").over(met)).where("size > 1")
+                     .withColumn("place", F.row_number().over(met.orderBy(F.xxhash64("node"), "node"))), "members")
+    first, rounds = 1, 0
+    while (firsts is None or rounds == 0) and not members.isEmpty():
+        following_first = firsts + 1 if firsts else first * MORE_FIRSTS
+        others = members.where(F.col("place").between(first, following_first - 1)).select(
+            "bucket", F.col("place").alias("at_place"), F.col("node").alias("other"), F.col("root").alias("other_root"),
+            (F.col("n") - F.col("at")).alias("other_rest"), F.col("n").alias("other_n"))
+        most = F.least(F.col("n") - F.col("at"), "other_rest")
+        alike = most * 100 >= (F.col("n") + F.col("other_n") - most) * round(least * 100)
+        pairs = (members.join(others, "bucket").where("place > at_place and root <> other_root").where(alike)
+                 .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+        found = found.unionByName(stored(similar_links(pairs, sets, least), "links"))
+        first, rounds = following_first, rounds + 1
+        # Buckets go on that have sets left to be first and are not one component yet.
+        rooted = rooted_in(members.where(F.col("size") > first).drop("root"), components(found))
+        following = stored(rooted.withColumns({"low": F.min("root").over(met), "high": F.max("root").over(met)})
+                           .where("low <> high").drop("low", "high"), "members")
+        dropped(members)
+        members = following
+    return found, members.drop("size", "place")
+
+
+def rooted_in(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``nodes`` with the ``root`` of their component; that of a node without links is itself."""
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _rarest(sets: DataFrame, least: float) -> DataFrame:
+    """``node, bucket, n, at``: the rarest elements of each set, as many as two sets that share ``least`` of theirs need to
+    have one in common, in an order that is the same for all sets. Elements of one set alone come first and are left out."""
+    each = sets.select("node", F.size("elements").alias("n"), F.explode("elements").alias("bucket"))
+    common = stored(each.groupBy("bucket").agg(F.count("*").alias("sets")).where("sets > 1"), "common")
+    known = lookup(each.withColumn("row", F.xxhash64("node", "bucket")), common, ["bucket"], ["sets"], size="sets", row_id="row")
+    ordered = (known.where("sets is not null").groupBy("node", "n")
+               .agg(F.array_sort(F.collect_list(F.struct("sets", "bucket"))).alias("shared")))
+    return (ordered.select("node", "n", (F.col("n") - F.size("shared")).alias("own"), F.posexplode("shared").alias("place", "element"))
+            .select("node", F.col("element.bucket").alias("bucket"), "n", (F.col("own") + F.col("place")).alias("at"))
+            .where((F.col("n") - F.col("at")) * 100 >= F.col("n") * round(least * 100)))
+
+
+def similar_components(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``node, root`` as ``components`` has them, of the sets that are linked: they meet in a bucket of ``members``
+    (``node, bucket, n``, the size of the set) and share ``least`` of their elements by Jaccard similarity.
+
+    Every pair that counts is compared whole. A bucket of many sets that its first ones do not join (copies with too many
+    edits, texts round a common passage) is left, and its sets meet anew where they share one of their rarest
+    elements: sets that are similar enough always do, and how rare these are bounds what the two can share. No link
+    within a bucket is lost that way.
+    """
+    members = members.withColumns({"root": F.col("node"), "at": F.lit(0)})
+    nothing = members.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    found, left = _linked(members, sets, least, nothing, FIRSTS)
+    if not left.isEmpty():
+        crowded = stored(sets.join(left.select("node").distinct(), "node", "left_semi"), "crowded")
+        anew = rooted_in(_rarest(crowded, least), components(found))
+        found, _ = _linked(anew, crowded, least, found, None)
+        dropped(crowded)
+    return components(found)

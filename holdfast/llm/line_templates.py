@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.components import components
-from holdfast.llm.scratch import stored
+from holdfast.llm.components import similar_components
+from holdfast.llm.scratch import dropped, stored
 from holdfast.scale import lookup
 
 VARIABLE = "<*>"
@@ -27,8 +27,10 @@ LEADING_TOKENS = 3
 LEAST_TEXTS = 10
 # Different pairs of neighbours there must be for each text.
 LEAST_NEIGHBOURS = 0.25
-# Texts are copies if all min-hashes of one of their keys, over runs of two words, are equal: 98.6 % of pairs that share
-# two thirds of their runs, 1.2 % of those that share a tenth.
+# Texts are copies if they share this much of their runs of two words.
+COPY_SIMILARITY = 0.5
+# They are compared if all min-hashes of one of their keys are equal: 98.6 % of pairs that share two thirds of their runs,
+# 80 % of those that share half; a family of copies needs one link a text.
 COPY_KEYS = 12
 KEY_HASHES = 3
 # Texts whose class is asked for sent to every executor, 8 bytes each; more are met by a shuffle of the texts.
@@ -104,29 +106,43 @@ def template_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, most_variabl
     rows = shared.select("doc_id", "text_hash", "line_no", "before", "after", "form",
                         F.xxhash64("doc_id", "text_hash", "line_no").alias("row"))
     found = lookup(rows, templates, ["form"], ["template"], size="lines", row_id="row")
-    return stored(found.where("template is not null").drop("form", "row"), "template-lines")
+    marked = stored(found.where("template is not null").drop("form", "row"), "template-lines")
+    for table in (lines, forms, support, templates):
+        dropped(table)
+    return marked
 
 
-def copy_classes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``text_hash, class`` of those texts ``wanted`` (``text_hash``) that are copies of others in it, edited or not, but
-    the least of each class."""
+def _runs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``text_hash, runs`` of the rows of ``docs`` with a text in ``wanted`` (``text_hash``): hashes of two neighbouring words."""
     if wanted.count() <= BROADCAST_TEXTS:
         wanted = F.broadcast(wanted)
     text = F.coalesce("text", F.lit(""))
-    texts = (docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).join(wanted, "text_hash", "left_semi")
-             .groupBy("text_hash").agg(F.first("text").alias("text")))
-    tokens = texts.select("text_hash", F.split(masked(F.col("text")), " ").alias("tokens"))
-    # The token before is the last one's neighbour too, so that a text of one token has a run.
-    runs = (tokens.select("text_hash", F.explode(F.arrays_zip(
-        F.concat(F.array(F.element_at("tokens", -1)), F.slice("tokens", F.lit(1), F.size("tokens") - 1)).alias("before"),
-        F.col("tokens").alias("token"))).alias("run"))
-        .select("text_hash", F.xxhash64("run.before", "run.token").alias("run")))
+    tokens = (docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).join(wanted, "text_hash", "left_semi")
+              .select("text_hash", F.split(masked(F.col("text")), " ").alias("tokens")))
+    # The last token comes before the first, so that a text of one token has a run.
+    before = F.concat(F.array(F.element_at("tokens", -1)), F.slice("tokens", F.lit(1), F.size("tokens") - 1))
+    return tokens.select("text_hash", F.zip_with(before, "tokens", lambda a, b: F.xxhash64(a, b)).alias("runs"))
+
+
+def copy_classes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``text_hash, class`` of those texts ``wanted`` (``text_hash``) that are copies of others in it, edited or not, but
+    the least of each class. Texts that share a key are linked if they share ``COPY_SIMILARITY`` of their runs."""
+    # Keys of rows, not of texts: their minima travel, the texts stay where they are.
+    runs = _runs(docs, wanted).select("text_hash", F.explode("runs").alias("run"))
     least = [F.min(F.xxhash64(F.lit(i), "run")).alias(f"h{i}") for i in range(COPY_KEYS * KEY_HASHES)]
     keys = F.array(*[F.xxhash64(F.lit(k), *[f"h{i}" for i in range(KEY_HASHES * k, KEY_HASHES * (k + 1))]) for k in range(COPY_KEYS)])
     keyed = stored(runs.groupBy("text_hash").agg(*least).select("text_hash", F.explode(keys).alias("key")), "copy-keys")
-    firsts = keyed.groupBy("key").agg(F.min("text_hash").alias("first"), F.count("*").alias("texts")).where("texts > 1")
-    links = keyed.join(firsts, "key").where("text_hash <> first").select(F.col("text_hash").alias("a"), F.col("first").alias("b"))
-    return components(links).select(F.col("node").alias("text_hash"), F.col("root").alias("class"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
+    met = stored(keyed.join(shared, "key").select("text_hash", "key"), "met")
+    elements = F.first(F.array_distinct("runs")).alias("elements")
+    sets = stored(_runs(docs, stored(met.select("text_hash").distinct(), "met-texts")).groupBy("text_hash").agg(elements)
+                  .withColumnRenamed("text_hash", "node"), "runs")
+    members = met.join(sets.select("node", F.size("elements").alias("n")), met.text_hash == sets.node).select(
+        "node", F.col("key").alias("bucket"), "n")
+    roots = stored(similar_components(members, sets, COPY_SIMILARITY), "copy-classes")
+    for table in (keyed, met, sets):
+        dropped(table)
+    return roots.select(F.col("node").alias("text_hash"), F.col("root").alias("class"))
 
 
 def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_neighbours: float = LEAST_NEIGHBOURS,
@@ -143,8 +159,9 @@ def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_neigh
     rows = lines.withColumn("row", F.xxhash64("doc_id", "text_hash", "line_no"))
     marked = stored(lookup(rows, counted, ["template"], ["drop"], size="lines", row_id="row")
                     .where("drop is not null").select("doc_id", "text_hash", "line_no", "template", "drop"), "marked")
+    dropped(lines)
     in_doubt = stored(marked.where("not drop").select("template", "text_hash").distinct(), "in-doubt")
-    dropped = marked.where("drop")
+    gone = marked.where("drop")
     if not in_doubt.isEmpty():
         classes = copy_classes(docs, in_doubt.select("text_hash").distinct())
         own = in_doubt.join(classes, "text_hash", "left").select("template", F.coalesce("class", "text_hash").alias("class"))
@@ -153,8 +170,8 @@ def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_neigh
                        .select("template", "lines", F.lit(True).alias("recurs")), "recurring")
         doubtful = marked.where("not drop").withColumn("row", F.xxhash64("doc_id", "text_hash", "line_no"))
         found = lookup(doubtful, facts, ["template"], ["recurs"], size="lines", row_id="row")
-        dropped = dropped.unionByName(found.where("recurs").drop("recurs", "row"))
-    return dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("line_nos"))
+        gone = gone.unionByName(found.where("recurs").drop("recurs", "row"))
+    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("line_nos"))
 
 
 def drop_recurring_lines(docs: DataFrame, **options) -> DataFrame:

@@ -28,6 +28,8 @@ from holdfast.scale import lookup
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 32 << 20
+# Frames read by one task at most; an archive of few frames is dealt over all cores.
+FRAMES_PER_TASK = 1024
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 BASE32, HEX32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -240,7 +242,11 @@ def fetch(archive: Archive, record_ids: DataFrame) -> DataFrame:
 def _read(entries: DataFrame, folder: str, with_payload: bool) -> DataFrame:
     """Frames named by index entries, dealt to tasks frame by frame."""
     small_batches(entries.sparkSession)
-    frames = entries.groupBy("bundle", "frame").agg(F.collect_list("offset").alias("offsets"))
+    own = entries.select("bundle", "frame").distinct().count()
+    # Index rows are few bytes and stand for much, so tasks are counted by frames: adaptive execution would make one.
+    tasks = max(1, min(own, 2 * entries.sparkSession.sparkContext.defaultParallelism), -(-own // FRAMES_PER_TASK))
+    frames = (entries.repartition(tasks, "bundle", "frame").groupBy("bundle", "frame")
+              .agg(F.collect_list("offset").alias("offsets")))
 
     def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()

@@ -43,6 +43,12 @@ def plain(texts, least):
     return rows
 
 
+def test_archive_is_read_by_many_tasks(spark, pages):
+    archive = warc_bundles.write_archive(pages, frame_bytes=500)
+    frames = archive.index.select("bundle", "frame").distinct().count()
+    assert warc_bundles.read_archive(archive).rdd.getNumPartitions() == min(frames, 2 * spark.sparkContext.defaultParallelism) > 1
+
+
 @pytest.mark.parametrize("least", [0, 300])
 def test_archive_round_trip(pages, texts, least):
     archive = warc_bundles.write_archive(pages, min_revisit_bytes=least, frame_bytes=2000, bundle_bytes=6000)

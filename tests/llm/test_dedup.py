@@ -14,7 +14,7 @@ import corpus_pipeline
 from conftest import prose
 from conftest_data import frame_rows
 from holdfast.llm import ball_hashing, chunk_dedup, suffix_order
-from holdfast.llm.components import components
+from holdfast.llm.components import components, similar_components
 
 
 def sha(text: str) -> str:
@@ -127,6 +127,34 @@ def edited(seed: int, words: list[str], edits: int) -> str:
     return " ".join(words)
 
 
+def test_crowded_buckets_lose_no_link(spark):
+    """Copies with many edits meet in crowded buckets and are mostly unlike each other; so are texts round a passage."""
+    family, passage = prose(2100, 70).split(), prose(2200, 40)
+    texts = [edited(300 + i, family, i % 7) for i in range(140)]
+    texts += [f"{passage} {prose(2300 + i // 4, 12)} {prose(2400 + i, 1)}" for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in ball_hashing.similar_documents(docs).collect()}
+    assert found == dict(enumerate(similar_roots(texts)))
+    assert 40 < len(set(found.values())) < 160
+
+
+def test_sets_that_share_rare_elements(spark):
+    """Every pair of similar sets shares a bucket of rarest elements near enough to the start of both."""
+    pick = random.Random(5)
+    sets = [sorted(pick.sample(range(60), pick.randint(1, 12))) for _ in range(60)]
+    sets += [sorted(set(s[:-1]) | {200 + i}) for i, s in enumerate(sets)] + [s + [300] for s in sets]
+    frame = spark.createDataFrame(list(enumerate(sets)), "node long, elements array<long>")
+    one_bucket = frame.select("node", F.lit(0).alias("bucket"), F.size("elements").alias("n"))
+    found = {r["node"]: r["root"] for r in similar_components(one_bucket, frame, 0.8).collect()}
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 10 * len(set(a) & set(b)) >= 8 * len(set(a) | set(b)):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert [found.get(i, i) for i in range(len(sets))] == root
+
+
 def test_near_duplicates_stage_reaches_its_similarity(spark):
     """Copies with scattered edits differ by more than two bits; chains of copies and a large family are one group each."""
     own = [prose(1000 + i, 300).split() for i in range(30)]

@@ -86,6 +86,20 @@ def test_whole_index_and_proximity(spark, docs, texts):
     assert Counter(r["phrase"] for r in positional_index.near_phrases(index, phrases, 5).collect())[2] == 14
 
 
+def copies(texts):
+    """The class of every text: links are texts that share half of their runs of two words, cyclic."""
+    sets, root = {}, {t: t for t in texts}
+    for t in texts:
+        own = ["<*>" if re.search(r"\d", w) else w for w in t.split()]
+        sets[t] = set(zip(own[-1:] + own, own))
+    for a in texts:
+        for b in texts:
+            if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b]) and root[a] != root[b]:
+                old, new = root[a], root[b]
+                root = {t: new if r == old else r for t, r in root.items()}
+    return root
+
+
 def dropped_lines(texts, least, share, most_variable):
     lines = []  # (key of the text, document, line number, masked, path)
     for k, (i, t) in enumerate(texts):
@@ -110,12 +124,16 @@ def dropped_lines(texts, least, share, most_variable):
             continue
         constant = [support[path, at, w] >= least for at, w in enumerate(tokens)]
         variable = sum(not c and w != "<*>" for c, w in zip(constant, tokens))
-        general = variable <= len(tokens) * most_variable
+        constants = sum(c and w != "<*>" for c, w in zip(constant, tokens))
+        general = variable <= len(tokens) * most_variable or variable == 1 and constants >= 4
         template = (path, tuple(w if c else "<*>" for c, w in zip(constant, tokens)) if general else ("own", tokens))
         seen[template].add(text)
         sides[template].add(beside)
         of_line[k, n] = template
-    bad = {t for t in seen if len(seen[t]) >= least and len(sides[t]) >= max(least, share * len(seen[t]))}
+    seen = {t: own for t, own in seen.items() if len(own) >= least}
+    bad = {t for t in seen if len(sides[t]) >= max(least, share * len(seen[t]))}
+    classes = copies({x for t, own in seen.items() if t not in bad for x in own})
+    bad |= {t for t in seen if t not in bad and len({classes[x] for x in seen[t]}) >= least}
     return {key for key, t in of_line.items() if t in bad}
 
 
@@ -168,6 +186,19 @@ def test_family_of_copies_counts_once(spark):
     assert found == {i: t.replace(line + "\n", "") for i, t in enumerate(texts)}
 
 
+def test_copy_classes_join_no_unrelated_texts(spark):
+    """Texts round a common block that is under half of their words stay apart, whatever keys they share."""
+    block = prose(4700, 60)
+    texts = [f"{prose(4710 + i, 50)} {block}" for i in range(150)]
+    texts += [f"{prose(4900 + i // 3, 90)} {prose(4990 + i, 2)}" for i in range(30)]  # families of three
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    classes = line_templates.copy_classes(docs, hashes.select("text_hash"))
+    found = hashes.join(classes, "text_hash", "left").select("doc_id", F.coalesce("class", "text_hash").alias("class")).collect()
+    plain = copies(set(texts))
+    assert len({(plain[texts[r["doc_id"]]], r["class"]) for r in found}) == len({r["class"] for r in found}) == 160
+
+
 def test_short_line_with_a_name_shares_a_template(spark):
     names = ["anna", "bert", "cleo", "dora", "emil", "fritz", "gina", "hugo", "ida", "jan", "karl", "lena", "max", "nora"]
     texts = [f"{prose(4400 + i, 30)}\nshare this on {name} now\n{prose(4500 + i, 30)}" for i, name in enumerate(names)]
