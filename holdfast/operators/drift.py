@@ -79,3 +79,19 @@ def dataset_drift(current: DataFrame, previous: DataFrame, source: Source, limit
              *[line(f"category_count.{n}", f"categories_{n}", moved(f"categories_{n}"), limits["category_count"])
                for n in source.categories]]
     return both.select(F.inline(F.array(*lines)))
+
+
+def category_drift(current: DataFrame, previous: DataFrame, source: Source) -> DataFrame:
+    """One row per category of a declared column in either extract: ``column_name, category, rows_before, rows_now, change,
+    status``. A new category is a warning, and so is a lost one; NULL is a category of its own.
+
+    Each extract is read once and counted before the shuffle, so a category costs one row per task, however many rows it has.
+    """
+    def cells(frame: DataFrame, before: int) -> DataFrame:
+        each = [F.struct(F.lit(n).alias("column_name"), F.col(n).cast("string").alias("category")) for n in source.categories]
+        return frame.select(F.inline(F.array(*each))).withColumns({"before": F.lit(before), "now": F.lit(1 - before)})
+
+    counted = (cells(previous, 1).unionByName(cells(current, 0)).groupBy("column_name", "category")
+               .agg(F.sum("before").alias("rows_before"), F.sum("now").alias("rows_now")))
+    change = F.when(F.col("rows_before") == 0, "new").when(F.col("rows_now") == 0, "lost").otherwise("same")
+    return counted.select("*", change.alias("change"), F.when(change == "same", PASS).otherwise(WARNING).alias("status"))

@@ -959,6 +959,12 @@ def dataset_drift(spark: SparkSession, folder: str) -> DataFrame:
         "measure", "status")
 
 
+def category_drift(spark: SparkSession, folder: str) -> DataFrame:
+    """States and priorities of the second extract against the first, in which only pending orders are of recent months."""
+    source = replace(ORDERS, categories={**ORDERS.categories, "o_orderstatus": ("F", "O", "P")})
+    return D.category_drift(settle(second_batch(spark, folder)), settle(first_load(spark, folder)), source)
+
+
 def duplicate_content(spark: SparkSession, folder: str) -> DataFrame:
     """The same orders under another file name and in another order are recognised by content."""
     staged = staged_orders(spark, folder).rows
@@ -989,5 +995,5 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in (
     lineage_drill_through, chart_points, filter_points, filter_options, kpi_package, declared_rule, rule_chain, published_run, calendar, heatmap, rolling_rate, distinct_customers_rolling, distinct_customers_total,
     growth_rate,
     order_aging, actual_against_target, partial_period, insight_ranking, fill_down, weekly_rows, dimension_versions,
-    dataset_drift, duplicate_content, reconciled_copy,
+    dataset_drift, category_drift, duplicate_content, reconciled_copy,
 )}

@@ -573,3 +573,13 @@ ORACLES["skipped_files"] = """WITH files AS (SELECT DISTINCT o_orderpriority AS
     SELECT 'R1' AS run_id, file, (SELECT count(*) FROM orders) AS rows_extracted, 0 AS rows_updated, 0 AS rows_unchanged FROM files
     UNION ALL SELECT 'R2', file, (SELECT count(*) FROM orders WHERE o_orderpriority = '2-HIGH'),
                      (SELECT count(*) FROM orders WHERE o_orderpriority = '2-HIGH'), 0 FROM files WHERE file = '2-HIGH'"""
+
+ORACLES["category_drift"] = f"""WITH {HISTORY}, cells AS (
+        SELECT 'o_orderstatus' AS column_name, o_orderstatus AS category, 1 AS before, 0 AS now FROM h
+        UNION ALL SELECT 'o_orderpriority', o_orderpriority, 1, 0 FROM h
+        UNION ALL SELECT 'o_orderstatus', o_orderstatus, 0, 1 FROM c
+        UNION ALL SELECT 'o_orderpriority', o_orderpriority, 0, 1 FROM c),
+    counted AS (SELECT column_name, category, CAST(sum(before) AS BIGINT) AS rows_before, CAST(sum(now) AS BIGINT) AS rows_now
+                FROM cells GROUP BY ALL)
+    SELECT *, CASE WHEN rows_before = 0 THEN 'new' WHEN rows_now = 0 THEN 'lost' ELSE 'same' END AS change,
+           CASE WHEN rows_before = 0 OR rows_now = 0 THEN 'WARNING' ELSE 'PASS' END AS status FROM counted"""
