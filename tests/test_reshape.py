@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 from datetime import date
 from decimal import Decimal
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from holdfast.operators.drift import dataset_drift, schema_drift
+from holdfast.operators.drift import category_drift, dataset_drift, schema_drift
 from holdfast.operators.reshape import fill_down, version_rows, weeks_to_rows
 from holdfast.plans import metrics as M
 from holdfast.sources import archive as A
@@ -70,6 +71,16 @@ def test_schema_drift(spark):
     assert {r.column_name: r.status for r in gone.collect()}["id"] == "BLOCK"
 
 
+def test_category_drift_names_new_and_lost(spark):
+    """NULL is a category of its own; an empty extract has lost all."""
+    source = replace(NOTES, categories={"text": ("a", "b")})
+    before, after = (spark.createDataFrame([(t,) for t in texts], "text string") for texts in (["a", "a", "b"], ["a", None, "c", "c"]))
+    found = {tuple(r) for r in category_drift(after, before, source).collect()}
+    assert found == {("text", "a", 2, 1, "same", "PASS"), ("text", "b", 1, 0, "lost", "WARNING"),
+                     ("text", "c", 0, 2, "new", "WARNING"), ("text", None, 0, 1, "new", "WARNING")}
+    assert {r.change for r in category_drift(after.limit(0), before, source).collect()} == {"lost"}
+
+
 def test_dataset_drift_warns_past_its_limits(spark):
     schema = "id string, day date, text string"
     before = spark.createDataFrame([(str(i), date(2026, 1, 1 + i), "a") for i in range(10)], schema)
