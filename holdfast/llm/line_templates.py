@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.components import similar_components
+from holdfast.llm.components import components, similar_links
 from holdfast.llm.scratch import dropped, stored
 from holdfast.scale import lookup
 
@@ -113,34 +113,44 @@ def template_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, most_variabl
 
 
 def _runs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``text_hash, runs`` of the rows of ``docs`` with a text in ``wanted`` (``text_hash``): hashes of two neighbouring words."""
+    """``text_hash, elements`` of the rows of ``docs`` that ``wanted`` names by ``text_hash`` and, if it has it, ``doc_id``:
+    different hashes of two neighbouring words."""
     if wanted.count() <= BROADCAST_TEXTS:
         wanted = F.broadcast(wanted)
     text = F.coalesce("text", F.lit(""))
-    tokens = (docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).join(wanted, "text_hash", "left_semi")
-              .select("text_hash", F.split(masked(F.col("text")), " ").alias("tokens")))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    same = rows.text_hash == wanted.text_hash
+    if "doc_id" in wanted.columns:
+        same &= rows.doc_id.eqNullSafe(wanted.doc_id)
+    tokens = rows.join(wanted, same, "left_semi").select("text_hash", F.split(masked(F.col("text")), " ").alias("tokens"))
     # The last token comes before the first, so that a text of one token has a run.
     before = F.concat(F.array(F.element_at("tokens", -1)), F.slice("tokens", F.lit(1), F.size("tokens") - 1))
-    return tokens.select("text_hash", F.zip_with(before, "tokens", lambda a, b: F.xxhash64(a, b)).alias("runs"))
+    return tokens.select("text_hash", F.array_distinct(F.zip_with(before, "tokens", lambda a, b: F.xxhash64(a, b))).alias("elements"))
 
 
 def copy_classes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``text_hash, class`` of those texts ``wanted`` (``text_hash``) that are copies of others in it, edited or not, but
-    the least of each class. Texts that share a key are linked if they share ``COPY_SIMILARITY`` of their runs."""
-    # Keys of rows, not of texts: their minima travel, the texts stay where they are.
-    runs = _runs(docs, wanted).select("text_hash", F.explode("runs").alias("run"))
+    the least of each class. With a ``doc_id`` beside each text only that row of the text is read.
+
+    Every text that shares a key with others is compared with two of them, the first and the last in an order by hash, and
+    linked if it shares ``COPY_SIMILARITY`` of its runs. A family whose texts meet such a one under any of their keys is
+    one class; all texts of a key meet the same two, found by a partial aggregate, whatever their number.
+    """
+    sets = stored(_runs(docs, wanted), "runs")
+    # Minima of rows, so that only they travel.
     least = [F.min(F.xxhash64(F.lit(i), "run")).alias(f"h{i}") for i in range(COPY_KEYS * KEY_HASHES)]
     keys = F.array(*[F.xxhash64(F.lit(k), *[f"h{i}" for i in range(KEY_HASHES * k, KEY_HASHES * (k + 1))]) for k in range(COPY_KEYS)])
-    keyed = stored(runs.groupBy("text_hash").agg(*least).select("text_hash", F.explode(keys).alias("key")), "copy-keys")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
-    met = stored(keyed.join(shared, "key").select("text_hash", "key"), "met")
-    elements = F.first(F.array_distinct("runs")).alias("elements")
-    sets = stored(_runs(docs, stored(met.select("text_hash").distinct(), "met-texts")).groupBy("text_hash").agg(elements)
-                  .withColumnRenamed("text_hash", "node"), "runs")
-    members = met.join(sets.select("node", F.size("elements").alias("n")), met.text_hash == sets.node).select(
-        "node", F.col("key").alias("bucket"), "n")
-    roots = stored(similar_components(members, sets, COPY_SIMILARITY), "copy-classes")
-    for table in (keyed, met, sets):
+    keyed = stored(sets.select("text_hash", F.explode("elements").alias("run")).groupBy("text_hash").agg(*least)
+                   .select("text_hash", F.explode(keys).alias("key")), "copy-keys")
+    place = F.struct(F.xxhash64(F.lit("place"), "text_hash").alias("place"), F.col("text_hash").alias("other"))
+    ends = stored(keyed.groupBy("key").agg(F.count("*").alias("texts"), F.min(place).alias("first"), F.max(place).alias("last"))
+                  .where("texts > 1").select("key", "texts", F.array("first.other", "last.other").alias("others")), "ends")
+    met = lookup(keyed.withColumn("row", F.xxhash64("key", "text_hash")), ends, ["key"], ["others"], size="texts", row_id="row")
+    pairs = (met.where("others is not null").select("text_hash", F.explode("others").alias("other")).where("text_hash <> other")
+             .select(F.least("text_hash", "other").alias("a"), F.greatest("text_hash", "other").alias("b")).distinct())
+    links = stored(similar_links(stored(pairs, "pairs"), sets.withColumnRenamed("text_hash", "node"), COPY_SIMILARITY), "links")
+    roots = components(links)
+    for table in (keyed, ends, sets):
         dropped(table)
     return roots.select(F.col("node").alias("text_hash"), F.col("root").alias("class"))
 
@@ -163,7 +173,8 @@ def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_neigh
     in_doubt = stored(marked.where("not drop").select("template", "text_hash").distinct(), "in-doubt")
     gone = marked.where("drop")
     if not in_doubt.isEmpty():
-        classes = copy_classes(docs, in_doubt.select("text_hash").distinct())
+        one_row = marked.where("not drop").groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"))
+        classes = copy_classes(docs, stored(one_row, "one-row"))
         own = in_doubt.join(classes, "text_hash", "left").select("template", F.coalesce("class", "text_hash").alias("class"))
         recurring = own.groupBy("template").agg(F.count_distinct("class").alias("classes")).where(F.col("classes") >= least_texts)
         facts = stored(recurring.join(counted.select("template", "lines"), "template")
