@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from holdfast.llm.scratch import dropped, stored
 from holdfast.scale import lookup
 
-# Sets of a bucket that are compared with all others of it, before the rest meets by its rarest elements, and by how much
-# their number grows there from one round to the next. Neither changes the result.
-FIRSTS = 3
+# By how much the sets of a bucket that are compared with all others grow from one round to the next, where sets meet by
+# their rarest elements. It does not change the result.
 MORE_FIRSTS = 16
 
 
@@ -62,36 +61,59 @@ def similar_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(enough).select("a", "b")
 
 
-def _linked(members: DataFrame, sets: DataFrame, least: float, found: DataFrame, firsts: int | None) -> tuple[DataFrame, DataFrame]:
-    """``found`` (``a, b``) with the links of ``members`` (``node, root, bucket, n, at``), and the members left over.
+def end_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``a, b``: sets (``members`` as in ``similar_components``) with the first or the last set of one of their buckets, in
+    an order by hash, where the two are similar enough.
 
-    The first ``firsts`` sets of a bucket are compared with all others, and those of buckets that did not become one
-    component are left over. Without ``firsts`` more and more sets are first until all were compared. The order is the same
-    in all buckets: sets that meet often are compared with the same one and only once. Sets in one component
-    are not compared, nor those that cannot share enough: ``at`` elements of a set of ``n`` are known not to be shared.
+    The order is the same in all buckets: sets that meet often are compared with the same ones and only once. The
+    ends of a bucket come from a partial aggregate, so its size does not matter.
+    """
+    end = F.struct(F.xxhash64(F.lit("end"), "node").alias("place"), F.col("node").alias("other"), F.col("n").alias("other_n"))
+    ends = stored(members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(end).alias("first"), F.max(end).alias("last"))
+                  .where("size > 1").select("bucket", "size", F.array("first", "last").alias("ends")), "ends")
+    met = lookup(members.withColumn("row", F.xxhash64("node", "bucket")), ends, ["bucket"], ["ends"], size="size", row_id="row")
+    # At most the smaller set is shared.
+    alike = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * round(least * 100)
+    pairs = stored(met.where("ends is not null").select("node", "n", F.inline("ends")).where("node <> other").where(alike)
+                   .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+    links = stored(similar_links(pairs, sets, least), "links")
+    dropped(ends)
+    dropped(pairs)
+    return links
+
+
+def _linked(members: DataFrame, sets: DataFrame, least: float, found: DataFrame) -> DataFrame:
+    """``found`` (``a, b``) with the links of ``members`` (``node, root, bucket, n, at``).
+
+    The first sets of a bucket are compared with all others, more of them in every round, until all were compared or the
+    bucket is one component. The order is the same in all buckets. Sets in one component are not compared, nor
+    those that cannot share enough: ``at`` elements of a set of ``n`` are known not to be shared.
     """
     met = Window.partitionBy("bucket")
     members = stored(members.withColumn("size", F.count("*").over(met)).where("size > 1")
                      .withColumn("place", F.row_number().over(met.orderBy(F.xxhash64("node"), "node"))), "members")
-    first, rounds = 1, 0
-    while (firsts is None or rounds == 0) and not members.isEmpty():
-        following_first = firsts + 1 if firsts else first * MORE_FIRSTS
-        others = members.where(F.col("place").between(first, following_first - 1)).select(
+    first = 1
+    while not members.isEmpty():
+        others = members.where(F.col("place").between(first, first * MORE_FIRSTS - 1)).select(
             "bucket", F.col("place").alias("at_place"), F.col("node").alias("other"), F.col("root").alias("other_root"),
             (F.col("n") - F.col("at")).alias("other_rest"), F.col("n").alias("other_n"))
         most = F.least(F.col("n") - F.col("at"), "other_rest")
         alike = most * 100 >= (F.col("n") + F.col("other_n") - most) * round(least * 100)
         pairs = (members.join(others, "bucket").where("place > at_place and root <> other_root").where(alike)
                  .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-        found = found.unionByName(stored(similar_links(pairs, sets, least), "links"))
-        first, rounds = following_first, rounds + 1
+        links = stored(similar_links(stored(pairs, "pairs"), sets, least), "links")
+        found = found.unionByName(links)
+        first *= MORE_FIRSTS
         # Buckets go on that have sets left to be first and are not one component yet.
-        rooted = rooted_in(members.where(F.col("size") > first).drop("root"), components(found))
+        rest = members.where(F.col("size") > first)
+        if rest.isEmpty():
+            break
+        rooted = rest if links.isEmpty() else rooted_in(rest.drop("root"), components(found))
         following = stored(rooted.withColumns({"low": F.min("root").over(met), "high": F.max("root").over(met)})
                            .where("low <> high").drop("low", "high"), "members")
         dropped(members)
         members = following
-    return found, members.drop("size", "place")
+    return found
 
 
 def rooted_in(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -116,17 +138,21 @@ def similar_components(members: DataFrame, sets: DataFrame, least: float) -> Dat
     """``node, root`` as ``components`` has them, of the sets that are linked: they meet in a bucket of ``members``
     (``node, bucket, n``, the size of the set) and share ``least`` of their elements by Jaccard similarity.
 
-    Every pair that counts is compared whole. A bucket of many sets that its first ones do not join (copies with too many
-    edits, texts round a common passage) is left, and its sets meet anew where they share one of their rarest
-    elements: sets that are similar enough always do, and how rare these are bounds what the two can share. No link
-    within a bucket is lost that way.
+    Every pair that counts is compared whole, at first with the ends of a bucket only. A bucket of more than three sets that
+    these do not join (copies with too many edits, texts round a common passage) is left, and its sets meet anew where they
+    share one of their rarest elements: sets that are similar enough always do, and how rare these are bounds what the two
+    can share. No link within a bucket is lost that way.
     """
-    members = members.withColumns({"root": F.col("node"), "at": F.lit(0)})
-    nothing = members.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
-    found, left = _linked(members, sets, least, nothing, FIRSTS)
-    if not left.isEmpty():
-        crowded = stored(sets.join(left.select("node").distinct(), "node", "left_semi"), "crowded")
-        anew = rooted_in(_rarest(crowded, least), components(found))
-        found, _ = _linked(anew, crowded, least, found, None)
-        dropped(crowded)
+    found = end_links(members, sets, least)
+    roots = components(found)
+    # Of three sets the ends are compared with all.
+    mixed = (rooted_in(members, roots).groupBy("bucket")
+             .agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+             .where("size > 3 and low <> high").select("bucket"))
+    left = stored(members.join(stored(mixed, "mixed"), "bucket", "left_semi").select("node").distinct(), "left")
+    if left.isEmpty():
+        return roots
+    crowded = stored(sets.join(left, "node", "left_semi"), "crowded")
+    found = _linked(rooted_in(_rarest(crowded, least), roots), crowded, least, found)
+    dropped(crowded)
     return components(found)

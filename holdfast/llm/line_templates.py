@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.components import components, similar_links
+from holdfast.llm.components import components, end_links
 from holdfast.llm.scratch import dropped, stored
 from holdfast.scale import lookup
 
@@ -142,15 +142,12 @@ def copy_classes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(k), *[f"h{i}" for i in range(KEY_HASHES * k, KEY_HASHES * (k + 1))]) for k in range(COPY_KEYS)])
     keyed = stored(sets.select("text_hash", F.explode("elements").alias("run")).groupBy("text_hash").agg(*least)
                    .select("text_hash", F.explode(keys).alias("key")), "copy-keys")
-    place = F.struct(F.xxhash64(F.lit("place"), "text_hash").alias("place"), F.col("text_hash").alias("other"))
-    ends = stored(keyed.groupBy("key").agg(F.count("*").alias("texts"), F.min(place).alias("first"), F.max(place).alias("last"))
-                  .where("texts > 1").select("key", "texts", F.array("first.other", "last.other").alias("others")), "ends")
-    met = lookup(keyed.withColumn("row", F.xxhash64("key", "text_hash")), ends, ["key"], ["others"], size="texts", row_id="row")
-    pairs = (met.where("others is not null").select("text_hash", F.explode("others").alias("other")).where("text_hash <> other")
-             .select(F.least("text_hash", "other").alias("a"), F.greatest("text_hash", "other").alias("b")).distinct())
-    links = stored(similar_links(stored(pairs, "pairs"), sets.withColumnRenamed("text_hash", "node"), COPY_SIMILARITY), "links")
+    sizes = sets.select(F.col("text_hash").alias("same"), F.size("elements").alias("n")).distinct()
+    members = stored(keyed.join(sizes, keyed.text_hash == sizes.same).select(F.col("text_hash").alias("node"), F.col("key").alias("bucket"), "n"),
+                     "members")
+    links = end_links(members, sets.withColumnRenamed("text_hash", "node"), COPY_SIMILARITY)
     roots = components(links)
-    for table in (keyed, ends, sets):
+    for table in (keyed, members, sets):
         dropped(table)
     return roots.select(F.col("node").alias("text_hash"), F.col("root").alias("class"))
 
