@@ -195,7 +195,10 @@ def drop_recurring_lines(docs: DataFrame, **options) -> DataFrame:
         drops = F.broadcast(drops)
     own_hash = F.xxhash64(F.coalesce(docs.text, F.lit("")))
     joined = docs.join(drops, docs.doc_id.eqNullSafe(drops.doc_id) & (own_hash == drops.text_hash), "left")
-    lines = F.split(docs.text, "\n")
+    # A column of its own, as a split inside the lambda would be made again for every line.
+    own_lines = "_lines" + "_" * max(map(len, docs.columns))
+    joined = joined.withColumn(own_lines, F.split(docs.text, "\n"))
+    lines = F.col(own_lines)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops.line_nos)
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     same = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
