@@ -5,8 +5,10 @@ fingerprint emits the 65 values within one bit; those that meet at a value are l
 fingerprints can meet at one, whatever the data, and all of them lie within two bits of each other, so linking each to
 the least of them keeps every group and emits no pairs. Copies share a fingerprint and are never expanded.
 
-``similar_documents`` groups by similarity instead: texts meet in buckets of min-hashes of their word shingles, and those
-that meet are compared by their whole shingle sets.
+``similar_documents`` groups by similarity instead, by several narrow fingerprints: a shingle adds a signed weight to each
+bit, and each fingerprint emits the values within two bits of it, flipped among the bits whose sums are nearest zero, where
+similar texts differ. Two fingerprints up to four bits apart meet that way in the middle. Texts that meet are compared by
+their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -31,11 +33,18 @@ RADIUS = 2
 # Similar documents: words of a shingle, and the share of two texts' shingles that both must have.
 SIMILAR_WORDS = 5
 LEAST_SIMILARITY = 0.8
-# Texts meet if all min-hashes of a bucket are equal: 1 - (1 - 0.8 ** 4) ** 20 = 99.997 % of pairs at 0.8, more above.
-BUCKETS = 20
-BUCKET_HASHES = 4
+# Fingerprints of a set, their bits, and the least certain bits of each, of which up to two are flipped: 29 values. By
+# simulation two sets at a similarity of 0.8 meet at a value of one fingerprint with a chance of 0.29, at 0.85 of 0.45 and at
+# 0.9 of 0.66, so at one of ten in 96.8 %, 99.7 % and all cases.
+PRINTS = 10
+PRINT_BITS = 32
+UNSURE_BITS = 7
+# Of all bits of two similar sets 15 % differ at 0.8, and half of those of sets that meet by chance; more are not compared.
+MOST_BITS_APART = 0.35
 # Texts to compare sent to every executor by their hash, 8 bytes each; more are met by a shuffle of the texts.
 BROADCAST_TEXTS = 500_000
+# Values at which sets meet sent to every executor, 8 bytes each; more are met by a shuffle of all values.
+BROADCAST_VALUES = 2_000_000
 # Shingles counted at once: 64 bytes each.
 BLOCK = 1 << 14
 LOWER_CASE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -116,28 +125,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    pick = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BUCKETS * BUCKET_HASHES, 1), dtype=np.uint64)
+    pick = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 1, PRINTS * PRINT_BITS // 8), dtype=np.uint64)
     return pick[0], pick[1] | np.uint64(1)
 
 
-def bucket_hashes(shingles: np.ndarray) -> np.ndarray:
-    """Signed 64-bit names of the buckets of a set of shingle hashes; none for an empty set."""
+def narrow_fingerprints(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash fingerprints of a set of shingle hashes and, for each in turn, its least certain bits; none for an empty set.
+
+    A shingle adds a weight between -127.5 and 127.5 to each bit, so that sums of few shingles differ in size too.
+    """
     if not len(shingles):
-        return np.empty(0, dtype=np.int64)
-    flip, odd = once(("min-hashes",), _multipliers)
-    least = np.full(len(odd), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for start in range(0, len(shingles), BLOCK // 4):
-        np.minimum(least, ((shingles[start:start + BLOCK // 4] ^ flip) * odd).min(axis=1), out=least)
-    return np.array([xxhash.xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(BUCKETS, -1))],
-                    dtype=np.uint64).view(np.int64)
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    flip, odd = once(("weights",), _multipliers)
+    sums = np.zeros(PRINTS * PRINT_BITS, dtype=np.int64)
+    for start in range(0, len(shingles), BLOCK // 16):
+        mixed = (shingles[start:start + BLOCK // 16, None] ^ flip) * odd
+        mixed ^= mixed >> np.uint64(32)
+        sums += mixed.view(np.int8).sum(axis=0, dtype=np.int32)
+    sums = (2 * sums + len(shingles)).reshape(PRINTS, PRINT_BITS)
+    bits = np.int64(1) << np.arange(PRINT_BITS, dtype=np.int64)
+    unsure = np.argsort(np.abs(sums), axis=1, kind="stable")[:, :UNSURE_BITS]
+    return ((sums > 0) * bits).sum(axis=1), bits[unsure].ravel()
 
 
 @F.pandas_udf(StructType([StructField("fp", LongType()), StructField("shingles", LongType()),
-                          StructField("buckets", ArrayType(LongType()))]))
-def _buckets(texts: pd.Series) -> pd.DataFrame:
+                          StructField("prints", ArrayType(LongType())), StructField("unsure", ArrayType(LongType()))]))
+def _narrow_fingerprints(texts: pd.Series) -> pd.DataFrame:
     sets = [np.unique(shingle_hashes(t, SIMILAR_WORDS)) for t in texts]
     names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-    return pd.DataFrame({"fp": names, "shingles": [len(s) for s in sets], "buckets": [bucket_hashes(s) for s in sets]})
+    found = [narrow_fingerprints(s) for s in sets]
+    return pd.DataFrame({"fp": names, "shingles": [len(s) for s in sets],
+                         "prints": [f[0] for f in found], "unsure": [f[1] for f in found]})
+
+
+def narrow_ball(fp: Column, unsure: Column) -> Column:
+    """All values within two bits of the fingerprint, flipped among its ``unsure`` bits: itself, one bit, two bits."""
+    pairs = F.flatten(F.transform(unsure, lambda a, i: F.transform(F.slice(unsure, F.lit(1), i), lambda b: a.bitwiseOR(b))))
+    return F.concat(F.array(fp), F.transform(F.concat(unsure, pairs), lambda bits: fp.bitwiseXOR(bits)))
+
+
+def ball_values(nodes: DataFrame) -> DataFrame:
+    """``node, bucket``: the values of the balls of each set ``fp``, told apart by the number of their fingerprint."""
+    of_one = F.transform("prints", lambda fp, i: F.transform(
+        narrow_ball(fp, F.slice("unsure", i * UNSURE_BITS + 1, F.lit(UNSURE_BITS))),
+        lambda value: F.call_function("shiftleft", i.cast("long"), F.lit(PRINT_BITS)).bitwiseOR(value)))
+    return nodes.select(F.col("fp").alias("node"), F.explode(F.flatten(of_one)).alias("bucket"))
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -158,25 +190,36 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def similar_documents(docs: DataFrame) -> DataFrame:
     """Like ``near_duplicates``, but linked are texts of which ``LEAST_SIMILARITY`` of the five-word shingles are shared.
 
-    ``fp`` names a set of shingles. Sets that meet in a bucket are compared whole (``similar_components``).
+    ``fp`` names a set of shingles. Sets whose balls meet are compared whole (``similar_components``).
     """
     small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    rows = stored(docs.select("doc_id", F.xxhash64(text).alias("text_hash"), _buckets(text.cast("binary")).alias("found"))
-                  .select("doc_id", "text_hash", "found.*"), "buckets")
+    rows = stored(docs.select("doc_id", F.xxhash64(text).alias("text_hash"), _narrow_fingerprints(text.cast("binary")).alias("found"))
+                  .select("doc_id", "text_hash", "found.*"), "narrow-fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"),
                                           F.min("text_hash").alias("text_hash"), F.first("shingles").alias("shingles"),
-                                          F.first("buckets").alias("buckets")), "nodes")
-    members = nodes.select("fp", "shingles", F.explode("buckets").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("sets")).where("sets > 1")
-    members = stored(members.join(crowded, "bucket").select(F.col("fp").alias("node"), "bucket", F.col("shingles").alias("n")),
-                     "members")
+                                          F.first("prints").alias("prints"), F.first("unsure").alias("unsure")), "nodes")
+    values = ball_values(nodes)
+    crowded = stored(values.groupBy("bucket").agg(F.count("*").alias("sets")).where("sets > 1").select("bucket"), "crowded")
+    if crowded.count() <= BROADCAST_VALUES:
+        crowded = F.broadcast(crowded)
+    sizes = nodes.select(F.col("fp").alias("node"), F.col("shingles").alias("n"))
+    met = stored(values.join(crowded, "bucket", "left_semi"), "met")
+    members = stored(met.join(sizes, "node"), "members")
+    dropped(met)
     wanted = members.select(F.col("node").alias("fp")).distinct().join(nodes.select("fp", "text_hash"), "fp")
     sets = _sets(docs, stored(wanted, "wanted"))
-    roots = stored(similar_components(members, sets, LEAST_SIMILARITY), "roots")
+    of = {side: nodes.select(F.col("fp").alias(side), F.col("prints").alias(f"of_{side}")) for side in "ab"}
+    apart = F.aggregate(F.zip_with("of_a", "of_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, bits: n + bits)
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(of["a"], "a").join(of["b"], "b").where(apart <= int(PRINTS * PRINT_BITS * MOST_BITS_APART))
+                .select("a", "b"))
+
+    roots = stored(similar_components(members, sets, LEAST_SIMILARITY, likely), "roots")
     dropped(members)
     dropped(sets)
-    return _classes(rows.drop("buckets", "shingles"), nodes.drop("buckets", "text_hash", "shingles"), roots)
+    return _classes(rows.select("doc_id", "text_hash", "fp"), nodes.select("fp", "first_id", "n"), roots)
 
 
 def as_hex(fp: Column) -> Column:

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,12 +63,13 @@ def similar_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(enough).select("a", "b")
 
 
-def end_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def end_links(members: DataFrame, sets: DataFrame, least: float, likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``a, b``: sets (``members`` as in ``similar_components``) with the first or the last set of one of their buckets, in
     an order by hash, where the two are similar enough.
 
     The order is the same in all buckets: sets that meet often are compared with the same ones and only once. The
-    ends of a bucket come from a partial aggregate, so its size does not matter.
+    ends of a bucket come from a partial aggregate, so its size does not matter. ``likely`` keeps the pairs (``a, b``) that
+    are worth reading their sets for.
     """
     end = F.struct(F.xxhash64(F.lit("end"), "node").alias("place"), F.col("node").alias("other"), F.col("n").alias("other_n"))
     ends = stored(members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(end).alias("first"), F.max(end).alias("last"))
@@ -76,6 +79,9 @@ def end_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     alike = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * round(least * 100)
     pairs = stored(met.where("ends is not null").select("node", "n", F.inline("ends")).where("node <> other").where(alike)
                    .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+    if likely is not None:
+        met_by_chance, pairs = pairs, stored(likely(pairs), "pairs")
+        dropped(met_by_chance)
     links = stored(similar_links(pairs, sets, least), "links")
     dropped(ends)
     dropped(pairs)
@@ -134,16 +140,17 @@ def _rarest(sets: DataFrame, least: float) -> DataFrame:
             .where((F.col("n") - F.col("at")) * 100 >= F.col("n") * round(least * 100)))
 
 
-def similar_components(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def similar_components(members: DataFrame, sets: DataFrame, least: float,
+                       likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``node, root`` as ``components`` has them, of the sets that are linked: they meet in a bucket of ``members``
     (``node, bucket, n``, the size of the set) and share ``least`` of their elements by Jaccard similarity.
 
-    Every pair that counts is compared whole, at first with the ends of a bucket only. A bucket of more than three sets that
+    Every pair that counts (``likely`` as in ``end_links``) is compared whole, at first with the ends of a bucket only. A bucket of more than three sets that
     these do not join (copies with too many edits, texts round a common passage) is left, and its sets meet anew where they
     share one of their rarest elements: sets that are similar enough always do, and how rare these are bounds what the two
     can share. No link within a bucket is lost that way.
     """
-    found = end_links(members, sets, least)
+    found = end_links(members, sets, least, likely)
     roots = components(found)
     # Of three sets the ends are compared with all.
     mixed = (rooted_in(members, roots).groupBy("bucket")
