@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdfast.scale import packed, unpacked
 from holdfast.spec import CONTENT_HASH, KEY_HASH, ROW_ORDER
 
 # Fixed value: the header of a week column.
@@ -94,7 +95,8 @@ def rebuilt_versions(versions: DataFrame, changes: DataFrame, columns: Sequence[
     newer report counts. Points that change nothing are dropped. With ``closes`` the batch shows every key that there
     still is: keys it lacks end on its day, unless they are known to change later.
     """
-    since, names = F.lit(effective).cast("date"), [*columns, KEY_HASH, CONTENT_HASH]
+    since, names, hashes = F.lit(effective).cast("date"), [*columns, KEY_HASH, CONTENT_HASH], (KEY_HASH, CONTENT_HASH)
+    versions, changes = packed(versions, hashes), packed(changes, hashes)
     nothing = [F.lit(None).cast(versions.schema[n].dataType).alias(n) if n != KEY_HASH else F.col(n) for n in names]
 
     def points(frame: DataFrame, at: Column, content: list, rank: int) -> DataFrame:
@@ -112,4 +114,5 @@ def rebuilt_versions(versions: DataFrame, changes: DataFrame, columns: Sequence[
     content = F.col(f"_row.{CONTENT_HASH}")
     changed = by_day.withColumn("_before", F.lag(content).over(in_order)).where(~content.eqNullSafe(F.col("_before")))
     lasting = changed.withColumn("valid_to", F.lead("valid_from").over(in_order)).where(content.isNotNull())
-    return lasting.select(*[F.col(f"_row.{n}").alias(n) for n in names], "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current"))
+    return unpacked(lasting.select(*[F.col(f"_row.{n}").alias(n) for n in names], "valid_from", "valid_to",
+                                   F.col("valid_to").isNull().alias("is_current")), hashes)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.values import fingerprint, is_blank, typed_columns
-from holdfast.scale import BROADCAST_ROWS, HOT_SHARE, lookup, settle
+from holdfast.scale import BROADCAST_ROWS, HOT_SHARE, lookup, packed, settle, unpacked
 from holdfast.spec import CONTENT_HASH, EXTRA_CELLS, KEY_HASH, LINEAGE_COLUMNS, ROW_ORDER, Source, is_numeric
 
 ACCEPTED, REJECTED, FILTERED = "accepted", "rejected", "filtered"
@@ -79,9 +79,11 @@ def find_copies(rows: DataFrame) -> DataFrame:
 
     Only two hashes and a position are shuffled, and copies are merged before the shuffle.
     """
-    return (rows.groupBy(KEY_HASH, CONTENT_HASH)
-            .agg(F.min(ROW_ORDER).alias("_first_order"), F.count("*").alias("copies"))
-            .where("copies > 1"))
+    hashes = (KEY_HASH, CONTENT_HASH)
+    copies = (packed(rows, hashes).groupBy(*hashes)
+              .agg(F.min(ROW_ORDER).alias("_first_order"), F.count("*").alias("copies"))
+              .where("copies > 1"))
+    return unpacked(copies, hashes)
 
 
 def repeated_keys(rows: DataFrame) -> DataFrame:
@@ -107,8 +109,10 @@ def tag(rows: DataFrame, copies: DataFrame, known_copies: int | None = None, *,
         on: tuple[str, ...] = (KEY_HASH, CONTENT_HASH),
         broadcast_rows: int = BROADCAST_ROWS, hot_share: int = HOT_SHARE) -> DataFrame:
     """Give every row its ``_status`` and ``_reason``. The earliest copy of a row is the one kept."""
-    placed = lookup(rows, copies, on, ("_first_order",), size="copies", row_id=ROW_ORDER,
+    hashes = (KEY_HASH, CONTENT_HASH)
+    placed = lookup(packed(rows, hashes), packed(copies, on), on, ("_first_order",), size="copies", row_id=ROW_ORDER,
                     known_groups=known_copies, broadcast_rows=broadcast_rows, hot_share=hot_share)
+    placed = unpacked(placed, hashes)
     is_copy = F.coalesce(F.col(ROW_ORDER) > F.col("_first_order"), F.lit(False))
     return placed.select(
         "*",

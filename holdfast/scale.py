@@ -34,10 +34,20 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def settle(frame: DataFrame) -> DataFrame:
     """Write a frame once into the checkpoint folder and read it from there afterwards, column by column."""
     path = f"{checkpoint_folder(frame.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def packed(frame: DataFrame, hashes: Sequence[str]) -> DataFrame:
+    """Columns of hexadecimal hashes as 16 bytes instead of 32 characters, which shuffles do not compress."""
+    return frame.withColumns({name: F.unhex(name) for name in hashes})
+
+
+def unpacked(frame: DataFrame, hashes: Sequence[str]) -> DataFrame:
+    """``packed`` columns as they were."""
+    return frame.withColumns({name: F.lower(F.hex(name)) for name in hashes})
+
+
 def with_one_row(frame: DataFrame, row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row, as one scalar subquery.
 

@@ -95,6 +95,13 @@ def shown(frame):
     return sorted((r["k"], r["v"], str(r["valid_from"]), str(r["valid_to"]), r["is_current"]) for r in frame.collect())
 
 
+def test_versions_are_rebuilt_from_hashes_as_bytes(spark):
+    stored = versions(spark, ("x", "1", "2026-01-01", None))
+    rebuilt = rebuilt_versions(stored, batch(spark, ("x", "2")), ["k", "v"], "2026-02-01")
+    assert "unhex(" in rebuilt._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["business_key_hash"] for r in rebuilt.collect()} == {r["business_key_hash"] for r in stored.collect()}
+
+
 def test_late_changes_split_versions(spark):
     stored = versions(spark, ("x", "1", "2026-01-01", "2026-03-01"), ("x", "2", "2026-03-01", None), ("y", "1", "2026-01-01", None),
                       ("z", "1", "2026-01-01", "2026-02-01"))

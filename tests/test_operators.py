@@ -65,6 +65,19 @@ def test_tags_match_brute_force_with_a_hot_group(spark, options):
     assert all((r._status == "accepted") == (r._reason is None) for r in got)
 
 
+def plan_of(frame) -> str:
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hashes_travel_as_bytes(spark):
+    typed = T.read_rows(staged(spark, [("a", "2026-01-01", "1", "true"), ("a", "2026-01-01", "1", "true"), (None, "", "", "")]).rows, ITEMS)
+    copies = T.find_copies(typed)
+    assert "unhex(" in plan_of(copies) and "unhex(" in plan_of(T.tag(typed, scale.settle(copies)))
+    rows, hashes = spark.createDataFrame([("00ff" * 8, 1), (None, 2)], "h string, n int"), ["h"]
+    assert scale.packed(rows, hashes).schema["h"].dataType.typeName() == "binary"
+    assert scale.unpacked(scale.packed(rows, hashes), hashes).collect() == rows.collect()
+
+
 def test_report_balances_and_short_circuits(spark):
     good = staged(spark, [("a", "2026-01-01", "1", "true"), ("b", "", "-1", ""), ("a", "2026-01-01", "1", "true")])
     typed = T.read_rows(good.rows, ITEMS)
