@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 
 from holdfast.operators import history as H
 from holdfast.sources.files import list_names, path_exists, read_text, remove_folder, write_new
-from holdfast.spec import KEY_HASH, Project, Source
+from holdfast.scale import packed, unpacked
+from holdfast.spec import CONTENT_HASH, KEY_HASH, Project, Source
 
 
 # Month of rows without an event date.
@@ -186,8 +187,9 @@ class Store:
         merged = merged.select(*source.history_schema().names, "_change")
         path = self._folder(source.source_id, number, run_id)
         # A month that holds most rows is split into several files.
-        (merged.withColumn("_month", month_of(source)).hint("rebalance", "_month")
-         .write.mode("overwrite").partitionBy("_month").parquet(path))
+        hashes = (KEY_HASH, CONTENT_HASH)
+        dealt = unpacked(packed(merged.withColumn("_month", month_of(source)), hashes).hint("rebalance", "_month"), hashes)
+        dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("_month").parquet(path)
         written = {n.split("=", 1)[1]: f"{path}/{n}" for n in list_names(self.spark, path) if n.startswith("_month=")}
         kept = {m: p for m, p in table.months.items() if m not in mine}
         return Table(path, merged.schema.jsonValue(), months={**kept, **written}), before

@@ -143,6 +143,13 @@ def test_a_batch_of_one_month_reads_and_writes_one_month(spark, by_month):
     assert store.read(new, ["2026-03"]).count() == 11
 
 
+def test_month_files_are_small_and_keep_their_hashes(spark, by_month):
+    store, base = by_month
+    rows = store.read(base.tables["orders"])
+    assert all(f.endswith(".zstd.parquet") for f in rows.inputFiles())
+    assert rows.where(F.col("business_key_hash") != F.md5("order_id")).isEmpty()
+
+
 def test_months_follow_keys_retirement_and_periods(spark, by_month):
     store, base = by_month
     moved = month_batch(spark, ("O1-0", "2026-06-30", "5"), ("O-none", "2026-06-29", "5"))
