@@ -14,6 +14,8 @@ left to the document dedup.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,28 +47,41 @@ BROADCAST_DOCUMENTS = 250_000
 BROADCAST_LEAVES = 500_000
 
 
+def single_spaced(line: Column) -> Column:
+    """The line with single spaces and none at its ends."""
+    # Most lines have nothing to replace; searching them costs less than a pattern.
+    odd = [F.contains(line, F.lit(gap)) for gap in ("  ", "\t", "\x0b", "\f", "\r", "\n")]
+    return F.trim(F.when(reduce(Column.__or__, odd), F.regexp_replace(line, r"\s+", " ")).otherwise(line))
+
+
 def masked(line: Column) -> Column:
     """The line with single spaces and ``<*>`` for every field with a digit."""
     # Tried at the start of a field only, so that one very long field costs no more than its length.
-    fields = F.regexp_replace(line, r"(?<!\S)[^\s\d]*+\d\S*", VARIABLE)
-    return F.trim(F.regexp_replace(fields, r"\s+", " "))
+    return F.regexp_replace(single_spaced(line), r"(?<!\S)[^\s\d]*+\d\S*", VARIABLE)
 
 
 def _path(line: Column) -> Column:
-    tokens = F.split(line, " ")
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEADING_TOKENS))
+    """The leaf of a single-spaced line; only its leading tokens are masked."""
+    size = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    leading = F.transform(F.split(F.substring_index(line, " ", LEADING_TOKENS), " "), lambda t: F.when(t.rlike(r"\d"), VARIABLE).otherwise(t))
+    return F.xxhash64(size, leading)
+
+
+def _entries(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, entries, paths`` per document: its single-spaced lines with a token and their leaves."""
+    text = F.coalesce("text", F.lit(""))
+    entries = F.filter(F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("line_no"), single_spaced(line).alias("line"))),
+                       lambda e: e["line"] != "")
+    return (docs.select("doc_id", F.xxhash64(text).alias("text_hash"), entries.alias("entries"))
+            .withColumn("paths", F.transform("entries", lambda e: _path(e["line"]))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, line_no, line, path, before, after``: one row per line with a token, its leaf and the leaves
     of the lines with tokens around it (0 for none)."""
-    text = F.coalesce("text", F.lit(""))
-    entries = F.filter(F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("line_no"), masked(line).alias("line"))),
-                       lambda e: e["line"] != "")
     none = F.array(F.lit(0).cast("long"))
     # Neighbours are put beside each line before the rows are made, so a long document costs no more than its length.
-    return (docs.select("doc_id", F.xxhash64(text).alias("text_hash"), entries.alias("entries"))
-            .withColumn("paths", F.transform("entries", lambda e: _path(e["line"])))
+    return (_entries(docs)
             .withColumns({"before": F.slice(F.concat(none, "paths"), F.lit(1), F.size("paths")),
                           "after": F.slice(F.concat("paths", none), F.lit(2), F.size("paths"))})
             .select("doc_id", "text_hash", F.inline(F.arrays_zip("entries", "paths", "before", "after")))
@@ -75,12 +90,14 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def template_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, most_variable: float = MOST_VARIABLE) -> DataFrame:
     """``doc_id, text_hash, line_no, before, after, template`` of the lines whose leaf has ``least_texts`` texts."""
-    lines = stored(_lines(docs).withColumn("form", F.xxhash64("line")), "lines")
-    leaves = stored(lines.select("path", "text_hash").distinct().groupBy("path").agg(F.count("*").alias("texts"))
+    # Leaves are counted without lines; the texts are read again for the lines in them, as few of all lines are.
+    paths = _entries(docs).select("text_hash", F.explode(F.array_distinct("paths")).alias("path"))
+    leaves = stored(paths.distinct().groupBy("path").agg(F.count("*").alias("texts"))
                     .where(F.col("texts") >= least_texts), "leaves")
     if leaves.count() <= BROADCAST_LEAVES:
         leaves = F.broadcast(leaves)
-    shared = lines.join(leaves, "path", "left_semi")
+    shared = stored(_lines(docs).join(leaves, "path", "left_semi").withColumn("line", masked(F.col("line")))
+                    .withColumn("form", F.xxhash64("line")), "shared-lines")
 
     # The words are needed once per different line of those leaves.
     forms = shared.groupBy("path", "line").agg(F.lit(1).alias("one"))
@@ -107,7 +124,7 @@ def template_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, most_variabl
                         F.xxhash64("doc_id", "text_hash", "line_no").alias("row"))
     found = lookup(rows, templates, ["form"], ["template"], size="lines", row_id="row")
     marked = stored(found.where("template is not null").drop("form", "row"), "template-lines")
-    for table in (lines, forms, support, templates):
+    for table in (shared, forms, support, templates):
         dropped(table)
     return marked
 

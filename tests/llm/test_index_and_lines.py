@@ -236,3 +236,21 @@ def test_em_finds_accuracies():
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     model = weak_labels.estimate(tuple("abcd"), patterns, counts.astype(float))
     assert np.allclose(list(model.accuracies().values()), accuracy, atol=0.03) and abs(model.good - 0.7) < 0.03
+
+
+def test_lines_outside_recurring_leaves_are_not_written(spark, monkeypatch):
+    """Of all lines only those in leaves of enough texts are stored; odd white space and digits change no leaf."""
+    written, stored = {}, line_templates.stored
+
+    def watched(frame, purpose):
+        table = stored(frame, purpose)
+        written[purpose] = max(written.get(purpose, 0), table.count())
+        return table
+
+    monkeypatch.setattr(line_templates, "stored", watched)
+    gaps = [" ", "\t", " \t ", "\x0b", "  "]
+    texts = ["\n".join([prose(5000 + i, 30), f" Page{gaps[i % 5]}{i} of 90, all rights reserved\r", "\t", prose(6000 + i, 20)]) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = line_templates.template_lines(docs).select("doc_id", "line_no").collect()
+    assert sorted(tuple(r) for r in found) == [(i, 1) for i in range(20)]
+    assert max(written.values()) <= 20
