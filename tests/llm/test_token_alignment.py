@@ -83,7 +83,7 @@ def rows(texts):
 def as_frame(spark, docs, rows):
     names = [c for c in docs.columns if c not in ("doc_id", "text")]
     return spark.createDataFrame([(i, t, *("x" for _ in names)) for i, t in rows],
-                                 "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)).repartition(5)
+                                 "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names)).repartition(5)
 
 
 def test_documents_equal_whole_texts_compared_byte_by_byte(spark, docs, rows, libraries):
