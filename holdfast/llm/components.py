@@ -16,6 +16,9 @@ from holdfast.scale import lookup
 # By how much the sets of a bucket that are compared with all others grow from one round to the next, where sets meet by
 # their rarest elements. It does not change the result.
 MORE_FIRSTS = 16
+# Ends of its buckets that a set is compared with, whatever the number of its buckets; the rest meet by their rarest
+# elements. It does not change which sets that meet are joined.
+NEAREST_ENDS = 4
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -63,13 +66,12 @@ def similar_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(enough).select("a", "b")
 
 
-def end_links(members: DataFrame, sets: DataFrame, least: float, likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``a, b``: sets (``members`` as in ``similar_components``) with the first or the last set of one of their buckets, in
-    an order by hash, where the two are similar enough.
+def _met_ends(members: DataFrame, least: float) -> DataFrame:
+    """``node, other``: sets (``members`` as in ``similar_components``) with the first or the last set of one of their
+    buckets, in an order by hash, where the two are near enough in size; once for each bucket and end.
 
-    The order is the same in all buckets: sets that meet often are compared with the same ones and only once. The
-    ends of a bucket come from a partial aggregate, so its size does not matter. ``likely`` keeps the pairs (``a, b``) that
-    are worth reading their sets for.
+    The order is the same in all buckets: sets that meet often meet the same ones. The ends of a bucket come from a
+    partial aggregate, so its size does not matter.
     """
     end = F.struct(F.xxhash64(F.lit("end"), "node").alias("place"), F.col("node").alias("other"), F.col("n").alias("other_n"))
     ends = stored(members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(end).alias("first"), F.max(end).alias("last"))
@@ -77,13 +79,37 @@ def end_links(members: DataFrame, sets: DataFrame, least: float, likely: Callabl
     met = lookup(members.withColumn("row", F.xxhash64("node", "bucket")), ends, ["bucket"], ["ends"], size="size", row_id="row")
     # At most the smaller set is shared.
     alike = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * round(least * 100)
-    pairs = stored(met.where("ends is not null").select("node", "n", F.inline("ends")).where("node <> other").where(alike)
-                   .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+    return met.where("ends is not null").select("node", "n", F.inline("ends")).where("node <> other").where(alike).select("node", "other")
+
+
+def _either_way(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def end_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``a, b``: sets (``members`` as in ``similar_components``) with the first or the last set of one of their buckets
+    (``_met_ends``), each compared only once, where the two are similar enough."""
+    pairs = stored(_either_way(_met_ends(members, least)), "pairs")
+    links = stored(similar_links(pairs, sets, least), "links")
+    dropped(pairs)
+    return links
+
+
+def nearest_end_links(members: DataFrame, sets: DataFrame, least: float,
+                      likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``a, b``: sets with those ``NEAREST_ENDS`` that they meet in most buckets, of the ends of their buckets
+    (``_met_ends``), where the two are similar enough.
+
+    The pairs grow with the number of sets, however many ends the buckets of a large group of near copies have. ``likely``
+    keeps the pairs (``a, b``) that are worth reading their sets for.
+    """
+    often = Window.partitionBy("node").orderBy(F.desc("times"), F.xxhash64(F.lit("end"), "other"), "other")
+    met = _met_ends(members, least).groupBy("node", "other").agg(F.count("*").alias("times"))
+    pairs = stored(_either_way(met.withColumn("nth", F.row_number().over(often)).where(F.col("nth") <= NEAREST_ENDS)), "pairs")
     if likely is not None:
         met_by_chance, pairs = pairs, stored(likely(pairs), "pairs")
         dropped(met_by_chance)
     links = stored(similar_links(pairs, sets, least), "links")
-    dropped(ends)
     dropped(pairs)
     return links
 
@@ -145,17 +171,15 @@ def similar_components(members: DataFrame, sets: DataFrame, least: float,
     """``node, root`` as ``components`` has them, of the sets that are linked: they meet in a bucket of ``members``
     (``node, bucket, n``, the size of the set) and share ``least`` of their elements by Jaccard similarity.
 
-    Every pair that counts (``likely`` as in ``end_links``) is compared whole, at first with the ends of a bucket only. A bucket of more than three sets that
-    these do not join (copies with too many edits, texts round a common passage) is left, and its sets meet anew where they
-    share one of their rarest elements: sets that are similar enough always do, and how rare these are bounds what the two
-    can share. No link within a bucket is lost that way.
+    Each set is compared whole with a few ends of its buckets at first (``likely`` as in ``nearest_end_links``). Every
+    bucket that these do not join (copies with too many edits, texts round a common passage) is left, and its sets meet
+    anew where they share one of their rarest elements: sets that are similar enough always do, and how rare these are
+    bounds what the two can share. No link within a bucket is lost that way.
     """
-    found = end_links(members, sets, least, likely)
+    found = nearest_end_links(members, sets, least, likely)
     roots = components(found)
-    # Of three sets the ends are compared with all.
-    mixed = (rooted_in(members, roots).groupBy("bucket")
-             .agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-             .where("size > 3 and low <> high").select("bucket"))
+    mixed = (rooted_in(members, roots).groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+             .where("low <> high").select("bucket"))
     left = stored(members.join(stored(mixed, "mixed"), "bucket", "left_semi").select("node").distinct(), "left")
     if left.isEmpty():
         return roots

@@ -8,14 +8,16 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import holdfast.llm.components
 from conftest import prose
 from conftest_data import frame_rows
 from holdfast.llm import ball_hashing, chunk_dedup, suffix_order
-from holdfast.llm.components import components, similar_components
+from holdfast.llm.components import components, similar_components, similar_links
 
 
 def sha(text: str) -> str:
@@ -156,6 +158,25 @@ def test_sets_that_share_rare_elements(spark):
     assert [found.get(i, i) for i in range(len(sets))] == root
 
 
+@pytest.mark.parametrize("size", [60, 120])
+def test_sets_that_meet_many_ends_are_compared_with_few(spark, monkeypatch, size):
+    """Compared pairs grow with the sets of a large group that meets in many buckets, not with its square."""
+    pick = random.Random(7)
+    sets = [(i, [*range(2 * i % 50), *range(2 * i % 50 + 2, 100), 1000 + i]) for i in range(size)]
+    members = [(i, bucket, len(sets[i][1])) for bucket in range(8 * size) for i in pick.sample(range(size), 5)]
+    compared = []
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return similar_links(pairs, *rest)
+
+    monkeypatch.setattr(holdfast.llm.components, "similar_links", counted)
+    found = similar_components(spark.createDataFrame(members, "node long, bucket long, n int"),
+                               spark.createDataFrame(sets, "node long, elements array<long>"), 0.8)
+    assert {r["root"] for r in found.collect()} == {0} and found.count() == size - 1
+    assert sum(compared) <= 5 * size
+
+
 def test_near_duplicates_stage_reaches_its_similarity(spark):
     """Copies with scattered edits differ by more than two bits; chains of copies and a large family are one group each."""
     own = [prose(1000 + i, 300).split() for i in range(30)]
