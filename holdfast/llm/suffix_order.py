@@ -1,45 +1,53 @@
-"""Substring dedup by a distributed difference-cover suffix array.
+"""Substring dedup by suffix orders built with a difference cover, one for each bucket of anchors.
 
 1. Copies of a whole text need no suffixes: all but the first are repeats from end to end.
-2. A repeated string of ``LENGTH`` bytes has a repeated anchor: of the ``GRAM``-byte grams in such a string the one with
-   the least hash, the last if several. Only stretches around anchors that occur twice can repeat; the others are left
-   out, which loses nothing.
-3. The suffixes of these stretches are ordered by the difference cover {1, 2} modulo 3: triples of symbols at sampled
-   places are sorted and named, the strings of names are ordered in the same way, and the remaining suffixes are merged
-   in by their first symbols and the order of the sampled suffix behind them. The recursion stops where names cover
-   ``LENGTH`` bytes.
-4. Neighbours in the order are compared by their first ``LENGTH`` bytes. All but the earliest start of each run are
+2. Every string of ``LENGTH`` bytes has an anchor: of its ``GRAM``-byte grams the one with the least hash, the last if
+   several. Equal strings have equal anchors at equal places, so only strings whose anchors are of one hash can be equal;
+   anchors that occur once are left out, which loses nothing.
+3. The strings of one anchor lie side by side in its context, at most twice ``LENGTH`` bytes. Of equal contexts the first
+   stands for all: strings in the others are repeats.
+4. Different contexts of one anchor go to one bucket. Its suffixes are ordered by the difference cover {1, 2} modulo 3:
+   triples of symbols at sampled places are sorted and named, the string of names is ordered in the same way, and the
+   remaining suffixes are merged in by their first symbols and the order of the sampled suffix behind them.
+5. Neighbours in the order are compared by their first ``LENGTH`` bytes. All but the earliest start of each run are
    repeats, and the bytes they cover go.
 
-Sorts are range exchanges over distinct keys, so a passage in many documents is one key; names are places in a range
-plus the sizes of the ranges before it.
+An anchor with more different contexts than a task should order (a short passage in very many texts) is left to hashes of
+its strings, which are grouped by a partial aggregate.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.scratch import small_batches, stored
+from holdfast.llm.scratch import TEXTS_PER_BATCH, dropped, once, small_batches, stored
+from holdfast.scale import lookup
 
 LENGTH, GRAM = 100, 32
-SYMBOL = 20  # bytes of a first symbol; symbols overlap, so their order is the order of the bytes
+SYMBOL = 7  # bytes of a first symbol, 9 bits each; symbols overlap, so their order is the order of the bytes
 # Bytes of a document hashed at once.
 SLICE = 1 << 20
-# Anchors sent to every executor, 16 bytes each; more are joined by a shuffle.
+# Anchors or rows sent to every executor, 8 bytes each; more are joined by a shuffle.
 BROADCAST_ANCHORS = 1_000_000
+# Names of one order have so many bits, three names one number; an order has fewer bytes than there are names.
+NAME_BITS = 21
+# Contexts of a bucket, about, and most of one anchor.
+BUCKET = 6_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
 # ------------------------------------------------------------------ stretches that can repeat
 
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate(([1], np.full(n, base % 2**64, dtype=np.uint64))), dtype=np.uint64)
+    factors = np.full(n + 1, base % 2**64, dtype=np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors, dtype=np.uint64)
 
 
 def _slide(values: np.ndarray, width: int) -> np.ndarray:
@@ -52,10 +60,12 @@ def _slide(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of the anchor of every string of ``length`` bytes, each place once."""
-    hashes, places = [], []
-    ahead, back = _powers(MULTIPLIER, SLICE + length), _powers(pow(MULTIPLIER, -1, 2**64), SLICE + length)
+def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each anchor with the first of the strings of ``length`` bytes that have it, which are neighbours, and their
+    number; each string once."""
+    hashes, begins, counts = [], [], []
+    ahead, back = once(("powers", length), lambda: (
+        _powers(MULTIPLIER, SLICE + length), _powers(pow(MULTIPLIER, -1, 2**64), SLICE + length)))
     for start in range(0, len(data) - length + 1, SLICE):
         part = np.frombuffer(data, np.uint8, min(SLICE + length - 1, len(data) - start), start).astype(np.uint64) + np.uint64(1)
         sums = np.concatenate(([np.uint64(0)], np.cumsum(part * ahead[:len(part)], dtype=np.uint64)))
@@ -65,170 +75,160 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
         # The low bits hold the place, counted down: of equal hashes the last is least.
         low = np.uint64((1 << 22) - 1)
         ranked = (own & ~low) | (low - np.arange(len(own), dtype=np.uint64))
-        least = _slide(ranked, length - gram + 1)
-        at = (low - (np.unique(least) & low)).astype(np.int64)
-        hashes.append(own[at])
-        places.append(at + start)
+        at = (low - (_slide(ranked, length - gram + 1) & low)).astype(np.int64)
+        new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        hashes.append(own[at[new]].view(np.int64))
+        begins.append(new + start)
+        counts.append(np.diff(np.append(new, len(at))))
     if not hashes:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    at, first = np.unique(np.concatenate(places), return_index=True)
-    return np.concatenate(hashes)[first].view(np.int64), at
+        return tuple(np.empty(0, dtype=np.int64) for _ in range(3))
+    return np.concatenate(hashes), np.concatenate(begins), np.concatenate(counts)
 
 
 def _described(docs: DataFrame, length: int) -> DataFrame:
-    """``row, doc_id, text_hash, n_bytes, grams, places`` per row of ``docs``; a text's anchors lie in its row."""
+    """``row, doc_id, text_hash, n_bytes, data, grams, begins, counts`` per row of ``docs``; a text's anchors lie in its row."""
     def describe(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [anchors(d, length, min(GRAM, length)) for d in batch.data]
-            yield batch.drop(columns="data").assign(
-                n_bytes=[len(d) for d in batch.data], grams=[h for h, _ in found], places=[p for _, p in found])
+            yield batch.assign(n_bytes=[len(d) for d in batch.data], **{
+                name: [f[i] for f in found] for i, name in enumerate(("grams", "begins", "counts"))})
 
     small_batches(docs.sparkSession)
+    # Arrays of a text's anchors are read few rows at once too.
+    docs.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", TEXTS_PER_BATCH)
     data = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"),
                        F.sha2(data, 256).alias("text_hash"), data.alias("data"))
-    described = rows.mapInPandas(describe, "row long, doc_id string, text_hash string, n_bytes long, grams array<long>, places array<long>")
+    described = rows.mapInPandas(describe, "row long, doc_id string, text_hash string, data binary, n_bytes long, "
+                                           "grams array<long>, begins array<long>, counts array<long>")
     return described.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
-def _stretches(batches: Iterable[pd.DataFrame], length: int, gram: int) -> Iterator[pd.DataFrame]:
-    """``row, begin, data`` of the stretches around the anchors in ``places``."""
-    for batch in batches:
-        out = []
-        for row, data, places in zip(batch.row, batch.data, batch.places):
-            places = np.sort(places)
-            begins = np.maximum(places - (length - gram), 0)
-            ends = np.minimum(places + length, len(data))
-            new = np.concatenate(([True], begins[1:] > np.maximum.accumulate(ends)[:-1]))
-            lasts = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(places) - 1]))
-            for begin, end in zip(begins[new], np.maximum.accumulate(ends)[lasts]):
-                out.append((row, begin, data[begin:end]))
-        yield pd.DataFrame(out, columns=["row", "begin", "data"])
+def _few(ids: DataFrame) -> DataFrame:
+    """Narrow rows that are sent to every executor if they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ANCHORS else ids
 
 
 # ------------------------------------------------------------------ order
 
-def names(frame: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Distinct ``keys`` with their rank from 1, by a range exchange."""
-    ranged = stored(frame.select(*keys).distinct().repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "ranges")
-    # One row per range of the exchange.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("part").agg(F.count("*").alias("n")).select(
-        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy(*keys))
-    return ranged.join(F.broadcast(offsets), "part").select(*keys, (within + F.col("offset")).alias(name))
-
-
-def last_at_or_before(marks: DataFrame, asked: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """For each distinct key of ``asked`` the value of the last mark not after it (0 if none) and ``exact``, whether
-    that mark has the same key. Marks and questions of one first key form a list of their own; in a list values rise
-    with the keys of their marks, one for each key."""
-    both = marks.select(*keys, value).distinct().withColumn("asked", F.lit(False)).unionByName(
-        asked.select(*keys).distinct().select("*", F.lit(None).cast("long").alias(value), F.lit(True).alias("asked")))
-    ranged = stored(both.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    group = keys[0]
-    carried = (ranged.where(~F.col("asked")).groupBy("part").agg(F.max(F.struct(group, value)).alias("most")))
-    carried = (ranged.select("part").distinct().join(carried, "part", "left")
-               .select("part", F.max("most").over(before).alias("carried")))
-    here = Window.partitionBy("part").orderBy(*keys, "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    same = F.max(F.struct(*keys)).over(here)
-    last = F.max(F.when(~F.col("asked"), F.struct(group, value, *keys[1:]))).over(here)
-    own = lambda c: F.when(F.col(f"{c}.{group}") == F.col(group), F.col(f"{c}.{value}"))
-    found = ranged.withColumns({"last": last, "same": same}).where("asked").join(F.broadcast(carried), "part")
-    return found.select(*keys, F.coalesce(own("last"), own("carried"), F.lit(0)).alias(value), F.coalesce(
-        F.struct(*[F.col(f"last.{k}") for k in keys]) == F.col("same"), F.lit(False)).alias("exact"))
-
-
-def _next(text: DataFrame, steps: int, value: str, name: str) -> DataFrame:
-    return text.select("seg", (F.col("at") - steps).alias("at"), F.col(value).alias(name))
-
-
-def order(text: DataFrame, depth: int) -> DataFrame:
-    """``seg, at, rank``: the rank of every suffix of strings of symbols ``seg, at, sym`` (symbols from 1).
-
-    A string's end comes before every symbol. With ``depth`` recursions left unspent, ranks are equal only for equal
-    suffixes; without, also for suffixes with the same first triple.
-    """
-    symbols = (text.join(_next(text, 1, "sym", "s1"), ["seg", "at"], "left")
-                     .join(_next(text, 2, "sym", "s2"), ["seg", "at"], "left")
-                     .select("seg", "at", F.col("sym").alias("s0"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("s1", "s2")]))
-    cls = F.pmod(F.col("at"), F.lit(3))
-    triple = ["s0", "s1", "s2"]
-    sampled = symbols.where(cls != 0)
-    named = stored(sampled.join(names(sampled, triple, "rank"), triple).select("seg", "at", "rank"), "names")
-    if depth and not named.isEmpty():
-        below = named.select((F.col("seg") * 3 + cls).alias("seg"), F.floor(F.col("at") / 3).alias("at"), F.col("rank").alias("sym"))
-        named = stored(order(below, depth - 1).select(
-            F.floor(F.col("seg") / 3).alias("seg"), (F.col("at") * 3 + F.pmod(F.col("seg"), F.lit(3))).alias("at"), "rank"), "ranks")
-    follow = (symbols.join(named, ["seg", "at"], "left").join(_next(named, 1, "rank", "r1"), ["seg", "at"], "left")
-              .join(_next(named, 2, "rank", "r2"), ["seg", "at"], "left"))
-    follow = stored(follow.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("r1", "r2")}), "followed")
-    rest = follow.where(cls == 0)
+def ranks(symbols: np.ndarray) -> np.ndarray:
+    """Rank from 1 of every suffix of a string of symbols, which are from 1 and of ``NAME_BITS``; its end comes before every
+    symbol."""
+    n = len(symbols)
+    if n < 4:
+        order = sorted(range(n), key=lambda i: symbols[i:].tolist())
+        found = np.empty(n, dtype=np.int64)
+        found[order] = np.arange(1, n + 1)
+        return found
+    padded = np.concatenate((symbols, np.zeros(3, dtype=np.int64)))
+    # One place behind the end is sampled too, so that the names of one class end with a triple of their own.
+    one, two = np.arange(1, n + 1, 3), np.arange(2, n, 3)
+    sampled = np.concatenate((one, two))
+    triples = padded[sampled] << 2 * NAME_BITS | padded[np.minimum(sampled + 1, n + 2)] << NAME_BITS | padded[np.minimum(sampled + 2, n + 2)]
+    distinct, named = np.unique(triples, return_inverse=True)
+    named = named.astype(np.int64) + 1
+    if len(distinct) < len(sampled):
+        named = ranks(named)
+    behind = np.zeros(n + 4, dtype=np.int64)
+    behind[sampled] = named
+    zero, one, two = np.arange(0, n, 3), one[one < n], two
     # A remaining suffix meets the first sampled class one symbol on, the second class two symbols on.
-    zero = F.lit(0).cast("long")
-    met = lambda frame, k: frame.select(F.lit(k).alias("met"), *[
-        F.col(c).alias(f"k{i}") if c else zero.alias(f"k{i}") for i, c in enumerate((("s0", "r1", ""), ("s0", "s1", "r2"))[k - 1])], "rank")
-    marks, asked = (met(a, 1).unionByName(met(b, 2)) for a, b in ((follow.where(cls == 1), follow.where(cls == 2)), (rest, rest)))
-    places = stored(last_at_or_before(marks, asked, ["met", "k0", "k1", "k2"], "rank"), "places")
-    first = places.where("met = 1").select(F.col("k0").alias("s0"), F.col("k1").alias("r1"),
-                                           F.col("rank").alias("rank1"), F.col("exact").alias("exact1"))
-    second = places.where("met = 2").select(F.col("k0").alias("s0"), F.col("k1").alias("s1"), F.col("k2").alias("r2"),
-                                            F.col("rank").alias("rank2"), F.col("exact").alias("exact2"))
-    one = ["s0", "r1"]
-    placed = rest.drop("rank").join(first, one).join(second, ["s0", "s1", "r2"])
-    base = F.greatest("rank1", "rank2")
-    exact = ((F.col("rank1") == base) & F.col("exact1")) | ((F.col("rank2") == base) & F.col("exact2"))
-    between = placed.select("seg", "at", base.alias("base"), (~exact).alias("after"),
-                            *[F.when(exact, zero).otherwise(F.col(c)).alias(c) for c in one])
-    merged = stored(between.unionByName(follow.where(cls != 0).select(
-        "seg", "at", F.col("rank").alias("base"), F.lit(False).alias("after"), *[zero.alias(c) for c in one])), "merged")
-    keys = ["base", "after", *one]
-    return merged.join(names(merged, keys, "rank"), keys).select("seg", "at", "rank")
-
-
-def recursions(length: int, symbol: int) -> int:
-    """Levels below the first until names cover ``length`` bytes: symbol + 2 * (1 + 3 + 9 + ...)."""
-    covered, step, levels = symbol + 2, 3, 0
-    while covered < length:
-        covered, step, levels = covered + 2 * step, step * 3, levels + 1
-    return levels
-
-
-def repeated_starts(stretches: DataFrame, first_order: Column, length: int = LENGTH, symbol: int = SYMBOL) -> DataFrame:
-    """``row, start``: starts in stretches (``row, begin, data`` and what ``first_order`` needs) whose first ``length``
-    bytes also start earlier, by ``first_order`` and then the place."""
-    segments = stored(stretches.withColumn("seg", F.monotonically_increasing_id()), "segments")
-
-    def spell(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for seg, data in zip(batch.seg, batch.data):
-                for start in range(0, len(data), 1 << 16):
-                    at = np.arange(start, min(len(data), start + (1 << 16)))
-                    yield pd.DataFrame({"seg": seg, "at": at, "bytes": [data[i:i + symbol] for i in at]})
-
-    letters = stored(segments.select("seg", "data").mapInPandas(spell, "seg long, at long, bytes binary"), "letters")
-    text = stored(letters.join(names(letters, ["bytes"], "sym"), "bytes").select("seg", "at", "sym"), "text")
-    ranked = stored(order(text, recursions(length, symbol)), "order")
-
-    # Neighbours in the order: the first bytes of one suffix per rank.
-    whole = segments.select("seg", "row", "begin", first_order.alias("_order"), F.length("data").alias("n"))
-    full = stored(ranked.join(whole, "seg").where(F.col("at") + length <= F.col("n")), "full")
-    chosen = full.groupBy("rank").agg(F.min_by(F.struct("seg", "at"), F.struct("seg", "at")).alias("one")).select("rank", "one.seg", "one.at")
-    prefixes = stored(chosen.join(segments.select("seg", "data"), "seg").select(
-        "rank", F.sha2(F.substring("data", F.col("at").cast("int") + 1, F.lit(length)), 256).alias("prefix")), "prefixes")
-    # Ranks of suffixes too short to count leave gaps; close them, so that neighbours are one apart.
-    dense = stored(prefixes.join(names(prefixes, ["rank"], "nth"), "rank"), "dense")
-    before = dense.select((F.col("nth") + 1).alias("nth"), F.col("prefix").alias("previous"))
-    begins = (dense.join(before, "nth", "left").where(~F.col("prefix").eqNullSafe(F.col("previous")))
-              .select("rank", F.col("rank").alias("run")))
-    only = F.lit(0).alias("only")
-    runs = last_at_or_before(begins.select(only, "rank", "run"), dense.select(only, "rank"), ["only", "rank"], "run").select("rank", "run")
-    place = F.struct("_order", (F.col("begin") + F.col("at")).alias("start"))
-    placed = stored(full.join(runs, "rank").select("row", "run", place.alias("place")), "placed")
-    firsts = placed.groupBy("run").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return (placed.join(firsts, "run").where(F.col("place") != F.col("first"))
-            .select("row", F.col("place.start").alias("start")).distinct())
+    by_one = lambda at: padded[at] << NAME_BITS | behind[at + 1]
+    by_two = lambda at: padded[at] << 2 * NAME_BITS | padded[at + 1] << NAME_BITS | behind[at + 2]
+    zero = zero[np.argsort(by_one(zero), kind="stable")]
+    one, two = one[np.argsort(behind[one])], two[np.argsort(behind[two])]
+    before_one, before_two = np.searchsorted(by_one(one), by_one(zero)), np.searchsorted(by_two(two), by_two(zero))
+    found = np.empty(n, dtype=np.int64)
+    found[zero] = np.arange(1, len(zero) + 1) + before_one + before_two
+    # The others fill the ranks that are left, in their own order.
+    rest = np.concatenate((one, two))
+    free = np.ones(n + 1, dtype=bool)
+    free[0], free[found[zero]] = False, False
+    found[rest[np.argsort(behind[rest])]] = np.flatnonzero(free)
+    return found
+
+
+def first_symbols(data: np.ndarray, symbol: int = SYMBOL) -> np.ndarray:
+    """Names from 1 of the runs of ``symbol`` bytes, in their order."""
+    padded = np.concatenate((data.astype(np.int64) + 1, np.zeros(symbol, dtype=np.int64)))
+    runs = np.zeros(len(data), dtype=np.int64)
+    for i in range(symbol):
+        runs = runs << 9 | padded[i:i + len(data)]
+    return np.unique(runs, return_inverse=True)[1].astype(np.int64) + 1
+
+
+def _repeated(batch: pd.DataFrame, length: int, symbol: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and start of the strings of ``length`` bytes in contexts (``row, begin, context``, earlier ones first) that
+    also start earlier."""
+    sizes = np.array([len(c) for c in batch.context])
+    data = np.frombuffer(b"".join(batch.context), np.uint8)
+    owner, inside = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # Contexts follow by document and place; strings of one document may interleave.
+    document = np.cumsum(np.concatenate(([0], np.diff(batch.row.to_numpy()) != 0)))
+    start = batch.begin.to_numpy()[owner] + inside
+    place = document[owner] << 40 | start
+    whole = np.flatnonzero(inside + length <= sizes[owner])
+    whole = whole[np.argsort(ranks(first_symbols(data, symbol))[whole])]
+    strings = np.lib.stride_tricks.sliding_window_view(data, length)
+    new = np.ones(len(whole), dtype=bool)
+    for at in range(1, len(whole), 1 << 15):
+        some = whole[at - 1:at + (1 << 15)]
+        new[at:at + (1 << 15)] = (strings[some[1:]] != strings[some[:-1]]).any(axis=1)
+    begins = np.flatnonzero(new)
+    first = np.repeat(np.minimum.reduceat(place[whole], begins), np.diff(np.append(begins, len(whole))))
+    again = whole[place[whole] != first]
+    return batch.row.to_numpy()[owner[again]], start[again]
+
+
+def repeated_in_bucket(frame: pd.DataFrame, length: int, symbol: int) -> pd.DataFrame:
+    """``row, begin, until``: ranges of starts of repeated strings in the contexts of one bucket."""
+    frame = frame.sort_values(["gram", "last", "key", "row", "begin"], ignore_index=True)
+    # Anchors are ordered together as far as names reach.
+    size, new = frame.context.str.len().to_numpy(), (frame.gram != frame.gram.shift()).to_numpy()
+    bytes_of = pd.Series(size).groupby(np.cumsum(new)).sum().to_numpy()
+    portion, filled, portions = 0, 0, []
+    for n in bytes_of:
+        if filled + n >= 1 << NAME_BITS - 1 and filled:
+            portion, filled = portion + 1, 0
+        filled += n
+        portions.append(portion)
+    out = [_repeated(p.sort_values(["last", "key", "row", "begin"]), length, symbol)
+           for _, p in frame.groupby(np.array(portions)[np.cumsum(new) - 1])]
+    found = pd.DataFrame({"row": np.concatenate([r for r, _ in out]), "begin": np.concatenate([s for _, s in out])})
+    found = found.sort_values(["row", "begin"], ignore_index=True)
+    run = ((found.row != found.row.shift()) | (found.begin != found.begin.shift() + 1)).cumsum()
+    ranges = found.groupby(run).agg(row=("row", "first"), begin=("begin", "first"), until=("begin", "last"))
+    return ranges.assign(until=ranges.until + 1)
+
+
+def repeated_starts(contexts: DataFrame, length: int = LENGTH, symbol: int = SYMBOL) -> DataFrame:
+    """``row, begin, until``: starts, from ``begin`` and before ``until``, of strings of ``length`` bytes that also start
+    earlier, by ``last, key, row`` and then the place. ``contexts`` (``row, last, key, gram, begin, context``) hold all strings
+    that have an anchor, the ``gram``; strings of one row begin ``begin`` bytes into it."""
+    known = contexts.withColumns({"digest": F.md5("context"), "place": F.struct("last", "key", "row", "begin"),
+                                  "until": F.col("begin") + F.octet_length("context") - length + 1})
+    counted = stored(known.groupBy("gram", "digest").agg(F.min("place").alias("first"), F.count("*").alias("size")), "contexts")
+    several = stored(counted.groupBy("gram").agg(F.count("*").alias("different")).where("different > 1"), "several")
+    copies = lookup(known.drop("context").withColumn("id", F.xxhash64("row", "begin")), counted.where("size > 1"),
+                    ["gram", "digest"], ["first"], size="size", row_id="id").where("place <> first").select("row", "begin", "until")
+    # Of equal contexts the first is ordered.
+    firsts = stored(counted.join(several, "gram").select("first.*", "different"), "firsts")
+    ordered = stored(contexts.join(firsts.select("row", "begin", "different"), ["row", "begin"]), "ordered")
+    crowded = min(BUCKET, (1 << NAME_BITS - 1) // (2 * length))
+    few, many = ordered.where(F.col("different") <= crowded), ordered.where(F.col("different") > crowded)
+    buckets = few.count() // BUCKET + 1
+    near = few.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).groupBy("bucket").applyInPandas(
+        lambda frame: repeated_in_bucket(frame, length, symbol), "row long, begin long, until long")
+    found = copies.unionByName(near)
+    if many.isEmpty():
+        return found
+    each = many.select("row", "last", "key", "begin", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.octet_length("context") - length), lambda i: F.md5(F.substring("context", i + 1, F.lit(length)))))
+        .alias("at", "string")).withColumn("begin", F.col("begin") + F.col("at"))
+    each = stored(each.withColumn("place", F.struct("last", "key", "row", "begin")), "strings")
+    earliest = stored(each.groupBy("string").agg(F.min("place").alias("first"), F.count("*").alias("size")).where("size > 1"), "earliest")
+    again = lookup(each.withColumn("id", F.xxhash64("row", "begin")), earliest, ["string"], ["first"], size="size", row_id="id")
+    return found.unionByName(again.where("place <> first").select("row", "begin", (F.col("begin") + 1).alias("until")))
 
 
 # ------------------------------------------------------------------ whole operator
@@ -240,47 +240,57 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, symbol: int = SYMBOL)
     last; rows that share one follow the table), or earlier in the document. NULL and empty texts have no bytes. Texts
     shorter than ``length`` are kept whole. An empty table gives no rows; other columns are not read.
     """
-    gram = min(GRAM, length)
     rows = stored(_described(docs, length), "described")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     # Of equal texts the first row stands for all; two steps, as a third of the rows may be equal.
     firsts = stored(rows.groupBy("text_hash").agg(F.min(rank).alias("rank")).select(
         F.col("rank.row").alias("row"), F.lit(True).alias("first")), "firsts")
-    known = stored(rows.join(firsts, "row", "left").withColumn("first", F.coalesce("first", F.lit(False))), "known")
-    places = known.where("first").select("row", "doc_id", "text_hash", F.explode(F.arrays_zip("grams", "places")).alias("anchor"))
-    twice = stored(places.groupBy(F.col("anchor.grams").alias("gram")).agg(F.count("*").alias("n")).where("n > 1").select("gram"), "twice")
-    if twice.count() <= BROADCAST_ANCHORS:
-        twice = F.broadcast(twice)
-    wanted = (places.select("row", "doc_id", "text_hash", F.col("anchor.grams").alias("gram"), F.col("anchor.places").alias("place"))
-              .join(twice, "gram").groupBy("row", "doc_id", "text_hash").agg(F.collect_list("place").alias("places")))
-    wanted = stored(wanted, "wanted")
-    data = F.coalesce(docs.text, F.lit("")).cast("binary")
-    # Rows that repeat an id and a text are one text here.
-    suspects = stored(
-        docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id) & (F.sha2(data, 256) == wanted.text_hash))
-        .select(wanted.row, wanted.doc_id, data.alias("data"), wanted.places), "suspects")
-    suspects = stored(suspects.dropDuplicates(["row"]), "suspects")
-    pieces = suspects.select("row", "data", "places").mapInPandas(
-        lambda batches: _stretches(batches, length, gram), "row long, begin long, data binary")
-    pieces = pieces.join(suspects.select("row", "doc_id"), "row")
-    starts = stored(repeated_starts(pieces, rank, length, symbol).groupBy("row").agg(F.collect_list("start").alias("starts")), "starts")
+    known = stored(rows.select("row", "doc_id", "text_hash", "n_bytes").join(firsts, "row", "left")
+                   .withColumn("first", F.coalesce("first", F.lit(False))), "known")
+    copies = known.where("not first").select("row")
+    anchored = rows.join(_few(copies), "row", "left_anti").select(
+        "row", F.explode(F.arrays_zip("grams", "begins", "counts")).alias("a")).select("row", "a.*").withColumnRenamed("grams", "gram")
+    twice = stored(anchored.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "twice")
+    wanted = stored(anchored.join(_few(twice), "gram").groupBy("row").agg(
+        F.collect_list(F.struct("gram", "begins", "counts")).alias("anchors")), "wanted")
+
+    def texts_of(some: DataFrame, *columns: str) -> DataFrame:
+        texts = rows.select("row", "data", *columns)
+        return texts.join(_few(some.select("row")), "row", "left_semi").join(some, "row")
+
+    def contexts_of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(row, last, key, a["gram"], a["begins"], data[a["begins"]:a["begins"] + a["counts"] + length - 1])
+                   for row, last, key, data, found in zip(batch.row, batch["last"], batch.key, batch.data, batch.anchors)
+                   for a in found]
+            yield pd.DataFrame(out, columns=["row", "last", "key", "gram", "begin", "context"])
+
+    kind = docs.schema["doc_id"].dataType
+    keyed = texts_of(wanted, "doc_id").select("row", F.col("doc_id").isNull().alias("last"),
+                                              F.coalesce("doc_id", F.lit("0").cast(kind)).alias("key"), "data", "anchors")
+    contexts = stored(keyed.mapInPandas(
+        contexts_of, f"row long, last boolean, key {kind.simpleString()}, gram long, begin long, context binary"), "contexts")
+    starts = stored(repeated_starts(contexts, length, symbol).groupBy("row").agg(
+        F.collect_list(F.struct("begin", "until")).alias("starts")), "starts")
+    dropped(contexts)
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for row, data, begins in zip(batch.row, batch.data, batch.starts):
-                begins = np.sort(begins)
-                new = np.flatnonzero(np.concatenate(([True], begins[1:] > begins[:-1] + length)))
-                ends = begins[np.concatenate((new[1:] - 1, [len(begins) - 1]))] + length
+            for row, data, ranges in zip(batch.row, batch.data, batch.starts):
+                ranges = np.array(sorted((r["begin"], r["until"] + length - 1) for r in ranges))
+                reach = np.maximum.accumulate(ranges[:, 1])
+                new = np.flatnonzero(np.concatenate(([True], ranges[1:, 0] > reach[:-1])))
+                begins, ends = ranges[new, 0], reach[np.append(new[1:] - 1, len(ranges) - 1)]
                 kept, at = hashlib.sha256(), 0
-                for begin, end in zip(begins[new], ends):
+                for begin, end in zip(begins, ends):
                     kept.update(data[at:begin])
                     at = end
                 kept.update(data[at:])
-                out.append((row, int((ends - begins[new]).sum()), len(new), kept.hexdigest()))
+                out.append((row, int((ends - begins).sum()), len(new), kept.hexdigest()))
             yield pd.DataFrame(out, columns=["row", "removed", "spans", "kept"])
 
-    cuts = suspects.select("row", "data").join(starts, "row").mapInPandas(cut, "row long, removed long, spans long, kept string")
+    cuts = texts_of(starts).mapInPandas(cut, "row long, removed long, spans long, kept string")
     copy = ~F.col("first") & (F.col("n_bytes") >= length)
     return known.join(stored(cuts, "cuts"), "row", "left").select(
         "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),

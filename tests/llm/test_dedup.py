@@ -260,6 +260,30 @@ def without_repeats(texts, length):
     return sorted(rows, key=repr)
 
 
+def test_anchors_are_few_and_of_equal_strings_equal():
+    """A string has an anchor at a thirty-fifth of its places or so, and the same one wherever it stands."""
+    passage = prose(40, 200).encode()
+    one, two = prose(41, 3000).encode() + passage, passage + prose(42, 3000).encode()
+    found = [suffix_order.anchors(data) for data in (one, two)]
+    for data, (grams, begins, counts) in zip((one, two), found):
+        assert (np.sort(np.concatenate([np.arange(b, b + n) for b, n in zip(begins, counts)])) == np.arange(len(data) - 99)).all()
+        assert 20 * len(grams) < len(data)
+    shared = set(found[0][0].tolist()) & set(found[1][0].tolist())
+    assert 10 < len(shared) < 0.2 * len(found[0][0])
+
+
+@pytest.mark.parametrize("bucket", [6_000, 3])
+def test_passages_in_many_texts(spark, monkeypatch, bucket):
+    """Repeats within and between texts, with anchors of more different contexts than a bucket takes; bytes may be any."""
+    monkeypatch.setattr(suffix_order, "BUCKET", bucket)
+    passages = [prose(60 + i, 9 + 4 * i) for i in range(5)]
+    texts = [(None if i == 7 else i, " ".join(f"{prose(600 + 9 * i + k, 3)} {p}" for k, p in enumerate(passages) if (i + k) % 3))
+             for i in range(24)] + [(50, "\0\0" * 90 + "é" * 70), (51, "é" * 70 + "\0" * 130), (52, None), (53, "x" * 400)]
+    found = suffix_order.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), length=40)
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert frame_rows(found, columns) == without_repeats(texts, 40)
+
+
 def test_substring_repeats(docs, texts):
     # Repeated ids are left out here: between them the order is that of the table.
     once = [(i, t) for i, t in texts if i is not None and i not in (210, 220)]
