@@ -25,8 +25,9 @@ BUCKETS = 1 << 14
 # Documents the scorer is trained on, about; chosen by hash. At most 100 KB each, usually 2 KB.
 SAMPLE = 5000
 STEPS, RATE, DECAY = 150, 0.5, 1e-4
-# Words whose buckets a task remembers.
+# Words whose buckets a task remembers, and the characters of the longest of them.
 MOST_WORDS = 200_000
+LONGEST_WORD = 64
 
 
 def _vote(bad: Column, good: Column | None = None) -> Column:
@@ -54,7 +55,8 @@ def labellers(text: Column) -> dict[str, Column]:
         "repetition": _vote(repeated >= 0.3),
         # The number of different words grows about as the square root of the length, or faster.
         "variety": _vote((words >= 20) & (F.size(F.array_distinct(listed)) < 2 * F.sqrt(words))),
-        "runs": _vote(share(r"(?<!\S)(\S++)(?:\s+\1(?!\S))+") >= 0.2),
+        # Possessive, as each further word of a run would take stack otherwise: some 1,000 repeats end an executor.
+        "runs": _vote(share(r"(?<!\S)(\S++)(?:\s+\1(?!\S))++") >= 0.2),
         "letters": _vote(letters / length < 0.6, letters / length >= 0.75)}
 
 
@@ -128,7 +130,9 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
         pair = known.get(word)
         if pair is None:
             shape = re.sub(r"[^\W\d_a-zß-ÿ]+", "X", re.sub(r"[a-zß-ÿ]+", "x", word))
-            pair = known[word] = tuple(crc32(s.encode("utf-8", "replace")) % BUCKETS for s in (word.lower(), "shape " + shape[:32]))
+            pair = tuple(crc32(s.encode("utf-8", "replace")) % BUCKETS for s in (word.lower(), "shape " + shape[:32]))
+            if len(word) <= LONGEST_WORD:
+                known[word] = pair
         places += pair
     if not places:
         return np.empty(0, dtype=np.int32), np.empty(0)

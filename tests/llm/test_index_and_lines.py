@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -227,6 +228,32 @@ def test_quality_of_odd_texts(docs, texts, no_docs):
     assert weak_labels.score_quality(no_docs).count() == 0
 
 
+def test_runs_of_a_word_of_any_length(spark):
+    """A run of 30,000 equal words takes no stack; the shares of text in runs are those of a plain version."""
+    texts = ["spam " * 30_000, "so " * 2000 + prose(80, 3000), "a  a\n a b b ab a", "to to be aa a", "", None] + [
+        " ".join(random.Random(i).choice(["a", "aa", "é", "\n"]) for _ in range(30)) for i in range(40)]
+
+    def share(text):
+        spans = [(m.group(), *m.span()) for m in re.finditer(r"[^ \t\n\x0b\f\r]+", text or "")]
+        covered = sum(next_end - (start if first else end) for (first, start, end, next_end) in (
+            (i == 0 or spans[i - 1][0] != spans[i][0], spans[i][1], spans[i][2], spans[i + 1][2])
+            for i in range(len(spans) - 1) if spans[i][0] == spans[i + 1][0]))
+        return covered / len(text) if text else 1  # nothing is left of an empty text either
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    at = list(weak_labels.labellers(F.lit(""))).index("runs")
+    found = {r["doc_id"]: r["votes"][at] for r in weak_labels.voted(docs).collect()}
+    assert found == {i: -1 if share(t) >= 0.2 else 0 for i, t in enumerate(texts)}
+    assert {-1, 0} == set(found.values())
+
+
+def test_long_words_are_not_remembered():
+    buckets, values = weak_labels.features("x" * 5000 + " short")
+    known = weak_labels.once(("word buckets",), dict)
+    assert "short" in known and max(map(len, known)) <= weak_labels.LONGEST_WORD
+    assert len(buckets) == 3 and np.isclose((values ** 2).sum(), 1)
+
+
 def test_em_finds_accuracies():
     pick = np.random.default_rng(1)
     good = pick.random(20_000) < 0.7
