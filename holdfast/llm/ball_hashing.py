@@ -13,7 +13,8 @@ their whole shingle sets.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -35,8 +36,8 @@ SIMILAR_WORDS = 5
 LEAST_SIMILARITY = 0.8
 # Fingerprints of a set, their bits, and the least certain bits of each, of which up to two are flipped: 29 values. By
 # simulation two sets at a similarity of 0.8 meet at a value of one fingerprint with a chance of 0.29, at 0.85 of 0.45 and at
-# 0.9 of 0.66, so at one of ten in 96.8 %, 99.7 % and all cases.
-PRINTS = 10
+# 0.9 of 0.66, so at one of twelve in 98.4 %, 99.9 % and all cases.
+PRINTS = 12
 PRINT_BITS = 32
 UNSURE_BITS = 7
 # Of all bits of two similar sets 15 % differ at 0.8, and half of those of sets that meet by chance; more are not compared.
@@ -45,6 +46,10 @@ MOST_BITS_APART = 0.35
 BROADCAST_TEXTS = 500_000
 # Values at which sets meet sent to every executor, 8 bytes each; more are met by a shuffle of all values.
 BROADCAST_VALUES = 2_000_000
+# Values of a ball, and values of all sets that are counted at once, about 7 bytes each in the shuffle; more are counted
+# fingerprint by fingerprint.
+BALL = 1 + UNSURE_BITS + UNSURE_BITS * (UNSURE_BITS - 1) // 2
+VALUES_AT_ONCE = 20_000_000
 # Shingles counted at once: 64 bytes each.
 BLOCK = 1 << 14
 LOWER_CASE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -158,18 +163,36 @@ def _narrow_fingerprints(texts: pd.Series) -> pd.DataFrame:
                          "prints": [f[0] for f in found], "unsure": [f[1] for f in found]})
 
 
-def narrow_ball(fp: Column, unsure: Column) -> Column:
+def narrow_ball(fp: Column, unsure: Sequence[Column]) -> Column:
     """All values within two bits of the fingerprint, flipped among its ``unsure`` bits: itself, one bit, two bits."""
-    pairs = F.flatten(F.transform(unsure, lambda a, i: F.transform(F.slice(unsure, F.lit(1), i), lambda b: a.bitwiseOR(b))))
-    return F.concat(F.array(fp), F.transform(F.concat(unsure, pairs), lambda bits: fp.bitwiseXOR(bits)))
+    flips = [*unsure, *(a.bitwiseOR(b) for i, a in enumerate(unsure) for b in unsure[:i])]
+    return F.array(fp, *[fp.bitwiseXOR(bits) for bits in flips])
 
 
-def ball_values(nodes: DataFrame) -> DataFrame:
-    """``node, bucket``: the values of the balls of each set ``fp``, told apart by the number of their fingerprint."""
-    of_one = F.transform("prints", lambda fp, i: F.transform(
-        narrow_ball(fp, F.slice("unsure", i * UNSURE_BITS + 1, F.lit(UNSURE_BITS))),
-        lambda value: F.call_function("shiftleft", i.cast("long"), F.lit(PRINT_BITS)).bitwiseOR(value)))
-    return nodes.select(F.col("fp").alias("node"), F.explode(F.flatten(of_one)).alias("bucket"))
+def ball_values(nodes: DataFrame, which: Sequence[int] = range(PRINTS)) -> DataFrame:
+    """``node, bucket``: the values of the balls of each set ``fp`` round the fingerprints ``which``, told apart by the
+    number of their fingerprint. A set without words has none."""
+    balls = [narrow_ball(F.get("prints", F.lit(i)).bitwiseOR(F.lit(i << PRINT_BITS)),
+                         [F.get("unsure", F.lit(i * UNSURE_BITS + k)) for k in range(UNSURE_BITS)]) for i in which]
+    return nodes.where(F.size("prints") > 0).select(F.col("fp").alias("node"), F.explode(F.concat(*balls)).alias("bucket"))
+
+
+def crowded_values(nodes: DataFrame) -> DataFrame:
+    """``node, bucket``: the ball values of each set that other sets have too.
+
+    Values of two fingerprints never meet: with many sets a few fingerprints at a time are counted, so that only a part of
+    all values is in shuffles at once.
+    """
+    each = max(1, VALUES_AT_ONCE // max(1, nodes.count() * BALL))
+    met = []
+    for start in range(0, PRINTS, each):
+        values = ball_values(nodes, range(start, min(start + each, PRINTS)))
+        crowded = stored(values.groupBy("bucket").agg(F.count("*").alias("sets")).where("sets > 1").select("bucket"), "crowded")
+        few = crowded.count() <= BROADCAST_VALUES
+        known = values.join(F.broadcast(crowded) if few else crowded, "bucket", "left_semi")
+        met.append(stored(known.select("node", "bucket"), "met"))
+        dropped(crowded)
+    return reduce(DataFrame.unionByName, met)
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -179,6 +202,7 @@ def _shingle_sets(texts: pd.Series) -> pd.Series:
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, elements``: the shingles of the nodes ``wanted`` (``fp, text_hash``), from one text each."""
+    wanted = stored(wanted, "wanted")
     if wanted.count() <= BROADCAST_TEXTS:
         wanted = F.broadcast(wanted)
     text = F.coalesce("text", F.lit(""))
@@ -199,16 +223,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"),
                                           F.min("text_hash").alias("text_hash"), F.first("shingles").alias("shingles"),
                                           F.first("prints").alias("prints"), F.first("unsure").alias("unsure")), "nodes")
-    values = ball_values(nodes)
-    crowded = stored(values.groupBy("bucket").agg(F.count("*").alias("sets")).where("sets > 1").select("bucket"), "crowded")
-    if crowded.count() <= BROADCAST_VALUES:
-        crowded = F.broadcast(crowded)
     sizes = nodes.select(F.col("fp").alias("node"), F.col("shingles").alias("n"))
-    met = stored(values.join(crowded, "bucket", "left_semi"), "met")
+    met = crowded_values(nodes)
     members = stored(met.join(sizes, "node"), "members")
     dropped(met)
-    wanted = members.select(F.col("node").alias("fp")).distinct().join(nodes.select("fp", "text_hash"), "fp")
-    sets = _sets(docs, stored(wanted, "wanted"))
+    hashes = nodes.select("fp", "text_hash")
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        return _sets(docs, wanted.withColumnRenamed("node", "fp").join(hashes, "fp"))
+
     of = {side: nodes.select(F.col("fp").alias(side), F.col("prints").alias(f"of_{side}")) for side in "ab"}
     apart = F.aggregate(F.zip_with("of_a", "of_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, bits: n + bits)
 
@@ -218,7 +241,6 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     roots = stored(similar_components(members, sets, LEAST_SIMILARITY, likely), "roots")
     dropped(members)
-    dropped(sets)
     return _classes(rows.select("doc_id", "text_hash", "fp"), nodes.select("fp", "first_id", "n"), roots)
 
 
@@ -233,15 +255,22 @@ def one_of_each_group(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]
     """
     classes = grouped(docs)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    first = (classes.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-             .groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), rank).alias("stay")))
-    stay = stored(first.select("stay.doc_id", "stay.text_hash", "stay.n"), "stay")
+    keys = stored(classes.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")), "keys")
+    firsts = stored(keys.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("keys")).where("keys > 1")
+                    .select("root", "first"), "firsts")
+    stays = F.col("first").isNull() | rank.eqNullSafe(F.col("first"))
+    # Most rows stay and no other has their id and text; only the rest is looked up, so that most often no text is moved.
+    special = stored(keys.join(firsts, "root", "left").select("doc_id", "text_hash", "n", stays.alias("stays"))
+                     .where("not stays or n > 1"), "special")
     own_hash = F.xxhash64(F.coalesce(docs.text, F.lit("")))
 
-    def rows_of(keys: DataFrame) -> DataFrame:
-        return docs.join(keys, docs.doc_id.eqNullSafe(keys.doc_id) & (own_hash == keys.text_hash), "left_semi")
+    def rows_of(keys: DataFrame, how: str) -> DataFrame:
+        if keys.count() <= BROADCAST_TEXTS:
+            keys = F.broadcast(keys)
+        return docs.join(keys, docs.doc_id.eqNullSafe(keys.doc_id) & (own_hash == keys.text_hash), how)
 
-    repeated = stay.where("n > 1")
+    single = rows_of(special, "left_anti")
+    repeated = special.where("stays")
     if repeated.isEmpty():
-        return rows_of(stay)
-    return rows_of(stay.where("n = 1")).unionByName(rows_of(repeated).dropDuplicates(["doc_id", "text"]))
+        return single
+    return single.unionByName(rows_of(repeated, "left_semi").dropDuplicates(["doc_id", "text"]))

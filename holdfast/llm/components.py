@@ -19,6 +19,12 @@ MORE_FIRSTS = 16
 # Ends of its buckets that a set is compared with, whatever the number of its buckets; the rest meet by their rarest
 # elements. It does not change which sets that meet are joined.
 NEAREST_ENDS = 4
+# A bucket of so many sets, which may well have met by chance, is settled by all its pairs: at most seven for each two sets.
+# It does not change which sets that meet are joined.
+SMALL_BUCKET = 8
+
+# Sets (``node, elements``), or how to get those of the nodes (``node``) that are to be compared.
+Sets = DataFrame | Callable[[DataFrame], DataFrame]
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -95,7 +101,25 @@ def end_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return links
 
 
-def nearest_end_links(members: DataFrame, sets: DataFrame, least: float,
+def _links_of(pairs: DataFrame, sets: Sets, least: float, likely: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """Those of ``pairs`` that are similar enough. Only sets of pairs that are ``likely`` are read."""
+    if likely is not None:
+        met_by_chance, pairs = pairs, stored(likely(pairs), "pairs")
+        dropped(met_by_chance)
+    if pairs.isEmpty():
+        return pairs
+    if isinstance(sets, DataFrame):
+        links = stored(similar_links(pairs, sets, least), "links")
+    else:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        compared = sets(stored(ends, "compared"))
+        links = stored(similar_links(pairs, compared, least), "links")
+        dropped(compared)
+    dropped(pairs)
+    return links
+
+
+def nearest_end_links(members: DataFrame, sets: Sets, least: float,
                       likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``a, b``: sets with those ``NEAREST_ENDS`` that they meet in most buckets, of the ends of their buckets
     (``_met_ends``), where the two are similar enough.
@@ -106,12 +130,21 @@ def nearest_end_links(members: DataFrame, sets: DataFrame, least: float,
     often = Window.partitionBy("node").orderBy(F.desc("times"), F.xxhash64(F.lit("end"), "other"), "other")
     met = _met_ends(members, least).groupBy("node", "other").agg(F.count("*").alias("times"))
     pairs = stored(_either_way(met.withColumn("nth", F.row_number().over(often)).where(F.col("nth") <= NEAREST_ENDS)), "pairs")
-    if likely is not None:
-        met_by_chance, pairs = pairs, stored(likely(pairs), "pairs")
-        dropped(met_by_chance)
-    links = stored(similar_links(pairs, sets, least), "links")
-    dropped(pairs)
-    return links
+    return _links_of(pairs, sets, least, likely)
+
+
+def small_bucket_links(members: DataFrame, sets: Sets, least: float,
+                       likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``a, b``: sets of one bucket (``members`` with ``root``) that are in different components, each with each, where the
+    two are similar enough. For buckets of few sets; ``likely`` as in ``nearest_end_links``."""
+    one = F.struct("node", "root", "n")
+    both = (members.groupBy("bucket").agg(F.array_sort(F.collect_list(one)).alias("sets"))
+            .select("sets", F.posexplode("sets").alias("at", "one"))
+            .select("one", F.explode(F.slice("sets", F.lit(1), F.col("at"))).alias("two")))
+    alike = F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * round(least * 100)
+    pairs = (both.where(F.col("one.root") != F.col("two.root")).where(alike)
+             .select(F.col("two.node").alias("a"), F.col("one.node").alias("b")).distinct())
+    return _links_of(stored(pairs, "pairs"), sets, least, likely)
 
 
 def _linked(members: DataFrame, sets: DataFrame, least: float, found: DataFrame) -> DataFrame:
@@ -153,6 +186,13 @@ def rooted_in(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _mixed_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``bucket, size`` of the buckets that are not one component."""
+    return stored(rooted_in(members, roots).groupBy("bucket")
+                  .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
+                  .where("low <> high").select("bucket", "size"), "mixed")
+
+
 def _rarest(sets: DataFrame, least: float) -> DataFrame:
     """``node, bucket, n, at``: the rarest elements of each set, as many as two sets that share ``least`` of theirs need to
     have one in common, in an order that is the same for all sets. Elements of one set alone come first and are left out."""
@@ -166,24 +206,31 @@ def _rarest(sets: DataFrame, least: float) -> DataFrame:
             .where((F.col("n") - F.col("at")) * 100 >= F.col("n") * round(least * 100)))
 
 
-def similar_components(members: DataFrame, sets: DataFrame, least: float,
+def similar_components(members: DataFrame, sets: Sets, least: float,
                        likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``node, root`` as ``components`` has them, of the sets that are linked: they meet in a bucket of ``members``
     (``node, bucket, n``, the size of the set) and share ``least`` of their elements by Jaccard similarity.
 
     Each set is compared whole with a few ends of its buckets at first (``likely`` as in ``nearest_end_links``). Every
-    bucket that these do not join (copies with too many edits, texts round a common passage) is left, and its sets meet
-    anew where they share one of their rarest elements: sets that are similar enough always do, and how rare these are
-    bounds what the two can share. No link within a bucket is lost that way.
+    bucket that these do not join (copies with too many edits, texts round a common passage) is left. A small one, where
+    most often sets met by chance, is settled by its pairs. The sets of others meet anew where they share one of their
+    rarest elements: sets that are similar enough always do, and how rare these are bounds what the two can share. No
+    link within a bucket is lost that way.
     """
     found = nearest_end_links(members, sets, least, likely)
     roots = components(found)
-    mixed = (rooted_in(members, roots).groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-             .where("low <> high").select("bucket"))
-    left = stored(members.join(stored(mixed, "mixed"), "bucket", "left_semi").select("node").distinct(), "left")
+    mixed = _mixed_buckets(members, roots)
+    small = members.join(mixed.where(F.col("size") <= SMALL_BUCKET), "bucket", "left_semi")
+    more = small_bucket_links(rooted_in(small, roots), sets, least, likely)
+    if not more.isEmpty():
+        found = found.unionByName(more)
+        roots = components(found)
+    # Those that the links of the small ones have joined are no longer mixed.
+    large = stored(members.join(mixed.where(F.col("size") > SMALL_BUCKET), "bucket", "left_semi"), "large")
+    left = stored(large.join(_mixed_buckets(large, roots), "bucket", "left_semi").select("node").distinct(), "left")
     if left.isEmpty():
         return roots
-    crowded = stored(sets.join(left, "node", "left_semi"), "crowded")
+    crowded = stored(sets.join(left, "node", "left_semi"), "crowded") if isinstance(sets, DataFrame) else sets(left)
     found = _linked(rooted_in(_rarest(crowded, least), roots), crowded, least, found)
     dropped(crowded)
     return components(found)

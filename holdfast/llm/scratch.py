@@ -14,6 +14,8 @@ from holdfast.scale import checkpoint_folder
 
 # Texts handed to Python at once; with long documents the default of 10,000 rows is too much memory.
 TEXTS_PER_BATCH = 256
+# Spark's setting by which the shuffle files of a statement go when it has ended, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
@@ -22,10 +24,19 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def stored(frame: DataFrame, purpose: str) -> DataFrame:
-    """Write once, read afterwards; a reader sees only the columns and row groups it needs."""
-    path = new_folder(frame.sparkSession, purpose)
-    frame.write.option("compression", "zstd").parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """Write once, read afterwards; a reader sees only the columns and row groups it needs.
+
+    Nothing reads the shuffles behind the table any more; their files go as soon as it is written.
+    """
+    spark = frame.sparkSession
+    path = new_folder(spark, purpose)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def dropped(frame: DataFrame) -> None:

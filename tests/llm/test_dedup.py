@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import defaultdict
+import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -18,6 +19,7 @@ from conftest import prose
 from conftest_data import frame_rows
 from holdfast.llm import ball_hashing, chunk_dedup, suffix_order
 from holdfast.llm.components import components, similar_components, similar_links
+from holdfast.llm.scratch import CLEANUP, stored
 
 
 def sha(text: str) -> str:
@@ -177,6 +179,60 @@ def test_sets_that_meet_many_ends_are_compared_with_few(spark, monkeypatch, size
     assert sum(compared) <= 5 * size
 
 
+def test_sets_that_met_by_chance_are_not_read(spark):
+    """Of small buckets only the sets of likely pairs are fetched, whatever the number of buckets that chance has made."""
+    own = {i: list(range(100 * i, 100 * i + 20)) for i in range(40)}
+    own |= {100 + i: [*own[i][:-1], 7000 + i] for i in range(3)}
+    chance = [(node, bucket, 20) for bucket in range(39) for node in (bucket, bucket + 1)]
+    triples = [(node, 100 + i, 20) for i in range(3) for node in (i, 100 + i, 20 + i)]
+    read = []
+
+    def sets(wanted):
+        read.extend(r["node"] for r in wanted.collect())
+        return stored(wanted.join(spark.createDataFrame(list(own.items()), "node long, elements array<long>"), "node"), "sets")
+
+    found = similar_components(spark.createDataFrame(chance + triples, "node long, bucket long, n int"), sets, 0.8,
+                               lambda pairs: pairs.where("a < 3 and b >= 100"))
+    assert {r["node"]: r["root"] for r in found.collect()} == {100 + i: i for i in range(3)}
+    assert set(read) == {0, 1, 2, 100, 101, 102}
+
+
+def test_crowded_values_are_the_same_in_any_number_of_rounds(spark, monkeypatch):
+    pick = random.Random(12)
+    each = [np.array([pick.getrandbits(64) for _ in range(30)], dtype=np.uint64) for _ in range(40)]
+    each += [np.append(s[1:], np.uint64(pick.getrandbits(64))) for s in each]
+    found = [ball_hashing.narrow_fingerprints(s) for s in each]
+    rows = [(i, p.tolist(), u.tolist()) for i, (p, u) in enumerate(found)] + [(-1, [], [])]
+    nodes = spark.createDataFrame(rows, "fp long, prints array<long>, unsure array<long>")
+    times = Counter(v for _, p, u in rows for v in plain_ball(p, u))
+    wanted = sorted((i, v) for i, p, u in rows for v in plain_ball(p, u) if times[v] > 1)
+    assert len(wanted) > 100
+    for at_once in (1, 5 * len(rows) * ball_hashing.BALL, 1 << 30):
+        monkeypatch.setattr(ball_hashing, "VALUES_AT_ONCE", at_once)
+        assert sorted(tuple(r) for r in ball_hashing.crowded_values(nodes).collect()) == wanted
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    """Shuffle files behind a written table go with the statement, whenever the driver collects its garbage."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles().iterator()
+        found = set()
+        while files.hasNext():
+            found.add(files.next().getName())
+        return {f for f in found if f.startswith("shuffle_")}
+
+    before = shuffled()
+    setting = spark.conf.get(CLEANUP)
+    table = stored(spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).agg(F.sum("id").alias("s")), "sums")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before and table.count() == 5000 and spark.conf.get(CLEANUP) == setting
+
+
 def test_near_duplicates_stage_reaches_its_similarity(spark):
     """Copies with scattered edits differ by more than two bits; chains of copies and a large family are one group each."""
     own = [prose(1000 + i, 300).split() for i in range(30)]
